@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +20,11 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8) -> SparkSession:
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
     )
+
+
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from the place the driver has it (on a cluster: install it, or --py-files)."""
+    home = str(Path(__file__).resolve().parent.parent)
+    env = spark.sparkContext.environment
+    if home not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, (home, env.get("PYTHONPATH", ""))))
