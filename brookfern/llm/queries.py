@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, simhash
+from . import bpe, language, mixing, ppm, simhash, suffix, topk
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op3_language": language.op3_language,
     "op5_simhash": simhash.op5_simhash,
+    "op7_topk": topk.op7_topk,
+    "op8_ppm": ppm.op8_ppm,
+    "op9_mixing": mixing.op9_mixing,
+    "op10_suffix": suffix.op10_suffix,
 }
 
 ORACLES: dict[str, str] = {}
