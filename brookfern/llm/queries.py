@@ -1,17 +1,25 @@
-"""One query per training-data operator, over whole tables with production parameters."""
+"""One query per training-data operator and the pipeline, over whole tables with production parameters."""
 
 from __future__ import annotations
 
-from . import bpe, language, mixing, ppm, simhash, suffix, topk
+import corpus_pipeline
+
+from . import bpe, html, imatch, language, lines, mixing, ppm, simhash, suffix, topk
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_bpe": bpe.op1_bpe,
+    "op2_imatch": imatch.op2_imatch,
     "op3_language": language.op3_language,
+    "op4_html": html.op4_html,
     "op5_simhash": simhash.op5_simhash,
+    "op6_lines": lines.op6_lines,
     "op7_topk": topk.op7_topk,
     "op8_ppm": ppm.op8_ppm,
     "op9_mixing": mixing.op9_mixing,
     "op10_suffix": suffix.op10_suffix,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_lines": lines.ORACLE}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
