@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from ..operators import analytics, evaluate, ingest, retrieval, store
+from ..operators import analytics, answer, evaluate, ingest, retrieval, store
 from ..sources import fixtures as fx
+from ..streaming import events as streaming
+from . import lifecycle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -609,3 +611,77 @@ def guardrail_decide(spark, sf_dir):
 def consecutive_duplicates(spark, sf_dir):
     keyed = fx.chunks(spark, sf_dir).select("doc_id", "chunk_index", text.normalize(F.col("text")).alias("line_key"))
     return analytics.consecutive_distinct(keyed, "doc_id", "chunk_index", "line_key").select("doc_id", "chunk_index")
+
+
+# Evidence and answers
+
+
+def _evidence(spark, sf_dir) -> DataFrame:
+    """Lines of one document for each query, as retrieved items; two kinds of questions."""
+    asked, chunks = fx.questions(spark, sf_dir), fx.chunks(spark, sf_dir)
+    own = asked.select("query_id", F.concat(F.when(F.col("query_id") % 2 == 0, "what is ").otherwise("limitations of "), "query").alias("query"), (F.col("query_id") * 5).alias("doc_no"))
+    return chunks.join(own, "doc_no").select("query_id", "query", (F.col("chunk_index") + 1).alias("rank"), "chunk_id", "title", "section_title", "text", (1.0 / (F.col("chunk_index") + 61)).alias("hybrid_score"))
+
+
+_ESTOPS = ", ".join(f"'{w}'" for w in answer.EVIDENCE_STOPS)
+_EVIDENCE = rf"""WITH {_CHUNKS}, {_ASKED}, items AS (SELECT query_id, CASE WHEN query_id % 2 = 0 THEN 'what is ' ELSE 'limitations of ' END || query AS query, chunk_index + 1 AS rank, chunk_id, title, section_title, text FROM asked JOIN chunks ON doc_no = query_id * 5),
+prep AS (SELECT *, lower(section_title || ' ' || title || ' ' || text) AS ev, lower(section_title || ' ' || title) AS sec, list_distinct(list_filter(regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}_]+'), lambda t: length(t) >= 4 AND NOT list_contains([{_ESTOPS}], t))) AS eterms,
+  list_filter(regexp_extract_all(lower(query), '[a-z][a-z0-9-]{{3,}}'), lambda t: NOT list_contains([{_ESTOPS}], t)) AS ws FROM items),
+pairs AS (SELECT *, list_distinct(CASE WHEN len(ws) >= 2 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE [] END) AS ps FROM prep),
+rel AS (SELECT *, len(list_filter(eterms, lambda t: contains(ev, t))) AS overlap, 6 * len(list_filter(ps, lambda p: contains(sec, p))) + 3 * len(list_filter(ps, lambda p: contains(ev, p))) AS pp FROM pairs)"""
+
+
+@query(_EVIDENCE + " SELECT query_id, chunk_id, overlap, overlap * 2 + pp + CASE WHEN len(eterms) > 0 AND overlap = len(eterms) THEN 4 ELSE 0 END AS relevance FROM rel")
+def evidence_relevance(spark, sf_dir):
+    out = answer.with_relevance(_evidence(spark, sf_dir))
+    return out.select("query_id", "chunk_id", F.col("overlap").cast("long").alias("overlap"), F.col("relevance").cast("long").alias("relevance"))
+
+
+#: Markers of the fixtures' invented prose.
+_MARKERS = {"definition": [" the ", " of ", " and ", " is "], "limitation": ["the ", "and ", "in ", " of "]}
+
+
+def _count(column: str, words: list[str]) -> str:
+    return "(" + " + ".join("contains({}, '{}')::INTEGER".format(column, w.replace("'", "''")) for w in words) + ")"
+
+
+@query(_EVIDENCE + f""", sc AS (SELECT *, CASE WHEN query LIKE 'what is%' THEN 'definition' ELSE 'limitation' END AS shape, CASE WHEN query LIKE 'what is%' THEN 14.0 ELSE 13.0 END AS threshold, CASE WHEN query LIKE 'what is%' THEN {_count("ev", _MARKERS["definition"])} ELSE {_count("ev", _MARKERS["limitation"])} END AS direct FROM rel),
+s2 AS (SELECT *, overlap * 2 + pp + CASE WHEN len(eterms) > 0 AND overlap = len(eterms) THEN 4 ELSE 0 END AS relevance FROM sc),
+s3 AS (SELECT *, relevance + direct * 3 + overlap * 2 + least(6, 20.0::DOUBLE / (rank + 60)) - CASE WHEN {_has("ev", answer.SPECULATIVE)} THEN 4 ELSE 0 END AS score FROM s2 WHERE direct > 0 AND (len(eterms) = 0 OR overlap > 0)),
+s4 AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS place FROM s3 WHERE score >= threshold)
+SELECT query_id, chunk_id, place, round(score, 6) AS score, CASE WHEN shape = 'definition' AND direct >= 6 THEN 'DEFINITIVE' WHEN direct >= 4 OR relevance >= 8 THEN 'MAIN_ANSWER' ELSE 'SUPPORTING_DETAIL' END AS label FROM s4 WHERE (score >= greatest(threshold, best * 0.45) OR place <= 3) AND place <= 8""")
+def evidence_fastpath(spark, sf_dir):
+    out = answer.fast_path(_evidence(spark, sf_dir), markers=_MARKERS)
+    return _six(out.select("query_id", "chunk_id", F.col("place").cast("long").alias("place"), "score", "label"), "score")
+
+
+@query(_EVIDENCE + rf""", top AS (SELECT query_id, query, lower(string_agg(text, ' ' ORDER BY rank)) AS body FROM items WHERE rank <= 3 GROUP BY query_id, query),
+t AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}_]+'), lambda t: length(t) >= 3 AND NOT list_contains([{_ESTOPS}], t))) AS ts FROM top),
+m AS (SELECT *, len(list_filter(ts, lambda t: contains(body, t))) AS matched FROM t)
+SELECT query_id, query, matched, round(matched::DOUBLE / greatest(len(ts), 1), 6) AS overlap_ratio, round(least(1.0, matched::DOUBLE / greatest(len(ts), 1) + CASE WHEN contains(body, lower(query)) THEN 0.2 ELSE 0 END), 6) AS quality,
+ len(ts) = 0 OR contains(body, lower(query)) OR matched::DOUBLE / greatest(len(ts), 1) >= CASE WHEN regexp_matches(query, 'types|categories|list|kinds') THEN 0.25 WHEN regexp_matches(query, 'safety|risk|concern|trustworthiness') THEN 0.45 WHEN regexp_matches(query, 'instruction|follow') THEN 0.35 ELSE 0.45 END AS sufficient FROM m""")
+def evidence_sufficiency(spark, sf_dir):
+    out = answer.sufficiency(_evidence(spark, sf_dir))
+    return _six(out.withColumn("matched", F.col("matched").cast("long")), "overlap_ratio", "quality")
+
+
+@query()
+def evidence_facts(spark, sf_dir):
+    return answer.facts(_evidence(spark, sf_dir))
+
+
+@query()
+def extractive_answers(spark, sf_dir):
+    return answer.extractive(answer.facts(_evidence(spark, sf_dir)))
+
+
+@query()
+def full_pipeline(spark, sf_dir):
+    docs = fx.documents(spark, sf_dir).select("doc_id", "title", "source_path", F.lit("").alias("section_titles"), F.col("text").alias("content"))
+    return lifecycle.ask(fx.questions(spark, sf_dir), docs, fx.chunks(spark, sf_dir))
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS events, sum(value::DECIMAL(18, 2))::DOUBLE AS total FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    events = fx.table(spark, sf_dir, "events")
+    return streaming.windowed(events.withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -28,3 +29,12 @@ def share_package(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if home not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, (home, env.get("PYTHONPATH", ""))))
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the folder of ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        found = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brookfern-")
+        spark.sparkContext.setCheckpointDir(found)
+    return df.checkpoint()
