@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import materialized
 
 # Stop words, shape words, thresholds and markers of evidence scoring.
 EVIDENCE_STOPS = ["the", "and", "for", "with", "what", "does", "review", "discuss", "are", "how", "why", "this", "that", "from", "into", "about", "they", "their", "before", "after", "using", "uses"]
@@ -136,6 +137,7 @@ def shortened(sentence: Column, words: int = 34) -> Column:
 
 def extractive(found: DataFrame, categories: dict[str, dict[str, list[str]]] = CATEGORIES, plain: int = 4) -> DataFrame:
     """One answer for each query of ``facts``: best fact of each category of the query's shape, then the first facts."""
+    found = materialized(found)  # a few rows a query, used four times
     spark = found.sparkSession
     parts = [(shape, i, words) for shape, groups in categories.items() for i, words in enumerate(groups.values())]
     table = spark.createDataFrame(parts, "shape string, part int, words array<string>")
