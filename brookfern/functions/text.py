@@ -175,9 +175,6 @@ def leaks_context(answer: Column) -> Column:
     return any_of(F.lower(answer), fixed.LEAK_MARKERS)
 
 
-def user_key(raw: Column, width: int = 48) -> Column:
-    return F.substring(F.regexp_replace(F.lower(F.btrim(raw)), r"[^a-z0-9_.-]+", "-"), 1, width)
-
 
 def owner(raw: Column) -> Column:
     flat = F.substring(squeeze(F.coalesce(raw, F.lit(""))), 1, 80)
@@ -204,3 +201,37 @@ def risk_level(status: Column, category: Column, requires_approval: Column) -> C
         .when((s == "needs_approval") | requires_approval, "medium")
         .otherwise("low")
     )
+
+
+def safe_id(raw: Column, width: int, fallback: str) -> Column:
+    """Identifier characters only, none of -_.: at the ends, cut to ``width``."""
+    flat = F.btrim(F.regexp_replace(F.btrim(F.coalesce(raw, F.lit(""))), "[^a-zA-Z0-9_.:-]+", "-"), F.lit("-_.:"))
+    return F.when(flat == "", fallback).otherwise(F.substring(flat, 1, width))
+
+
+def namespaced_session(user: Column, session: Column) -> Column:
+    return safe_id(F.concat(safe_id(user, 48, "local"), F.lit(":"), safe_id(session, 80, "default")), 80, "local")
+
+
+def token_fingerprint(token: Column) -> Column:
+    return F.substring(F.sha2(token, 256), 1, 12)
+
+
+def clean_citations(answer: Column, most: Column) -> Column:
+    """[1, 2] becomes [1] [2]; numbers that name no evidence go; so does an abstention beside an answer."""
+    apart = F.regexp_replace(answer, r"(?<=[\[,\d])\s*,\s*(?=[\d\s,]*\])", "] [")
+    pieces = F.split(apart, r"(?=\[\d+\])")
+    kept = F.transform(pieces, lambda p: F.when(p.rlike(r"^\[\d+\]") & ~F.regexp_extract(p, r"^\[(\d+)\]", 1).cast("long").between(1, most), F.regexp_replace(p, r"^\[\d+\]", "")).otherwise(p))
+    lines = F.filter(F.split(F.array_join(kept, ""), "\n"), lambda x: ~F.lower(x).contains("does not contain enough information"))
+    joined = F.btrim(F.array_join(lines, "\n"))
+    return F.when(joined == "", answer).otherwise(joined)
+
+
+def context_block(number: Column, title: Column, section: Column, page: Column, score: Column, body: Column, most: int = 1800) -> Column:
+    flat = F.btrim(F.coalesce(body, F.lit("")))
+    cut = F.when(F.length(flat) > most, F.concat(F.rtrim(F.substring(flat, 1, most)), F.lit("..."))).otherwise(flat)
+    return F.concat(F.lit("["), number.cast("string"), F.lit("]\nTitle:"), F.coalesce(title, F.lit("Untitled")), F.lit("\nSection:"), F.coalesce(section, F.lit("Unknown")), F.lit("\nPage:"), F.coalesce(page.cast("string"), F.lit("?")), F.lit("\nScore:"), F.format_string("%.4f", score), F.lit("\nText:"), cut, F.lit("\n"))
+
+
+def citation_line(number: Column, title: Column, page: Column, path: Column) -> Column:
+    return F.concat(F.lit("["), number.cast("string"), F.lit("] "), F.coalesce(title, F.lit("Untitled")), F.lit(", page "), F.coalesce(page.cast("string"), F.lit("?")), F.lit(" ("), F.coalesce(path, F.lit("")), F.lit(")"))

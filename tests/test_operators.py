@@ -79,3 +79,13 @@ def test_upsert_stream(spark, tmp_path):
     stream = spark.readStream.schema("k int, seq int, v string").parquet(src)
     events.upsert_stream(stream, ["k"], "seq", str(tmp_path / "t"), str(tmp_path / "cp")).awaitTermination()
     assert sorted((r.k, r.v) for r in events.current(spark, str(tmp_path / "t")).collect()) == [(1, "c"), (2, "b")]
+
+
+def test_clean_citations(spark):
+    got = one(spark, text.clean_citations(F.col("v"), F.lit(3)), "Facts [1, 2] and [9] more [3].")
+    assert got == "Facts [1] [2] and  more [3]."
+    assert one(spark, text.clean_citations(F.col("v"), F.lit(3)), "It holds.\nThe provided context does not contain enough information.") == "It holds."
+
+
+def test_safe_ids(spark):
+    assert one(spark, text.namespaced_session(F.col("v"), F.lit(None).cast("string")), " a b/c ") == "a-b-c:default"

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from brookfern.plans import registry
+from brookfern.plans import more, registry  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
