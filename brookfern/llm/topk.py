@@ -88,8 +88,8 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, own = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["qids"], np.int64)
             low, width = np.frombuffer(r["low"], np.int64), np.frombuffer(r["width"], np.int64)
             score = _scores(queries, rows)
-            cell = (score - low[:, None]) // width[:, None]
-            inside = (cell >= 0) & (cell < CELLS) & (ids[None, :] != own[:, None])
+            cell = (score - low[:, None]) // np.maximum(width, 1)[:, None]
+            inside = (width > 0)[:, None] & (cell >= 0) & (cell < CELLS) & (ids[None, :] != own[:, None])
             flat = np.bincount((cell + np.arange(r["qn"])[:, None] * CELLS)[inside], minlength=r["qn"] * CELLS)
             where = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(where), r["qblock"])), pa.array(where // CELLS, pa.int32()), pa.array(where % CELLS, pa.int32()), pa.array(flat[where], pa.int64())], ["qblock", "slot", "cell", "rows"])
@@ -161,12 +161,12 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
         above = np.cumsum(grid[:, ::-1], axis=1)[:, ::-1]  # scores in this cell or a higher one
         enough = above >= left[:, None]
         cell = np.where(enough.any(1), CELLS - 1 - enough[:, ::-1].argmax(1), 0)
-        short = ~enough.any(1)  # fewer candidates than k: everything stays
+        settled = (width == 0) | ~enough.any(1)  # its k-th score is known, or it has fewer candidates than k: everything stays
         higher = np.where(cell + 1 < CELLS, above[np.arange(len(low)), np.minimum(cell + 1, CELLS - 1)], 0)
-        low = np.where(short, low, low + cell * width)
-        left = np.where(short, left, left - higher)
-        width = np.where(short | (width == 1), 1, -(-width // CELLS))
-        coarse = int((np.frombuffer(row["width"], np.int64) > 1).sum())
+        low = np.where(settled, low, low + cell * width)
+        left = np.where(settled, left, left - higher)
+        width = np.where(settled | (width == 1), 0, width // CELLS)
+        coarse = int((width > 0).sum())
         return pa.table({"qblock": pa.array([row["qblock"]], pa.int64()), "low": pa.array([low.tobytes()]), "width": pa.array([width.tobytes()]), "left": pa.array([left.tobytes()]), "coarse": pa.array([coarse], pa.int64())})
 
     found = None
@@ -174,7 +174,7 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
         turn = numbers[at : at + TURN]
         state = qblocks.filter(F.col("qblock").isin(turn)).mapInArrow(start, state_schema)
         coarse = 1
-        while coarse:  # until a round whose cells were single scores
+        while coarse:  # a width of 0 marks a settled query
             counts = pairs(state, turn).mapInArrow(_count_rows, "qblock long, slot int, cell int, rows long").groupBy("qblock", "slot", "cell").agg(F.sum("rows").alias("rows"))
             state = common.cut(state.groupBy("qblock").cogroup(counts.groupBy("qblock")).applyInArrow(narrow, state_schema + ", coarse long"), "topk-state")
             coarse = state.agg(F.sum("coarse")).first()[0]
