@@ -35,7 +35,9 @@ SMOOTH = 0.5
 #: A language is a candidate for a script that holds at least this share of its training letters.
 SCRIPT_SHARE = 0.01
 #: Texts are labelled in groups of so many words at most (one text at least).
-GROUP_WORDS = 400_000
+GROUP_WORDS = 200_000
+#: Rows counted at a time.
+SLICE_ROWS = 1000
 UNKNOWN = "und"
 
 #: First code points of script ranges and the script of each; the last holds to the end.
@@ -90,7 +92,7 @@ def _counts(lang_type: pa.DataType):
         cells: dict[str, np.ndarray] = {}
         scripts: dict[str, np.ndarray] = {}
         texts: Counter = Counter()
-        for batch in batches:
+        for batch in (big.slice(at, SLICE_ROWS) for big in batches for at in range(0, big.num_rows, SLICE_ROWS)):
             by_lang: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 by_lang.setdefault(lang, Counter()).update((text.as_py() or "").lower().split())
@@ -193,7 +195,7 @@ def _group(model: Model, texts: list[str | None]) -> tuple[list[str], list[float
     best = share.argmax(1)
     lead = own + model.prior
     lead = np.exp(np.minimum(lead[np.arange(len(rows)), best][:, None] - lead, 50))
-    sure = 1 / np.maximum(1 + (1 / np.maximum(lead, 1e-20)).sum(1) - 1, 1)
+    sure = 1 / np.maximum((1 / np.maximum(lead, 1e-20)).sum(1), 1)
     value = np.where(total > 0, share.max(1) / np.maximum(total, 1) * np.minimum(sure, 1), 0.0)
     names, spans = [], []
     ends = np.cumsum(lengths)
