@@ -195,7 +195,8 @@ def mixed(docs: DataFrame) -> DataFrame:
     kept = docs.join(found, docs["doc_id"].eqNullSafe(found["mix_id"]))
     words = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
     whole = F.expr("forall(mix_pieces, p -> p.times = 1) and mix_taken = mix_size")
-    passes = F.expr("transform(filter(sequence(1, 3), t -> exists(mix_pieces, p -> p.times >= t)), t -> array_join(flatten(transform(filter(mix_pieces, p -> p.times >= t), p -> slice(mix_words, cast(p.start + 1 as int), cast(p.length as int)))), ' '))")
+    # The words stand in an array of their own so that the text is split once and not for each piece.
+    passes = F.expr("transform(array(mix_words), ws -> transform(filter(sequence(1, 3), t -> exists(mix_pieces, p -> p.times >= t)), t -> array_join(flatten(transform(filter(mix_pieces, p -> p.times >= t), p -> slice(ws, cast(p.start + 1 as int), cast(p.length as int)))), ' ')))[0]")
     text = F.when(whole, F.col("text")).otherwise(F.array_join(passes, "\n"))
     out = kept.withColumn("mix_words", words).withColumn("text", text)
     if "n_chars" in docs.columns:
