@@ -196,7 +196,8 @@ def _group(model: Model, texts: list[str | None]) -> tuple[list[str], list[float
     lead = own + model.prior
     lead = np.exp(np.minimum(lead[np.arange(len(rows)), best][:, None] - lead, 50))
     sure = 1 / np.maximum((1 / np.maximum(lead, 1e-20)).sum(1), 1)
-    value = np.where(total > 0, share.max(1) / np.maximum(total, 1) * np.minimum(sure, 1), 0.0)
+    # A text that falls into several languages is less sure, but no less a text in the one that labels most of it.
+    value = np.where(total > 0, share.max(1) / np.maximum(total, 1) * (0.5 + 0.5 * np.minimum(sure, 1)), 0.0)
     names, spans = [], []
     ends = np.cumsum(lengths)
     for i, (b, n) in enumerate(zip(best.tolist(), total.tolist(), strict=True)):
