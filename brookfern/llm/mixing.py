@@ -146,7 +146,7 @@ def takes(docs: DataFrame, seed: int = SEED) -> DataFrame:
     sources.sort(key=lambda s: (s[0] is None, s[0] or ""))
     goal = targets(sources)
     if not sources:
-        return spark.createDataFrame([], "doc_id long, mix_row int, size long, source_size long, target double, taken long, pieces array<struct<start: long, length: long, times: long>>")
+        return spark.createDataFrame([], "doc_id long, mix_row long, size long, source_size long, target double, taken long, pieces array<struct<start: long, length: long, times: long>>")
     names = spark.createDataFrame([(s, i, n, t) for i, ((s, n), t) in enumerate(zip(sources, goal, strict=True))], "source string, sid int, source_size long, target double")
     blocks = np.array([-(-n // BLOCK) for _, n in sources], np.int64)
     # A last block may be part full: expected slots follow its mean length.
@@ -179,20 +179,25 @@ def takes(docs: DataFrame, seed: int = SEED) -> DataFrame:
     )
     low = F.greatest("start", F.col("number") * BLOCK)
     high = F.least(F.col("start") + F.col("size"), (F.col("number") + 1) * BLOCK)
-    pieces = spread.join(drawn, ["sid", "number"]).select("doc_id", "mix_row", "sid", "size", F.struct((low - F.col("start")).alias("start"), (high - low).alias("length"), F.col("times")).alias("piece"), "start")
+    # Sizes behind Python and range() are guessed far too low: without the hints these would be broadcast.
+    pieces = spread.join(drawn.hint("merge"), ["sid", "number"]).select("doc_id", "mix_row", "sid", "size", F.struct((low - F.col("start")).alias("start"), (high - low).alias("length"), F.col("times")).alias("piece"), "start")
     taken = pieces.groupBy("sid", "start", "size").agg(F.sum(F.col("piece.length") * F.col("piece.times")).alias("taken"), F.sort_array(F.collect_list("piece")).alias("pieces"))
-    return named.join(taken, ["sid", "start", "size"], "left").select("doc_id", "mix_row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "pieces")
+    return named.join(taken.hint("merge"), ["sid", "start", "size"], "left").select("doc_id", "mix_row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "pieces")
 
 
 def sized(docs: DataFrame) -> DataFrame:
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    return docs.withColumn("size", words).withColumn("mix_row", F.lit(0))
+    return docs.withColumn("size", words).withColumn("mix_row", F.lit(0).cast("long"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """``docs`` with the words that the mix takes: pieces in place, further passes after a line break; n_chars follows."""
-    found = takes(sized(docs).select("doc_id", "source", "size", "mix_row")).filter("taken > 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_size"), F.col("taken").alias("mix_taken"), F.col("pieces").alias("mix_pieces"))
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["mix_id"]))
+    """``docs`` with the words that the mix takes: pieces in place, further passes after a line break; n_chars follows.
+
+    Equal rows take the same words, those of one of them."""
+    rows = sized(docs.select("doc_id", "source", "text")).withColumn("mix_row", F.xxhash64("doc_id", "source", "text"))
+    found = takes(rows.select("doc_id", "source", "size", "mix_row")).filter("taken > 0").dropDuplicates(["mix_row"])
+    found = found.select(F.col("mix_row").alias("mix_key"), F.col("size").alias("mix_size"), F.col("taken").alias("mix_taken"), F.col("pieces").alias("mix_pieces"))
+    kept = docs.join(found, F.xxhash64(docs["doc_id"], docs["source"], docs["text"]) == found["mix_key"])
     words = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
     whole = F.expr("forall(mix_pieces, p -> p.times = 1) and mix_taken = mix_size")
     # The words stand in an array of their own so that the text is split once and not for each piece.
