@@ -30,7 +30,7 @@ from . import common
 #: Pre-tokenisation pattern of byte-level BPE vocabularies (fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words a worker remembers before it starts afresh.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 120_000
 _NONE = np.int64(1 << 40)
 
 
@@ -47,8 +47,6 @@ class ByteBpe:
     """One vocabulary, ready to encode and decode."""
 
     def __init__(self, raw: bytes):
-        import regex
-
         spec = json.loads(raw)
         vocab: dict[str, int] = spec["model"]["vocab"]
         letters = _byte_letters()
@@ -67,10 +65,22 @@ class ByteBpe:
         self.pair_keys = keys[order]
         self.pair_rank = order.astype(np.int64)
         self.pair_merged = np.array([vocab[a + b] for a, b in pairs], np.int64)[order]
+        self._prepare()
+
+    def _prepare(self) -> None:
+        import regex
+
         self.find_words = regex.compile(PATTERN).findall
         self.split_special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
         self.known: dict[str, tuple[int, ...]] = {}
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("find_words", "split_special", "known")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._prepare()
+
     def merge(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of each non-empty word."""
         out: list[tuple[int, ...]] = [()] * len(words)
@@ -129,22 +139,10 @@ class ByteBpe:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_models: dict[int, ByteBpe] = {}
-
-
-def _model(shipped) -> ByteBpe:
-    raw = shipped.value
-    key = hash(raw)
-    if key not in _models:
-        _models.clear()
-        _models[key] = ByteBpe(raw)
-    return _models[key]
-
-
 def _ship(spark: SparkSession, path: str):
-    """A vocabulary file (a few MB, fixed by its publisher) for all workers."""
+    """A vocabulary (a few MB, fixed by its publisher), parsed once, for all workers."""
     with open(path, "rb") as f:
-        return spark.sparkContext.broadcast(f.read())
+        return spark.sparkContext.broadcast(ByteBpe(f.read()))
 
 
 def _replaced(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
@@ -161,7 +159,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     shipped = _ship(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(shipped)
+        model = shipped.value
         for big in batches:
             for at in range(0, big.num_rows, 1000):
                 batch = big.slice(at, 1000)
@@ -178,7 +176,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     shipped = _ship(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(shipped)
+        model = shipped.value
         for big in batches:
             for at in range(0, big.num_rows, 1000):
                 batch = big.slice(at, 1000)
