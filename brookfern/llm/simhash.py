@@ -71,7 +71,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def links(prints: DataFrame) -> DataFrame:
     """(u, v), u < v: verified links between distinct fingerprints, enough of them to connect every class."""
     low, high = F.col("fp").bitwiseAND(_LOW), F.shiftrightunsigned("fp", 32)
-    segments = prints.select(
+    # A fingerprint becomes 66 rows: small inputs are spread first, or few tasks would make all of them.
+    segments = prints.repartition(common.shuffle_width(prints.sparkSession), F.hash("fp")).select(
         "fp",
         F.explode(F.array(*(F.struct(F.lit(s).alias("seg"), own.alias("own"), other.alias("other")) for s, (own, other) in enumerate(((low, high), (high, low)))))).alias("x"),
     ).select("fp", "x.*")
