@@ -507,8 +507,6 @@ def latency_stability(spark, sf_dir):
 
 # Evaluation
 
-_LABELS = "labelled AS (SELECT doc_id AS item_id, quality, toxic FROM labels)"
-
 
 @query("WITH d AS (SELECT DISTINCT source AS label FROM documents), g AS (SELECT l.doc_id AS item_id, 'src' || (l.doc_id % 23)::VARCHAR AS label FROM labels l WHERE l.doc_id % 9 = 0), c AS (SELECT label, count(*) AS items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS item_ids FROM g GROUP BY label) SELECT label, coalesce(items, 0) AS items, coalesce(item_ids, '') AS item_ids, CASE WHEN coalesce(items, 0) = 0 THEN 'missing' WHEN items < 2 THEN 'undercovered' WHEN items < 3 THEN 'minimum' ELSE 'target' END AS status, greatest(0, 2 - coalesce(items, 0))::BIGINT AS needed FROM d LEFT JOIN c USING (label)")
 def gold_coverage(spark, sf_dir):
