@@ -30,7 +30,7 @@ from . import common
 #: Pre-tokenisation pattern of byte-level BPE vocabularies (fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words a worker remembers before it starts afresh.
-REMEMBERED_WORDS = 120_000
+REMEMBERED_WORDS = 250_000
 _NONE = np.int64(1 << 40)
 
 
