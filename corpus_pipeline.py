@@ -1,4 +1,4 @@
-"""Corpus pipeline: language ID, line dedup, SimHash near-dedup, mixing, BPE encoding.
+"""Corpus pipeline: language ID, line dedup, near-dedup, mixing, BPE encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 read again as the next stage's documents.  All stages but the last keep the columns of
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brookfern.llm import bpe, common, language, lines, mixing, simhash
+from brookfern.llm import bpe, common, language, lines, mixing, near
 
 #: A text is rejected if it has no letters or if its language is less sure than this.
 LEAST_SCORE = 0.2
@@ -31,9 +31,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each SimHash class."""
+    """Keep one document of each class of near copies (shingles of five words, similarity 0.8 or more)."""
     common.share_package(spark)
-    return simhash.deduplicated(docs).select(*docs.columns)
+    return near.deduplicated(docs).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
