@@ -135,7 +135,7 @@ def answer_similarity(spark, sf_dir):
 
 @query()
 def clean_answers(spark, sf_dir):
-    docs = fx.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring("text", 1, 200), F.lit(" [1, 2] [9] done [3]")).alias("answer"))
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("text"), F.lit(" [1, 2] [9] done [3]")).alias("answer"))
     return docs.select("doc_id", text.clean_citations(F.col("answer"), F.lit(3)).alias("answer"))
 
 
