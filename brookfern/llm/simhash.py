@@ -115,12 +115,6 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each class, that of the least doc_id; of repeated rows of it, one.  Rows without doc_id stay."""
-    kept = classes(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
-
-
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classes(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -45,11 +45,20 @@ def texts():
     return rows
 
 
-@pytest.mark.parametrize("hot", [1, 3, 32])
-def test_classes_equal_brute_force(docs, monkeypatch, hot):
+@pytest.mark.parametrize("hot, tile", [(1, 3), (4, 2048), (32, 2048)])
+def test_classes_equal_brute_force(docs, monkeypatch, hot, tile):
     monkeypatch.setattr(near, "HOT", hot)
+    monkeypatch.setattr(near, "TILE", tile)
     rows = texts()
-    assert {r.doc_id: r.component_id for r in near.classes(docs(rows)).collect()} == brute(rows)
+    assert {r.doc_id: r.component_id for r in near.classes(docs(rows), block_bytes=3000).collect()} == brute(rows)
+
+
+def test_edges(docs):
+    same, other = "same text of some words", "wholly other words than those"
+    rows = [(5, same), (3, same), (3, same), (3, other), (4, other), (9, None), (8, ""), (None, same), (None, same)]
+    kept = sorted((r.doc_id is None, r.doc_id or 0, r.text or "", r.score) for r in near.deduplicated(docs(rows)).collect())
+    assert kept == [(False, 3, same, "kept"), (False, 3, other, "kept"), (False, 8, "", "kept"), (True, 0, same, "kept"), (True, 0, same, "kept")]
+    assert near.deduplicated(docs([])).count() == 0 and near.deduplicated(docs([(None, same)])).count() == 1
 
 
 def test_stage_drops_near_copies(docs, spark):
