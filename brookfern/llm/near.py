@@ -14,8 +14,8 @@ pairs within two bits, and prefix filtering gives the rest, without loss:
 3. Nodes of one key are pairs if sizes and parity bitmaps allow a similarity of 0.8 (the bits in which two
    bitmaps differ are at most the hashes that only one set has).  A key of more than ``HOT`` nodes is not
    paired: its nodes are compared with one of them, its centre.
-4. One pair for each node is verified first.  Then those between texts that are still apart are: other pairs,
-   and the pairs of hot keys, which are compared in tiles of ``TILE`` nodes by their bitmaps.
+4. These pairs are verified.  Nodes of a hot key that are still in several classes are then compared by their
+   bitmaps, in tiles of ``TILE`` nodes, and possible pairs of two classes are verified, too.
 
 Only shared hashes are needed to verify: others are in one set only.  No pair that could add a link between
 classes is left out.
@@ -239,12 +239,6 @@ def _verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     return common.cut(pairs.join(v, "v").join(u, "u").filter("9 * size(array_intersect(hu, hv)) >= 4 * (a + b)").select("u", "v"), "near-links")
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (u, v) of two classes."""
-    u, v = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root{x}")) for x in "uv")
-    return pairs.join(u, "u", "left").join(v, "v", "left").filter("coalesce(rootu, u) <> coalesce(rootv, v)").select("u", "v")
-
-
 def links(prints: DataFrame) -> DataFrame:
     """(u, v): verified links between nodes, enough of them to connect every class."""
     nodes = common.cut(prints.filter("n is not null").select("node", "n", "fp", *_BITS, "keys").dropDuplicates(["node"]), "near-nodes")
@@ -262,10 +256,7 @@ def links(prints: DataFrame) -> DataFrame:
     near = near.join(prints_of.select(F.col("fp").alias("fu"), "u"), "fu").join(prints_of.select(F.col("fp").alias("fv"), F.col("u").alias("v")), "fv").select("u", "v")
     every = paired.unionAll(fans).unionAll(same).unionAll(near)
     pairs = common.cut(every.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near-pairs")
-    # First one pair for each node, then what may still join two classes.
-    both = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    first = both.groupBy("u").agg(F.min("v").alias("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    first = _verified(first, prints)
+    first = _verified(pairs, prints)
     roots = components(first)
     rooted = hot.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = rooted.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), (F.min("root") < F.max("root")).alias("several")).filter("several").drop("several")
@@ -273,7 +264,7 @@ def links(prints: DataFrame) -> DataFrame:
     tiled = numbered.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"low": F.least("own", "tile"), "high": F.greatest("own", "tile")}).drop("tile").withColumnRenamed("own", "tile")
     u, v = _ends(tiled.select("key", "low", "high", "node", "n", *_BITS, "root", "tile"), "key", "low", "high")
     left = u.join(v, ["key", "low", "high"]).filter(f"u < v and rootu <> rootv and (tileu <> tilev or low = high) and {_POSSIBLE}").select("u", "v")
-    rest = common.cut(_apart(pairs, roots).unionAll(left).distinct(), "near-rest")
+    rest = common.cut(left.distinct(), "near-rest")
     return first.unionAll(_verified(rest, prints))
 
 
