@@ -115,12 +115,15 @@ def _counts(lang_type: pa.DataType):
 
 
 class Model:
-    def __init__(self, rows: list[tuple[str, int, int]]):
-        self.langs = sorted({lang for lang, _, _ in rows})
-        number = {lang: i for i, lang in enumerate(self.langs)}
+    def __init__(self, counted: pa.Table):
+        """counted: lang, cell, times."""
+        lang = counted.column("lang").combine_chunks().dictionary_encode()
+        names = lang.dictionary.to_pylist()
+        self.langs = sorted(names)
+        place = np.array([self.langs.index(x) for x in names], np.int64)
         grid = np.zeros((len(self.langs), BUCKETS + len(SCRIPTS) + 1))
-        for lang, cell, times in rows:
-            grid[number[lang], cell] = times
+        if len(lang):
+            grid[place[lang.indices.to_numpy()], counted.column("cell").to_numpy()] = counted.column("times").to_numpy()
         cells, scripts, texts = grid[:, :BUCKETS] + SMOOTH, grid[:, BUCKETS:-1], grid[:, -1]
         self.score = np.ascontiguousarray(np.log(cells / cells.sum(1, keepdims=True)).T.astype(np.float32))
         share = scripts / np.maximum(scripts.sum(1, keepdims=True), 1)
@@ -147,22 +150,23 @@ class Model:
         order = np.argsort(-lengths, kind="stable")  # texts still running are a prefix
         begin = starts[order]
         alive = np.searchsorted(-lengths[order], -np.arange(int(lengths.max(initial=0))), "left")
-        came = np.zeros(scores.shape, np.uint8)
+        kind = np.uint8 if langs <= 256 else np.int32
+        came = np.zeros(scores.shape, kind)
         best = np.zeros((len(lengths), langs))
         best[: alive[0] if len(alive) else 0] = scores[begin[: alive[0]]] + self.prior if len(alive) else 0
-        here = np.arange(langs, dtype=np.uint8)[None, :]
+        here = np.arange(langs, dtype=kind)[None, :]
         for t in range(1, len(alive)):
             n = alive[t]
             now = best[:n]
             top = now.argmax(1)
             leap = now[np.arange(n), top][:, None] - SWITCH
             stay = now >= leap
-            came[begin[:n] + t] = np.where(stay, here, top[:, None].astype(np.uint8))
+            came[begin[:n] + t] = np.where(stay, here, top[:, None].astype(kind))
             best[:n] = np.where(stay, now, leap) + scores[begin[:n] + t]
-        out = np.zeros(len(scores), np.uint8)
+        out = np.zeros(len(scores), kind)
         if not len(alive):
             return out
-        state = best.argmax(1).astype(np.uint8)
+        state = best.argmax(1).astype(kind)
         for t in range(len(alive) - 1, -1, -1):
             n = alive[t]
             at = begin[:n] + t
@@ -175,7 +179,7 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
     """Learn from every row of ``docs`` with a language; what is gathered has a fixed size per language."""
     rows = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     counted = rows.mapInArrow(_counts(pa.string()), "lang string, cell int, times long").groupBy("lang", "cell").agg(F.sum("times").alias("times"))
-    return Model([tuple(r) for r in counted.collect()])
+    return Model(counted.toArrow())  # BUCKETS cells and a few more for each language, as columns
 
 
 def _group(model: Model, texts: list[str | None]) -> tuple[list[str], list[float], list[list[dict]]]:
