@@ -9,7 +9,8 @@ document with the least doc_id and goes from all others.
 Defined results: null text stays null, with no lines; blank lines are no lines and always stay; lines are
 compared without white space at their ends; a null source is a site of its own; a line that only
 rows without doc_id hold stays; rows of one doc_id are one document; repeated rows are cut alike; an
-empty table gives an empty result; very long texts and lines are read whole; other columns pass through.
+empty table gives an empty result; very long texts and lines are read whole; other columns, whatever their names,
+pass through, but for n_lines and n_removed where they are added.
 """
 
 from __future__ import annotations
@@ -50,24 +51,24 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return clear.unionByName(near.join(exact, ["h1", "h2"]).select("h1", "h2", "keeper"))
 
 
-def cleaned(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """``docs`` without boilerplate lines; adds n_lines and n_removed; n_chars follows if it is there."""
+def cleaned(docs: DataFrame, min_sites: int = MIN_SITES, counts: bool = True) -> DataFrame:
+    """``docs`` without boilerplate lines; n_chars follows if it is there.  counts: add (or replace) n_lines and n_removed."""
     repeated = _lines(docs).join(boilerplate(docs, min_sites), ["h1", "h2"]).filter("keeper is not null and not (doc_id <=> keeper)")
-    dropped = repeated.groupBy(F.col("row_key").alias("cut_key"), F.col("doc_id").alias("cut_id")).agg(F.collect_set("at").alias("cut_at"))
-    keyed = docs.withColumn("cut_row", _row_key())
-    joined = keyed.join(dropped, (keyed["cut_row"] == dropped["cut_key"]) & keyed["doc_id"].eqNullSafe(dropped["cut_id"]), "left")
+    row, cut, key, own = (common.free(name, docs) for name in ("cut_row", "cut_at", "cut_key", "cut_id"))
+    dropped = repeated.groupBy(F.col("row_key").alias(key), F.col("doc_id").alias(own)).agg(F.collect_set("at").alias(cut))
+    keyed = docs.withColumn(row, _row_key())
+    joined = keyed.join(dropped, (keyed[row] == dropped[key]) & keyed["doc_id"].eqNullSafe(dropped[own]), "left")
     pieces = F.split("text", "\n")
-    kept = F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains("cut_at", i)), "\n")
-    out = joined.select(
-        *(F.col(c) for c in docs.columns if c not in ("text", "n_chars")),
-        F.when(F.col("cut_at").isNull(), F.col("text")).otherwise(kept).alias("text"),
-        F.coalesce(F.size(F.filter(pieces, lambda x: F.btrim(x, F.lit(_BLANKS)) != "")), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col("cut_at").isNull(), 0).otherwise(F.size("cut_at")).cast("long").alias("n_removed"),
-        *([F.col("n_chars").alias("_n_chars")] if "n_chars" in docs.columns else []),
-    )
+    kept = F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains(cut, i)), "\n")
+    text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(kept)
+    added = {
+        "n_lines": F.coalesce(F.size(F.filter(pieces, lambda x: F.btrim(x, F.lit(_BLANKS)) != "")), F.lit(0)).cast("long"),
+        "n_removed": F.when(F.col(cut).isNull(), 0).otherwise(F.size(cut)).cast("long"),
+    }
+    out = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": text} | (added if counts else {})
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("_n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns, "n_lines", "n_removed")
+        out["n_chars"] = F.when(F.col(cut).isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*(c.alias(name) for name, c in out.items()))
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
