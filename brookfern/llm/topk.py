@@ -7,8 +7,10 @@ the cell that the k-th falls in, until the range is one value.  Then each block
 reaches it, orders ties by the smaller id and keeps k rows of each query, and a last
 ranking keeps k of those.
 
-Blocks are rows (packed arrays), so nothing is paired row by row.  Candidate blocks are
-repeated once for each query block and equality-joined on its number; neither side is broadcast.
+Blocks are rows (packed arrays), so nothing is paired row by row.  The pairs of blocks form a grid: query
+blocks are dealt into groups and candidate blocks by salts, a candidate block is sent once to each group and a query
+block once to each salt, and both are equality-joined on (group, salt).  The grid has a few cells for each
+shuffle partition, of a shape that moves the fewest bytes; neither side is broadcast.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part; a
 shorter vector counts as padded with zeros; a component becomes floor(256 * x); rows that share an id are
@@ -32,8 +34,8 @@ SCALE = 256
 CELLS = 1024
 CANDIDATE_BLOCK = 8192
 QUERY_BLOCK = 256
-#: Query blocks searched at a time; more are searched in further turns.
-TURN = 4096
+#: Cells of the grid for each shuffle partition.
+CELLS_A_PARTITION = 4
 _PACKED = "block long, n int, dims int, ids binary, vectors binary"
 
 
@@ -141,16 +143,16 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["qblock", "low", "width", "left"])
 
     state_schema = "qblock long, low binary, width binary, left binary"
-    numbers = sorted(r[0] for r in qblocks.select("qblock").collect())  # one for 256 queries
-    if not numbers:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    salts = max(common.shuffle_width(spark), 2)
+    n_queries, n_rows = qblocks.count(), candidates.count()
+    cells = CELLS_A_PARTITION * common.shuffle_width(spark)
+    groups = max(1, min(n_queries, round((cells * n_queries * QUERY_BLOCK / max(1, n_rows * CANDIDATE_BLOCK)) ** 0.5)))
+    salts = max(1, min(n_rows, cells // groups))
 
-    def pairs(state: DataFrame, turn: list[int]) -> DataFrame:
-        """Each candidate block with each query block of the turn and its ranges, spread over all tasks by a salt."""
-        known = qblocks.join(state, "qblock").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        salted = candidates.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
-        return salted.withColumn("qblock", F.explode(F.array(*map(F.lit, turn)))).join(known, ["qblock", "salt"]).drop("salt")
+    def pairs(state: DataFrame) -> DataFrame:
+        """Each candidate block with each query block and its ranges."""
+        known = qblocks.join(state, "qblock").withColumns({"group": F.pmod(F.xxhash64("qblock"), F.lit(groups)), "salt": F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))})
+        dealt = candidates.withColumns({"salt": F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"), "group": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))})
+        return dealt.hint("merge").join(known, ["group", "salt"]).drop("group", "salt")
 
     def narrow(key: tuple[pa.Scalar, ...], table: pa.Table, counts: pa.Table) -> pa.Table:
         row = table.to_pylist()[0]
@@ -169,20 +171,16 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
         coarse = int((width > 0).sum())
         return pa.table({"qblock": pa.array([row["qblock"]], pa.int64()), "low": pa.array([low.tobytes()]), "width": pa.array([width.tobytes()]), "left": pa.array([left.tobytes()]), "coarse": pa.array([coarse], pa.int64())})
 
-    found = None
-    for at in range(0, len(numbers), TURN):
-        turn = numbers[at : at + TURN]
-        state = qblocks.filter(F.col("qblock").isin(turn)).mapInArrow(start, state_schema)
-        coarse = 1
-        while coarse:  # a width of 0 marks a settled query
-            counts = pairs(state, turn).mapInArrow(_count_rows, "qblock long, slot int, cell int, rows long").groupBy("qblock", "slot", "cell").agg(F.sum("rows").alias("rows"))
-            state = common.cut(state.groupBy("qblock").cogroup(counts.groupBy("qblock")).applyInArrow(narrow, state_schema + ", coarse long"), "topk-state")
-            coarse = state.agg(F.sum("coarse")).first()[0]
-            state = state.select("qblock", "low", "width", "left")
-        best = pairs(state, turn).mapInArrow(_filter_rows(k), "query_id long, vec_id long, score long")
-        found = best if found is None else found.unionAll(best)
+    state = qblocks.mapInArrow(start, state_schema)
+    coarse = n_queries
+    while coarse:  # a width of 0 marks a settled query
+        counts = pairs(state).mapInArrow(_count_rows, "qblock long, slot int, cell int, rows long").groupBy("qblock", "slot", "cell").agg(F.sum("rows").alias("rows"))
+        state = common.cut(state.groupBy("qblock").cogroup(counts.groupBy("qblock")).applyInArrow(narrow, state_schema + ", coarse long"), "topk-state")
+        coarse = state.agg(F.sum("coarse")).first()[0]
+        state = state.select("qblock", "low", "width", "left")
+    best = pairs(state).mapInArrow(_filter_rows(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
