@@ -1,22 +1,23 @@
 """Mixing sources to target weights from fixed-length blocks of tokens.
 
 The words of a source are one stream: its documents in a fixed pseudorandom order, cut into
-blocks of ``BLOCK`` words.  Output shards draw their source counts: each shard's expected
-counts are rounded down and the slots left over are drawn multinomially, from a seed
-and the shard's number.  The slots of a source, counted over all shards, go
+blocks of ``BLOCK`` words.  Output shards draw their source counts: the slots of a source (its target in
+blocks, rounded) fall on the shards multinomially, drawn from a seed by halving: of the slots in a range of
+shards, a binomial draw goes to its first half.  So a shard's counts vary like a multinomial sample, the totals
+stay at the targets, and a task draws the counts of its own shard without those of the
+others.  The slots of a source, counted over all shards, go
 through pseudorandom permutations of its block numbers (a Feistel network with cycle
 walking), one permutation for each pass over the source.  Joining slots and blocks by
 source and number says how often each block, and so each word, is taken.
 
 Targets: sources in code-point order, null last, weigh 1, 2, 3, repeating; they share the
 size of all sources; a target stops at three times its source's size and the excess is
-shared again by weight.  Slots beyond three passes over a source are redirected
-to sources that have room, so no document is taken more than three times.
+shared again by weight.  No source has more slots than three passes, so no document is taken more than three times.
 
 Defined results: null text has size 0 and is never taken; a null source is one source, the
 last; repeated rows each have their own words, and a repeated doc_id counts by row; an empty table
 gives an empty result; very long documents span many blocks; reruns agree, whatever the
-partitioning.  One row per source is gathered on the driver, nothing else.
+partitioning.  One row per source is gathered on the driver and shipped to the tasks, nothing else.
 """
 
 from __future__ import annotations
@@ -32,8 +33,6 @@ from . import common
 
 BLOCK = 64
 SHARD_SLOTS = 8192
-#: Shards grow beyond SHARD_SLOTS rather than exceed this number.
-MOST_SHARDS = 4096
 LIMIT = 3
 SEED = 20_240_101
 CHUNK_ROWS = 5000
@@ -60,38 +59,34 @@ def targets(sizes: list[tuple[str | None, int]], limit: float = LIMIT) -> list[f
     return out
 
 
-def shard_counts(wanted: np.ndarray, room: np.ndarray, seed: int = SEED) -> np.ndarray:
-    """Slots of each source (columns) in each output shard (rows); no source gets more than its room."""
-    slots = int(np.floor(wanted.sum() + 0.5))
-    if slots <= 0:
-        return np.zeros((0, len(wanted)), np.int64)
-    p = wanted / wanted.sum()
-    per_shard = max(SHARD_SLOTS, -(-slots // MOST_SHARDS))
-    shards = -(-slots // per_shard)
-    out, given = np.zeros((shards, len(p)), np.int64), np.zeros(len(p), np.int64)
-    for s in range(shards):
-        n = min(per_shard, slots - s * per_shard)
-        # What the stream of slots should hold after this shard, less what it has; never negative.
-        due = np.maximum(p * (s * per_shard + n) - given, 0.0)
-        take = np.floor(due * min(1.0, n / max(due.sum(), 1e-9))).astype(np.int64)
-        take = np.minimum(take, room - given)
-        left = n - int(take.sum())
-        draw = np.random.Generator(np.random.PCG64([seed, s]))
-        while left > 0:
-            free = room - given - take
-            chance = np.where(free > 0, np.maximum(due - take, 0.0), 0.0)
-            if chance.sum() <= 0:
-                chance = np.where(free > 0, p, 0.0)
-            if chance.sum() <= 0:
-                break
-            more = np.minimum(draw.multinomial(left, chance / chance.sum()), free)
-            take += more
-            left = n - int(take.sum())
-        out[s] = take
-        given += take
+def slot_counts(wanted: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Slots of each source: whole numbers near ``wanted`` with its sum (by largest remainder) as far as there is room."""
+    out = np.minimum(np.floor(wanted).astype(np.int64), room)
+    left = int(np.floor(wanted.sum() + 0.5)) - int(out.sum())
+    for i in np.argsort(-(wanted - out), kind="stable"):
+        if left <= 0:
+            break
+        more = min(int(room[i] - out[i]), max(1, int(wanted[i] - out[i])), left)
+        out[i] += more
+        left -= more
     return out
 
 
+def shard_counts(slots: np.ndarray, shards: int, shard: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of each source in one output shard, and in the shards before it."""
+    low, high = 0, shards
+    own, before = slots.copy(), np.zeros_like(slots)
+    while high - low > 1:
+        middle = (low + high) // 2
+        draw = np.random.Generator(np.random.PCG64([seed, low, high]))
+        first = draw.binomial(own, (middle - low) / (high - low))
+        if shard < middle:
+            own, high = first, middle
+        else:
+            own, before, low = own - first, before + first, middle
+    return own, before
+
+
 def _mix64(z: np.ndarray) -> np.ndarray:
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -151,23 +146,20 @@ def takes(docs: DataFrame, seed: int = SEED) -> DataFrame:
     blocks = np.array([-(-n // BLOCK) for _, n in sources], np.int64)
     # A last block may be part full: expected slots follow its mean length.
     mean = np.array([n / b if b else 1.0 for (_, n), b in zip(sources, blocks.tolist(), strict=True)])
-    counts = shard_counts(np.array(goal) / np.maximum(mean, 1e-9) * (blocks > 0), LIMIT * blocks, seed)
-    shards = len(counts)
-    edges = np.cumsum(counts, axis=1)
-    before = np.cumsum(counts, axis=0) - counts
+    slots = slot_counts(np.array(goal) / np.maximum(mean, 1e-9) * (blocks > 0), LIMIT * blocks)
+    shards = -(-int(slots.sum()) // SHARD_SLOTS)
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def drawn_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in batch.column(0).to_pylist():
-                for at in range(0, int(edges[s, -1]), 1 << 16):
-                    slot = np.arange(at, min(at + (1 << 16), int(edges[s, -1])))
-                    sid = np.searchsorted(edges[s], slot, "right")
-                    j = before[s, sid] + slot - (edges[s, sid] - counts[s, sid])
-                    size = blocks[sid]
-                    number = permuted(j % size, size, (j // size) * 1_000_003 + sid * 7919 + seed)
-                    yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int32()), pa.array(number, pa.int64())], ["sid", "number"])
-
-    drawn = spark.range(shards, numPartitions=max(1, min(shards, common.shuffle_width(spark)))).mapInArrow(slots, "sid int, number long").groupBy("sid", "number").agg(F.count("*").alias("times"))
+                counts, before = shard_counts(slots, shards, s, seed)
+                sid = np.repeat(np.arange(len(counts)), counts)
+                j = before[sid] + np.arange(len(sid)) - np.repeat(np.cumsum(counts) - counts, counts)
+                size = blocks[sid]
+                number = permuted(j % size, size, (j // size) * 1_000_003 + sid * 7919 + seed)
+                yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int32()), pa.array(number, pa.int64())], ["sid", "number"])
+
+    drawn = spark.range(shards, numPartitions=max(1, min(shards, 4 * common.shuffle_width(spark)))).mapInArrow(drawn_slots, "sid int, number long").groupBy("sid", "number").agg(F.count("*").alias("times"))
     named = placed.join(names, placed["source"].eqNullSafe(names["source"])).drop("source")
     spread = named.filter("size > 0").select(
         "doc_id",
@@ -193,20 +185,26 @@ def sized(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """``docs`` with the words that the mix takes: pieces in place, further passes after a line break; n_chars follows.
 
-    Equal rows take the same words, those of one of them."""
-    rows = sized(docs.select("doc_id", "source", "text")).withColumn("mix_row", F.xxhash64("doc_id", "source", "text"))
-    found = takes(rows.select("doc_id", "source", "size", "mix_row")).filter("taken > 0").dropDuplicates(["mix_row"])
-    found = found.select(F.col("mix_row").alias("mix_key"), F.col("size").alias("mix_size"), F.col("taken").alias("mix_taken"), F.col("pieces").alias("mix_pieces"))
-    kept = docs.join(found, F.xxhash64(docs["doc_id"], docs["source"], docs["text"]) == found["mix_key"])
+    Equal rows are numbered, and each has its own words.  Other columns, whatever their names, pass through."""
+    key, number, size, times, pieces_of, words_of = (common.free(c, docs) for c in ("mix_key", "mix_number", "mix_size", "mix_taken", "mix_pieces", "mix_words"))
+    row = F.xxhash64("doc_id", F.col("source").cast("string"), F.col("text").cast("string"))
+    # Which of several equal rows has which number does not matter.
+    keyed = docs.withColumn(key, row)
+    keyed = keyed.withColumn(number, F.row_number().over(Window.partitionBy(key).orderBy(key)))
+    rows = sized(keyed.select("doc_id", "source", "text", key, number)).withColumn("mix_row", F.xxhash64(key, number))
+    found = takes(rows.select("doc_id", "source", "size", "mix_row")).filter("taken > 0")
+    mark = common.free("mix_mark", docs)
+    found = found.select(F.col("mix_row").alias(mark), F.col("size").alias(size), F.col("taken").alias(times), F.col("pieces").alias(pieces_of))
+    kept = keyed.withColumn(key, F.xxhash64(key, number)).join(found, F.col(key) == F.col(mark))
     words = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
-    whole = F.expr("forall(mix_pieces, p -> p.times = 1) and mix_taken = mix_size")
+    whole = F.expr(f"forall({pieces_of}, p -> p.times = 1) and {times} = {size}")
     # The words stand in an array of their own so that the text is split once and not for each piece.
-    passes = F.expr("transform(array(mix_words), ws -> transform(filter(sequence(1, 3), t -> exists(mix_pieces, p -> p.times >= t)), t -> array_join(flatten(transform(filter(mix_pieces, p -> p.times >= t), p -> slice(ws, cast(p.start + 1 as int), cast(p.length as int)))), ' ')))[0]")
+    passes = F.expr(f"transform(array({words_of}), ws -> transform(filter(sequence(1, 3), t -> exists({pieces_of}, p -> p.times >= t)), t -> array_join(flatten(transform(filter({pieces_of}, p -> p.times >= t), p -> slice(ws, cast(p.start + 1 as int), cast(p.length as int)))), ' ')))[0]")
     text = F.when(whole, F.col("text")).otherwise(F.array_join(passes, "\n"))
-    out = kept.withColumn("mix_words", words).withColumn("text", text)
+    out = kept.withColumn(words_of, words).withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
