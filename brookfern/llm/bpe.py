@@ -31,6 +31,8 @@ from . import common
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words a worker remembers before it starts afresh.
 REMEMBERED_WORDS = 250_000
+#: Longer words are merged each time, so that the store is bounded in bytes, too.
+REMEMBERED_LETTERS = 40
 _NONE = np.int64(1 << 40)
 
 
@@ -43,11 +45,31 @@ def _byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def _require_byte_level(spec: dict) -> None:
+    """Raise if the file asks for steps that are not done here, as ids would then be wrong without a sign of it."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    asked = {
+        "a model other than BPE": model.get("type", "BPE") != "BPE",
+        "ignore_merges": model.get("ignore_merges"),
+        "dropout": model.get("dropout"),
+        "byte_fallback": model.get("byte_fallback"),
+        "a subword prefix or suffix": model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"),
+        "a normalizer": spec.get("normalizer"),
+        "a pre-tokenizer other than ByteLevel": before.get("type") != "ByteLevel",
+        "add_prefix_space": before.get("add_prefix_space"),
+        "no regular expression": before.get("use_regex", True) is False,
+        "added tokens that strip or stand alone": any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec["added_tokens"]),
+    }
+    if wrong := [what for what, is_so in asked.items() if is_so]:
+        raise ValueError(f"this vocabulary asks for {', '.join(wrong)}")
+
+
 class ByteBpe:
     """One vocabulary, ready to encode and decode."""
 
     def __init__(self, raw: bytes):
         spec = json.loads(raw)
+        _require_byte_level(spec)
         vocab: dict[str, int] = spec["model"]["vocab"]
         letters = _byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}
@@ -133,6 +155,9 @@ class ByteBpe:
             if new:
                 known.update(zip(new, self.merge([w.encode() for w in new]), strict=True))
             out += [np.fromiter(chain.from_iterable(map(known.__getitem__, ws)), np.int32) for ws in split]
+            for w in new:
+                if len(w) > REMEMBERED_LETTERS:
+                    del known[w]
         return out
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
