@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,6 +30,21 @@ def test_bpe_equals_library_and_round_trips(docs):
     assert bpe.digests(docs([]), path).count() == 0
 
 
+def test_bpe_refuses_other_vocabularies():
+    import json
+
+    spec = json.loads(open(bpe.default_vocabulary(), "rb").read())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": spec["model"] | {"ignore_merges": True}}):
+        with pytest.raises(ValueError, match="vocabulary asks for"):
+            bpe.ByteBpe(json.dumps(spec | change).encode())
+
+
+def test_bpe_store_keeps_short_words_only():
+    model = bpe.ByteBpe(open(bpe.default_vocabulary(), "rb").read())
+    first = model.encode_batch(["short " + "y" * 500])[0].tolist()
+    assert model.encode_batch(["short " + "y" * 500])[0].tolist() == first and max(map(len, model.known)) <= bpe.REMEMBERED_LETTERS
+
+
 def test_imatch_equal_texts_and_edits(docs, spark):
     rows = [(i, " ".join(f"w{(i * 7 + j) % 40}" for j in range(30))) for i in range(20)] + [(20, None), (21, ""), (22, "w1 w2"), (23, " ".join(f"w{(7 + j) % 40}" for j in range(30)))]
     df = docs(rows).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -69,7 +85,7 @@ def test_language_spans_and_edges(docs, spark):
 def test_language_viterbi_is_optimal():
     import itertools
 
-    model = language.Model([("a", 0, 1), ("b", 1, 1), ("c", 2, 1)])
+    model = language.Model(pa.table({"lang": ["a", "b", "c"], "cell": [0, 1, 2], "times": [1, 1, 1]}))
     rng = np.random.default_rng(1)
     for lengths in ([5], [0, 3, 1, 4], [2, 2]):
         scores = rng.normal(0, 10, (sum(lengths), 3))
@@ -86,6 +102,16 @@ def test_language_viterbi_is_optimal():
             at += n
 
 
+def test_language_of_many():
+    names = [f"l{i:03d}" for i in range(300)]
+    # Language i has a trigram of its own; the word with it must be labelled i.
+    words = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    cells = [language.Words([w]) for w in words]
+    rows = [(n, int(c), 50) for n, w in zip(names, cells, strict=True) for c in w.cells] + [(n, language.BUCKETS + 1, 100) for n in names]
+    model = language.Model(pa.table({"lang": [r[0] for r in rows], "cell": pa.array([r[1] for r in rows], pa.int32()), "times": [r[2] for r in rows]}))
+    assert language._group(model, [" ".join([words[290]] * 30), " ".join([words[3]] * 30)])[0] == [names[290], names[3]]
+
+
 def test_html_blocks():
     page = "<html><head><title>t</title><script>var x='</p>'</script></head><body><nav><a href=a>Menu</a></nav><article><h1>Head &amp; line</h1><p>First  para<b>graph</b>, long enough.<br>Same block<p>Second one.</article><div class='comments'><p>Nice article, I liked it very much indeed.</p></div><footer>&copy; me</footer>"
     assert html.main_text(page) == "Head & line\n\nFirst paragraph, long enough. Same block\n\nSecond one."
@@ -178,6 +204,10 @@ def test_lines(docs):
     assert got[5].text == "own line 5\nmiddle 1\n\n" and got[5].n_lines == 3 and got[5].n_chars == len(got[5].text)
     assert got[52].text == "" and got[52].n_removed == 2 and got[50].text is None and got[51].text == "" and got[None].text == ""
     assert lines.cleaned(docs([])).count() == 0
+    clash = docs([(i, f"shared line\nown {i}") for i in range(12)], lambda d: f"s{d}").withColumns({"n_lines": F.lit("mine"), "cut_at": F.lit(1), "cut_row": F.lit(2), "at": F.lit(3)})
+    kept = lines.cleaned(clash, counts=False).collect()
+    assert all((r.n_lines, r.cut_at, r.cut_row, r["at"]) == ("mine", 1, 2, 3) for r in kept) and sum(r.text == f"own {r.doc_id}" for r in kept) == 11
+    assert {r.n_lines for r in lines.cleaned(clash).collect()} == {2}
 
 
 def test_topk(spark):
@@ -257,9 +287,25 @@ def test_mixing(docs, spark):
     for r in got:
         if r.taken and r.doc_id not in (502,):
             assert len(out[r.doc_id].text.split()) == r.taken and out[r.doc_id].score == "kept"
+    twins = docs([(1, "a b c"), *((7, "the same words " * 200) for _ in range(4))], "only").withColumns({"mix_words": F.lit(1), "mix_key": F.lit(2)})
+    kept = mixing.mixed(twins).collect()
+    assert all((r.mix_words, r.mix_key) == (1, 2) for r in kept) and sum(len(r.text.split()) for r in kept) >= 0.9 * 2403
     assert mixing.takes(mixing.sized(docs([]))).count() == 0
 
 
+def test_mixing_shards():
+    slots = np.array([0, 5, 1000, 70_000])
+    for shards in (1, 2, 7, 9):
+        before = np.zeros(4, np.int64)
+        for s in range(shards):
+            own, at = mixing.shard_counts(slots, shards, s)
+            assert (at == before).all()
+            before += own
+        assert (before == slots).all()
+    assert abs(own[3] - 70_000 / 9) < 6 * (70_000 / 9) ** 0.5
+    assert mixing.slot_counts(np.array([2.5, 0.4, 9.1]), np.array([3, 3, 8])).tolist() == [3, 1, 8]
+
+
 def test_mixing_permutation():
     for size in (1, 2, 5, 64, 1000):
         got = mixing.permuted(np.arange(size), np.full(size, size), np.full(size, 9))
