@@ -118,6 +118,59 @@ def test_html_blocks():
     assert html.main_text(None) == html.main_text("") == html.main_text("<p") == ""
 
 
+PAGES = {
+    "<p>Hello there, world.</p><svg viewBox='0'/><p>Second paragraph here, it is.</p>": "Hello there, world.\n\nSecond paragraph here, it is.",
+    "<article><p>First one is here, ok.</p><button>Share<p>Second paragraph here.</p><p>Third one.</p></article>": "First one is here, ok.\n\nSecond paragraph here.\n\nThird one.",
+    "<article><p>First one is here, ok.</p><select><option>a<option>b<p>Second paragraph here.</p></article>": "First one is here, ok.\n\nSecond paragraph here.",
+    "<article><p>First one is here, ok.</p><iframe src=x><p>Second paragraph here.</p></article>": "First one is here, ok.\n\nSecond paragraph here.",
+    "<article><button>Menu</button><p>Text, of <button type=b><div>x</div></button>course.</p></article>": "Text, of course.",
+    "<p class='social-history'>The social history of the town began long ago, with many people.</p>": "The social history of the town began long ago, with many people.",
+    "<section class='notice-of-death'><p>The notice was sent to all of the family members.</p></section>": "The notice was sent to all of the family members.",
+    "<article id='widget-theory'><p>Widgets are made in theory.</p><p>Short.</p></article>": "Widgets are made in theory.\n\nShort.",
+    "<article><p>Real text here, fine. <span class='advert'>Buy <span>x</span> now cheap!</span> More text follows it.</p></article>": "Real text here, fine. More text follows it.",
+    "<article><p>Some words <span class='social-note'>and these</span> in a sentence, which goes on.</p></article>": "Some words and these in a sentence, which goes on.",
+    "<div data-u=/x/>Some text in a div, long enough to be kept.</div>": "Some text in a div, long enough to be kept.",
+    "<p>\u0130\u0130\u0130\u0130\u0130\u0130\u0130\u0130\u0130\u0130</p><script>x</script><p>Following text stays here, whole.</p>": "\u0130\u0130\u0130\u0130\u0130\u0130\u0130\u0130\u0130\u0130\n\nFollowing text stays here, whole.",
+    "<article><p>One of the texts.</p><p class='advert'>Buy it now, limited offer only today.</p><p>All rights reserved.</p></article>": "One of the texts.\n\nAll rights reserved.",
+    "<div class='post-content'><p>Alpha text.</p><ul><li>Item one</li><li>Item two</li></ul><p>Omega text.</p></div>": "Alpha text.\n\nItem one\n\nItem two\n\nOmega text.",
+    "<body><header><h1>Site name</h1></header><div id='cookie-banner'><p>We use cookies, please accept all of them.</p></div><main><h1>Title</h1><p>Body text of it.</p>"
+    "<div class='newsletter-signup'><p>Subscribe to our newsletter.</p></div></main><div class='comment-thread'><p>Nice article, thanks a lot for it!</p></div><footer>&copy; 2020</footer></body>": "Title\n\nBody text of it.",
+}
+
+
+@pytest.mark.parametrize("page", PAGES)
+def test_html_pages(page):
+    assert html.main_text(page) == PAGES[page]
+
+
+def test_html_neighbours_decide():
+    # The same paragraph, doubtful by its name, stays among content and goes among boilerplate.
+    doubtful = "<p class='promo'>A few words stand here.</p>"
+    article = "<article>" + "<p>Long enough prose stands in this place, and there is more of it to be read.</p>" * 2
+    assert "A few words" in html.main_text(f"{article}<p class='promo-essay'>A few words stand here.</p></article>")
+    assert html.main_text(f"<div>{doubtful * 2}<p>Few words</p></div>") == ""
+
+
+def fixture_article(page):
+    """The article of the fixture pages by their fixed shape: its blocks without markup."""
+    import html as entities
+    import re
+
+    inner = re.search(r"<article>(.*)</article>", page, re.S)
+    blocks = re.split(r"</?(?:h1|p)\b[^>]*>", inner[1]) if inner else []
+    return "\n\n".join(t for t in (" ".join(entities.unescape(re.sub(r"<[^>]*>", " " , b)).split()) for b in blocks) if t)
+
+
+def test_html_fixture_pages(spark, sf):
+    from collections import Counter
+
+    hit = got = want = 0
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        own, true = Counter(html.main_text(r.html).split()), Counter(fixture_article(r.html).split())
+        hit, got, want = hit + (own & true).total(), got + own.total(), want + true.total()
+    assert hit >= 0.99 * got and hit >= 0.99 * want  # precision and recall in words
+
+
 def test_html_minimum_cut():
     import itertools
 
