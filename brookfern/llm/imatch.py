@@ -7,8 +7,10 @@ terms of a document divided by ``LEAST``.  That bounded list is a literal of the
 
 A hash deals the lexicon into ``SUBSETS`` random subsets.  For each subset the
 distinct terms of a text that it holds are sorted and hashed together; the fingerprint is the list of
-these hashes.  A text with fewer than ``FEW`` lexicon terms uses all its distinct terms.  The
-likeness of two fingerprints is the share of subsets with equal hashes among those that either
+these hashes.  The subsets are small on purpose: one that keeps most of the lexicon changes with
+every edit, and nothing would be left to compare once a quarter of a text is replaced.  A text with fewer than
+``FEW`` lexicon terms is filled up to that number by its other terms, those of the least hash first, so
+that texts on either side of the limit still agree in what they share.  The likeness of two fingerprints is the share of subsets with equal hashes among those that either
 text has terms in; two texts without words are alike.
 
 The next document is found without a global sort: ranges of doc_id between approximate quantiles are
@@ -29,7 +31,7 @@ from . import common
 #: Document-frequency band of the lexicon, as shares of all documents.
 LEAST, MOST = 0.01, 0.25
 SUBSETS = 128
-FEW = 6
+FEW = 12
 RANGE_ROWS = 3000
 MOST_RANGES = 4096
 
@@ -51,21 +53,17 @@ def _literal(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>") if values else F.array().cast("array<long>")
 
 
-def fingerprint(text: Column, lexicon: list[int]) -> Column:
-    """One hash for each subset, null where the text has no term of it."""
-    own = F.transform(_terms(text), lambda w: F.xxhash64(w))
-    known = F.array_intersect(own, _literal(lexicon))
-    chosen = F.sort_array(F.when(F.size(known) >= FEW, known).otherwise(F.array_distinct(own)))
-    # Wrapped in an array so that the terms are computed once and not for each subset.
-    return F.flatten(
-        F.transform(
-            F.array(chosen),
-            lambda terms: F.transform(
-                F.sequence(F.lit(0), F.lit(SUBSETS - 1)),
-                lambda k: F.transform(F.array(F.filter(terms, lambda t: F.pmod(t, F.lit(SUBSETS)) == k)), lambda own: F.when(F.size(own) > 0, F.xxhash64(own)))[0],
-            ),
-        )
-    )
+def fingerprint(text: str, lexicon: list[int]) -> Column:
+    """One hash for each subset of the terms of column ``text``, null where the text has no term of it."""
+    # The list of literals becomes one hash set for the whole query.
+    known = f"t in ({','.join(f'{x}L' for x in lexicon)})" if lexicon else "false"
+    gap = common.WORD_GAP.replace("\\", "\\\\")
+    own = f"array_distinct(transform(filter(split(lower(`{text}`), '{gap}'), w -> w <> ''), w -> xxhash64(w)))"
+    filled = f"if(size(x.known) >= {FEW}, x.known, concat(x.known, slice(sort_array(array_except(x.own, x.known)), 1, {FEW} - size(x.known))))"
+    # Arrays of one element hold what is used more than once, so that it is computed once.
+    chosen = f"transform(transform(array({own}), own -> struct(own, filter(own, t -> {known}) as known)), x -> sort_array({filled}))"
+    place = f"transform(array(filter(terms, t -> pmod(t, {SUBSETS}) = k)), own -> if(size(own) > 0, xxhash64(own), null))[0]"
+    return F.expr(f"flatten(transform({chosen}, terms -> transform(sequence(0, {SUBSETS - 1}), k -> {place})))")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -75,7 +73,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def as_text(prints: Column) -> Column:
-    return F.array_join(F.transform(prints, lambda x: F.coalesce(F.lower(F.substring(F.lpad(F.hex(x), 16, "0"), 9, 8)), F.lit("-" * 8))), "")
+    """All digits of all hashes: equal texts have equal strings, and unequal fingerprints unequal ones."""
+    return F.lower(F.array_join(F.transform(prints, lambda x: F.coalesce(F.lpad(F.hex(x), 16, "0"), F.lit("-" * 16))), ""))
 
 
 def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
@@ -105,9 +104,9 @@ def edited(text: Column, following: Column) -> Column:
 def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     words = lexicon(docs)
-    marked = docs.withColumn("prints", fingerprint(F.col("text"), words))
+    marked = docs.withColumn("prints", fingerprint("text", words))
     pairs = with_next(marked, ["text", "prints"]).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    both = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "prints", "next_prints", fingerprint(F.col("edited"), words).alias("edited_prints"))
+    both = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "prints", "next_prints", fingerprint("edited", words).alias("edited_prints"))
     return both.select(
         "doc_id",
         "n_chars",

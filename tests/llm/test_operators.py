@@ -49,7 +49,7 @@ def test_imatch_equal_texts_and_edits(docs, spark):
     rows = [(i, " ".join(f"w{(i * 7 + j) % 40}" for j in range(30))) for i in range(20)] + [(20, None), (21, ""), (22, "w1 w2"), (23, " ".join(f"w{(7 + j) % 40}" for j in range(30)))]
     df = docs(rows).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     words = imatch.lexicon(df)
-    df = df.withColumn("prints", imatch.fingerprint(F.col("text"), words))
+    df = df.withColumn("prints", imatch.fingerprint("text", words))
     got = {r.doc_id: r for r in imatch.with_next(df, ["text", "prints"]).withColumn("edited", imatch.edited(F.col("text"), F.col("next_text"))).withColumn("near", imatch.likeness(F.col("prints"), F.col("next_prints"))).collect()}
     texts = [t or "" for _, t in rows]
     for i, t in enumerate(texts):
@@ -60,6 +60,40 @@ def test_imatch_equal_texts_and_edits(docs, spark):
     assert imatch.with_next(df.limit(0), ["text"]).count() == 0
 
 
+def test_imatch_equals_brute_force(docs, spark):
+    rng = random.Random(6)
+    pool = [f"Word{i}" for i in range(300)]
+    rows = [(i, "\t".join(rng.choice(pool[: rng.choice([40, 300])]) for _ in range(rng.choice([3, 15, 60])))) for i in range(60)]
+    rows += [(60 + i, t) for i, t in enumerate([None, "", "alone", "rare terms only here", rows[0][1]])]
+    df = docs(rows).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    terms = {d: sorted({w for w in (t or "").lower().split()}) for d, t in rows}
+    hashed = {r.w: r.h for r in spark.createDataFrame([(w,) for ws in terms.values() for w in ws], "w string").distinct().select("w", F.xxhash64("w").alias("h")).collect()}
+    found = {w: sum(w in ws for ws in terms.values()) for w in hashed}
+    band = {hashed[w] for w, n in found.items() if max(2, imatch.LEAST * len(rows)) <= n <= imatch.MOST * len(rows)}
+    assert imatch.lexicon(df) == sorted(band)
+    got = {r.doc_id: r for r in df.withColumn("prints", imatch.fingerprint("text", sorted(band))).withColumn("shown", imatch.as_text(F.col("prints"))).collect()}
+    lists, used = [], {}
+    for d, ws in terms.items():
+        own = [hashed[w] for w in ws]
+        known = [h for h in own if h in band]
+        used[d] = sorted(known + sorted(h for h in own if h not in band)[: max(0, imatch.FEW - len(known))])
+        for k in range(imatch.SUBSETS):
+            lists.append((d, k, [h for h in used[d] if h % imatch.SUBSETS == k]))
+    want = {(r.d, r.k): r.h for r in spark.createDataFrame(lists, "d long, k int, own array<long>").select("d", "k", F.when(F.size("own") > 0, F.xxhash64("own")).alias("h")).collect()}
+    for d, _ in rows:
+        assert got[d].prints == [want[d, k] for k in range(imatch.SUBSETS)]
+        assert got[d].shown == "".join("-" * 16 if want[d, k] is None else f"{want[d, k] % (1 << 64):016x}" for k in range(imatch.SUBSETS))
+    assert got[64].shown == got[0].shown and len({r.shown for r in got.values()}) == len({tuple(u) for u in used.values()})
+    assert any(len(u) < 2 * imatch.FEW for u in used.values())
+
+
+def test_imatch_edits_stay_nearer_than_others(spark, sf):
+    from brookfern.llm import queries
+
+    rows = [r for r in queries.QUERIES["op2_imatch"](spark, sf).collect() if r.n_chars >= 400]
+    assert sum(r.near_edited > r.near_next or r.near_edited == 1 for r in rows) >= 0.95 * len(rows)
+
+
 def test_imatch_next_over_many_ranges(docs, monkeypatch):
     monkeypatch.setattr(imatch, "RANGE_ROWS", 7)
     ids = [None, *sorted(random.Random(3).sample(range(1000), 120)), 500, 500]
