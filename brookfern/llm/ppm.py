@@ -1,39 +1,30 @@
 """Language-model scores by prediction by partial matching over a byte-context trie.
 
-The model is learnt from the training documents only.  A text is a sequence of tokens:
-lower-cased words, then one end (the empty word).  The highest order matches a token
-whole, by its training count; with the chance that a token is new (one in so many was seen once) it
-escapes to the bytes, and the two are blended.  By update exclusion the byte trie is
-trained once by each distinct token.  There a token is spelt byte by byte and closed by a
-blank; the context of a byte is what precedes it in its token, blank included, up to seven
-bytes.  Contexts are trie nodes: the longest ones count occurrences, shorter ones count the
-longer contexts that a byte was seen in.  An unseen byte escapes to the next shorter
-context, and bytes that the longer context has seen are excluded there (symbol
-exclusion).  Below the empty context all bytes are equally likely.  The chance of an escape is
-estimated for nodes of like length, visits and distinct bytes together, by leaving each visit
-out in turn: a byte seen once would then have escaped.
-
-Counts of whole tokens are kept for each component of the training documents (a column, such as
-their labelled language; one if none is given).  A text's probability is the mixture over the components,
-each token weighed by what the tokens before it say about the component (the component of
-the scored document is not used), blended with what the document itself has shown so far.
-
-Tokens share no byte context, so a token has one code length wherever it
-stands, and the work is done once for each distinct token:
-
-* blocks of documents become arrays of word numbers, once, in the shared folder, beside the
-  blocks' distinct words with their training counts, dealt out by word hash;
-* a word part merges its words over all blocks and sends its distinct byte strings, dealt
-  out by the last two context bytes, so that a node and all its shorter contexts down to two
-  bytes meet; contexts of one byte or none are a table of at most 65,536 cells;
-* code lengths go back to the word parts, and counts and scores of words to the blocks.
-
-Everything moves as packed arrays, pre-aggregated by block.  Nothing is broadcast but that
-fixed-size table.
-
-Defined results: null or empty text is one end token; a row without doc_id is held out;
-repeated rows score alike; without training documents every byte costs log10(256);
-other columns are ignored.
+The model is learnt from the training documents only.  A text is its lower-cased words, each closed by
+a blank, and one more blank for the end token; it is coded byte by byte.  The context of a byte is what
+precedes it in the text, over word borders, up to seven bytes (line breaks and a blank stand before the text).  Contexts are
+trie nodes: the longest count occurrences, shorter ones count the longer contexts that a byte
+was seen in.  An unseen byte escapes to the next shorter context, and bytes that the longer context has
+seen are excluded there (symbol exclusion).  Below the empty context all bytes are equally likely.  The
+chance of an escape is estimated for nodes of like length, visits and distinct bytes together, by
+leaving each visit out in turn: a byte seen once would then have escaped.
+
+Seven bytes serve large corpora and five small ones, so a text is coded by both orders (``ORDERS``; they share the
+nodes of four bytes and less), and the code of a token is the mixture of both, each weighed by how it has coded the last ``WINDOW``
+tokens of the text.  What is learnt grows with the corpus: every distinct string of eight bytes counts.
+
+1. ``_blocks``: tasks make blocks of documents, and of each block its distinct strings (a context and its byte)
+   with their training counts, sorted by reversed context, and its distinct words.
+2. Strings are dealt out by a hash of the last three context bytes, so that a node and all its longer contexts meet.  Contexts
+   that hold a 1,024th of the strings or more are dealt out by four or five bytes.  The nodes above these, at most
+   1,024 of either length, and those of two bytes and less, at most 2^24 counts whatever the corpus, are
+   counted by an aggregation (``_stat_rows``) and broadcast.
+3. ``_code_rows``: each group merges its strings over all blocks and returns code lengths (to 1/2048 of a decade) to the blocks.
+4. ``_document_rows``: blocks add up the code lengths of their documents.
+
+Defined results: null or empty text is one end token; a row without doc_id is held out; repeated rows
+score alike; without training documents every byte costs log10(256); ties do not matter; very long texts are scored whole;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,7 +41,15 @@ from pyspark.sql import functions as F
 from . import common
 
 ORDER = 7
-BLOCK_BYTES = 16 << 20
+ORDERS = (7, 5)
+BLOCK_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
+#: Contexts of three or four bytes with this share of all strings are dealt out by one byte more.
+SPLIT_SHARE = 1 / 1024
+WINDOW = 50
+#: Steps of a code length in a decade.
+STEPS = 2048
+_START = b"\n" * (ORDER - 1) + b" "
 _U = np.uint64
 
 
@@ -70,170 +69,269 @@ def _unpack(blob: bytes, n: int, kind) -> np.ndarray:
     return np.frombuffer(pa.decompress(blob, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
 
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys byte plane by byte plane, which packs them to a byte or two each."""
+    return _pack(keys.view(np.uint8).reshape(-1, 8).T)
+
+
+def _unpack_keys(blob: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(_unpack(blob, n * 8, np.uint8).reshape(8, n).T).reshape(-1).view(_U)
+
+
+def _cuts(a: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.empty(0, np.int64)
+
+
+def _mix(z: np.ndarray) -> np.ndarray:
+    z = z * _U(0x9E3779B97F4A7C15)
+    z ^= z >> _U(29)
+    z *= _U(0xBF58476D1CE4E5B9)
+    return z ^ (z >> _U(32))
+
+
+# Strings: the byte before last in the highest place, ..., the byte to predict in the lowest
+
+
+def stream(text: str | None) -> bytes:
+    """The bytes that are coded."""
+    words = (text or "").encode().lower().split()
+    return b" ".join(words) + (b"  " if words else b" ")
+
+
+def _keys(streams: list[bytes]) -> np.ndarray:
+    """Per byte to predict, text by text: its context and itself in one integer."""
+    data = np.frombuffer(b"".join([p for s in streams for p in (_START, s)]), np.uint8)
+    lengths = np.fromiter(map(len, streams), np.int64, len(streams)) + ORDER
+    own = np.ones(len(data), bool)
+    starts = np.cumsum(lengths) - lengths
+    for i in range(ORDER):
+        own[starts + i] = False
+    key = data.astype(_U)
+    wide = key.copy()
+    for back in range(1, ORDER + 1):
+        key[back:] |= wide[:-back] << _U(8 * (8 - back))
+    return key[own]
+
+
+def _slices(streams: list[bytes]) -> Iterator[tuple[int, int]]:
+    first, size = 0, 0
+    for i, s in enumerate(streams):
+        size += len(s)
+        if size >= SLICE_BYTES or i == len(streams) - 1:
+            yield first, i + 1
+            first, size = i + 1, 0
+
+
+def _distinct(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct strings and their counts."""
+    keys, counts = np.empty(0, _U), np.empty(0, np.int64)
+    for a, b in _slices(streams):
+        more, times = np.unique(_keys(streams[a:b]), return_counts=True)
+        keys, counts = _merge(np.concatenate([keys, more]), np.concatenate([counts, times]))
+    return keys, counts
+
+
+def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = _cuts(keys)
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
+def _context(keys: np.ndarray, k: int) -> np.ndarray:
+    return keys >> _U(64 - 8 * k) if k else np.zeros(len(keys), _U)
+
+
+def _pair(keys: np.ndarray, k: int) -> np.ndarray:
+    return (_context(keys, k) << _U(8)) | (keys & _U(255))
+
+
+def _shorter(pair: np.ndarray) -> np.ndarray:
+    return ((pair >> _U(16)) << _U(8)) | (pair & _U(255))
+
+
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
+def _group_of(keys: np.ndarray, split: dict[int, np.ndarray], groups: int) -> np.ndarray:
+    three, four = _context(keys, 3), _context(keys, 4)
+    long = _find(split[3], three)[1]
+    longer = long & _find(split[4], four)[1]
+    own = np.where(longer, _context(keys, 5) | _U(5 << 60), np.where(long, four | _U(4 << 60), three | _U(3 << 60)))
+    return (_mix(own) % _U(groups)).astype(np.int64)
+
+
 # Step 1: documents to blocks
 
-_BLOCK_SCHEMA = "kind string, block long, part int, n int, doc_id {id}, held_out boolean, ids binary, words binary, size long, counts binary"
+_BLOCK_SCHEMA = "kind string, block long, part int, n long, doc_id {id}, held_out boolean, data binary, size long, counts binary"
+_BLOCK_TYPES = [("kind", pa.string()), ("block", pa.int64()), ("part", pa.int32()), ("n", pa.int64()), ("doc_id", None), ("held_out", pa.bool_()), ("data", pa.binary()), ("size", pa.int64()), ("counts", pa.binary())]
 
 
-def _block_schema() -> list[tuple[str, pa.DataType]]:
-    return [("kind", pa.string()), ("block", pa.int64()), ("part", pa.int32()), ("n", pa.int32()), ("doc_id", None), ("held_out", pa.bool_()), ("ids", pa.binary()), ("words", pa.binary()), ("size", pa.int64()), ("counts", pa.binary())]
+def _ordered_words(words: list[bytes], parts: int) -> list[tuple[int, bytes]]:
+    return sorted((crc32(w) % parts, w) for w in words)
 
 
-def _blocks(parts: int, block_bytes: int, kinds_of: int):
-    names = [n for n, _ in _block_schema()]
+def _blocks(parts: int, block_bytes: int):
+    names = [n for n, _ in _BLOCK_TYPES]
 
-    def flush(number: int, rows: list, numbers: _Numbers, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-        words = list(numbers)
-        part = np.fromiter((crc32(w) % parts for w in words), np.int64, len(words))
-        order = np.argsort(part, kind="stable")
-        renumber = np.empty(len(words), np.int32)
-        renumber[order] = np.arange(len(words), dtype=np.int32)
-        trained = np.zeros((len(words), kinds_of), np.int64)
-        for c in range(kinds_of):
-            used = [ids for _, held, kind, ids in rows if not held and kind == c]
-            if used:
-                trained[:, c] = np.bincount(np.concatenate(used), minlength=len(words))
-        out = [("doc", number, None, len(ids), d, held, renumber[ids].tobytes(), None, None, None) for d, held, _, ids in rows]
-        cut = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0, True]).tolist() if len(words) else []
+    def flush(number: int, rows: list[tuple], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        out = [("doc", number, None, len(s), d, held, s, None, None) for d, held, s in rows]
+        numbers, trained = _Numbers(), []
+        for _, held, s in rows:
+            found = np.fromiter(map(numbers.__getitem__, [*s.split(), b""]), np.int32)
+            if not held:
+                trained.append(found)
+        count = np.bincount(np.concatenate([np.empty(0, np.int32), *trained]), minlength=len(numbers))
+        ordered = _ordered_words(list(numbers), parts)
+        part = np.array([p for p, _ in ordered])
+        cut = np.r_[_cuts(part), len(part)].tolist()
         for a, b in zip(cut[:-1], cut[1:], strict=True):
-            own = order[a:b]
-            text = b" ".join([words[i] for i in own.tolist()])
-            out.append(("word", number, int(part[own[0]]), b - a, None, None, None, pa.compress(text, codec="zstd", asbytes=True), len(text), _pack(trained[own])))
-        kinds = [t or id_type for _, t in _block_schema()]
-        for at in range(0, len(out), 2000):
-            columns = zip(*out[at : at + 2000], strict=True)
+            text = b" ".join([w for _, w in ordered[a:b]])
+            own = np.array([count[numbers[w]] for _, w in ordered[a:b]], np.int64)
+            out.append(("word", number, ordered[a][0], b - a, None, None, pa.compress(text, codec="zstd", asbytes=True), len(text), _pack(own)))
+        keys, counts = _distinct([s for _, _, s in rows])
+        unseen, times = _distinct([s for _, held, s in rows if held])
+        counts[_find(keys, unseen)[0]] -= times
+        out.append(("string", number, None, len(keys), None, None, _pack_keys(keys), None, _pack(counts)))
+        for length in (3, 4):
+            context = _context(keys, length)
+            first = _cuts(context)
+            size = np.diff(np.r_[first, len(keys)])
+            for i in np.flatnonzero(size >= SPLIT_SHARE / 4 * len(keys)).tolist():
+                out.append(("heavy", number, length, int(size[i]), None, None, None, int(context[first[i]]), None))
+        kinds = [t or id_type for _, t in _BLOCK_TYPES]
+        at = 0
+        while at < len(out):
+            upto, size = at, 0
+            while upto < len(out) and upto - at < 1000 and size < SLICE_BYTES:
+                size += len(out[upto][6] or b"")
+                upto += 1
+            columns = zip(*out[at:upto], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+            at = upto
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, used = TaskContext.get().partitionId() << 24, 0
-        rows, numbers, size, id_type = [], _Numbers({b"": 0}), 0, pa.int64()
+        rows, size, id_type = [], 0, pa.int64()
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for d, text, held, kind in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                data = (text.as_py() or "").encode().lower()
-                found = data.split()
-                found.append(b"")
-                rows.append((d, held, kind, np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))))
-                size += len(data)
+            for d, text, held in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                rows.append((d, held, stream(text.as_py())))
+                size += len(rows[-1][2])
                 if size >= block_bytes:
-                    yield from flush(base + used, rows, numbers, id_type)
-                    rows, numbers, size, used = [], _Numbers({b"": 0}), 0, used + 1
+                    yield from flush(base + used, rows, id_type)
+                    rows, size, used = [], 0, used + 1
         if rows:
-            yield from flush(base + used, rows, numbers, id_type)
+            yield from flush(base + used, rows, id_type)
 
     return run
 
 
-# Step 2: words to byte strings
+# Words, for the base score
+
+_COUNT_SCHEMA = "kind string, block long, part int, n long, a binary, b binary"
+_COUNT_TYPES = {"kind": pa.string(), "block": pa.int64(), "part": pa.int32(), "n": pa.int64(), "a": pa.binary(), "b": pa.binary()}
 
-def _part_words(table: pa.Table, kinds_of: int) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
-    """Distinct words of a part, their training counts by component, and each row's word numbers."""
-    numbers = _Numbers()
-    rows, given = [], []
-    for n, size, blob, counts in zip(*(table.column(c).to_pylist() for c in ("n", "size", "words", "counts")), strict=True):
+
+def _table(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.Table:
+    return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(types.items())})
+
+
+def _word_rows(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Training counts over all blocks of each block's words; block -1: how many of the part's words were trained."""
+    numbers, rows, given = _Numbers(), [], []
+    for n, size, blob, counts in zip(*(table.column(c).to_pylist() for c in ("n", "size", "data", "counts")), strict=True):
         words = pa.decompress(blob, size, codec="zstd", asbytes=True).split(b" ")
         rows.append(np.fromiter(map(numbers.__getitem__, words), np.int64, n))
-        given.append(_unpack(counts, n * kinds_of, np.int64).reshape(n, kinds_of))
-    where, given = np.concatenate(rows), np.concatenate(given).astype(np.float64)
-    trained = np.stack([np.bincount(where, given[:, c], len(numbers)) for c in range(kinds_of)], 1).astype(np.int64)
-    return list(numbers), trained, rows
-
-
-def _strings(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Per byte to predict: context and byte in one integer; per word: its first entry."""
-    data = np.frombuffer(b" " + b"  ".join(words) + b" ", np.uint8).astype(_U)
-    data[data == 0] = 9  # white space is free to stand for the zero byte
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    ends = np.cumsum(lengths)
-    within = np.arange(len(data)) - np.repeat(ends - lengths, lengths)
-    key = data.copy()
-    for back in range(1, ORDER + 1):
-        moved = np.zeros_like(data)
-        moved[back:] = data[:-back]
-        moved[within < back] = 0
-        key |= moved << _U(8 * back)
-    return key[within > 0], ends - lengths - np.arange(len(words))
-
+        given.append(_unpack(counts, n, np.int64))
+    total = np.zeros(len(numbers), np.int64)
+    np.add.at(total, np.concatenate(rows), np.concatenate(given))
+    out = [("word", b, key[0].as_py(), len(r), _pack(total[r]), None) for b, r in zip(table.column("block").to_pylist(), rows, strict=True)]
+    out.append(("types", -1, key[0].as_py(), int((total > 0).sum()), None, None))
+    return _table(out, _COUNT_TYPES)
 
-def _groups(keys: np.ndarray) -> np.ndarray:
-    return ((keys >> _U(8)) & _U(0xFFFF)).astype(np.int64)
 
+# Step 2: the trie
 
-def _by_group(keys: np.ndarray) -> tuple[np.ndarray, list[int]]:
-    order = np.argsort(_groups(keys), kind="stable")
-    group = _groups(keys[order])
-    return order, np.flatnonzero(np.r_[True, np.diff(group) != 0, True]).tolist() if len(keys) else []
+_GROUP_TYPES = {"grp": pa.int32(), "block": pa.int64(), "n": pa.int64(), "data": pa.binary(), "counts": pa.binary()}
 
 
-def _string_rows(kinds_of: int):
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        words, trained, _ = _part_words(table, kinds_of)
-        keys, first = _strings(words)
-        weight = np.repeat(trained.any(1), np.diff(np.r_[first, len(keys)]))
-        distinct, where = np.unique(keys, return_inverse=True)
-        counts = np.bincount(where, weight.astype(np.float64), len(distinct)).astype(np.int64)
-        order, cut = _by_group(distinct)
-        rows = [(int(_groups(distinct[order[a : a + 1]])[0]), key[0].as_py(), b - a, _pack(distinct[order[a:b]]), _pack(counts[order[a:b]]), None, None, None) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        # Statistics: of all tokens in bucket -1, of component c in bucket -2 - c.
-        for at, c in enumerate([trained.sum(1), *trained.T]):
-            rows.append((-1 - at, key[0].as_py(), 0, None, None, int(c.sum()), int((c > 0).sum()), int((c == 1).sum())))
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-        names = ("bucket", "part", "n", "strings", "counts", "tokens", "types", "once")
-        return pa.table({name: pa.array([r[i] for r in rows], t) for i, (name, t) in enumerate(zip(names, kinds, strict=True))})
+def _grouped(split: dict[int, np.ndarray], groups: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                keys, counts = _unpack_keys(r["data"], r["n"]), _unpack(r["counts"], r["n"], np.int64)
+                group = _group_of(keys, split, groups)
+                order = np.argsort(group, kind="stable")
+                cut = np.r_[_cuts(group[order]), len(order)].tolist()
+                rows = [(int(group[order[a]]), r["block"], b - a, _pack_keys(keys[order[a:b]]), _pack(counts[order[a:b]])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                yield from _table(rows, _GROUP_TYPES).to_batches()
 
     return run
 
 
-# Step 3: the trie
-
 def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
     n = table.column("n").to_pylist()
-    keys = np.concatenate([_unpack(b, k, _U) for b, k in zip(table.column("strings").to_pylist(), n, strict=True)])
+    keys = np.concatenate([_unpack_keys(b, k) for b, k in zip(table.column("data").to_pylist(), n, strict=True)])
     counts = np.concatenate([_unpack(b, k, np.int64) for b, k in zip(table.column("counts").to_pylist(), n, strict=True)])
     distinct, where = np.unique(keys, return_inverse=True)
     return distinct, np.bincount(where, counts.astype(np.float64), len(distinct)).astype(np.int64), where, n
 
 
-def _context_length(keys: np.ndarray) -> np.ndarray:
-    return np.searchsorted(np.array([1 << (8 * i) for i in range(1, 8)], _U), keys, "right")
+Level = tuple[np.ndarray, np.ndarray]
 
 
-def _low(length: int) -> np.uint64:
-    return _U((1 << (8 * length)) - 1)
+def _levels(keys: np.ndarray, counts: np.ndarray) -> dict[int, Level]:
+    """By context length from 7 to 3: sorted (context, byte) pairs and their counts; 8: those of five bytes by occurrences."""
+    seen = counts > 0
+    keys, counts = keys[seen], counts[seen]
+    levels = {ORDER: (keys, counts), 8: _merge(_pair(keys, 5), counts)}
+    for k in range(ORDER - 1, 2, -1):
+        levels[k] = np.unique(_shorter(levels[k + 1][0]), return_counts=True)
+    return levels
 
 
-def _levels(keys: np.ndarray, counts: np.ndarray, lowest: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By context length down to ``lowest``: sorted (context, byte) with their counts."""
-    length, seen = _context_length(keys), counts > 0
-    levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for k in range(ORDER, lowest - 1, -1):
-        own = seen & (length == k)
-        pair, count = keys[own], counts[own]
-        if k < ORDER:
-            shorter, times = np.unique(levels[k + 1][0] & _low(k + 1), return_counts=True)
-            pair, count = np.concatenate([pair, shorter]), np.concatenate([count, times])
-            order = np.argsort(pair, kind="stable")
-            pair, count = pair[order], count[order]
-        levels[k] = pair, count
-    return levels
+def _without(level: Level, contexts: np.ndarray) -> Level:
+    own = ~_find(contexts, level[0] >> _U(8))[1]
+    return level[0][own], level[1][own]
+
+
+#: Escape estimates are kept for levels x visits x distinct bytes, both by classes of size.
+_STATES = (9, 64, 32)
 
 
-#: Escape estimates are kept for context lengths x visits (by powers of two) x distinct bytes.
-_STATES = (ORDER + 1, 24, 16)
+def _classes(x: np.ndarray, exact: int) -> np.ndarray:
+    """Numbers below ``exact`` (a power of two) as they are, larger ones by powers of two."""
+    x = np.maximum(x, 0).astype(np.int64)
+    power = np.log2(np.maximum(x, 1)).astype(np.int64)
+    return np.where(x < exact, x, exact + power - int(np.log2(exact)))
 
 
-def _states(k: int, n: np.ndarray, d: np.ndarray) -> np.ndarray:
-    visits = np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64), _STATES[1] - 1)
-    return (k * _STATES[1] + visits) * _STATES[2] + np.minimum(d, _STATES[2] - 1).astype(np.int64)
+def _states(level: int, n: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return (level * _STATES[1] + _classes(n, 1)) * _STATES[2] + _classes(d, 16)
 
 
-def _left_out(k: int, n: np.ndarray, d: np.ndarray, once: np.ndarray) -> np.ndarray:
-    """Of nodes with n visits, d bytes and ``once`` bytes seen once: (state, escaped or not) counted over left-out visits."""
+def _node_stats(level: Level) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First pair, context, visits, distinct bytes and bytes seen once of each node."""
+    pair, count = level
+    first = _cuts(pair >> _U(8))
+    if not len(first):
+        return (first, np.empty(0, _U), *(np.empty(0, np.int64),) * 3)
+    return first, (pair >> _U(8))[first], np.add.reduceat(count, first), np.diff(np.r_[first, len(pair)]), np.add.reduceat((count == 1).astype(np.int64), first)
+
+
+def _left_out(number: int, level: Level) -> np.ndarray:
+    """(state, escaped or not) counted over the visits of a level's nodes, each left out in turn."""
     grid = np.zeros((int(np.prod(_STATES)), 2), np.int64)
+    _, _, n, d, once = _node_stats(level)
     some = n > 1
     n, d, once = n[some], d[some], once[some]
-    np.add.at(grid[:, 1], _states(k, n - 1, d - 1), once)
-    np.add.at(grid[:, 0], _states(k, n - 1, d), n - once)
+    np.add.at(grid[:, 1], _states(number, n - 1, d - 1), once)
+    np.add.at(grid[:, 0], _states(number, n - 1, d), n - once)
     return grid
 
 
@@ -241,217 +339,185 @@ def escapes(grid: np.ndarray) -> np.ndarray:
     return (grid[:, 1] + 0.25) / (grid.sum(1) + 0.5)
 
 
-def _node_stats(pair: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    first = np.flatnonzero(np.r_[True, np.diff(pair >> _U(8)) != 0]) if len(pair) else np.empty(0, np.int64)
-    if not len(first):
-        return (np.empty(0, np.int64),) * 3
-    return np.add.reduceat(count, first), np.diff(np.r_[first, len(pair)]), np.add.reduceat((count == 1).astype(np.int64), first)
+_STAT_TYPES = {"level": pa.int32(), "key": pa.int64(), "times": pa.int64()}
 
 
-def _short_rows(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Counts of (one context byte, byte): occurrences after the blank, else longer contexts; below zero, escape statistics."""
-    distinct, counts, _, _ = _merged(table)
-    short = (distinct < _U(1 << 16)) & (counts > 0)
-    levels = _levels(distinct, counts, 2)
-    longer, times = np.unique(levels[2][0] & _low(2), return_counts=True)
-    grid = sum(_left_out(k, *_node_stats(*level)) for k, level in levels.items()).ravel()
-    used = np.flatnonzero(grid)
-    return pa.table({"pair": pa.array(np.concatenate([distinct[short].astype(np.int64), longer.astype(np.int64), -1 - used]).astype(np.int32)), "times": pa.array(np.concatenate([counts[short], times, grid[used]]).astype(np.int64))})
+def _stat_rows(split: dict[int, np.ndarray]):
+    """What a group adds to the counts of pairs above it (levels 2 to 4) and to the escapes (level -1)."""
 
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        distinct, counts, _, _ = _merged(table)
+        levels = _levels(distinct, counts)
+        above = {4: levels[4], 3: np.unique(_shorter(_without(levels[4], split[4])[0]), return_counts=True)}
+        levels[4], levels[3] = _without(levels[4], split[4]), _without(above[3], split[3])
+        above[2] = np.unique(_shorter(levels[3][0]), return_counts=True)
+        out = []
+        for k in (2, 3, 4):
+            pair, times = above[k]
+            if k > 2:
+                own = _find(split[k], pair >> _U(8))[1]
+                pair, times = pair[own], times[own]
+            out.append((np.full(len(pair), k), pair.view(np.int64), times))
+        grid = sum(_left_out(k, level) for k, level in levels.items()).ravel()
+        used = np.flatnonzero(grid)
+        out.append((np.full(len(used), -1), used, grid[used]))
+        return pa.table({c: pa.array(np.concatenate([o[i] for o in out]), t) for i, (c, t) in enumerate(_STAT_TYPES.items())})
 
-def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(table):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return at, table[at] == keys
+    return run
 
 
-def code_lengths(keys: np.ndarray, counts: np.ndarray, one: np.ndarray, escape: np.ndarray) -> np.ndarray:
-    """log10 probability of each distinct (context, byte) of one group; one: the 256 x 256 table of short contexts."""
-    none = (one > 0).sum(0)
-    levels = _levels(keys, counts, 2)
-    length = _context_length(keys)
-    symbol, last = (keys & _U(255)).astype(np.int64), ((keys >> _U(8)) & _U(255)).astype(np.int64)
+class Top:
+    """The nodes above all groups and the escape estimates."""
+
+    def __init__(self, rows: pa.Table, split: dict[int, np.ndarray]):
+        level, key, times = (rows.column(c).to_numpy() for c in _STAT_TYPES)
+        given = {}
+        for k in (2, 3, 4):
+            own = level == k
+            given[k] = _merge(key[own].astype(np.int64).view(_U), times[own])
+        self.split, self.levels = split, {4: given[4]}
+        for k in (3, 2):
+            longer = np.unique(_shorter(self.levels[k + 1][0]), return_counts=True)
+            self.levels[k] = _merge(np.concatenate([given[k][0], longer[0]]), np.concatenate([given[k][1], longer[1]]))
+        for k in (1, 0):
+            self.levels[k] = np.unique(_shorter(self.levels[k + 1][0]), return_counts=True)
+        grid = np.zeros(2 * int(np.prod(_STATES)), np.int64)
+        own = level == -1
+        np.add.at(grid, key[own], times[own])
+        self.escape = escapes(grid.reshape(-1, 2) + sum(_left_out(k, x) for k, x in self.levels.items()))
+
+    def with_group(self, keys: np.ndarray, counts: np.ndarray) -> dict[int, Level]:
+        """All levels that the strings of a group need."""
+        levels = _levels(keys, counts)
+        levels[3] = np.unique(_shorter(_without(levels[4], self.split[4])[0]), return_counts=True)
+        for k in (3, 4):
+            local = _without(levels[k], self.split[k])
+            levels[k] = _merge(np.concatenate([local[0], self.levels[k][0]]), np.concatenate([local[1], self.levels[k][1]]))
+        return levels | {k: self.levels[k] for k in (0, 1, 2)}
+
+
+def code_lengths(keys: np.ndarray, levels: dict[int, Level], escape: np.ndarray, order: int) -> np.ndarray:
+    """log10 probability of each string's byte after its context, from contexts of ``order`` bytes down."""
+    symbol = keys & _U(255)
     score, open_ = np.zeros(len(keys)), np.ones(len(keys), bool)
     # Of the longer context, if it was seen: how many bytes it saw and what they count for in the next shorter one.
     less_n, less_d = np.zeros(len(keys)), np.zeros(len(keys))
-
-    def step(k: int, use: np.ndarray, c: np.ndarray, n: np.ndarray, d: np.ndarray) -> None:
-        nonlocal open_
-        chance = escape[_states(k, n, d)]
-        n, d = n - less_n, d - less_d
-        hit, miss = use & open_ & (c > 0), use & open_ & (c == 0) & (d > 0)
-        score[hit] += np.log10((1 - chance[hit]) * c[hit] / n[hit])
-        score[miss] += np.log10(chance[miss])
-        open_ = open_ & ~hit
-
-    for k in range(ORDER, 1, -1):
-        pair, count = levels[k]
-        node_first = np.flatnonzero(np.r_[True, np.diff(pair >> _U(8)) != 0]) if len(pair) else np.empty(0, np.int64)
-        node = (pair >> _U(8))[node_first]
-        size = np.diff(np.r_[node_first, len(pair)])
-        at, known = _find(node, (keys >> _U(8)) & _low(k))
-        known &= length >= k
-        if not known.any():
+    for k in range(order, -1, -1):
+        number = 8 if k == order != ORDER else k
+        pair, count = levels[number]
+        first, node, visits, distinct, _ = _node_stats((pair, count))
+        if not len(first):
             continue
-        total = np.add.reduceat(count, node_first)
-        spot, there = _find(pair, keys & _low(k + 1))
-        step(k, known, np.where(there & known, count[spot], 0), np.where(known, total[at], 0), np.where(known, size[at], 0))
-        if k > 2:
+        context = _context(keys, k)
+        at, known = _find(node, context)
+        spot, there = _find(pair, (context << _U(8)) | symbol)
+        c, n, d = np.where(there, count[spot], 0), visits[at], distinct[at]
+        chance = escape[_states(number, n, d)]
+        hit, miss = open_ & there, open_ & known & ~there & (d > less_d)
+        score[hit] += np.log10((1 - chance[hit]) * c[hit] / (n - less_n)[hit])
+        score[miss] += np.log10(chance[miss])
+        open_ &= ~there
+        if k:
             shorter, count_shorter = levels[k - 1]
-            worth = count_shorter[_find(shorter, pair & _low(k))[0]]
-        else:
-            worth = one[((pair >> _U(8)) & _U(255)).astype(np.int64), (pair & _U(255)).astype(np.int64)]
-        less_n = np.where(known, np.add.reduceat(worth, node_first)[at], less_n)
-        less_d = np.where(known, size[at], less_d)
-    seen = one > 0
-    known = seen.any(1)[last]
-    step(1, known, one[last, symbol], one.sum(1)[last], seen.sum(1)[last])
-    less_n = np.where(known, (seen * none).sum(1)[last], less_n)
-    less_d = np.where(known, seen.sum(1)[last], less_d)
-    step(0, np.full(len(keys), none.any()), none[symbol], np.full(len(keys), none.sum()), np.full(len(keys), (none > 0).sum()))
-    score[open_] -= np.log10(256 - (none > 0).sum())
+            worth = count_shorter[_find(shorter, _shorter(pair))[0]]
+            less_n = np.where(known, np.add.reduceat(worth, first)[at], less_n)
+            less_d = np.where(known, d, less_d)
+    score[open_] -= np.log10(max(1, 256 - len(levels[0][0])))
     return score
 
 
-def _code_rows(one: np.ndarray, escape: np.ndarray):
+def _code_rows(top):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         distinct, counts, where, n = _merged(table)
-        score = code_lengths(distinct, counts, one, escape)[where]
+        levels = top.value.with_group(distinct, counts)
+        codes = [np.minimum(np.rint(-STEPS * code_lengths(distinct, levels, top.value.escape, order)), 65535).astype(np.uint16)[where] for order in ORDERS]
         ends = np.cumsum(n).tolist()
-        blobs = [_pack(score[e - k : e]) for e, k in zip(ends, n, strict=True)]
-        return pa.table({"part": table.column("part"), "bucket": pa.array([key[0].as_py()] * len(n), pa.int32()), "n": pa.array(n, pa.int32()), "codes": pa.array(blobs, pa.binary())})
+        blocks = table.column("block").to_pylist()
+        rows = [("code", b, key[0].as_py(), k, *(_pack(c[e - k : e]) for c in codes)) for b, e, k in zip(blocks, ends, n, strict=True)]
+        return _table(rows, _COUNT_TYPES)
 
     return run
 
 
-# Step 4: scores of words, then of documents
-
-def _word_rows(tokens: np.ndarray, new: np.ndarray):
-    """tokens, new: training tokens of each component and the chance that its next token is new."""
-
-    def run(key: tuple[pa.Scalar, ...], words_of: pa.Table, codes: pa.Table) -> pa.Table:
-        words, trained, rows = _part_words(words_of, len(tokens))
-        keys, first = _strings(words)
-        distinct, where = np.unique(keys, return_inverse=True)
-        order, _ = _by_group(distinct)
-        got = sorted(zip(*(codes.column(c).to_pylist() for c in ("bucket", "n", "codes")), strict=True))
-        value = np.empty(len(distinct))
-        value[order] = np.concatenate([_unpack(b, n, np.float64) for _, n, b in got])
-        spelt = np.add.reduceat(value[where], first)[:, None] + np.log10(new)
-        whole = np.log10((1 - new) * np.maximum(trained, 1) / np.maximum(tokens, 1))
-        high, low = np.maximum(whole, spelt), np.minimum(whole, spelt)
-        score = np.where(trained > 0, high + np.log10(1 + 10 ** (low - high)), spelt).astype(np.float32)
-        total = trained.sum(1)
-        return pa.table({
-            "block": words_of.column("block"),
-            "part": words_of.column("part"),
-            "n": words_of.column("n"),
-            "trained": pa.array([_pack(total[r]) for r in rows], pa.binary()),
-            "codes": pa.array([_pack(score[r]) for r in rows], pa.binary()),
-        })
-
-    return run
-
-
-#: Weights of what the document itself has shown so far, at most; they grow with its length and with the visits of a context.
-OWN_TOKENS, OWN_AFTER = 0.3, 0.6
-GROWTH, VISITS = 60.0, 1.5
-
-
-def _times_before(keys: np.ndarray) -> np.ndarray:
-    """How often each key has stood before its place."""
-    order = np.argsort(keys, kind="stable")
-    first = np.flatnonzero(np.r_[True, np.diff(keys[order]) != 0])
-    out = np.empty(len(keys), np.int64)
-    out[order] = np.arange(len(keys)) - np.repeat(first, np.diff(np.r_[first, len(keys)]))
-    return out
-
-
-def adapted(ids: np.ndarray, code: np.ndarray, prior: np.ndarray) -> float:
-    """log10 probability of a document.  code: of each token (rows) in each component (columns)."""
-    ahead = np.log10(prior) + np.concatenate([np.zeros((1, code.shape[1])), np.cumsum(code[:-1], axis=0, dtype=np.float64)])
-    share = 10.0 ** (ahead - ahead.max(1, keepdims=True))
-    p = (share / share.sum(1, keepdims=True) * 10.0 ** code.astype(np.float64)).sum(1)
-    # A spelt token can be less likely than a double can tell.
-    tiny = p <= 1e-290
-    rest = float(code[tiny].max(1).sum(dtype=np.float64)) if tiny.any() else 0.0
-    p[tiny] = 1.0
-    place = np.arange(len(ids))
-    weight = OWN_TOKENS * place / (place + GROWTH)
-    p = (1 - weight) * p + np.where(tiny, 0.0, weight * _times_before(ids) / np.maximum(place, 1))
-    if len(ids) > 1:
-        before = ids[:-1].astype(np.int64)
-        visits = _times_before(before)
-        weight = OWN_AFTER * visits / (visits + VISITS)
-        follows = _times_before((before << 32) | ids[1:])
-        p[1:] = (1 - weight) * p[1:] + np.where(tiny[1:], 0.0, weight * follows / np.maximum(visits, 1))
-    return float(np.log10(p).sum()) + rest
-
-
-def _document_rows(tokens: int, types: int, prior: np.ndarray):
-    def run(key: tuple[pa.Scalar, ...], docs: pa.Table, words: pa.Table) -> pa.Table:
-        got = sorted(zip(*(words.column(c).to_pylist() for c in ("part", "n", "trained", "codes")), strict=True))
-        trained = np.concatenate([_unpack(t, n, np.int64) for _, n, t, _ in got])
-        code = np.concatenate([_unpack(c, n * len(prior), np.float32).reshape(n, -1) for _, n, _, c in got])
-        plain = np.log10((trained + 0.1) / (tokens + 0.1 * (types + 1)))
-        ids = [np.frombuffer(b, np.int32) for b in docs.column("ids").to_pylist()]
+# Step 4: scores of documents
+
+
+def mixed(code: np.ndarray) -> float:
+    """log10 probability of a text from that of each token (rows) by each order (columns)."""
+    total = np.concatenate([np.zeros((1, code.shape[1])), np.cumsum(code, axis=0)])
+    at = np.arange(len(code))
+    ahead = total[at] - total[np.maximum(at - WINDOW, 0)]
+    sums = []
+    for x in (ahead + code, ahead):
+        most = x.max(1, keepdims=True)
+        sums.append(most[:, 0] + np.log10((10.0 ** (x - most)).sum(1)))
+    return float((sums[0] - sums[1]).sum())
+
+
+def _document_rows(tokens: int, types: int, parts: int, split: dict[int, np.ndarray], groups: int):
+    def run(key: tuple[pa.Scalar, ...], docs: pa.Table, given: pa.Table) -> pa.Table:
+        got = sorted(zip(*(given.column(c).to_pylist() for c in ("kind", "part", "n", "a", "b")), strict=True), key=lambda r: r[:2])
+        streams = docs.column("data").to_pylist()
+        keys, _ = _distinct(streams)
+        code = np.empty((len(keys), 2), np.float32)
+        order = np.argsort(_group_of(keys, split, groups), kind="stable")
+        for i in (0, 1):
+            code[order, i] = np.concatenate([np.empty(0, np.uint16), *(_unpack(r[3 + i], r[2], np.uint16) for r in got if r[0] == "code")]) / -STEPS
+        split_words = [[*s.split(), b""] for s in streams]
+        counts = np.concatenate([np.empty(0, np.int64), *(_unpack(a, n, np.int64) for kind, _, n, a, _ in got if kind == "word")])
+        number = {w: i for i, (_, w) in enumerate(_ordered_words(list(set().union(*split_words)), parts))}
+        plain = np.log10((counts + 0.1) / (tokens + 0.1 * (types + 1)))
+        ids = [np.fromiter(map(number.__getitem__, ws), np.int64, len(ws)) for ws in split_words]
+        scores = []
+        for a, b in _slices(streams):
+            byte = code[_find(keys, _keys(streams[a:b]))[0]].astype(np.float64)
+            at = 0
+            for s, ws in zip(streams[a:b], ids[a:b], strict=True):
+                ends = np.flatnonzero(np.frombuffer(s, np.uint8) == 32)
+                scores.append(mixed(np.add.reduceat(byte[at : at + len(s)], np.r_[0, ends[:-1] + 1], axis=0)))
+                assert len(ends) == len(ws)
+                at += len(s)
         return pa.table({
             "doc_id": docs.column("doc_id"),
             "held_out": docs.column("held_out"),
             "n_tokens": pa.array([len(i) for i in ids], pa.int64()),
-            "n_known": pa.array([int((trained[i] > 0).sum()) for i in ids], pa.int64()),
+            "n_known": pa.array([int((counts[i] > 0).sum()) for i in ids], pa.int64()),
             "train_tokens": pa.array([tokens] * len(ids), pa.int64()),
             "base_score": pa.array([float(plain[i].sum()) for i in ids], pa.float64()),
-            "score": pa.array([adapted(i, code[i], prior) for i in ids], pa.float64()),
+            "score": pa.array(scores, pa.float64()),
         })
 
     return run
 
 
-#: Components are the most frequent values of their column, and one for all others.
-MOST_COMPONENTS = 8
-
-
-def score(docs: DataFrame, held_out: Column, component: Column | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Score every document with a model of those where ``held_out`` is false, in components by the values of ``component``."""
+def score(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Score every document with a model of those where ``held_out`` is false."""
     spark = docs.sparkSession
-    kind = F.lit("") if component is None else F.coalesce(component.cast("string"), F.lit(""))
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out.alias("held_out"), kind.alias("kind"))
-    seen = docs.filter("not held_out").groupBy("kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind").limit(MOST_COMPONENTS - 1).collect()
-    number = F.lit(len(seen))
-    for i, r in enumerate(seen):
-        number = F.when(F.col("kind") == r.kind, i).otherwise(number)
-    size, learnt = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held_out"))).first()
-    documents = np.array([r.n for r in seen] + [learnt - sum(r.n for r in seen)], np.float64)
-    prior = (documents + 0.1) / (documents + 0.1).sum()
-    parts = max(1, -(-size // block_bytes))
-    schema = _BLOCK_SCHEMA.format(id=docs.schema["doc_id"].dataType.simpleString())
-    at = common.write_shared(docs.select("doc_id", "text", "held_out", number.alias("number")).mapInArrow(_blocks(parts, block_bytes, len(prior)), schema), "ppm-blocks", "kind")
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    groups = max(1, -(-size // block_bytes))
+    parts = max(1, groups // 4)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = _BLOCK_SCHEMA.format(id=kind)
+    at = common.write_shared(docs.mapInArrow(_blocks(parts, block_bytes), schema), "ppm-blocks", "kind")
     stored = spark.read.schema(schema).parquet(at)
-    words = stored.filter("kind = 'word'").select("block", "part", "n", "words", "size", "counts").groupBy("part")
-    strings = common.cut(words.applyInArrow(_string_rows(len(prior)), "bucket int, part int, n int, strings binary, counts binary, tokens long, types long, once long"), "ppm-strings")
-    stats = {r[0]: r[1:] for r in strings.filter("bucket < 0").groupBy("bucket").agg(F.sum("tokens"), F.sum("types"), F.sum("once")).collect()}
-    tokens, types, _ = stats.get(-1, (0, 0, 0))
-    each = np.array([stats.get(-2 - c, (0, 0, 0)) for c in range(len(prior))], np.float64)
-    new = (each[:, 2] + 0.5) / (each[:, 0] + 1)
-    buckets = strings.filter("bucket >= 0").select("bucket", "part", "n", "strings", "counts").groupBy("bucket")
-    one, grid = np.zeros((256, 256), np.int64), np.zeros(2 * int(np.prod(_STATES)), np.int64)
-    short = buckets.applyInArrow(_short_rows, "pair int, times long").groupBy("pair").agg(F.sum("times"))
-    for pair, times in short.collect():  # at most 65,536 pairs and 6,144 escape statistics
-        if pair < 0:
-            grid[-1 - pair] = times
-        else:
-            one[pair >> 8, pair & 255] = times
-    none = (one > 0).sum(0)
-    grid = grid.reshape(-1, 2) + _left_out(1, one.sum(1), (one > 0).sum(1), (one == 1).sum(1)) + _left_out(0, none.sum(keepdims=True), (none > 0).sum(keepdims=True), (none == 1).sum(keepdims=True))
-    codes = buckets.applyInArrow(_code_rows(one, escapes(grid)), "part int, bucket int, n int, codes binary")
-    scored = words.cogroup(codes.groupBy("part")).applyInArrow(_word_rows(each[:, 0], new), "block long, part int, n int, trained binary, codes binary")
-    kept = stored.filter("kind = 'doc'").select("block", "doc_id", "held_out", "ids").groupBy("block")
-    out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return kept.cogroup(scored.groupBy("block")).applyInArrow(_document_rows(tokens, types, prior), out)
+    words = common.cut(stored.filter("kind = 'word'").select("block", "part", "n", "data", "size", "counts").groupBy("part").applyInArrow(_word_rows, _COUNT_SCHEMA), "ppm-words")
+    types = words.filter("kind = 'types'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    spaces = F.octet_length("data") - F.octet_length(F.expr("replace(cast(data as string), ' ', '')"))
+    tokens = stored.filter("kind = 'doc' and not held_out").agg(F.coalesce(F.sum(spaces), F.lit(0))).first()[0]
+    strings = stored.filter("kind = 'string'")
+    share = SPLIT_SHARE * (strings.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] or 1)
+    heavy = stored.filter("kind = 'heavy'").groupBy("part", "size").agg(F.sum("n").alias("n")).filter(F.col("n") >= share).collect()  # at most 1,024 of either length
+    split = {k: np.array(sorted(r["size"] for r in heavy if r["part"] == k), _U) for k in (3, 4)}
+    grouped = strings.select("block", "n", "data", "counts").mapInArrow(_grouped(split, groups), "grp int, block long, n long, data binary, counts binary").groupBy("grp")
+    stats = grouped.applyInArrow(_stat_rows(split), "level int, key long, times long").groupBy("level", "key").agg(F.sum("times").alias("times"))
+    top = spark.sparkContext.broadcast(Top(stats.toArrow(), split))
+    codes = grouped.applyInArrow(_code_rows(top), _COUNT_SCHEMA)
+    given = codes.unionByName(words.filter("kind = 'word'")).groupBy("block")
+    kept = stored.filter("kind = 'doc'").select("block", "doc_id", "held_out", "data").groupBy("block")
+    return kept.cogroup(given).applyInArrow(_document_rows(tokens, types, parts, split, groups), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % 10 == 0
-    return score(common.table(spark, sf_dir, "documents"), held, F.col("lang"))
+    return score(common.table(spark, sf_dir, "documents"), held)

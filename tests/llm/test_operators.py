@@ -319,7 +319,7 @@ def test_ppm_counts_and_base(docs):
     rows = [(i, "The cat sat on the mat " * (i % 4 + 1) + f"word{i}") for i in range(60)] + [*EDGES[:6], EDGES[8]]
     rows = [(d + 100 if k >= 60 else d, t) for k, (d, t) in enumerate(rows)]
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
-    got = {r.doc_id: r for r in ppm.score(docs(rows), held, F.col("lang"), block_bytes=300).collect()}
+    got = {r.doc_id: r for r in ppm.score(docs(rows), held, block_bytes=300).collect()}
     tokens = {d: [*(t or "").encode().lower().split(), b""] for d, t in rows}
     count, n = {}, 0
     for d, ts in tokens.items():
@@ -335,19 +335,91 @@ def test_ppm_counts_and_base(docs):
     assert ppm.score(docs([]), held).count() == 0
 
 
+def ppm_reference(training, texts, order):
+    """log10 probabilities of the bytes of texts, node by node in dictionaries."""
+    from collections import Counter, defaultdict
+
+    nodes = [defaultdict(Counter) for _ in range(order + 1)]
+    for s in training:
+        data = ppm._START + s
+        for i in range(ppm.ORDER, len(data)):
+            nodes[order][data[i - order : i]][data[i]] += 1
+    longer = set()
+    for s in training:  # below five bytes both orders count the contexts of the longer order
+        data = ppm._START + s
+        longer |= {data[i - ppm.ORDER : i + 1] for i in range(ppm.ORDER, len(data))}
+    for k in range(order - 1, -1, -1):
+        for t in {t[ppm.ORDER - k - 1 :] for t in longer}:
+            nodes[k][t[1 : k + 1]][t[-1]] += 1
+    return nodes
+
+
+def ppm_code(nodes, escape, data, i, order):
+    log, seen = 0.0, set()
+    for k in range(order, -1, -1):
+        node = nodes[k].get(data[i - k : i])
+        if node is None:
+            continue
+        left = {b: c for b, c in node.items() if b not in seen}
+        number = 8 if k == order != ppm.ORDER else k
+        chance = escape[ppm._states(number, np.array([sum(node.values())]), np.array([len(node)]))[0]]
+        if data[i] in left:
+            return log + np.log10((1 - chance) * left[data[i]] / sum(left.values()))
+        if left:
+            log += np.log10(chance)
+        seen |= set(node)
+    return log - np.log10(256 - len(nodes[0].get(b"", ())))
+
+
+def ppm_escapes(tries):
+    grid = np.zeros((int(np.prod(ppm._STATES)), 2), np.int64)
+    levels = {8 if order != ppm.ORDER else order: nodes[order] for order, nodes in tries.items()}
+    for number, table in [*levels.items(), *((k, tries[ppm.ORDER][k]) for k in range(ppm.ORDER))]:
+        for node in table.values():
+            n, d = sum(node.values()), len(node)
+            for c in node.values() if n > 1 else ():
+                state = ppm._states(number, np.array([n - 1]), np.array([d - (c == 1)]))[0]
+                grid[state, int(c == 1)] += c
+    return ppm.escapes(grid)
+
+
+@pytest.mark.parametrize("share", [1.0, 0.004])
+def test_ppm_equals_brute_force(docs, monkeypatch, share):
+    monkeypatch.setattr(ppm, "SPLIT_SHARE", share)
+    rng = random.Random(11)
+    pool = ["the", "cat", "then", "\u00e9t\u00e9", "catch", "a", "sat", "mat\x00", "mathematics", "of"]
+    rows = [(i, " ".join(rng.choice(pool) for _ in range(rng.randint(0, 90)))) for i in range(50)] + [(60, None), (61, "unheard of \u4e2d"), (62, rows_text := "the cat sat " * 30), (63, rows_text)]
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    got = {r.doc_id: r for r in ppm.score(docs(rows), held, block_bytes=700).collect()}
+    streams = {d: ppm.stream(t) for d, t in rows}
+    training = [s for d, s in streams.items() if zlib.crc32(str(d).encode()) % 10]
+    tries = {order: ppm_reference(training, streams.values(), order) for order in ppm.ORDERS}
+    escape = ppm_escapes(tries)
+    for d, s in streams.items():
+        data, codes = ppm._START + s, []
+        for i in range(ppm.ORDER, len(data)):
+            codes.append([ppm_code(tries[order], escape, data, i, order) for order in ppm.ORDERS])
+        ends = [i for i, b in enumerate(s) if b == 32]
+        tokens = np.array([np.sum(codes[a:b], axis=0) for a, b in zip([0, *(e + 1 for e in ends[:-1])], [e + 1 for e in ends], strict=True)])
+        want, log = 0.0, np.zeros(2)
+        for t in range(len(tokens)):
+            log = tokens[max(0, t - ppm.WINDOW) : t].sum(0)
+            share = 10 ** (log - log.max())
+            want += np.log10((share / share.sum() * 10 ** tokens[t]).sum())
+        assert abs(got[d].score - want) <= len(s) / ppm.STEPS / 2 * 1.5 + 1e-6, (d, got[d].score, want)
+
+
 def test_ppm_bytes_are_a_distribution():
-    words = [b"the", b"them", b"then", b"cat", b"car", b""]
-    keys, _ = ppm._strings(words)
-    seen, counts = np.unique(keys, return_counts=True)
-    context = int(seen[0]) >> 8  # the first byte after the blank
-    every = np.array([(context << 8) | b for b in range(256)], np.uint64)
-    full = np.where(np.isin(every, seen), counts[np.minimum(np.searchsorted(seen, every), len(seen) - 1)], 0)
-    one = np.zeros((256, 256), np.int64)
-    for k, c in zip(seen.tolist(), counts.tolist(), strict=True):
-        if k < 65536:
-            one[k >> 8, k & 255] += c
-    escape = ppm.escapes(np.zeros((int(np.prod(ppm._STATES)), 2)))
-    assert abs((10 ** ppm.code_lengths(every, full, one, escape)).sum() - 1) < 1e-9
+    streams = [ppm.stream(t) for t in ("the cat sat on the mat", "then the car", "", "cat")]
+    keys, counts = ppm._distinct(streams)
+    split = {3: np.empty(0, np.uint64), 4: np.empty(0, np.uint64)}
+    stats = ppm._stat_rows(split)(None, ppm._table([(0, 0, len(keys), ppm._pack_keys(keys), ppm._pack(counts))], ppm._GROUP_TYPES))
+    top = ppm.Top(stats, split)
+    for context in (keys[0] >> np.uint64(8), keys[-1] >> np.uint64(8), np.uint64(123456789)):
+        every = (context << np.uint64(8)) | np.arange(256, dtype=np.uint64)
+        levels = top.with_group(keys, counts)
+        for order in ppm.ORDERS:
+            assert abs((10 ** ppm.code_lengths(every, levels, top.escape, order)).sum() - 1) < 1e-9
 
 
 def test_mixing_targets():
