@@ -31,3 +31,81 @@ SENSITIVE = [r"\b[\w.+-]+@[\w.-]+\.[a-zA-Z]{2,}\b", r"\b(?:\+?\d[\s-]?){9,}\b",
 # Constants of ranking.
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
+
+# Stop words of routing phrases and distinctive terms, and of the query rewriter.
+ROUTE_PHRASE_STOPS = ["what", "which", "does", "article", "included", "include", "recommend", "according", "first", "steps", "step", "the", "and", "for", "with", "from", "into", "that", "this", "about", "why", "how", "are", "is"]
+DISTINCTIVE_STOPS = ["what", "which", "who", "how", "why", "when", "where", "does", "article", "paper", "document", "review", "first", "main", "key", "steps", "step"]
+REWRITE_STOPS = ["a", "an", "the", "and", "or", "but", "if", "then", "is", "are", "was", "were", "be", "been", "what", "which", "who", "how", "why", "when", "where", "of", "in", "on", "at", "by", "for", "with", "about", "to", "from", "into", "through", "does", "do", "did"]
+SECTION_STOPS = ["what", "does", "review", "sora", "with", "from", "that", "this", "into", "their", "about"]
+# Fixed value: a challenge of so many days, or to practise, is no limitation.
+PRACTICE_CHALLENGE = r"\b\d+\s*[- ]?\s*day\s+[^?]*challenge\b|\bpractice\w*\s+[^?]*challenge\b"
+
+# Words that name an intent of a query, and the terms that a rewritten query gains for it.
+REWRITE_INTENTS = [
+    (["input", "prompt", "instruction", "query"], ["input", "prompt", "instruction", "user", "natural language", "text"]),
+    (["applications", "areas", "use case", "uses"], ["applications", "use cases", "areas", "domains", "industries", "sectors", "examples"]),
+    (["architecture", "framework", "component", "components", "core model"], ["architecture", "framework", "components", "module", "model", "mechanism"]),
+    (["represent", "representation", "encode", "encoding", "before feeding", "model input"], ["representation", "encoding", "tokens", "patches", "latent", "compressed", "input", "encoder", "model"]),
+    (["native", "size", "sizes", "resolution", "aspect ratio"], ["native", "duration", "resolution", "aspect ratio", "format", "composition", "framing", "crop", "resize"]),
+    (["follow", "following", "detailed", "language", "understanding"], ["instruction", "following", "caption", "description", "fine-tune", "training", "prompt"]),
+    (["limitation", "limitations", "risk", "weakness", "constraint"], ["limitations", "challenges", "constraints", "failure", "risk", "issue", "accuracy", "usage", "physical", "spatial", "temporal", "interaction", "access", "safety"]),
+    (["different", "earlier", "previous", "compare", "compared"], ["different", "previous", "earlier", "compared", "unlike", "improvement"]),
+    (["capability", "capabilities", "simulate", "simulation", "simulator", "ability"], ["capabilities", "ability", "simulate", "simulation", "environment", "world", "consistency", "coherence"]),
+]
+
+# Words that name an intent of a query, and the terms that evidence for it is expected to hold.
+EVIDENCE_INTENTS = [
+    (["input", "prompt", "instruction", "query"], ["input", "prompt", "instruction", "user", "text", "natural language"]),
+    (["application", "applications", "areas", "use case", "uses"], ["application", "applications", "use case", "domain", "area", "industry", "sector"]),
+    (["architecture", "framework", "component", "core model"], ["architecture", "framework", "component", "module", "mechanism"]),
+    (["role", "roles", "agent", "agents"], ["role", "roles", "agent", "agents", "planning", "coding", "testing", "debugging", "documentation", "collaborate", "specialization"]),
+    (["strength", "strengths", "advantage", "advantages", "benefit", "benefits"], ["strength", "strengths", "advantage", "advantages", "benefit", "benefits", "memory", "speed", "performance", "hardware", "efficient", "interpretable", "competitive"]),
+    (["large number", "large numbers", "large integer", "large integers", "very large", "big number", "big numbers"], ["large", "number", "numbers", "integer", "integers", "big numbers", "automatically manages", "special data types", "int", "long", "memory", "dynamic", "dynamically", "allocates", "digits", "10**"]),
+    (["formula", "part formula", "three-part", "three part"], ["formula", "part", "parts", "step", "steps", "component", "components", "hook", "highlight", "handoff"]),
+    (["pipeline", "workflow", "processing app", "app flow"], ["pipeline", "workflow", "setup", "load", "input", "file", "url", "upload", "pdf", "image", "model", "load_model", "process", "processing", "generate", "output", "doctags", "document", "doctagsdocument", "doclingdocument", "export", "markdown", "html", "json", "download", "preview", "interface", "ui", "gradio"]),
+    ([".env", "env file", "environment file", "environment variable", "environment variables"], [".env", "env file", "local development", "environment variables", "variables", "api key", "api keys", "tokens", "secrets", "database", "database url", "url of your database", "key : value", "key-value", "slow", "messy", "inconvenient", "private", "secure", "safe"]),
+    (["command", "useful", "usefulness", "server"], ["command", "single command", "built-in", "http server", "web server", "start", "run", "useful", "test", "web applications", "share files", "local network", "third-party", "browser", "localhost"]),
+    (["used for", "useful for", "purpose"], ["used for", "useful", "application", "applications", "probabilistic", "structured", "structured prediction", "prediction", "context", "independent", "independent predictions", "sequential", "sequential data", "sequence", "label", "labels", "named entity", "ner", "format"]),
+    (["represent", "representation", "encode", "encoding", "before feeding", "model input"], ["representation", "encoding", "token", "patch", "spacetime", "latent", "compressed", "input", "visual representation", "encoder", "transformer", "diffusion", "diffusion transformer"]),
+    (["native", "size", "sizes", "resolution", "aspect ratio"], ["native", "duration", "resolution", "aspect ratio", "format", "composition", "framing", "crop", "resize"]),
+    (["follow", "following", "detailed", "language", "understanding"], ["instruction", "following", "caption", "description", "training", "fine-tune", "prompt"]),
+    (["limitation", "limitations", "risk", "weakness", "constraint"], ["limitation", "challenge", "constraint", "failure", "risk", "issue", "accuracy", "usage"]),
+    (["different", "earlier", "previous", "compare", "compared"], ["different", "previous", "earlier", "compared", "unlike", "improvement"]),
+    (["capability", "capabilities", "simulate", "simulation", "simulator", "ability"], ["capability", "ability", "simulate", "simulation", "environment", "world", "consistency", "coherence"]),
+]
+
+# Markers of direct evidence for each shape of answer, and groups of markers of the stages of a pipeline.
+DIRECT_MARKERS = {
+    "definition": [" is a ", " is an ", " are a ", " are an ", " refers to ", " means ", " known as ", " called ", " defined as ", " released by ", " released in "],
+    "limitation": ["limitation", "limitations", "challenge", "challenges", "constraint", "failure", "fails", "struggle", "issue", "risk", "cannot", "does not"],
+    "list": ["include", "includes", "including", "features include", "key features", "strength", "strengths", "key strengths", "advantage", "advantages", "benefit", "benefits", "low memory", "high learning speed", "performance", "efficient", "interpretable", "consists of", "types", "steps", "roles", "roles like", "agents that", "planning agents", "coding agents", "testing agents", "debugging agents", "documentation agents", "components", "formula", "part formula", "hook", "highlight", "handoff", "collaborate", "specialization", "first", "then", "finally", "such as"],
+    "mechanism": ["automatically manages", "large integers", "large numbers", "big numbers", "special data types", "int or long", "dynamically allocates", "allocates memory", "dynamic memory", "10**", "digits", "using", "uses", "through", "by ", "turn", "convert", "transform", "generate", "process", "pipeline", "model", "input", "output"],
+    "explanation": ["because", "due to", "therefore", "as a result", "recommend", "recommended", "helps", "allows", "enables", "shows", "demonstrates", "capability", "ability", "local development", "environment variables", "api key", "api keys", "database url", "url of your database", "tokens", "secrets", "slow and messy", "inconvenient", "key : value", "key-value", "private", "secure", "safe"],
+    "usage": ["used for", "useful for", "useful", "helps", "allows", "enables", "purpose", "application", "applications", "command", "single command", "built-in", "web server", "http server", "start one instantly", "quickly test", "test web applications", "share files", "local network", "third-party tools", "browser", "localhost", "serve files", "probabilistic", "structured prediction", "structured", "prediction", "independent predictions", "context", "sequential data", "sequential", "sequence", "label", "labels", "named entity", "ner"],
+    "pipeline": ["pipeline", "workflow", "setup", "load", "input", "file", "upload", "url", "image", "pdf", "model", "load_model", "process", "processing", "generate", "output", "doctags", "markup", "document", "doctagsdocument", "doclingdocument", "export", "markdown", "html", "json", "download", "preview", "interface", "ui", "gradio"],
+}
+PIPELINE_STAGES = [["pdf", "image", "file", "upload", "url", "input"], ["model", "load_model", "load the"], ["process", "processing", "generate", "output", "doctags", "markup"], ["document", "doctagsdocument", "doclingdocument"], ["export", "markdown", "html", "json", "format"], ["preview", "download", "interface", "ui", "gradio"]]
+LIST_CUE = r"\b(?:first steps?|do this first|start today|here'?s how|recommended?|suggests?)\b"
+PREFILTER_MARKERS = ["include", "includes", "such as", "limitation", "challenge", "because", "roles", "agents", "strength", "strengths", "advantage", "advantages", "benefit", "benefits", "command", "single command", "built-in", "web server", "http server", "quickly test", "test web applications", "share files", "local network", "third-party tools", "browser", "localhost", "environment variables", "local development", "api key", "api keys", "tokens", "secrets", "database", "key : value", "slow and messy", "inconvenient", "structured prediction", "independent predictions", "sequential data", "named entity", "ner", "pipeline", "workflow", "setup", "load_model", "doctags", "doctagsdocument", "doclingdocument", "export", "markdown", "html", "json", "download", "preview", "gradio"]
+
+# Markers of leaked context in answers before verification, and of unfocused answers.
+ANSWER_LEAK_MARKERS = ["[child chunk", "retrieved chunk", "chunk_id", "hybrid_score", "reranker_score", "title:", "section:", "score:", "text:", "follow publication", "get an email whenever", "by signing up"]
+LIST_STYLE = ["main message", "formula", "steps", "features", "best practices", "challenge"]
+# Entities that may stand in an answer whatever was asked, and words that are no entities of a query.
+GENERIC_ENTITIES = ["docker", "pdf", "api", "ai", "ml", "rag", "url", "http", "https", "monitoring", "detecting", "updating", "updates", "containers", "security", "stability", "overhead", "this", "these", "that", "those", "there", "their", "they", "development", "optimize", "configure", "wisely", "keep", "create", "start", "implement", "schedule", "use", "run", "set", "limitations", "limitation", "challenges", "challenge", "features", "feature", "capabilities", "capability", "applications", "application", "architecture", "framework", "components", "component", "physical", "digital", "visual", "language", "interaction", "human-computer", "openai"]
+ENTITY_GENERIC = ["what", "which", "from", "paper", "document", "key", "feature", "features", "main", "some", "tell", "about", "explain", "describe", "according", "review"]
+VERIFIER_STOPS = ["what", "which", "are", "does", "do", "did", "how", "why", "this", "that", "the", "and", "for", "from", "into", "with", "about", "according", "paper", "document", "article", "review", "describe", "discuss", "main", "some", "type", "uses", "used", "using", "make", "makes", "say", "user", "answer", "context", "retrieved", "section", "page"]
+PUBLISHER_MARKERS = ["follow publication", "published in", "get an email", "by signing up"]
+
+# Markers of sentences for the predicates of facts.
+STRUCTURED = r"\b(?:\d+[.)]|day\s*\d+|step\s*\d+|first|second|third|finally)\b"
+EXAMPLE_MARKERS = ["such as", "including", "includes", "for example", "e.g.", "like "]
+HIGH_SIGNAL = ["is a", "released", "it has three parts", "(1)", "(2)", "(3)", "such as", "include", "including", "for example", "limitation", "challenge", "approach", "method", "capability", "useful", "why is", "enforces", "forces", "key : value"]
+SHORT_SIGNAL = ["http.server", "quickly test", "share files", "local network", "third-party", "clean", "readable", "missing braces", "key : value", "api keys", "database", "degree", "computer science degree", "tech bro", "technical background", "line of code", "fancy app", "product", "don't need", "don’t need", "no code", "save time", "make money"]
+CODE_MARKERS = ["import ", "plt.", "np.", "print(", "pip install", "```", "def ", "elif ", "app.launch", "gr.", "tempfile.", "return gr.", "random_state", "train_test_split"]
+CODE_QUERIES = ["command", "setup", "run", "install", "code", "example", "server", "large number", "numbers", "settings", "environment variables", "configuration"]
+CODE_KEPT = ["pip ", "uv ", "install", "python", "print(", "**", "http", "localhost", "127.0.0.1", "load", "url", "alias", "prefix", "validation"]
+AUTHOR_MARKERS = ["university", "research", "author", "corresponding", "email"]
+BROAD_QUERIES = ["limitation", "challenge", "detect", "anomal", "useful", "scalable", "model input", "start", "pipeline", "formula", "architecture", "mentioned", "reasons", "command", "server", ".env", "env file", "indentation", "braces", "replace", "mean by", "simulate", "simulation", "simulator", "world"]
+MOJIBAKE = [("â€™", "'"), ("â\u0080\u0099", "'"), ("â€˜", "'"), ("â\u0080\u0098", "'"), ("â€œ", '"'), ("â\u0080\u009c", '"'), ("â€�", '"'), ("â\u0080\u009d", '"'), ("â€“", "-"), ("â\u0080\u0093", "-"), ("â€”", "-"), ("â\u0080\u0094", "-"), ("â€¦", "..."), ("â\u0080¦", "..."), ("Â°", "°"), ("Â·", "-"), ("Â ", " "), ("Â", "")]
+BROKEN_WORDS = [("simu- late", "simulate"), ("signif- icantly", "significantly"), ("gener- ation", "generation"), ("remain- ing", "remaining")]

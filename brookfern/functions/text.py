@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,11 +14,8 @@ WORD = r"[\p{L}\p{N}_]+"
 
 
 def any_of(text: Column, words: list[str]) -> Column:
-    """One of the words is a substring of ``text``."""
-    found = F.lit(False)
-    for w in words:
-        found = found | text.contains(w)
-    return found
+    """One of the words is a substring of ``text``: one pattern, so that code does not grow with the list."""
+    return text.rlike("|".join(re.escape(w) for w in words)) if words else F.lit(False)
 
 
 def matches_any(text: Column, patterns: list[str]) -> Column:
@@ -58,6 +57,11 @@ def content_tokens(query: Column) -> Column:
     return F.array_distinct(without(words, fixed.ROUTING_STOPS, 2))
 
 
+def ascii_words(text: Column, first: str, more: str) -> Column:
+    """Words of two letters or more of a class, where no letter, digit or underscore stands beside them."""
+    return F.regexp_extract_all(text, F.lit(rf"(?<![\p{{L}}\p{{N}}_])[{first}](?:[{more}]*[{more.removesuffix('-')}])(?![\p{{L}}\p{{N}}_])"), F.lit(0))
+
+
 def focus_terms(query: Column) -> Column:
     words = F.regexp_extract_all(query, F.lit(r"[A-Za-z][A-Za-z0-9_-]{3,}"), F.lit(0))
     kept = F.filter(words, lambda w: w.rlike("[A-Z]") | (F.length(w) >= 8))
@@ -66,7 +70,8 @@ def focus_terms(query: Column) -> Column:
 
 def focus_phrases(query: Column) -> Column:
     """Runs of capitalised words, lower-cased, without generic words; and the singular of a plural last word."""
-    runs = F.regexp_extract_all(query, F.lit(r"[A-Z][A-Za-z0-9_-]*(?:\s+[A-Z][A-Za-z0-9_-]*)+"), F.lit(0))
+    word = r"(?<![\p{L}\p{N}_])[A-Z](?:[A-Za-z0-9_-]*[A-Za-z0-9_])?(?![\p{L}\p{N}_])"
+    runs = F.regexp_extract_all(query, F.lit(rf"{word}(?:\s+{word})+"), F.lit(0))
     kept = F.filter(F.transform(runs, lambda r: without(F.split(F.lower(r), r"\s+"), fixed.PHRASE_GENERIC)), lambda ws: F.size(ws) >= 2)
     phrases = F.transform(kept, lambda ws: F.array_join(ws, " "))
     singular = F.transform(F.filter(phrases, lambda p: p.rlike(r"[^\s]{4,}s$")), lambda p: F.regexp_replace(p, "s$", ""))

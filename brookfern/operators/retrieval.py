@@ -1,11 +1,15 @@
 """Batch retrieval: many queries against many chunks as equi-joins on terms and documents.
 
 Conventions: queries (query_id, query), chunks (chunk_id, doc_id, title, page_number,
-chunk_index, section_title, text), rankings (query_id, chunk_id, score, rank).
+chunk_index, section_title, text), scopes (query_id, doc_id), rankings (query_id, chunk_id, score, rank).
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,57 +27,81 @@ def query_terms(queries: DataFrame, terms: Column | None = None) -> DataFrame:
     return queries.select("query_id", F.explode(words).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
-def bm25(items: DataFrame, key: str, body: Column, terms: DataFrame, scope: DataFrame | None = None) -> DataFrame:
-    """(query_id, key, score) of every item that shares a term with the query.
+def _postings(items: DataFrame, key: str, body: Column, *more: str) -> DataFrame:
+    """(key, *more, length, term, tf): texts are split once; lengths travel with the terms."""
+    words = items.select(key, *more, text.tokens(body).alias("words"))
+    return words.select(key, *more, F.size("words").alias("length"), F.explode("words").alias("term")).groupBy(key, *more, "length", "term").agg(F.count("*").alias("tf"))
 
-    items: one row per ``key``; terms: (query_id, term, times).  With ``scope`` (query_id, key)
-    the statistics are those of each query's own scope.  Only terms that a query asks for leave the scan
-    with their counts; statistics of the whole vocabulary are one row.
-    """
-    bag = items.select(key, text.tokens(body).alias("words"))
-    lengths = bag.select(key, F.size("words").alias("length"))
-    postings = bag.select(key, F.explode("words").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    if scope is None:
-        stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
-        n = stats.select("n").scalar()
-        frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
-        idf = frequency.select("term", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-        floor = idf.agg((F.avg("idf") * fixed.BM25_EPSILON).alias("floor")).select("floor").scalar()
-        idf = idf.withColumn("idf", F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")))
-        hit = terms.join(idf, "term").join(postings, "term").join(lengths, key)
-        mean = stats.select("mean_length").scalar()
-    else:
-        inside = lengths.join(scope, key)
-        stats = inside.groupBy("query_id").agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
-        scoped = postings.join(scope, key)
-        frequency = scoped.groupBy("query_id", "term").agg(F.count("*").alias("df")).join(stats, "query_id")
-        idf = frequency.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-        floors = idf.groupBy("query_id").agg((F.avg("idf") * fixed.BM25_EPSILON).alias("floor"))
-        idf = idf.join(floors, "query_id").select("query_id", "term", "mean_length", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
-        hit = terms.join(idf, ["query_id", "term"]).join(scoped, ["query_id", "term"]).join(lengths, key)
-        mean = F.col("mean_length")
+
+def _weighed(hit: DataFrame, keys: list[str], mean: Column) -> DataFrame:
     norm = F.col("tf") + fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.col("length") / mean)
     part = F.col("times") * F.col("idf") * F.col("tf") * (fixed.BM25_K1 + 1) / norm
-    return hit.groupBy("query_id", key).agg(F.sum(part).alias("score"))
+    return hit.groupBy(*keys).agg(F.sum(part).alias("score"))
+
+
+def bm25(items: DataFrame, key: str, body: Column, terms: DataFrame) -> DataFrame:
+    """(query_id, key, score) of every item that shares a term with the query.
+
+    items: one row per ``key``; terms: (query_id, term, times).  Only postings of asked terms leave the
+    scan with their counts; statistics of the whole vocabulary are one row.
+    """
+    postings = _postings(items, key, body)
+    n = items.agg(F.count("*").alias("n")).select("n").scalar()
+    frequency = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("times"))
+    idf = frequency.select("term", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"), "times")
+    whole = idf.agg((F.avg("idf") * fixed.BM25_EPSILON).alias("floor"), F.sum("times").alias("tokens"))
+    floor, tokens = whole.select("floor").scalar(), whole.select("tokens").scalar()
+    idf = idf.select("term", F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")).alias("idf"))
+    return _weighed(terms.join(idf, "term").join(postings, "term"), ["query_id", key], tokens / n)
+
+
+def numbered_scopes(scope: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query_id, scope_id) and (scope_id, doc_id): queries with the same documents share a scope.
+
+    A scope is known by count, sum and xor of hashes of its documents, so no list of documents is gathered."""
+    mark = F.xxhash64("doc_id")
+    signed = scope.distinct().groupBy("query_id").agg(F.count("*").alias("n"), F.sum(mark.cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(7), "doc_id")).alias("x"))
+    asked = signed.select("query_id", F.xxhash64("n", "s", "x").alias("scope_id"))
+    first = asked.groupBy("scope_id").agg(F.min("query_id").alias("query_id"))
+    return asked, scope.distinct().join(first, "query_id").select("scope_id", "doc_id")
+
+
+def bm25_scoped(chunks: DataFrame, terms: DataFrame, asked: DataFrame, members: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score) with the statistics of each query's own scope, made once for each scope."""
+    inside = chunks.join(members, "doc_id")
+    postings = _postings(inside, "chunk_id", F.col("text"), "scope_id")
+    size = inside.groupBy("scope_id").agg(F.count("*").alias("n"))
+    frequency = postings.groupBy("scope_id", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("times"))
+    idf = frequency.join(size, "scope_id").withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    floors = idf.groupBy("scope_id").agg((F.avg("idf") * fixed.BM25_EPSILON).alias("floor"), (F.sum("times") / F.first("n")).alias("mean_length"))
+    wanted = terms.join(asked, "query_id")
+    idf = idf.select("scope_id", "term", "idf").join(floors, "scope_id").select("scope_id", "term", "mean_length", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
+    hit = wanted.join(idf, ["scope_id", "term"]).join(postings, ["scope_id", "term"])
+    return _weighed(hit, ["query_id", "chunk_id"], F.col("mean_length"))
 
 
 def sparse_scores(chunks: DataFrame, queries: DataFrame, scope: DataFrame) -> DataFrame:
-    """BM25 within each query's scope plus substring boosts; every chunk of the scope keeps a row."""
-    lexical = bm25(chunks, "chunk_id", F.col("text"), query_terms(queries), scope)
-    asked = queries.select("query_id", F.array_distinct(text.tokens(F.col("query"))).alias("terms"), text.focus_phrases(F.col("query")).alias("phrases"))
+    """BM25 within each query's scope plus substring boosts; every chunk of the scope keeps a row, without its texts.
+
+    scope: (query_id, doc_id).  A chunk is lower-cased once, not once for each query."""
+    asked, members = numbered_scopes(scope)
+    lexical = bm25_scoped(chunks, query_terms(queries), asked, members)
     section = F.lower(F.coalesce("section_title", F.lit("")))
     whole = F.lower(F.concat_ws(" ", F.coalesce("section_title", F.lit("")), F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))))
+    lowered = chunks.join(members, "doc_id").select("scope_id", "chunk_id", "title", "page_number", "chunk_index", section.alias("low_section"), whole.alias("low_whole"))
+    wanted = queries.join(asked, "query_id").select("scope_id", "query_id", F.array_distinct(text.tokens(F.col("query"))).alias("terms"), text.focus_phrases(F.col("query")).alias("phrases"))
 
-    def boost(units: Column, in_title: float, elsewhere: float) -> Column:
-        return F.aggregate(units, F.lit(0.0), lambda s, u: s + F.when(section.contains(u), in_title).when(whole.contains(u), elsewhere).otherwise(0.0))
+    def boost(units: str, in_title: float, elsewhere: float) -> Column:
+        return F.aggregate(units, F.lit(0.0), lambda s, u: s + F.when(F.col("low_section").contains(u), in_title).when(F.col("low_whole").contains(u), elsewhere).otherwise(0.0))
 
-    rows = scope.join(chunks, "chunk_id").join(asked, "query_id").join(lexical, ["query_id", "chunk_id"], "left")
-    return rows.withColumn("score", F.coalesce("score", F.lit(0.0)) + boost(F.col("phrases"), 8.0, 5.0) + boost(F.col("terms"), 1.25, 0.25)).drop("terms", "phrases")
+    rows = lowered.join(wanted, "scope_id").select("query_id", "chunk_id", "title", "page_number", "chunk_index", (boost("phrases", 8.0, 5.0) + boost("terms", 1.25, 0.25)).alias("boost"))
+    return rows.join(lexical, ["query_id", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)) + F.col("boost")).drop("boost")
 
 
 def sparse_topk(chunks: DataFrame, queries: DataFrame, scope: DataFrame, limit: int) -> DataFrame:
+    """The best chunks of each query, with the columns of ``chunks``."""
     order = [F.desc(F.round("score", 9)), F.col("title"), F.col("page_number"), F.col("chunk_index"), F.col("chunk_id")]
-    return ranked(sparse_scores(chunks, queries, scope), ["query_id"], order, limit)
+    return ranked(sparse_scores(chunks, queries, scope), ["query_id"], order, limit).select("query_id", "chunk_id", "score", "rank").join(chunks, "chunk_id")
 
 
 def unit(vector: Column) -> Column:
@@ -82,17 +110,28 @@ def unit(vector: Column) -> Column:
     return F.when(norm > 0, F.transform(doubled, lambda x: x / norm)).otherwise(doubled)
 
 
-def cosine_scores(vectors: DataFrame, asked: DataFrame, key: str, group: str | None = None) -> DataFrame:
+#: Queries that meet a row of vectors at once.
+QUERY_BLOCK = 64
+
+
+def cosine_scores(vectors: DataFrame, asked: DataFrame, key: str, group: str | None = None, keep: int | None = None) -> DataFrame:
     """(query_id, key, score): cosine of each query vector with every vector.
 
-    ``asked`` (query_id, vector) is a stated query set; blocks of queries are dealt to the
-    vectors by an equality join on the block, so neither side is broadcast by force.
-    """
-    blocks = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(8)).cast("int").alias("block"), F.struct("query_id", unit(F.col("vector")).alias("unit")).alias("q")).groupBy("block").agg(F.collect_list("q").alias("qs"))
-    own = vectors.select(key, *([group] if group else []), unit(F.col("vector")).alias("unit"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("block"))
-    pairs = own.join(blocks, "block").select(key, *([group] if group else []), F.col("unit").alias("mine"), F.explode("qs").alias("q"))
-    dot = F.aggregate(F.zip_with("mine", "q.unit", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return pairs.select(F.col("q.query_id").alias("query_id"), key, *([group] if group else []), dot.alias("score"))
+    ``asked`` (query_id, vector) is a stated query set; blocks of ``QUERY_BLOCK`` queries are dealt to the
+    vectors by an equality join on the block, so neither side is broadcast by force.  keep: only the best
+    so many of each query (and group) are wanted, ties to the smaller key; then a partial ranking runs before the shuffle."""
+    count = asked.count()
+    blocks = max(1, -(-count // QUERY_BLOCK))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
+    dealt = asked.select(block.alias("block"), F.struct("query_id", unit(F.col("vector")).alias("unit")).alias("q")).groupBy("block").agg(F.collect_list("q").alias("qs"))
+    more = [group] if group else []
+    own = vectors.select(key, *more, unit(F.col("vector")).alias("unit"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    pairs = own.join(dealt, "block").select(key, *more, F.explode(F.transform("qs", lambda q: F.struct(q["query_id"].alias("query_id"), dot(F.col("unit"), q["unit"]).alias("score")))).alias("s"))
+    scores = pairs.select("s.query_id", key, *more, "s.score")
+    if keep is None:
+        return scores
+    return ranked(scores, ["query_id", *more], [F.desc(F.round("score", 9)), F.col(key)], keep, "kept").drop("kept")
 
 
 def topk_per_group(scores: DataFrame, group: str, key: str, limit: int, per_group: int) -> DataFrame:
@@ -114,49 +153,122 @@ def rrf(dense: DataFrame, sparse: DataFrame, limit: int, k: int = fixed.RRF_K) -
     return ranked(scored, ["query_id"], order, limit)
 
 
+def _tagged(values: Column, name: str, tag: str | int, tag_name: str) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(tag).alias(tag_name), v.alias(name)))
+
+
+def query_patterns(queries: DataFrame) -> DataFrame:
+    """(query_id, kind, pattern): the whole query, its phrases of two to four words, and its distinctive terms."""
+    asked = queries.select("query_id", F.lower("query").alias("q"), "query")
+    words = text.without(text.ascii_words(F.col("q"), "a-z0-9", "a-z0-9-"), fixed.ROUTE_PHRASE_STOPS)
+    grams = F.transform(F.concat(*(text.ngrams(words, n) for n in (4, 3, 2))), text.phrase_form)
+    phrases = F.filter(F.array_distinct(grams), lambda p: F.length(p) >= 7)
+    distinct = F.filter(text.ascii_words(F.col("query"), "A-Za-z", "A-Za-z0-9_-"), lambda w: (F.length(w) >= 4) & w.rlike("[A-Z0-9_-]") & ~F.lower(w).isin(fixed.DISTINCTIVE_STOPS))
+    terms = F.filter(F.array_distinct(F.transform(distinct, text.phrase_form)), lambda t: t != "")
+    kinds = {"whole": F.array("q"), "phrase": phrases, "term": terms}
+    marked = F.concat(*(_tagged(ps, "pattern", kind, "kind") for kind, ps in kinds.items()))
+    return asked.select("query_id", F.explode(marked).alias("m")).select("query_id", "m.kind", "m.pattern").filter("pattern <> ''")
+
+
+#: Patterns searched in one pass over the documents; more take further passes.
+MOST_PATTERNS = 200_000
+
+
+def pattern_points(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(query_id, doc_id, points): what the patterns of each query add to a document.
+
+    A batch of questions is a stated query set, so its distinct patterns go to every task, and one pass over each
+    document finds all of them at once.  The whole query: 2 in the title, 4 in the content; a phrase: 10 in
+    the title, else 8 in the section titles, else 12 anywhere; a term (as words): 40, 30, 24 in the path, 36 anywhere."""
+    spark = docs.sparkSession
+    wanted = sorted((r.kind, r.pattern) for r in patterns.select("kind", "pattern").distinct().collect())
+    fields = docs.select("doc_id", *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("title", "source_path", "section_titles", "content")))
+    kind_of = docs.schema["doc_id"].dataType.simpleString()
+
+    def search(chosen: list[tuple[str, str]]):
+        shipped = spark.sparkContext.broadcast(chosen)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = shipped.value
+            raw = _matcher({p: [i] for i, (kind, p) in enumerate(own) if kind == "whole"})
+            plain: dict[str, list[int]] = {}
+            for i, (kind, p) in enumerate(own):
+                if kind != "whole":
+                    plain.setdefault(p if kind == "phrase" else f" {p} ", []).append(i)
+            form = _matcher(plain)
+            tidy = lambda t: f" {re.sub(r'[^a-z0-9]+', ' ', t.lower()).strip()} "
+            for batch in batches:
+                ids, which, points = [], [], []
+                for d, title, path, sections, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    found: dict[int, float] = {}
+                    for body, worth in ((title, 2.0), (content, 4.0)):
+                        for i in raw(body.lower()):
+                            found[i] = found.get(i, 0.0) + worth
+                    low = [x.lower() for x in (title, path, sections, content)]
+                    for body, phrase, term in ((title, 10.0, 40.0), (sections, 8.0, 30.0), (path, None, 24.0), (" ".join(low), 12.0, 36.0)):
+                        for i in form(tidy(body)):
+                            worth = phrase if own[i][0] == "phrase" else term
+                            if worth is not None:
+                                found.setdefault(i, worth)
+                    ids += [d] * len(found)
+                    which += found.keys()
+                    points += found.values()
+                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array([own[i][0] for i in which], pa.string()), pa.array([own[i][1] for i in which], pa.string()), pa.array(points, pa.float64())], ["doc_id", "kind", "pattern", "points"])
+
+        return fields.mapInArrow(run, f"doc_id {kind_of}, kind string, pattern string, points double")
+
+    found = search(wanted[:MOST_PATTERNS])
+    for at in range(MOST_PATTERNS, len(wanted), MOST_PATTERNS):
+        found = found.unionAll(search(wanted[at : at + MOST_PATTERNS]))
+    return found.join(patterns, ["kind", "pattern"]).groupBy("query_id", "doc_id").agg(F.sum("points").alias("points"))
+
+
+def _matcher(patterns: dict[str, list[int]]):
+    """A function from a text to the numbers of the patterns that are substrings of it."""
+    if not patterns:
+        return lambda body: set()
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda body: {i for p, numbers in patterns.items() if p in body for i in numbers}
+    automaton = ahocorasick.Automaton()
+    for p, numbers in patterns.items():
+        automaton.add_word(p, numbers)
+    automaton.make_automaton()
+    return lambda body: {i for _, numbers in automaton.iter(body) for i in numbers}
+
+
 def route_documents(docs: DataFrame, queries: DataFrame, top_n: int = 3) -> DataFrame:
-    """Top documents of each query: BM25 plus title, section, path, content, coverage and phrase boosts.
+    """Top documents of each query: BM25 plus title, section, path, content and coverage boosts and those of ``pattern_points``.
 
-    docs: doc_id, title, source_path, section_titles, content (one row a document).
-    """
-    words = F.when(F.size(text.content_tokens(F.col("query"))) > 0, text.content_tokens(F.col("query"))).otherwise(text.tokens(F.col("query")))
-    asked = queries.select("query_id", "query", words.alias("words"))
+    docs: doc_id, title, source_path, section_titles, content (one row a document).  Documents that share nothing
+    with a query are not ranked."""
+    own = text.content_tokens(F.col("query"))
+    words = F.when(F.size(own) > 0, own).otherwise(text.tokens(F.col("query")))
+    asked = queries.select("query_id", words.alias("words"))
     terms = asked.select("query_id", F.explode("words").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     base = F.regexp_extract("source_path", r"([^/]*)$", 1)
     body = F.concat_ws(" ", "title", base, F.coalesce("section_titles", F.lit("")), "content")
     lexical = bm25(docs, "doc_id", body, terms)
-    # Where each asked term stands in a document: one row per (document, term), joined on the term.
-    place = lambda c, n: docs.select("doc_id", F.explode(text.tokens(F.coalesce(F.col(c), F.lit("")))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias(n))
-    spots = place("title", "in_title").join(place("section_titles", "in_sections"), ["doc_id", "term"], "full").join(place("source_path", "in_path"), ["doc_id", "term"], "full").join(place("content", "in_content"), ["doc_id", "term"], "full")
+    # Where each asked term stands in a document: all fields of a document are split in one pass.
+    places = {"in_title": "title", "in_sections": "section_titles", "in_path": "source_path", "in_content": "content"}
+    tagged = F.concat(*(_tagged(text.tokens(F.coalesce(F.col(c), F.lit(""))), "term", i, "field") for i, c in enumerate(places.values())))
+    spots = docs.select("doc_id", F.explode(tagged).alias("t")).select("doc_id", "t.term", "t.field").join(terms.select("term").distinct(), "term", "left_semi")
+    spots = spots.groupBy("doc_id", "term").agg(*(F.count_if(F.col("field") == i).alias(name) for i, name in enumerate(places)))
     hit = terms.join(spots, "term")
-    has = lambda c: F.col(c).isNotNull()
-    value = (
-        F.when(has("in_title"), 8.0).otherwise(0.0)
-        + F.when(has("in_sections"), 4.0).otherwise(0.0)
-        + F.when(has("in_path"), 2.0).otherwise(0.0)
-        + F.when(has("in_content"), 0.75 + F.least(F.lit(2.5), F.log1p("in_content")) + F.when(F.length("term") >= 6, 1.25).otherwise(0.0)).otherwise(0.0)
-    )
-    titled = F.when(has("in_title"), 1).otherwise(0) + F.when(has("in_sections"), 1).otherwise(0)
-    boosts = hit.groupBy("query_id", "doc_id").agg(F.sum(value * F.col("times")).alias("boost"), F.sum(titled * F.col("times")).alias("titled"), F.sum(F.when(has("in_content"), 1).otherwise(0)).alias("matched"))
+    has = lambda c, worth: F.when(F.col(c) > 0, worth).otherwise(0.0)
+    frequent = 0.75 + F.least(F.lit(2.5), F.log1p("in_content")) + F.when(F.length("term") >= 6, 1.25).otherwise(0.0)
+    value = has("in_title", 8.0) + has("in_sections", 4.0) + has("in_path", 2.0) + has("in_content", frequent)
+    titled = has("in_title", 1) + has("in_sections", 1)
+    boosts = hit.groupBy("query_id", "doc_id").agg(F.sum(value * F.col("times")).alias("boost"), F.sum(titled * F.col("times")).alias("titled"), F.sum(has("in_content", 1)).alias("matched"))
     size = asked.select("query_id", F.size(F.array_distinct("words")).alias("asked"))
-    scored = boosts.join(lexical, ["query_id", "doc_id"], "left").join(size, "query_id")
-    score = F.coalesce("score", F.lit(0.0)) + F.col("boost") + F.col("matched") / F.greatest("asked", F.lit(1)) * 14.0 + F.least(F.lit(10.0), F.col("titled") * 2.5)
+    extra = pattern_points(docs, query_patterns(queries))
+    scored = boosts.join(lexical, ["query_id", "doc_id"], "left").join(extra, ["query_id", "doc_id"], "full").join(size, "query_id")
+    number = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    score = number("score") + number("boost") + number("matched") / F.greatest("asked", F.lit(1)) * 14.0 + F.least(F.lit(10.0), number("titled") * 2.5) + number("points")
     return ranked(scored.select("query_id", "doc_id", score.alias("routing_score")), ["query_id"], [F.desc(F.round("routing_score", 9)), F.col("doc_id")], top_n)
 
 
-def phrase_boosts(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, boost) of whole-query and phrase hits for the routed candidates (query_id, doc_id) in ``docs``."""
-    q = F.lower("query")
-    title, content = F.lower("title"), F.lower("content")
-    plain_title, sections = text.phrase_form(F.col("title")), text.phrase_form(F.coalesce("section_titles", F.lit("")))
-    everything = text.phrase_form(F.concat_ws(" ", "title", "source_path", F.coalesce("section_titles", F.lit("")), "content"))
-    words = F.regexp_extract_all(q, F.lit("[a-z0-9][a-z0-9-]+"), F.lit(0))
-    grams = F.filter(F.array_distinct(F.concat(*(text.ngrams(words, n) for n in (4, 3, 2)))), lambda p: F.length(p) >= 7)
-    phrase = F.aggregate(grams, F.lit(0.0), lambda s, p: s + F.when(plain_title.contains(p), 10.0).when(sections.contains(p), 8.0).when(everything.contains(p), 12.0).otherwise(0.0))
-    whole = F.when(title.contains(q), 2.0).otherwise(0.0) + F.when(content.contains(q), 4.0).otherwise(0.0)
-    return docs.join(queries, "query_id").select("query_id", "doc_id", (whole + phrase).alias("boost"))
-
-
 def candidate_scope(routed: DataFrame) -> DataFrame:
     """Only the first document if it leads by 5 % or by 3 points; else all routed ones."""
     w = Window.partitionBy("query_id")

@@ -27,8 +27,7 @@ def ask(queries: DataFrame, docs: DataFrame, chunks: DataFrame, top_k: int = 8)
 
 
 def _attempt(asked: DataFrame, scope_docs: DataFrame, chunks: DataFrame, top_k: int) -> DataFrame:
-    scope = scope_docs.select("query_id", "doc_id").join(chunks.select("doc_id", "chunk_id"), "doc_id").select("query_id", "chunk_id")
-    hits = materialized(retrieval.sparse_topk(chunks, asked, scope, top_k))
+    hits = materialized(retrieval.sparse_topk(chunks, asked, scope_docs.select("query_id", "doc_id"), top_k))
     near = retrieval.neighbours(hits.select("query_id", "doc_id", "chunk_index"), chunks, 1).select("query_id", "chunk_id", "doc_id", "title", "section_title", "text", "chunk_index")
     own = hits.select("query_id", "chunk_id", "doc_id", "title", "section_title", "text", "chunk_index", F.col("rank").alias("at"))
     items = retrieval.ordered_union([own, near.withColumn("at", F.col("chunk_index"))], ["query_id", "chunk_id"], "at")

@@ -25,7 +25,14 @@ _CHUNKS = (
 chunks AS (SELECT doc_id, doc_no, title, source, source_path, chunk_index::INTEGER AS chunk_index, (chunk_index // 8 + 1)::INTEGER AS page_number, substr(lines[(chunk_index // 8) * 8 + 1], 1, 40) AS section_title, text,
   doc_id || '-p' || (chunk_index // 8 + 1)::VARCHAR || '-c' || chunk_index::VARCHAR AS chunk_id FROM pieces WHERE text <> '')"""
 )
-_ASKED = r"asked AS (SELECT item_id AS query_id, array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')[1:5], ' ') AS query FROM benchmark)"
+_WORDS5 = [f"coalesce(w[{i}], '')" for i in range(1, 6)]
+_NAME = "translate(substr({0}, 1, 1), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || substr({0}, 2)"
+_ASKED = rf"""asked_words AS (SELECT item_id AS query_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+') AS w FROM benchmark),
+asked AS (SELECT query_id, 'What does ' || {_NAME.format(_WORDS5[0])} || ' ' || {_NAME.format(_WORDS5[1])} || ' say about ' || {_WORDS5[2]} || ' ' || {_WORDS5[3]} || ' ' || {_WORDS5[4]} || '?' AS query FROM asked_words)"""
+# Runs of two capitalised words are all that a question has for phrases.
+_GENERIC = ", ".join(f"'{w}'" for w in fixed.PHRASE_GENERIC)
+_PHRASES = rf"""pair AS (SELECT query_id, string_split(query, ' ') AS qw FROM asked), runs AS (SELECT query_id, lower(qw[3]) AS a, lower(qw[4]) AS b, regexp_full_match(qw[3], '[A-Z][A-Za-z0-9_]*') AND regexp_full_match(qw[4], '[A-Z][A-Za-z0-9_]*') AND NOT list_contains([{_GENERIC}], lower(qw[3])) AND NOT list_contains([{_GENERIC}], lower(qw[4])) AS named FROM pair),
+phrases AS (SELECT query_id, CASE WHEN NOT named THEN [] WHEN b LIKE '%s' AND length(b) > 4 THEN [a || ' ' || b, a || ' ' || left(b, length(b) - 1)] ELSE [a || ' ' || b] END AS phrases FROM runs)"""
 _TERMS = r"terms AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[\p{L}\p{N}_]+')) AS term FROM asked) GROUP BY ALL)"
 
 
@@ -87,31 +94,34 @@ def bm25_topk(spark, sf_dir):
 _SCOPE = "scope AS (SELECT query_id, chunk_id FROM asked JOIN chunks ON source = 'src' || (query_id % 20)::VARCHAR)"
 
 
-def _scope(asked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Each query may see the chunks of one source."""
+def _scope(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """Each query may see the documents of one source."""
     own = asked.select("query_id", F.concat(F.lit("src"), F.col("query_id") % 20).alias("source"))
-    return chunks.join(own, "source").select("query_id", "chunk_id")
+    return docs.select("doc_id", "source").join(own, "source").select("query_id", "doc_id")
 
 
 @query(f"WITH {_CHUNKS}, {_ASKED}, {_TERMS}, {_SCOPE}, {_bm25_sql('chunks', 'chunk_id', 'text', 'scope')} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM lexical) WHERE rank <= 5")
 def bm25_scoped_topk(spark, sf_dir):
     asked, chunks = fx.questions(spark, sf_dir), fx.chunks(spark, sf_dir)
-    found = retrieval.bm25(chunks, "chunk_id", F.col("text"), retrieval.query_terms(asked), _scope(asked, chunks))
+    found = retrieval.bm25_scoped(chunks, retrieval.query_terms(asked), *retrieval.numbered_scopes(_scope(asked, fx.documents(spark, sf_dir))))
     top = retrieval.ranked(found, ["query_id"], [F.desc(F.round("score", 9)), F.col("chunk_id")], 5)
     return _six(top, "score").withColumn("rank", F.col("rank").cast("long"))
 
 
 _SPARSE = rf"""WITH {_CHUNKS}, {_ASKED}, {_TERMS}, {_SCOPE}, {_bm25_sql("chunks", "chunk_id", "text", "scope")},
+{_PHRASES},
+named_boosts AS (SELECT s.query_id, c.chunk_id, list_sum(list_transform(phrases, lambda p: CASE WHEN contains(lower(coalesce(section_title, '')), p) THEN 8.0 WHEN contains(lower(coalesce(section_title, '') || ' ' || title || ' ' || text), p) THEN 5.0 ELSE 0.0 END)) AS named
+  FROM scope s JOIN chunks c USING (chunk_id) JOIN phrases f ON f.query_id = s.query_id),
 boosts AS (SELECT s.query_id, c.chunk_id, sum(CASE WHEN contains(lower(coalesce(section_title, '')), term) THEN 1.25 WHEN contains(lower(coalesce(section_title, '') || ' ' || title || ' ' || text), term) THEN 0.25 ELSE 0 END) AS boost
   FROM scope s JOIN chunks c USING (chunk_id) JOIN terms t ON t.query_id = s.query_id GROUP BY s.query_id, c.chunk_id),
-scored AS (SELECT b.query_id, b.chunk_id, coalesce(l.score, 0) + b.boost AS score FROM boosts b LEFT JOIN lexical l USING (query_id, chunk_id)),
+scored AS (SELECT b.query_id, b.chunk_id, coalesce(l.score, 0) + b.boost + coalesce(n.named, 0)::DOUBLE AS score FROM boosts b JOIN named_boosts n USING (query_id, chunk_id) LEFT JOIN lexical l USING (query_id, chunk_id)),
 sparse AS (SELECT s.query_id, s.chunk_id, s.score, row_number() OVER (PARTITION BY s.query_id ORDER BY round(s.score, 9) DESC, c.title, c.page_number, c.chunk_index, c.chunk_id) AS rank FROM scored s JOIN chunks c USING (chunk_id))"""
 
 
 @query(_SPARSE + " SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM sparse WHERE rank <= 8")
 def sparse_boosted_topk(spark, sf_dir):
     asked, chunks = fx.questions(spark, sf_dir), fx.chunks(spark, sf_dir)
-    top = retrieval.sparse_topk(chunks, asked, _scope(asked, chunks), 8)
+    top = retrieval.sparse_topk(chunks, asked, _scope(asked, fx.documents(spark, sf_dir)), 8)
     return _six(top.select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank")), "score")
 
 
@@ -119,31 +129,31 @@ _COSINE = """WITH unit AS (SELECT vec_id, label, list_transform(embedding, lambd
 scores AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, list_dot_product(q.u, v.u) AS score FROM unit q, unit v WHERE q.vec_id % 50 = 0)"""
 
 
-def _cosine(spark, sf_dir):
+def _cosine(spark, sf_dir, group: str | None = None, keep: int | None = None):
     vectors = fx.table(spark, sf_dir, "embeddings")
     asked = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return retrieval.cosine_scores(vectors.withColumnRenamed("embedding", "vector"), asked, "vec_id", "label")
+    return retrieval.cosine_scores(vectors.withColumnRenamed("embedding", "vector"), asked, "vec_id", group, keep)
 
 
 @query(_COSINE + " SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM scores) WHERE rank <= 5")
 def cosine_topk(spark, sf_dir):
-    top = retrieval.ranked(_cosine(spark, sf_dir), ["query_id"], [F.desc(F.round("score", 9)), F.col("vec_id")], 5)
+    top = retrieval.ranked(_cosine(spark, sf_dir, keep=5), ["query_id"], [F.desc(F.round("score", 9)), F.col("vec_id")], 5)
     return _six(top.select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank")), "score")
 
 
 @query(_COSINE + """, inner_top AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY round(score, 9) DESC, vec_id) AS gr FROM scores)
 SELECT query_id, label, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM inner_top WHERE gr <= 4) WHERE rank <= 10""")
 def cosine_per_doc_topk(spark, sf_dir):
-    top = retrieval.topk_per_group(_cosine(spark, sf_dir), "label", "vec_id", 10, 4)
+    top = retrieval.topk_per_group(_cosine(spark, sf_dir, "label", 4), "label", "vec_id", 10, 4)
     return _six(top.select("query_id", "label", "vec_id", "score", F.col("rank").cast("long").alias("rank")), "score")
 
 
 _LENGTH_RANK = "dense AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY length(text) DESC, chunk_id) AS rank FROM scope JOIN chunks USING (chunk_id))"
 
 
-def _dense_stand_in(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+def _dense_stand_in(scope: DataFrame, chunks: DataFrame) -> DataFrame:
     """A second ranking to fuse: longest chunks of the scope first."""
-    rows = _scope(asked, chunks).join(chunks.select("chunk_id", F.length("text").alias("size")), "chunk_id")
+    rows = scope.join(chunks.select("doc_id", "chunk_id", F.length("text").alias("size")), "doc_id")
     return retrieval.ranked(rows, ["query_id"], [F.desc("size"), F.col("chunk_id")], 25)
 
 
@@ -152,7 +162,8 @@ def _dense_stand_in(asked: DataFrame, chunks: DataFrame) -> DataFrame:
 SELECT query_id, chunk_id, dense_rank, sparse_rank, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank ASC NULLS LAST, sparse_rank ASC NULLS LAST, chunk_id) AS rank FROM fused) WHERE rank <= 8""")
 def rrf_fuse(spark, sf_dir):
     asked, chunks = fx.questions(spark, sf_dir), fx.chunks(spark, sf_dir)
-    fused = retrieval.rrf(_dense_stand_in(asked, chunks), retrieval.sparse_topk(chunks, asked, _scope(asked, chunks), 25), 8)
+    scope = _scope(asked, fx.documents(spark, sf_dir))
+    fused = retrieval.rrf(_dense_stand_in(scope, chunks), retrieval.sparse_topk(chunks, asked, scope, 25), 8)
     return _six(fused.select("query_id", "chunk_id", *(F.col(c).cast("long").alias(c) for c in ("dense_rank", "sparse_rank")), "score", F.col("rank").cast("long").alias("rank")), "score")
 
 
@@ -258,24 +269,37 @@ def routing_text_budget(spark, sf_dir):
 
 
 def _routed(spark, sf_dir, top_n: int = 3) -> DataFrame:
-    docs = fx.documents(spark, sf_dir).select("doc_id", "title", "source_path", F.lit("").alias("section_titles"), F.col("text").alias("content"))
-    return retrieval.route_documents(docs, fx.questions(spark, sf_dir), top_n)
+    return retrieval.route_documents(fx.routing_documents(spark, sf_dir), fx.questions(spark, sf_dir), top_n)
 
 
 _ROUTE_STOPS = ", ".join(f"'{w}'" for w in fixed.ROUTING_STOPS)
-_ROUTED = rf"""WITH {_DOCS}, {_ASKED},
+_RP_STOPS = ", ".join(f"'{w}'" for w in fixed.ROUTE_PHRASE_STOPS)
+_DT_STOPS = ", ".join(f"'{w}'" for w in fixed.DISTINCTIVE_STOPS)
+_FORM = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+_ROUTED = rf"""WITH {_CHUNKS}, {_ASKED},
+sections AS (SELECT doc_id, string_agg(DISTINCT section_title, ',' ORDER BY section_title) AS section_titles FROM chunks GROUP BY doc_id),
+rdocs AS (SELECT d.doc_id, d.title, d.source_path, d.text, coalesce(s.section_titles, '') AS section_titles FROM docs d LEFT JOIN sections s USING (doc_id)),
 content_words AS (SELECT query_id, list_distinct(list_filter(list_transform(regexp_extract_all(query, '[a-zA-Z0-9][a-zA-Z0-9_-]*'), lambda t: lower(t)), lambda t: length(t) >= 2 AND NOT list_contains([{_ROUTE_STOPS}], t))) AS cw, regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}_]+') AS aw FROM asked),
 words AS (SELECT query_id, CASE WHEN len(cw) > 0 THEN cw ELSE aw END AS w FROM content_words),
 terms AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(w) AS term FROM words) GROUP BY ALL),
-bodies AS (SELECT doc_id, title, source_path, text, title || ' ' || regexp_extract(source_path, '([^/]*)$', 1) || '  ' || text AS body FROM docs),
+bodies AS (SELECT doc_id, title, source_path, text, title || ' ' || regexp_extract(source_path, '([^/]*)$', 1) || ' ' || section_titles || ' ' || text AS body FROM rdocs),
 {_bm25_sql("bodies", "doc_id", "body")},
-spots AS (SELECT doc_id, term, sum(t) AS in_title, sum(p) AS in_path, sum(c) AS in_content FROM (
-  SELECT doc_id, unnest(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}_]+')) AS term, 1 AS t, 0 AS p, 0 AS c FROM docs UNION ALL
-  SELECT doc_id, unnest(regexp_extract_all(lower(source_path), '[\p{{L}}\p{{N}}_]+')), 0, 1, 0 FROM docs UNION ALL
-  SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')), 0, 0, 1 FROM docs) GROUP BY ALL),
-boosts AS (SELECT query_id, doc_id, sum(times * (CASE WHEN in_title > 0 THEN 8 ELSE 0 END + CASE WHEN in_path > 0 THEN 2 ELSE 0 END + CASE WHEN in_content > 0 THEN 0.75 + least(2.5, ln(1 + in_content)) + CASE WHEN length(term) >= 6 THEN 1.25 ELSE 0 END ELSE 0 END)) AS boost,
-  sum(times * CASE WHEN in_title > 0 THEN 1 ELSE 0 END) AS titled, sum(CASE WHEN in_content > 0 THEN 1 ELSE 0 END) AS matched FROM terms JOIN spots USING (term) GROUP BY query_id, doc_id),
-routed AS (SELECT b.query_id, b.doc_id, coalesce(l.score, 0) + boost + matched::DOUBLE / greatest(len(list_distinct(w)), 1) * 14 + least(10, titled * 2.5) AS routing_score FROM boosts b JOIN words USING (query_id) LEFT JOIN lexical l ON l.query_id = b.query_id AND l.doc_id = b.doc_id),
+spots AS (SELECT doc_id, term, sum(t) AS in_title, sum(p) AS in_path, sum(c) AS in_content, sum(s) AS in_sections FROM (
+  SELECT doc_id, unnest(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}_]+')) AS term, 1 AS t, 0 AS p, 0 AS c, 0 AS s FROM rdocs UNION ALL
+  SELECT doc_id, unnest(regexp_extract_all(lower(source_path), '[\p{{L}}\p{{N}}_]+')), 0, 1, 0, 0 FROM rdocs UNION ALL
+  SELECT doc_id, unnest(regexp_extract_all(lower(section_titles), '[\p{{L}}\p{{N}}_]+')), 0, 0, 0, 1 FROM rdocs UNION ALL
+  SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')), 0, 0, 1, 0 FROM rdocs) GROUP BY ALL),
+boosts AS (SELECT query_id, doc_id, sum(times * (CASE WHEN in_title > 0 THEN 8 ELSE 0 END + CASE WHEN in_sections > 0 THEN 4 ELSE 0 END + CASE WHEN in_path > 0 THEN 2 ELSE 0 END + CASE WHEN in_content > 0 THEN 0.75 + least(2.5, ln(1 + in_content)) + CASE WHEN length(term) >= 6 THEN 1.25 ELSE 0 END ELSE 0 END)) AS boost,
+  sum(times * (CASE WHEN in_title > 0 THEN 1 ELSE 0 END + CASE WHEN in_sections > 0 THEN 1 ELSE 0 END)) AS titled, sum(CASE WHEN in_content > 0 THEN 1 ELSE 0 END) AS matched FROM terms JOIN spots USING (term) GROUP BY query_id, doc_id),
+pw AS (SELECT query_id, query, list_filter(string_split(replace(lower(query), '?', ''), ' '), lambda t: regexp_full_match(t, '[a-z0-9][a-z0-9]+') AND NOT list_contains([{_RP_STOPS}], t)) AS ws, list_filter(string_split(replace(query, '?', ''), ' '), lambda t: regexp_full_match(t, '[A-Za-z][A-Za-z0-9_]+') AND length(t) >= 4 AND regexp_matches(t, '[A-Z0-9_]') AND NOT list_contains([{_DT_STOPS}], lower(t))) AS ds FROM asked),
+pats AS (SELECT query_id, 'whole' AS kind, lower(query) AS pattern FROM pw UNION ALL
+  SELECT DISTINCT query_id, 'phrase', p FROM (SELECT query_id, unnest(list_concat(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3]) ELSE [] END, CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) ELSE [] END, CASE WHEN len(ws) >= 2 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE [] END)) AS p FROM pw) WHERE length(p) >= 7 UNION ALL
+  SELECT DISTINCT query_id, 'term', {_FORM.format("d")} FROM (SELECT query_id, unnest(ds) AS d FROM pw)),
+forms AS (SELECT doc_id, lower(title) AS lt, lower(text) AS lc, ' ' || {_FORM.format("title")} || ' ' AS ft, ' ' || {_FORM.format("section_titles")} || ' ' AS fs, ' ' || {_FORM.format("source_path")} || ' ' AS fp, ' ' || {_FORM.format("title || ' ' || source_path || ' ' || section_titles || ' ' || text")} || ' ' AS fa FROM rdocs),
+points AS (SELECT query_id, doc_id, sum(CASE kind WHEN 'whole' THEN CASE WHEN contains(lt, pattern) THEN 2 ELSE 0 END + CASE WHEN contains(lc, pattern) THEN 4 ELSE 0 END
+  WHEN 'phrase' THEN CASE WHEN contains(ft, pattern) THEN 10 WHEN contains(fs, pattern) THEN 8 WHEN contains(fa, pattern) THEN 12 ELSE 0 END
+  ELSE CASE WHEN contains(ft, ' ' || pattern || ' ') THEN 40 WHEN contains(fs, ' ' || pattern || ' ') THEN 30 WHEN contains(fp, ' ' || pattern || ' ') THEN 24 WHEN contains(fa, ' ' || pattern || ' ') THEN 36 ELSE 0 END END) AS points FROM forms, pats WHERE pattern <> '' GROUP BY query_id, doc_id HAVING points > 0),
+routed AS (SELECT query_id, doc_id, coalesce(l.score, 0) + coalesce(boost, 0) + coalesce(matched, 0)::DOUBLE / greatest(len(list_distinct(w)), 1) * 14 + least(10, coalesce(titled, 0) * 2.5) + coalesce(points, 0) AS routing_score FROM boosts b FULL JOIN points p USING (query_id, doc_id) JOIN words USING (query_id) LEFT JOIN lexical l USING (query_id, doc_id)),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(routing_score, 9) DESC, doc_id) AS rank FROM routed) WHERE rank <= 3)"""
 
 
@@ -675,8 +699,7 @@ def extractive_answers(spark, sf_dir):
 
 @query()
 def full_pipeline(spark, sf_dir):
-    docs = fx.documents(spark, sf_dir).select("doc_id", "title", "source_path", F.lit("").alias("section_titles"), F.col("text").alias("content"))
-    return lifecycle.ask(fx.questions(spark, sf_dir), docs, fx.chunks(spark, sf_dir))
+    return lifecycle.ask(fx.questions(spark, sf_dir), fx.routing_documents(spark, sf_dir), fx.chunks(spark, sf_dir))
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS events, sum(value::DECIMAL(18, 2))::DOUBLE AS total FROM events GROUP BY ALL")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +33,20 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("text <> ''").select("doc_id", "doc_no", "title", "source", "source_path", "chunk_index", page.alias("page_number"), section.alias("section_title"), "text", text.chunk_id(F.col("doc_id"), page, F.col("chunk_index")).alias("chunk_id"))
 
 
+def routing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their distinct section titles, in order, and their content."""
+    titles = chunks(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("section_title")), ",").alias("section_titles"))
+    docs = documents(spark, sf_dir).select("doc_id", "title", "source_path", F.col("text").alias("content"))
+    return docs.join(titles, "doc_id", "left").withColumn("section_titles", F.coalesce("section_titles", F.lit("")))
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.slice(text.tokens(F.col("text")), 1, 5)
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"))
+    """A question about the first words of each benchmark item, two of them capitalised as a name."""
+    words = F.regexp_extract_all(F.col("text"), F.lit(text.WORD), F.lit(0))
+    word = lambda i: F.coalesce(F.get("w", F.lit(i)), F.lit(""))
+    name = lambda i: F.concat(F.translate(F.substring(word(i), 1, 1), string.ascii_lowercase, string.ascii_uppercase), F.substring(word(i), 2, 1000))
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("w"))
+    return rows.select("query_id", F.concat(F.lit("What does "), name(0), F.lit(" "), name(1), F.lit(" say about "), word(2), F.lit(" "), word(3), F.lit(" "), word(4), F.lit("?")).alias("query"))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
