@@ -91,18 +91,27 @@ def recent_turns(turns: DataFrame, limit: int = 6) -> DataFrame:
     return kept.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy("turn_id"))).drop("back")
 
 
+#: Memory items that a query is ranked against: its most important and newest ones.
+MEMORY_POOL = 200
+
+
 def ranked_memory(items: DataFrame, queries: DataFrame, limit: int = 6) -> DataFrame:
     """Memory items of each query by shared terms, phrases, kind and importance; only positive scores.
 
-    Items meet queries on shared terms; items without any can still score by kind, but only where the query
-    has terms, so queries are joined on a constant block of the (small, per-session) item set.
-    """
+    Each session (or the one global scope, if queries have none) offers its ``MEMORY_POOL`` most important and newest items: that
+    pool is the operator's limit, and it bounds what a query meets, so one row holds a session's pool."""
     session = ["session_id"] if "session_id" in queries.columns else []
+    place = Window.partitionBy(*session) if session else Window.partitionBy(F.lit(0))
+    order = [F.desc("importance"), *([F.desc("updated_at")] if "updated_at" in items.columns else []), F.desc("memory_id")]
+    held = items.withColumn("m_terms", text.memory_terms(F.col("content")))
+    pool = held.withColumn("n", F.row_number().over(place.orderBy(*order))).filter(F.col("n") <= MEMORY_POOL).filter(F.size("m_terms") > 0)
+    pools = pool.groupBy(*session).agg(F.collect_list(F.struct("memory_id", "kind", "importance", "content", "m_terms")).alias("pool"))
     asked = queries.select("query_id", *session, F.lower("query").alias("q"), text.memory_terms(F.col("query")).alias("q_terms"))
     words = text.without(F.regexp_extract_all("q", F.lit(r"[a-z][a-z0-9_-]{2,}"), F.lit(0)), text.fixed.MEMORY_STOPS)
     asked = asked.withColumn("phrases", F.slice(F.concat(text.ngrams(words, 3), text.ngrams(words, 2)), 1, 20)).filter(F.size("q_terms") > 0)
-    held = items.withColumn("m_terms", text.memory_terms(F.col("content"))).filter(F.size("m_terms") > 0)
-    pairs = held.join(asked, session) if session else held.withColumn("_b", F.lit(0)).join(asked.withColumn("_b", F.lit(0)), "_b").drop("_b")
+    # Without sessions there is one pool of at most MEMORY_POOL items: a single row, read as a subquery.
+    met = asked.join(pools, session) if session else asked.withColumn("pool", pools.select("pool").scalar())
+    pairs = met.select("query_id", "q", "q_terms", "phrases", F.explode("pool").alias("m")).select("query_id", "q", "q_terms", "phrases", "m.*")
     body = F.lower("content")
     asks = lambda ws: text.any_of(F.col("q"), ws)
     score = (

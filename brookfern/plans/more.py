@@ -30,9 +30,9 @@ def trace_list(spark, sf_dir):
     return fx.traces(spark, sf_dir).filter("session_id = 's7'").orderBy(F.desc("trace_id")).limit(20).select("trace_id", "query")
 
 
-@query("SELECT event_id AS memory_id, value AS importance FROM events WHERE event_id % 10 = 0 AND (event_id % 20 = 0 OR user_id = 3) ORDER BY value DESC, event_id DESC LIMIT 50")
+@query("SELECT event_id AS memory_id, value AS importance FROM events WHERE event_id % 20 = 0 OR user_id = 3 ORDER BY value DESC, event_id DESC LIMIT 50")
 def memory_list(spark, sf_dir):
-    items = fx.table(spark, sf_dir, "events").filter("event_id % 10 = 0").selectExpr("event_id as memory_id", "value as importance", "if(event_id % 20 = 0, 'global', 'session') as scope", "concat('s', user_id) as session_id")
+    items = fx.table(spark, sf_dir, "events").selectExpr("event_id as memory_id", "value as importance", "if(event_id % 20 = 0, 'global', 'session') as scope", "concat('s', user_id) as session_id")
     return store.memory_in_scope(items, "s3").orderBy(F.desc("importance"), F.desc("memory_id")).limit(50).select("memory_id", "importance")
 
 
@@ -49,9 +49,9 @@ def session_namespacing(spark, sf_dir):
     return fx.table(spark, sf_dir, "customer").select("c_custkey", text.namespaced_session(F.col("c_name"), F.col("c_mktsegment")).alias("session"), text.token_fingerprint(F.col("c_name")).alias("fingerprint"))
 
 
-@query(f"WITH {_CHUNKS} SELECT chunk_id, '[' || (chunk_index + 1)::VARCHAR || ']' || chr(10) || 'Title:' || title || chr(10) || 'Section:' || section_title || chr(10) || 'Page:' || page_number::VARCHAR || chr(10) || 'Score:' || printf('%.4f', chunk_index / 8.0::DOUBLE) || chr(10) || 'Text:' || CASE WHEN length(trim(text)) > 1800 THEN rtrim(substr(trim(text), 1, 1800)) || '...' ELSE trim(text) END || chr(10) AS block, '[' || (chunk_index + 1)::VARCHAR || '] ' || title || ', page ' || page_number::VARCHAR || ' (' || source_path || ')' AS citation FROM chunks WHERE doc_no % 10 = 0")
+@query(f"WITH {_CHUNKS} SELECT chunk_id, '[' || (chunk_index + 1)::VARCHAR || ']' || chr(10) || 'Title:' || title || chr(10) || 'Section:' || section_title || chr(10) || 'Page:' || page_number::VARCHAR || chr(10) || 'Score:' || printf('%.4f', chunk_index / 8.0::DOUBLE) || chr(10) || 'Text:' || CASE WHEN length(trim(text)) > 1800 THEN rtrim(substr(trim(text), 1, 1800)) || '...' ELSE trim(text) END || chr(10) AS block, '[' || (chunk_index + 1)::VARCHAR || '] ' || title || ', page ' || page_number::VARCHAR || ' (' || source_path || ')' AS citation FROM chunks")
 def context_format(spark, sf_dir):
-    c = fx.chunks(spark, sf_dir).filter("doc_no % 10 = 0")
+    c = fx.chunks(spark, sf_dir)
     n = F.col("chunk_index") + 1
     return c.select("chunk_id", text.context_block(n, F.col("title"), F.col("section_title"), F.col("page_number"), F.col("chunk_index") / 8.0, F.col("text")).alias("block"), text.citation_line(n, F.col("title"), F.col("page_number"), F.col("source_path")).alias("citation"))
 
@@ -65,9 +65,9 @@ def term_novelty(spark, sf_dir):
     return t.join(before, ["conv_id", "turn_id"]).select("conv_id", "turn_id", F.size(F.array_intersect("now", "before")).cast("long").alias("shared"), F.size(F.array_except("now", "before")).cast("long").alias("novel"))
 
 
-@query("WITH g AS (SELECT doc_id AS item_id, 'src' || (doc_id % 23)::VARCHAR || ' EN' AS label FROM labels WHERE doc_id % 5 = 0), d AS (SELECT doc_id, source || ' ' || lang AS title FROM documents), c AS (SELECT g.item_id, d.doc_id, regexp_replace(lower(label), '[^a-z0-9]+', '', 'g') AS l, regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') AS t FROM g, d) SELECT item_id, doc_id FROM c WHERE contains(t, l) OR contains(l, t)")
+@query("WITH g AS (SELECT doc_id AS item_id, 'src' || (doc_id % 23)::VARCHAR || ' EN' AS label FROM labels), d AS (SELECT doc_id, source || ' ' || lang AS title FROM documents), c AS (SELECT g.item_id, d.doc_id, regexp_replace(lower(label), '[^a-z0-9]+', '', 'g') AS l, regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') AS t FROM g, d) SELECT item_id, doc_id FROM c WHERE contains(t, l) OR contains(l, t)")
 def fuzzy_title_match(spark, sf_dir):
-    gold = fx.table(spark, sf_dir, "labels").filter("doc_id % 5 = 0").selectExpr("doc_id as item_id", "concat('src', doc_id % 23, ' EN') as label")
+    gold = fx.table(spark, sf_dir, "labels").selectExpr("doc_id as item_id", "concat('src', doc_id % 23, ' EN') as label")
     docs = fx.table(spark, sf_dir, "documents").selectExpr("doc_id", "concat(source, ' ', lang) as title")
     return curation.fuzzy_documents(gold, docs)
 
@@ -84,16 +84,16 @@ def eval_candidates(spark, sf_dir):
 
 
 @query(_FEEDBACK + """, fresh AS (SELECT 'trace-' || f.seq::VARCHAR AS id, e.event_type AS question, 'draft' AS status, f.issue_type AS notes, '' AS expected_answer FROM feedback f JOIN events e ON e.event_id = f.seq WHERE rating = 'dislike'),
-old AS (SELECT 'trace-' || event_id::VARCHAR AS id, 'old' AS question, CASE WHEN event_id % 2 = 0 THEN 'reviewed' ELSE '' END AS status, '' AS notes, CASE WHEN event_id % 4 = 0 THEN 'yes' ELSE '' END AS expected_answer FROM events WHERE event_id % 3 = 0)
+old AS (SELECT 'trace-' || event_id::VARCHAR AS id, 'old' AS question, CASE WHEN event_id % 2 = 0 THEN 'reviewed' ELSE '' END AS status, '' AS notes, CASE WHEN event_id % 4 = 0 THEN 'yes' ELSE '' END AS expected_answer FROM events)
 SELECT id, coalesce(f.question, o.question) AS question, coalesce(nullif(o.status, ''), f.status, o.status) AS status, coalesce(nullif(o.notes, ''), f.notes, o.notes) AS notes, coalesce(nullif(o.expected_answer, ''), f.expected_answer, o.expected_answer) AS expected_answer FROM fresh f FULL JOIN old o USING (id)""")
 def candidate_merge(spark, sf_dir):
-    old = fx.table(spark, sf_dir, "events").filter("event_id % 3 = 0").selectExpr("concat('trace-', event_id) as id", "'old' as question", "if(event_id % 2 = 0, 'reviewed', '') as status", "'' as notes", "if(event_id % 4 = 0, 'yes', '') as expected_answer")
+    old = fx.table(spark, sf_dir, "events").selectExpr("concat('trace-', event_id) as id", "'old' as question", "if(event_id % 2 = 0, 'reviewed', '') as status", "'' as notes", "if(event_id % 4 = 0, 'yes', '') as expected_answer")
     return curation.merged_candidates(_drafts(spark, sf_dir), old, ["status", "notes", "expected_answer"])
 
 
-@query("SELECT 'trace-' || event_id::VARCHAR AS id FROM events WHERE event_id % 3 = 0 AND event_id % 4 = 0")
+@query("SELECT 'trace-' || event_id::VARCHAR AS id FROM events WHERE event_id % 4 = 0")
 def candidate_promote(spark, sf_dir):
-    old = fx.table(spark, sf_dir, "events").filter("event_id % 3 = 0").selectExpr("concat('trace-', event_id) as id", "event_type as question", "if(event_id % 4 = 0, 'yes', ' ') as expected_answer")
+    old = fx.table(spark, sf_dir, "events").selectExpr("concat('trace-', event_id) as id", "event_type as question", "if(event_id % 4 = 0, 'yes', ' ') as expected_answer")
     return curation.promoted(old).select("id")
 
 
@@ -129,7 +129,7 @@ def query_rewrite(spark, sf_dir):
 @query()
 def answer_similarity(spark, sf_dir):
     rows = fx.turns(spark, sf_dir)
-    pairs = rows.filter("turn_id % 2 = 0").select("conv_id", "turn_id", F.substring("content", 1, 400).alias("a")).join(rows.select("conv_id", (F.col("turn_id") - 1).alias("turn_id"), F.substring("content", 1, 400).alias("b")), ["conv_id", "turn_id"])
+    pairs = rows.select("conv_id", "turn_id", F.col("content").alias("a")).join(rows.select("conv_id", (F.col("turn_id") - 1).alias("turn_id"), F.col("content").alias("b")), ["conv_id", "turn_id"])
     return curation.similarity(pairs, "a", "b").drop("a", "b")
 
 

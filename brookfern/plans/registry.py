@@ -194,13 +194,18 @@ def documents_in_list(spark, sf_dir):
 
 # Context expansion
 
-_ANCHORS = "anchors AS (SELECT query_id, doc_id, chunk_index, chunk_id, section_title FROM asked JOIN chunks ON doc_no = query_id * 3 AND chunk_index = 2)"
+_HITS = f"{_TERMS}, {_bm25_sql('chunks', 'chunk_id', 'text')}, hits AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM lexical)"
+_ANCHORS = f"{_HITS}, anchors AS (SELECT query_id, doc_id, chunk_index, chunk_id, section_title, rank FROM hits JOIN chunks USING (chunk_id) WHERE rank <= 3)"
+
+
+def _hits(asked: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
+    """The best chunks of each question by BM25, with the columns of chunks."""
+    scores = retrieval.bm25(chunks, "chunk_id", F.col("text"), retrieval.query_terms(asked))
+    return retrieval.ranked(scores, ["query_id"], [F.desc(F.round("score", 9)), F.col("chunk_id")], limit).drop("score").join(chunks, "chunk_id")
 
 
 def _anchors(asked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """A known hit for each query: the third line of a document."""
-    own = asked.select("query_id", (F.col("query_id") * 3).alias("doc_no"), F.lit(2).alias("chunk_index"))
-    return chunks.join(own, ["doc_no", "chunk_index"]).select("query_id", "doc_id", "chunk_index", "chunk_id", "section_title")
+    return _hits(asked, chunks, 3).select("query_id", "doc_id", "chunk_index", "chunk_id", "section_title", "rank")
 
 
 @query(f"WITH {_CHUNKS}, {_ASKED}, {_ANCHORS} SELECT a.query_id, a.chunk_index AS anchor_index, c.chunk_id FROM anchors a JOIN chunks c ON c.doc_id = a.doc_id AND c.chunk_index BETWEEN greatest(0, a.chunk_index - 2) AND a.chunk_index + 2")
@@ -262,9 +267,9 @@ def section_titles_listagg(spark, sf_dir):
     return fx.chunks(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("section_title")), ",").alias("section_titles"))
 
 
-@query(f"WITH {_CHUNKS}, used AS (SELECT doc_id, chunk_index, text, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM chunks) SELECT doc_id, count(*) AS chunks, sum(least(length(text), 2000 - u))::BIGINT AS characters, max(md5(substr(text, 1, (2000 - u)::INTEGER))) AS mark FROM used WHERE u < 2000 GROUP BY doc_id")
+@query(f"WITH {_CHUNKS}, used AS (SELECT doc_id, chunk_index, text, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM chunks) SELECT doc_id, count(*) AS chunks, sum(least(length(text), 50000 - u))::BIGINT AS characters, max(md5(substr(text, 1, (50000 - u)::INTEGER))) AS mark FROM used WHERE u < 50000 GROUP BY doc_id")
 def routing_text_budget(spark, sf_dir):
-    kept = ingest.within_budget(fx.chunks(spark, sf_dir).select("doc_id", "chunk_index", "text"), "doc_id", "chunk_index", "text", 2000)
+    kept = ingest.within_budget(fx.chunks(spark, sf_dir).select("doc_id", "chunk_index", "text"), "doc_id", "chunk_index", "text", 50_000)
     return kept.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("characters"), F.max(F.md5(F.col("text").cast("binary"))).alias("mark"))
 
 
@@ -532,10 +537,10 @@ def latency_stability(spark, sf_dir):
 # Evaluation
 
 
-@query("WITH d AS (SELECT DISTINCT source AS label FROM documents), g AS (SELECT l.doc_id AS item_id, 'src' || (l.doc_id % 23)::VARCHAR AS label FROM labels l WHERE l.doc_id % 9 = 0), c AS (SELECT label, count(*) AS items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS item_ids FROM g GROUP BY label) SELECT label, coalesce(items, 0) AS items, coalesce(item_ids, '') AS item_ids, CASE WHEN coalesce(items, 0) = 0 THEN 'missing' WHEN items < 2 THEN 'undercovered' WHEN items < 3 THEN 'minimum' ELSE 'target' END AS status, greatest(0, 2 - coalesce(items, 0))::BIGINT AS needed FROM d LEFT JOIN c USING (label)")
+@query("WITH d AS (SELECT DISTINCT source AS label FROM documents), g AS (SELECT l.doc_id AS item_id, 'src' || (l.doc_id % 23)::VARCHAR AS label FROM labels l), c AS (SELECT label, count(*) AS items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS item_ids FROM g GROUP BY label) SELECT label, coalesce(items, 0) AS items, coalesce(item_ids, '') AS item_ids, CASE WHEN coalesce(items, 0) = 0 THEN 'missing' WHEN items < 2 THEN 'undercovered' WHEN items < 3 THEN 'minimum' ELSE 'target' END AS status, greatest(0, 2 - coalesce(items, 0))::BIGINT AS needed FROM d LEFT JOIN c USING (label)")
 def gold_coverage(spark, sf_dir):
     docs = fx.table(spark, sf_dir, "documents").select(F.col("source").alias("label")).distinct()
-    gold = fx.table(spark, sf_dir, "labels").filter("doc_id % 9 = 0").selectExpr("doc_id as item_id", "concat('src', doc_id % 23) as label")
+    gold = fx.table(spark, sf_dir, "labels").selectExpr("doc_id as item_id", "concat('src', doc_id % 23) as label")
     return analytics.coverage(docs, gold)
 
 
@@ -547,16 +552,16 @@ def unmatched_gold(spark, sf_dir):
 
 def _graded(spark, sf_dir) -> DataFrame:
     """Documents as answers, judged against words of benchmark items."""
-    docs = fx.table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 1500).alias("answer"), "lang", "source")
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("answer"), "lang", "source")
     gold = fx.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("gold_id"), F.slice(text.tokens(F.col("text")), 1, 6).alias("w"))
-    n = gold.count()
+    n = gold.agg(F.count("*").alias("n")).select("n").scalar()
     joined = docs.withColumn("gold_id", F.col("doc_id") % n).join(gold, "gold_id")
     one = lambda i: F.array(F.get("w", F.lit(i)))
     return joined.select(F.col("doc_id").alias("id"), "answer", F.array(F.array(F.get("w", F.lit(0)), F.get("w", F.lit(1))), one(2), one(3)).alias("must"), F.array(one(4)).alias("should"), F.array(one(5)).alias("must_not"), (F.col("doc_id") % 2).alias("citations"), F.col("lang").alias("expected_title"), F.array(F.concat("source", F.lit(" "), "lang")).alias("titles"), (F.col("doc_id") % 4 != 0).alias("verified"), F.lit(220).alias("max_words"))
 
 
 _GRADED = r"""WITH n AS (SELECT count(*) AS n FROM benchmark), gold AS (SELECT item_id AS gold_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')[1:6] AS w FROM benchmark),
-items AS (SELECT doc_id AS id, substr(text, 1, 1500) AS answer, w, doc_id % 2 AS citations, doc_id % 4 <> 0 AS verified FROM documents, n JOIN gold ON gold_id = doc_id % n),
+items AS (SELECT doc_id AS id, text AS answer, w, doc_id % 2 AS citations, doc_id % 4 <> 0 AS verified FROM documents, n JOIN gold ON gold_id = doc_id % n),
 flat AS (SELECT *, trim(regexp_replace(lower(answer), '\s+', ' ', 'g')) AS f, ' ' || regexp_replace(trim(regexp_replace(lower(answer), '\s+', ' ', 'g')), '[^\p{L}\p{N}_-]+', ' ', 'g') || ' ' AS b, regexp_replace(lower(answer), '[^a-z0-9]+', '', 'g') AS c,
   len(list_filter(string_split(regexp_replace(answer, '\s+', ' ', 'g'), ' '), lambda x: x <> '')) AS nw, len(list_distinct(regexp_extract_all(answer, '\[(\d+)\]', 1))) AS cites FROM items),
 hits AS (SELECT *, list_transform(w, lambda p: p <> '' AND CASE WHEN regexp_full_match(p, '[a-z0-9][a-z0-9-]{1,12}') THEN contains(b, ' ' || p || ' ') ELSE contains(f, p) OR contains(c, regexp_replace(p, '[^a-z0-9]+', '', 'g')) END) AS h FROM flat),
@@ -591,11 +596,11 @@ def failure_taxonomy(spark, sf_dir):
     return analytics.failure_taxonomy(items)
 
 
-_ANSWERS = "ans AS (SELECT d.doc_id, substr(d.text, 1, 900) || CASE WHEN d.doc_id % 3 = 0 THEN ' [1] [4]' WHEN d.doc_id % 3 = 1 THEN ' [2]' ELSE '' END AS answer, CASE WHEN d.doc_id % 2 = 0 THEN 'Why is the model input used?' ELSE 'What is the architecture?' END AS query FROM documents d)"
+_ANSWERS = "ans AS (SELECT d.doc_id, d.text || CASE WHEN d.doc_id % 3 = 0 THEN ' [1] [4]' WHEN d.doc_id % 3 = 1 THEN ' [2]' ELSE '' END AS answer, CASE WHEN d.doc_id % 2 = 0 THEN 'Why is the model input used?' ELSE 'What is the architecture?' END AS query FROM documents d)"
 
 
 def _answers(spark, sf_dir) -> DataFrame:
-    return fx.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring("text", 1, 900), F.when(F.col("doc_id") % 3 == 0, " [1] [4]").when(F.col("doc_id") % 3 == 1, " [2]").otherwise("")).alias("answer"), F.when(F.col("doc_id") % 2 == 0, "Why is the model input used?").otherwise("What is the architecture?").alias("query"), F.lit(3).alias("retrieved_count"))
+    return fx.table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.when(F.col("doc_id") % 3 == 0, " [1] [4]").when(F.col("doc_id") % 3 == 1, " [2]").otherwise("")).alias("answer"), F.when(F.col("doc_id") % 2 == 0, "Why is the model input used?").otherwise("What is the architecture?").alias("query"), F.lit(3).alias("retrieved_count"))
 
 
 @query(f"""WITH {_ANSWERS}, x AS (SELECT doc_id, answer, lower(answer) AS a, lower(query) AS q, list_transform(regexp_extract_all(answer, '\\[(\\d+)\\]', 1), lambda n: n::BIGINT) AS cited, len(list_filter(string_split(regexp_replace(answer, '\\s+', ' ', 'g'), ' '), lambda w: w <> '')) AS nw FROM ans),
@@ -639,18 +644,30 @@ def consecutive_duplicates(spark, sf_dir):
 
 
 def _evidence(spark, sf_dir) -> DataFrame:
-    """Lines of one document for each query, as retrieved items; two kinds of questions."""
-    asked, chunks = fx.questions(spark, sf_dir), fx.chunks(spark, sf_dir)
-    own = asked.select("query_id", F.concat(F.when(F.col("query_id") % 2 == 0, "what is ").otherwise("limitations of "), "query").alias("query"), (F.col("query_id") * 5).alias("doc_no"))
-    return chunks.join(own, "doc_no").select("query_id", "query", (F.col("chunk_index") + 1).alias("rank"), "chunk_id", "title", "section_title", "text", (1.0 / (F.col("chunk_index") + 61)).alias("hybrid_score"))
+    """The twenty best chunks of each question, as retrieved items; two kinds of questions."""
+    asked = fx.questions(spark, sf_dir)
+    worded = asked.select("query_id", F.concat(F.when(F.col("query_id") % 2 == 0, "what is ").otherwise("limitations of "), "query").alias("query"))
+    found = _hits(asked, fx.chunks(spark, sf_dir), 20).join(worded, "query_id")
+    return found.select("query_id", "query", "rank", "chunk_id", "title", "section_title", "text", (1.0 / (F.col("rank") + 60)).alias("hybrid_score"))
+
+
+def _intents_sql(q: str) -> str:
+    def group(words, terms):
+        named = _has(q, words) + (f" OR (contains({q}, 'challenge') AND NOT regexp_matches({q}, '{fixed.PRACTICE_CHALLENGE}'))" if "limitation" in words else "")
+        return f"CASE WHEN {named} THEN [" + ", ".join(f"'{t}'" for t in terms) + "] ELSE [] END"
+
+    groups = [group(*pair) for pair in fixed.EVIDENCE_INTENTS]
+    return f"list_distinct(flatten([{', '.join(groups)}]))"
 
 
 _ESTOPS = ", ".join(f"'{w}'" for w in answer.EVIDENCE_STOPS)
-_EVIDENCE = rf"""WITH {_CHUNKS}, {_ASKED}, items AS (SELECT query_id, CASE WHEN query_id % 2 = 0 THEN 'what is ' ELSE 'limitations of ' END || query AS query, chunk_index + 1 AS rank, chunk_id, title, section_title, text FROM asked JOIN chunks ON doc_no = query_id * 5),
+_EVIDENCE = rf"""WITH {_CHUNKS}, {_ASKED}, {_HITS}, items AS (SELECT query_id, CASE WHEN query_id % 2 = 0 THEN 'what is ' ELSE 'limitations of ' END || query AS query, rank, chunk_id, title, section_title, text FROM asked JOIN hits USING (query_id) JOIN chunks USING (chunk_id) WHERE rank <= 20),
 prep AS (SELECT *, lower(section_title || ' ' || title || ' ' || text) AS ev, lower(section_title || ' ' || title) AS sec, list_distinct(list_filter(regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}_]+'), lambda t: length(t) >= 4 AND NOT list_contains([{_ESTOPS}], t))) AS eterms,
-  list_filter(regexp_extract_all(lower(query), '[a-z][a-z0-9-]{{3,}}'), lambda t: NOT list_contains([{_ESTOPS}], t)) AS ws FROM items),
-pairs AS (SELECT *, list_distinct(CASE WHEN len(ws) >= 2 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE [] END) AS ps FROM prep),
-rel AS (SELECT *, len(list_filter(eterms, lambda t: contains(ev, t))) AS overlap, 6 * len(list_filter(ps, lambda p: contains(sec, p))) + 3 * len(list_filter(ps, lambda p: contains(ev, p))) AS pp FROM pairs)"""
+  list_filter(string_split(replace(lower(query), '?', ''), ' '), lambda t: length(t) >= 4 AND regexp_full_match(t, '[a-z][a-z0-9]+') AND NOT list_contains([{_ESTOPS}], t)) AS ws,
+  list_filter([{", ".join(f"CASE WHEN contains(lower(query), '{m}') THEN rtrim(substr(lower(query), instr(lower(query), '{m}') + {len(m)}), '?') END" for m in (" about ", " say about ", " does ", " do "))}], lambda t: t IS NOT NULL AND contains(t, ' ')) AS tails, {_intents_sql("lower(query)")} AS its FROM items),
+pairs AS (SELECT *, list_distinct(list_concat(tails, CASE WHEN len(ws) >= 2 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE [] END)) AS ps FROM prep),
+rel AS (SELECT *, len(list_filter(eterms, lambda t: contains(ev, t))) AS overlap, len(list_filter(its, lambda t: contains(ev, t))) AS ihits,
+  6 * len(list_filter(ps, lambda p: contains(sec, p))) + 3 * len(list_filter(ps, lambda p: contains(ev, p))) + 5 * len(list_filter(its, lambda t: contains(sec, t))) + 2 * len(list_filter(its, lambda t: contains(ev, t))) AS pp FROM pairs)"""
 
 
 @query(_EVIDENCE + " SELECT query_id, chunk_id, overlap, overlap * 2 + pp + CASE WHEN len(eterms) > 0 AND overlap = len(eterms) THEN 4 ELSE 0 END AS relevance FROM rel")
@@ -667,14 +684,45 @@ def _count(column: str, words: list[str]) -> str:
     return "(" + " + ".join("contains({}, '{}')::INTEGER".format(column, w.replace("'", "''")) for w in words) + ")"
 
 
-@query(_EVIDENCE + f""", sc AS (SELECT *, CASE WHEN query LIKE 'what is%' THEN 'definition' ELSE 'limitation' END AS shape, CASE WHEN query LIKE 'what is%' THEN 14.0 ELSE 13.0 END AS threshold, CASE WHEN query LIKE 'what is%' THEN {_count("ev", _MARKERS["definition"])} ELSE {_count("ev", _MARKERS["limitation"])} END AS direct FROM rel),
+_NUMBERED = r"least(4, len(regexp_extract_all(ev, '\b\d{1,2}\.\s+')))"
+
+
+@query(_EVIDENCE + rf""", sc AS (SELECT *, CASE WHEN query LIKE 'what is%' THEN 'definition' ELSE 'limitation' END AS shape, CASE WHEN query LIKE 'what is%' THEN 14.0 ELSE 13.0 END AS threshold, CASE WHEN query LIKE 'what is%' THEN {_count("ev", _MARKERS["definition"])} ELSE {_count("ev", _MARKERS["limitation"])} END AS direct FROM rel),
 s2 AS (SELECT *, overlap * 2 + pp + CASE WHEN len(eterms) > 0 AND overlap = len(eterms) THEN 4 ELSE 0 END AS relevance FROM sc),
-s3 AS (SELECT *, relevance + direct * 3 + overlap * 2 + least(6, 20.0::DOUBLE / (rank + 60)) - CASE WHEN {_has("ev", answer.SPECULATIVE)} THEN 4 ELSE 0 END AS score FROM s2 WHERE direct > 0 AND (len(eterms) = 0 OR overlap > 0)),
-s4 AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS place FROM s3 WHERE score >= threshold)
-SELECT query_id, chunk_id, place, round(score, 6) AS score, CASE WHEN shape = 'definition' AND direct >= 6 THEN 'DEFINITIVE' WHEN direct >= 4 OR relevance >= 8 THEN 'MAIN_ANSWER' ELSE 'SUPPORTING_DETAIL' END AS label FROM s4 WHERE (score >= greatest(threshold, best * 0.45) OR place <= 3) AND place <= 8""")
+s3 AS (SELECT *, relevance + direct * 3 + ihits * 2 + overlap * 2 + least(6, 20.0::DOUBLE / (rank + 60)) - CASE WHEN {_has("ev", answer.SPECULATIVE)} THEN 4 ELSE 0 END AS score FROM s2 WHERE (direct > 0 OR ihits >= 2) AND (len(eterms) = 0 OR overlap > 0 OR ihits >= 2)),
+s4 AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS place FROM s3 WHERE score >= threshold),
+s5 AS (SELECT * FROM s4 WHERE (score >= greatest(threshold, best * 0.45) OR place <= 3) AND place <= 8),
+ok AS (SELECT query_id FROM s5 GROUP BY query_id, shape HAVING CASE WHEN shape = 'definition' THEN max(direct) >= 2 ELSE count(*) >= 2 OR max(direct) FILTER (WHERE place = 1) >= 3 END)
+SELECT query_id, chunk_id, place, round(score, 6) AS score, CASE WHEN shape = 'definition' AND direct >= 6 THEN 'DEFINITIVE' WHEN direct >= 4 OR relevance >= 8 THEN 'MAIN_ANSWER' ELSE 'SUPPORTING_DETAIL' END AS label, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, place) AS "order" FROM s5 WHERE query_id IN (SELECT query_id FROM ok)""")
 def evidence_fastpath(spark, sf_dir):
     out = answer.fast_path(_evidence(spark, sf_dir), markers=_MARKERS)
-    return _six(out.select("query_id", "chunk_id", F.col("place").cast("long").alias("place"), "score", "label"), "score")
+    return _six(out.select("query_id", "chunk_id", F.col("place").cast("long").alias("place"), "score", "label", F.col("order").cast("long").alias("order")), "score")
+
+
+@query(_EVIDENCE + rf""", s2 AS (SELECT *, overlap * 2 + pp + CASE WHEN len(eterms) > 0 AND overlap = len(eterms) THEN 4 ELSE 0 END AS relevance FROM rel),
+pre AS (SELECT *, len(eterms) > 0 AND (overlap >= least(2, len(eterms)) OR ihits >= 1) AS meets, count(*) OVER (PARTITION BY query_id) AS n FROM s2),
+pf AS (SELECT *, relevance + 20.0::DOUBLE / (rank + 60) + CASE WHEN meets THEN 3 ELSE 0 END + CASE WHEN {_has("ev", fixed.PREFILTER_MARKERS)} THEN 1 ELSE 0 END AS prefilter FROM pre),
+c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n <= 10 OR rank <= 3 THEN 0 ELSE 1 END, CASE WHEN n <= 10 OR rank <= 3 THEN rank ELSE -prefilter END, rank) AS candidate FROM pf)
+SELECT query_id, chunk_id, candidate, round(prefilter, 6) AS prefilter FROM c WHERE candidate <= 10""")
+def evidence_prefilter(spark, sf_dir):
+    out = answer.prefiltered(_evidence(spark, sf_dir))
+    return _six(out.select("query_id", "chunk_id", F.col("candidate").cast("long").alias("candidate"), "prefilter"), "prefilter")
+
+
+@query(_EVIDENCE + rf""", s2 AS (SELECT *, overlap * 2 + pp + CASE WHEN len(eterms) > 0 AND overlap = len(eterms) THEN 4 ELSE 0 END AS relevance FROM rel),
+pre AS (SELECT *, len(eterms) > 0 AND (overlap >= least(2, len(eterms)) OR ihits >= 1) AS meets, count(*) OVER (PARTITION BY query_id) AS n FROM s2),
+pf AS (SELECT *, relevance + 20.0::DOUBLE / (rank + 60) + CASE WHEN meets THEN 3 ELSE 0 END + CASE WHEN {_has("ev", fixed.PREFILTER_MARKERS)} THEN 1 ELSE 0 END AS prefilter FROM pre),
+c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n <= 10 OR rank <= 3 THEN 0 ELSE 1 END, CASE WHEN n <= 10 OR rank <= 3 THEN rank ELSE -prefilter END, rank) AS candidate FROM pf),
+judged AS (SELECT *, CASE WHEN overlap >= 2 THEN 'MAIN_ANSWER' WHEN overlap = 1 THEN 'BACKGROUND' ELSE 'IRRELEVANT' END AS label FROM c WHERE candidate <= 10),
+kept AS (SELECT *, CASE WHEN label = 'MAIN_ANSWER' THEN 0 ELSE 2 END AS stage FROM judged WHERE label = 'MAIN_ANSWER' OR (label = 'BACKGROUND' AND meets)),
+chosen AS (SELECT query_id, chunk_id, label, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, stage, candidate) AS o FROM kept),
+rest AS (SELECT query_id, chunk_id, NULL AS label, row_number() OVER (PARTITION BY query_id ORDER BY prefilter DESC, rank) AS o FROM pf WHERE prefilter > 0 AND query_id NOT IN (SELECT query_id FROM chosen))
+SELECT query_id, chunk_id, o AS "order", label FROM (SELECT * FROM chosen UNION ALL SELECT * FROM rest) WHERE o <= 8""")
+def evidence_merge(spark, sf_dir):
+    """Judgements of a model that failed for every candidate."""
+    items = _evidence(spark, sf_dir)
+    judged = answer.prefiltered(items).withColumn("label", F.lit(None).cast("string"))
+    return answer.merged_judgements(judged, answer.with_prefilter_score(items)).withColumn("order", F.col("order").cast("long"))
 
 
 @query(_EVIDENCE + rf""", top AS (SELECT query_id, query, lower(string_agg(text, ' ' ORDER BY rank)) AS body FROM items WHERE rank <= 3 GROUP BY query_id, query),
