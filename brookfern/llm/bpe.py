@@ -184,6 +184,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     shipped = _ship(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         model = shipped.value
         for big in batches:
             for at in range(0, big.num_rows, 1000):
@@ -192,6 +193,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
                 ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
                 values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *rows])))
                 yield _replaced(batch, ids, values)
+            common.trim()
 
     return df.mapInArrow(run, _schema(df, ids, T.ArrayType(T.IntegerType())))
 
@@ -201,6 +203,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     shipped = _ship(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         model = shipped.value
         for big in batches:
             for at in range(0, big.num_rows, 1000):

@@ -92,6 +92,7 @@ def _counts(lang_type: pa.DataType):
         cells: dict[str, np.ndarray] = {}
         scripts: dict[str, np.ndarray] = {}
         texts: Counter = Counter()
+        common.trim()
         for batch in (big.slice(at, SLICE_ROWS) for big in batches for at in range(0, big.num_rows, SLICE_ROWS)):
             by_lang: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -222,6 +223,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", with_spans: bool
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS cells for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         model = shipped.value
         for batch in batches:
             at = batch.schema.get_field_index(text)

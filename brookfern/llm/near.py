@@ -44,7 +44,7 @@ SEED = 42
 HOT = 32
 #: Nodes of a hot key that are compared with each other in one place.
 TILE = 2048
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 _U = np.uint64
 _WORDS_OF_BITS = 8  # 512 bits
 _BITS = [f"b{i}" for i in range(_WORDS_OF_BITS)]
@@ -69,10 +69,13 @@ def shingles(texts: list[str | None], width: int = SHINGLE_WORDS) -> tuple[np.nd
     starts = np.cumsum(lengths) - lengths
     counts = np.maximum(1, lengths - width + 1)
     at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-    room = np.repeat(np.minimum(lengths, width), counts)
+    room = np.repeat(np.minimum(lengths, width).astype(np.int8), counts)
     total = room.astype(_U)
     for i in range(width):
-        total = total + np.where(i < room, word[np.minimum(at + i, len(word) - 1)], _U(0)) * _U(_MULTIPLIERS[i % 5] + 2 * (i // 5))
+        part = word[at + i]
+        part[room <= i] = 0
+        part *= _U(_MULTIPLIERS[i % 5] + 2 * (i // 5))
+        total += part
     return _mix(_mix(total)), counts
 
 
@@ -81,6 +84,7 @@ def _hash_rows(ranges: int):
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         distinct, counts = np.unique(_short(shingles(table.column("text").to_pylist())[0], ranges), return_counts=True)
+        common.trim()
         part = (distinct >> _U(32)).astype(np.int64)
         low, few = distinct.astype(np.uint32), np.minimum(counts, 255).astype(np.uint8)
         cut = np.r_[_cuts(part), len(part)].tolist()
@@ -98,6 +102,7 @@ def _hash_rows(ranges: int):
 
 def _shared_rows(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """For each block its hashes of the range that are counted more than once, with their rank of frequency."""
+    common.trim()
     n = table.column("n").to_pylist()
     low = _unpack(table.column("hashes").to_pylist(), n, np.uint32)
     counts = _unpack(table.column("counts").to_pylist(), n, np.uint8)
@@ -159,6 +164,7 @@ def _node_rows(ranges: int, id_type: pa.DataType):
         if not rows:
             empty = {"doc_id": id_type, "text_key": pa.int64(), "node": pa.int64(), "n": pa.int64(), "fp": pa.int64(), **dict.fromkeys(_BITS, pa.int64()), "keys": pa.list_(pa.int64()), "shared": pa.list_(pa.int64())}
             return pa.table({c: pa.array([], t) for c, t in empty.items()})
+        common.trim()
         value, counts = shingles(docs.column("text").to_pylist())
         owner = np.repeat(np.arange(rows), counts)
         order = np.lexsort((value, owner))
@@ -196,7 +202,10 @@ def _node_rows(ranges: int, id_type: pa.DataType):
         columns |= {name: take(pa.array(bits[:, i])) for i, name in enumerate(_BITS)}
         columns["keys"] = take(_lists(value[shared][rarest][keyed], np.bincount(whose[keyed], minlength=len(leads))))
         columns["shared"] = take(_lists(value[shared], common_size))
-        return pa.table(columns)
+        out = pa.table(columns)
+        del value, owner, order, new, short, spot, rank, whose, rarest, place, keyed, bits, columns, known, ranks
+        common.trim()
+        return out
 
     return run
 
@@ -213,7 +222,7 @@ def _prints(docs: DataFrame, block_bytes: int) -> DataFrame:
     # Equal rows of one task stay together, those of others do not.
     block = F.pmod(F.xxhash64("doc_id", "text_key", F.spark_partition_id()), F.lit(blocks)).cast("int")
     by_block = rows.withColumn("block", block).repartition(max(blocks, 2), "block").groupBy("block")
-    ranges = max(4, blocks)
+    ranges = max(4, blocks // 2)  # a block sends a row to a range it has hashes of
     hashes = by_block.applyInArrow(_hash_rows(ranges), "part int, block int, n int, hashes binary, counts binary")
     hits = hashes.groupBy("part").applyInArrow(_shared_rows, "block int, part int, n int, hashes binary, ranks binary")
     kind = docs.schema["doc_id"].dataType
