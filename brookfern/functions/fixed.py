@@ -109,3 +109,32 @@ AUTHOR_MARKERS = ["university", "research", "author", "corresponding", "email"]
 BROAD_QUERIES = ["limitation", "challenge", "detect", "anomal", "useful", "scalable", "model input", "start", "pipeline", "formula", "architecture", "mentioned", "reasons", "command", "server", ".env", "env file", "indentation", "braces", "replace", "mean by", "simulate", "simulation", "simulator", "world"]
 MOJIBAKE = [("â€™", "'"), ("â\u0080\u0099", "'"), ("â€˜", "'"), ("â\u0080\u0098", "'"), ("â€œ", '"'), ("â\u0080\u009c", '"'), ("â€�", '"'), ("â\u0080\u009d", '"'), ("â€“", "-"), ("â\u0080\u0093", "-"), ("â€”", "-"), ("â\u0080\u0094", "-"), ("â€¦", "..."), ("â\u0080¦", "..."), ("Â°", "°"), ("Â·", "-"), ("Â ", " "), ("Â", "")]
 BROKEN_WORDS = [("simu- late", "simulate"), ("signif- icantly", "significantly"), ("gener- ation", "generation"), ("remain- ing", "remaining")]
+
+# Words before the head of what a query asks for, and heads that ask for no definition.
+DEFINITION_MODIFIERS = ["the", "a", "an", "its", "their", "this", "that", "these", "those", "key", "main", "core", "primary", "major", "special", "best", "different", "three", "two", "first", "recommended"]
+NOT_DEFINED = ["application", "applications", "approach", "approaches", "benefit", "benefits", "capability", "capabilities", "challenge", "challenges", "command", "commands", "component", "components", "difference", "differences", "example", "examples", "feature", "features", "formula", "function", "functions", "kind", "kinds", "limitation", "limitations", "method", "methods", "part", "parts", "pipeline", "pipelines", "workflow", "workflows", "flow", "flows", "practice", "practices", "purpose", "reason", "reasons", "role", "roles", "step", "steps", "strength", "strengths", "tool", "tools", "type", "types", "use", "uses"]
+
+# Categories of limitations and their markers, and groups of markers that a whole answer covers.
+LIMITATION_CATEGORIES = [
+    ("physical/cause-and-effect", ["cause", "effect", "physical", "plausibility", "rigid", "motion"]),
+    ("spatial", ["spatial", "placement", "arrangement", "left", "right", "direction"]),
+    ("temporal", ["temporal", "camera", "sequence", "flow"]),
+    ("irrelevant entities", ["irrelevant", "unrelated", "animals", "people", "characters", "elements"]),
+    ("human-computer interaction (HCI)", ["human-computer", "hci", "user-system", "user system", "interaction", "language instructions"]),
+    ("usage/access", ["usage", "access", "release", "public", "safety", "one minute", "one-minute", "length"]),
+]
+LIMITATION_WORDS = ["limitation", "challenge", "failure", "constraint", "issue"]
+LIMITATION_LABELS = [("spatial", ["spatial"], "Spatial limitation: "), ("human-computer interaction (HCI)", ["human-computer", "hci"], "Human-computer interaction (HCI) limitation: "), ("physical/cause-and-effect", ["cause"], "Physical/cause-and-effect limitation: "), ("irrelevant entities", ["irrelevant"], "Irrelevant-entity limitation: "), ("usage/access", ["usage"], "Usage/access limitation: ")]
+LIMITATION_COVERAGE = [["cause", "effect", "physical", "plausibility", "rigid", "motion"], ["spatial", "placement", "arrangement", "left", "right"], ["temporal", "sequence", "camera"], ["irrelevant", "unrelated", "animals", "people", "characters", "objects"], ["human-computer", "hci", "user-system", "interaction"], ["usage", "access", "release", "public", "one minute", "one-minute", "longer content"]]
+NUMBER_COVERAGE = [["large integer", "large number", "big number", "very large"], ["automatically manages", "automatically handle", "handles automatically"], ["special data type", "int or long", "separate int", "separate long"], ["dynamic memory", "dynamically allocates", "allocates memory"], ["10**", "100 digits", "digits"], ["use numbers normally", "numbers normally"]]
+PIPELINE_COVERAGE = [["pdf", "image", "file", "url", "upload", "input"], ["load", "model"], ["generate", "process", "output", "doctags", "markup"], ["document", "doclingdocument", "doctagsdocument"], ["markdown", "html", "json", "export", "format"], ["preview", "download", "ui", "interface", "gradio"]]
+SETUP_COVERAGE = [["uv venv", "python -m venv", "virtual environment"], ["activate"], ["pip install", "uv pip install", "npm install", "poetry add", "conda install"], ["brew install", "apt install", "system package"], ["uv run", "python ", "npm run", "poetry run"]]
+FORMULA_PARTS = ["hook", "highlight", "handoff", "part", "step", "component", "framework"]
+RELATIONS = [" is ", " are ", "refers to", "means", "called", "known as"]
+LIST_FOCUS = ["feature", "features", "strength", "strengths", "advantage", "advantages", "benefit", "benefits", "role", "roles", "component", "components"]
+LIST_DETAILS = ["feature", "strength", "advantage", "benefit", "role", "component", "memory", "speed", "efficient", "performance", "security", "stability", "monitor", "detect", "update", "supports", "allows", "helps"]
+COMMAND = r"(?i)\b(?:python\s+-m\s+[-\w.]+(?:\s+\d+)?|docker\s+run\b|pip\s+install\b|uv\s+run\b|npm\s+install\b|brew\s+install\b)"
+COMMAND_QUERY = r"\bcommands?\b|\bsetup\b|\binstall(?:ation)?\b|\brun(?:ning)?\b|\bserver\b|\bhow\s+(?:do|can|to)\s+(?:i\s+)?(?:start|run|install|set\s+up)\b|\bstart(?:s|ed|ing)?\s+(?:the\s+)?(?:server|app|application|container|service|tool)\b"
+COMMAND_USES = ["useful", "test", "web application", "web server", "http server", "share", "local network", "browser", "localhost"]
+PRACTICE_MARKERS = ["practice", "mirror", "friend", "feedback", "real life"]
+NOT_NAMES = ["The", "Article", "Tools", "Docker", "Medium", "AWS"]

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fixed, text
+from ..functions import fixed, sentences, text
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column], limit: int | None = None, name: str = "rank") -> DataFrame:
@@ -325,6 +325,83 @@ def parent_windows(anchors: DataFrame, chunks: DataFrame, radius: int = 3, budge
     )
 
 
+#: Characters of a parent text, and of one chunk around what the query is about.
+PARENT_BUDGET, EXCERPT = 4200, 2200
+
+
+def expanded(hits: DataFrame, chunks: DataFrame, queries: DataFrame, limit: int = 24, window: int = 2) -> DataFrame:
+    """(query_id, place, chunk_id, doc_id, chunk_index, source) of the hits with their context, each chunk once.
+
+    Each hit with its neighbours, those before it first; then, for every one of these, the two best chunks of its section that
+    are not there yet; then the six best chunks whose section title holds a query term.  Chunks of one section are ranked
+    once: its first item takes the first two, the next one the next two."""
+    listing = ["title", "page_number", "chunk_index"]
+    own = hits.select("query_id", "doc_id", F.col("chunk_index").alias("anchor_index"), "rank", F.explode(F.sequence(F.greatest(F.lit(0), F.col("chunk_index") - window), F.col("chunk_index") + window)).alias("chunk_index"))
+    role = F.when(F.col("chunk_index") == F.col("anchor_index"), 0).when(F.col("chunk_index") < F.col("anchor_index"), 1).otherwise(2)
+    near = own.withColumn("role", role).join(chunks, ["doc_id", "chunk_index"])
+    first = ranked(near, ["query_id", "chunk_id"], [F.col("rank"), F.col("role")], 1, "copy").drop("copy")
+    base = ranked(first, ["query_id"], [F.col("rank"), F.col("role"), F.col("chunk_index")], name="place")
+    base = base.withColumn("source", F.when(F.col("role") == 0, "hit").otherwise("neighbor"))
+    seen = base.select("query_id", "chunk_id")
+    terms = queries.select("query_id", F.array_distinct(text.without(text.tokens(F.col("query")), fixed.SECTION_STOPS, 4)).alias("terms"), text.meaningful_terms(F.col("query")).alias("meant"))
+
+    named = base.filter("coalesce(section_title, '') <> ''")
+    order = ranked(named, ["query_id", "doc_id", "section_title"], [F.col("place")], name="turn").select("query_id", "doc_id", "section_title", "turn", F.col("place").alias("after"))
+    sections = order.select("query_id", "doc_id", "section_title").distinct().join(terms, "query_id")
+    pool = sections.join(chunks, ["doc_id", "section_title"]).join(seen, ["query_id", "chunk_id"], "left_anti")
+    pool = pool.withColumn("overlap", overlap(F.col("terms"), F.concat_ws(" ", "section_title", "text"))).filter("overlap > 0")
+    pool = ranked(pool, ["query_id", "doc_id", "section_title"], [F.desc("overlap"), *map(F.col, listing)], name="n").withColumn("turn", F.ceil(F.col("n") / 2).cast("int"))
+    extra = pool.join(order, ["query_id", "doc_id", "section_title", "turn"]).withColumn("source", F.lit("section_context"))
+
+    taken = seen.unionByName(extra.select("query_id", "chunk_id"))
+    docs = base.groupBy("query_id", "doc_id").agg(F.min("place").alias("doc_place")).join(terms, "query_id")
+    titled = docs.join(chunks, "doc_id").withColumn("in_title", overlap(F.col("meant"), F.col("section_title"))).filter("in_title > 0").join(taken, ["query_id", "chunk_id"], "left_anti")
+    titled = titled.withColumn("points", F.col("in_title") * 5 + overlap(F.col("meant"), F.col("text")))
+    titled = ranked(titled, ["query_id"], [F.desc("points"), F.col("doc_place"), *map(F.col, listing)], 6, "n").withColumn("source", F.lit("section_title_match"))
+
+    part = lambda df, number, *by: df.select("query_id", "chunk_id", "doc_id", "chunk_index", "source", F.lit(number).alias("part"), *(c.alias(f"by{i}") for i, c in enumerate(by)))
+    nought = F.lit(0)
+    every = part(base, 0, F.col("place"), nought).unionByName(part(extra, 1, F.col("after"), F.col("n"))).unionByName(part(titled, 2, F.col("n"), nought))
+    return ranked(every, ["query_id"], [F.col("part"), F.col("by0"), F.col("by1")], limit, "place").select("query_id", "place", "chunk_id", "doc_id", "chunk_index", "source")
+
+
+def parents(items: DataFrame, chunks: DataFrame, queries: DataFrame, limit: int = 24, radius: int = 3) -> DataFrame:
+    """(query_id, place, doc_id, first_index, last_index, text): one text for each window around the items, in their order.
+
+    Chunks carry a header.  If the query names a focus, a chunk gives the excerpt around it, its neighbours their start, and a
+    window without it goes.  Blocks fill the budget in order; the first that doesn't fit is cut if more than 300 characters are left."""
+    units = queries.select("query_id", F.when(F.size(text.focus_phrases(F.col("query"))) > 0, text.focus_phrases(F.col("query"))).otherwise(text.focus_terms(F.col("query"))).alias("units"))
+    low, high = F.greatest(F.lit(0), F.col("chunk_index") - radius), F.col("chunk_index") + radius
+    keyed = items.select("query_id", "doc_id", low.alias("low"), high.alias("high"), "place")
+    once = keyed.groupBy("query_id", "doc_id", "low", "high").agg(F.min("place").alias("place"))
+    rows = once.withColumn("chunk_index", F.explode(F.sequence("low", "high"))).join(chunks.select("doc_id", "chunk_index", "page_number", "section_title", F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\r\n")).alias("text")), ["doc_id", "chunk_index"]).join(units, "query_id")
+    w = Window.partitionBy("query_id", "doc_id", "low", "high").orderBy("chunk_index")
+    body = F.lower("text")
+    hit = F.exists("units", lambda u: body.contains(u))
+    rows = rows.withColumn("hit", hit).withColumn("beside", F.coalesce(F.lag("hit").over(w), F.lit(False)) | F.coalesce(F.lead("hit").over(w), F.lit(False)))
+    focused = F.size("units") > 0
+    piece = F.when(~focused, F.col("text")).when(F.col("hit"), sentences.excerpt(F.col("text"), F.col("units"), EXCERPT)).when(F.col("beside"), F.btrim(F.substring("text", 1, EXCERPT), F.lit(" \t\r\n")))
+    header = F.format_string("[child chunk %d | page %d | section %s]\n", F.col("chunk_index"), F.col("page_number"), F.when(F.coalesce("section_title", F.lit("")) == "", "Unknown").otherwise(F.col("section_title")))
+    kept = rows.withColumn("piece", piece).filter("piece <> ''").withColumn("block", F.concat(header, "piece"))
+    kept = kept.withColumn("used", F.coalesce(F.sum(F.length("block")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    room = F.lit(PARENT_BUDGET) - F.col("used")
+    fits = F.col("used") + F.length("block") <= PARENT_BUDGET
+    cut = F.concat(F.rtrim(F.substring(F.col("block"), F.lit(1), room.cast("int"))), F.lit("..."))
+    shown = kept.withColumn("shown", F.when(fits, F.col("block")).when(room > 300, cut)).filter("shown is not null")
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "shown"))), lambda s: s["shown"]), "\n\n")
+    out = shown.groupBy("query_id", "doc_id", "low", "high").agg(F.min("place").alias("at"), texts.alias("text"), F.max(F.col("hit") | (F.size("units") == 0)).alias("met")).filter("met")
+    return ranked(out, ["query_id"], [F.col("at"), F.col("doc_id"), F.col("low")], limit, "place").select("query_id", "place", "doc_id", F.col("low").alias("first_index"), F.col("high").alias("last_index"), "text")
+
+
+def with_context(hits: DataFrame, chunks: DataFrame, queries: DataFrame, limit: int = 24) -> DataFrame:
+    """(query_id, place, doc_id, source, text): the parent texts of a query, or its expanded chunks if it has none."""
+    items = expanded(hits, chunks, queries, limit=1 << 30)
+    whole = parents(items, chunks, queries, limit)
+    left = items.filter(F.col("place") <= limit).join(whole.select("query_id").distinct(), "query_id", "left_anti")
+    plain = left.join(chunks.select("chunk_id", "text"), "chunk_id").select("query_id", "place", "doc_id", "source", "text")
+    return whole.select("query_id", "place", "doc_id", F.lit("parent_context").alias("source"), "text").unionByName(plain)
+
+
 def ordered_union(parts: list[DataFrame], keys: list[str], order: str) -> DataFrame:
     """UNION that keeps the first of each key, parts in turn, each by its own ``order``."""
     tagged = [p.withColumn("segment", F.lit(i)) for i, p in enumerate(parts)]

@@ -25,7 +25,7 @@ _CHUNKS = (
 chunks AS (SELECT doc_id, doc_no, title, source, source_path, chunk_index::INTEGER AS chunk_index, (chunk_index // 8 + 1)::INTEGER AS page_number, substr(lines[(chunk_index // 8) * 8 + 1], 1, 40) AS section_title, text,
   doc_id || '-p' || (chunk_index // 8 + 1)::VARCHAR || '-c' || chunk_index::VARCHAR AS chunk_id FROM pieces WHERE text <> '')"""
 )
-_WORDS5 = [f"coalesce(w[{i}], '')" for i in range(1, 6)]
+_WORDS5 = [f"lower(coalesce(w[{i}], ''))" for i in range(1, 6)]
 _NAME = "translate(substr({0}, 1, 1), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || substr({0}, 2)"
 _ASKED = rf"""asked_words AS (SELECT item_id AS query_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+') AS w FROM benchmark),
 asked AS (SELECT query_id, 'What does ' || {_NAME.format(_WORDS5[0])} || ' ' || {_NAME.format(_WORDS5[1])} || ' say about ' || {_WORDS5[2]} || ' ' || {_WORDS5[3]} || ' ' || {_WORDS5[4]} || '?' AS query FROM asked_words)"""

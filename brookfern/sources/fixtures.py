@@ -43,7 +43,7 @@ def routing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question about the first words of each benchmark item, two of them capitalised as a name."""
     words = F.regexp_extract_all(F.col("text"), F.lit(text.WORD), F.lit(0))
-    word = lambda i: F.coalesce(F.get("w", F.lit(i)), F.lit(""))
+    word = lambda i: F.lower(F.coalesce(F.get("w", F.lit(i)), F.lit("")))
     name = lambda i: F.concat(F.translate(F.substring(word(i), 1, 1), string.ascii_lowercase, string.ascii_uppercase), F.substring(word(i), 2, 1000))
     rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("w"))
     return rows.select("query_id", F.concat(F.lit("What does "), name(0), F.lit(" "), name(1), F.lit(" say about "), word(2), F.lit(" "), word(3), F.lit(" "), word(4), F.lit("?")).alias("query"))
