@@ -138,3 +138,7 @@ COMMAND_QUERY = r"\bcommands?\b|\bsetup\b|\binstall(?:ation)?\b|\brun(?:ning)?\b
 COMMAND_USES = ["useful", "test", "web application", "web server", "http server", "share", "local network", "browser", "localhost"]
 PRACTICE_MARKERS = ["practice", "mirror", "friend", "feedback", "real life"]
 NOT_NAMES = ["The", "Article", "Tools", "Docker", "Medium", "AWS"]
+
+# Spellings of words for tables that a plan understands, and paths of files in a question.
+TABLE_SPELLINGS = [("data base", "database"), ("data-base", "database"), ("databse", "database"), ("datbase", "database"), ("sql lite", "sqlite"), ("sqlite3", "sqlite")]
+FILE_PATH = r"([A-Za-z0-9_.-]+\.(?:cfg|csv|ini|json|log|md|py|ps1|toml|txt|yaml|yml))"

@@ -93,11 +93,13 @@ def verifier_flags(items: DataFrame) -> DataFrame:
 
 def planned(queries: DataFrame) -> DataFrame:
     """Mode and tool of each query: casual talk, weather, tables, files, else retrieval."""
-    q = F.btrim(F.lower("query"))
-    flat = q
-    for wrong, right in (("data base", "database"), ("data-base", "database"), ("databse", "database"), ("datbase", "database"), ("sql lite", "sqlite"), ("sqlite3", "sqlite")):
-        flat = F.replace(flat, F.lit(wrong), F.lit(right))
-    flat = text.squeeze(flat)
+    low = F.btrim(F.lower("query"))
+    tidy = low
+    for wrong, right in fixed.TABLE_SPELLINGS:
+        tidy = F.replace(tidy, F.lit(wrong), F.lit(right))
+    # What is read many times stands in columns of its own, so that it is not worked out for each rule.
+    staged = queries.withColumns({"_q": low, "_flat": text.squeeze(tidy), "_path": F.regexp_extract("query", fixed.FILE_PATH, 1)})
+    q, flat, path = F.col("_q"), F.col("_flat"), F.col("_path")
     has = lambda c, ws: text.any_of(c, ws)
     base = ["database", "sqlite", "db"]
     weather = q.contains("weather") | (q.contains("temperature") & has(q, ["current", "now", "today", "outside", "forecast", " in ", " for ", " at ", " near ", " of "]))
@@ -107,7 +109,6 @@ def planned(queries: DataFrame) -> DataFrame:
     named = F.regexp_extract(q, r"(?:^|[^a-z0-9_])(?:table|from)\s+([a-z_][a-z0-9_]*)", 1) != ""
     known = has(flat, ["answer_feedback", "chunks", "conversation_turns", "documents", "healthcheck", "memory_items", "sessions", "traces"])
     shown = has(flat, [*base, "table"]) & has(flat, ["preview", "show", "inspect", "view"]) & (named | known)
-    path = F.regexp_extract("query", r"([A-Za-z0-9_.-]+\.(?:cfg|csv|ini|json|log|md|py|ps1|toml|txt|yaml|yml))", 1)
     listed = has(q, ["list", "show", "what files", "which files"]) & has(q, ["files", "directory", "folder"])
     info = (path != "") & has(q, ["info", "metadata", "size", "details"]) & has(q, [" file", " directory", " folder", " mcp"])
     read = (path != "") & has(q, ["read", "show", "open", "display"]) & has(q, [" file", " mcp", " docs/", " data/", " tests/", " benchmarks/"])
@@ -123,8 +124,9 @@ def planned(queries: DataFrame) -> DataFrame:
         .when(read, "mcp.local_files.read_text_file")
         .otherwise("")
     )
-    mode = F.when(q.isin(fixed.CASUAL), "direct_answer").when(tool != "", "tool_only").otherwise("retrieve_only")
-    return queries.select("*", mode.alias("mode"), tool.alias("tool_name"))
+    named_tool = staged.withColumn("tool_name", tool)
+    mode = F.when(q.isin(fixed.CASUAL), "direct_answer").when(F.col("tool_name") != "", "tool_only").otherwise("retrieve_only")
+    return named_tool.withColumn("mode", mode).select(*queries.columns, "mode", "tool_name")
 
 
 def guarded(calls: DataFrame, tools: DataFrame) -> DataFrame:

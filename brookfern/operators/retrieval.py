@@ -159,12 +159,13 @@ def _tagged(values: Column, name: str, tag: str | int, tag_name: str) -> Column:
 
 def query_patterns(queries: DataFrame) -> DataFrame:
     """(query_id, kind, pattern): the whole query, its phrases of two to four words, and its distinctive terms."""
-    asked = queries.select("query_id", F.lower("query").alias("q"), "query")
-    words = text.without(text.ascii_words(F.col("q"), "a-z0-9", "a-z0-9-"), fixed.ROUTE_PHRASE_STOPS)
-    grams = F.transform(F.concat(*(text.ngrams(words, n) for n in (4, 3, 2))), text.phrase_form)
-    phrases = F.filter(F.array_distinct(grams), lambda p: F.length(p) >= 7)
+    # Words stand in columns of their own: what is read many times is worked out once, and code stays small.
+    words = text.without(text.ascii_words(F.lower("query"), "a-z0-9", "a-z0-9-"), fixed.ROUTE_PHRASE_STOPS)
     distinct = F.filter(text.ascii_words(F.col("query"), "A-Za-z", "A-Za-z0-9_-"), lambda w: (F.length(w) >= 4) & w.rlike("[A-Z0-9_-]") & ~F.lower(w).isin(fixed.DISTINCTIVE_STOPS))
-    terms = F.filter(F.array_distinct(F.transform(distinct, text.phrase_form)), lambda t: t != "")
+    asked = queries.select("query_id", F.lower("query").alias("q"), words.alias("words"), F.transform(distinct, text.phrase_form).alias("named"))
+    asked = asked.withColumns({f"of{n}": text.ngrams(F.col("words"), n) for n in (2, 3, 4)})
+    phrases = F.filter(F.array_distinct(F.transform(F.concat("of4", "of3", "of2"), text.phrase_form)), lambda p: F.length(p) >= 7)
+    terms = F.filter(F.array_distinct("named"), lambda t: t != "")
     kinds = {"whole": F.array("q"), "phrase": phrases, "term": terms}
     marked = F.concat(*(_tagged(ps, "pattern", kind, "kind") for kind, ps in kinds.items()))
     return asked.select("query_id", F.explode(marked).alias("m")).select("query_id", "m.kind", "m.pattern").filter("pattern <> ''")
@@ -243,9 +244,8 @@ def route_documents(docs: DataFrame, queries: DataFrame, top_n: int = 3) -> Data
 
     docs: doc_id, title, source_path, section_titles, content (one row a document).  Documents that share nothing
     with a query are not ranked."""
-    own = text.content_tokens(F.col("query"))
-    words = F.when(F.size(own) > 0, own).otherwise(text.tokens(F.col("query")))
-    asked = queries.select("query_id", words.alias("words"))
+    own = queries.select("query_id", "query", text.content_tokens(F.col("query")).alias("content"))
+    asked = own.select("query_id", F.when(F.size("content") > 0, F.col("content")).otherwise(text.tokens(F.col("query"))).alias("words"))
     terms = asked.select("query_id", F.explode("words").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     base = F.regexp_extract("source_path", r"([^/]*)$", 1)
     body = F.concat_ws(" ", "title", base, F.coalesce("section_titles", F.lit("")), "content")

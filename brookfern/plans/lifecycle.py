@@ -16,7 +16,8 @@ def ask(queries: DataFrame, docs: DataFrame, chunks: DataFrame, top_k: int = 8)
     Queries whose answer does not verify get a second pass over all routed documents
     with a larger evidence limit; the second answer counts only if it verifies.
     """
-    plan = evaluate.planned(queries)
+    # One row a query; kept, or its rules would be pushed into every step that filters on them.
+    plan = materialized(evaluate.planned(queries))
     asked = plan.filter("mode = 'retrieve_only'").select("query_id", "query")
     routed = materialized(retrieval.route_documents(docs, asked))  # at most three rows a query
     first = materialized(_attempt(asked, retrieval.candidate_scope(routed), chunks, top_k))

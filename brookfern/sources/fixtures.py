@@ -35,7 +35,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def routing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their distinct section titles, in order, and their content."""
-    titles = chunks(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("section_title")), ",").alias("section_titles"))
+    titles = chunks(spark, sf_dir).groupBy("doc_id").agg(F.expr("listagg(distinct section_title, ',') within group (order by section_title)").alias("section_titles"))
     docs = documents(spark, sf_dir).select("doc_id", "title", "source_path", F.col("text").alias("content"))
     return docs.join(titles, "doc_id", "left").withColumn("section_titles", F.coalesce("section_titles", F.lit("")))
 
