@@ -44,7 +44,7 @@ SEED = 42
 HOT = 32
 #: Nodes of a hot key that are compared with each other in one place.
 TILE = 2048
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 _U = np.uint64
 _WORDS_OF_BITS = 8  # 512 bits
 _BITS = [f"b{i}" for i in range(_WORDS_OF_BITS)]
@@ -222,7 +222,7 @@ def _prints(docs: DataFrame, block_bytes: int) -> DataFrame:
     # Equal rows of one task stay together, those of others do not.
     block = F.pmod(F.xxhash64("doc_id", "text_key", F.spark_partition_id()), F.lit(blocks)).cast("int")
     by_block = rows.withColumn("block", block).repartition(max(blocks, 2), "block").groupBy("block")
-    ranges = max(4, blocks // 2)  # a block sends a row to a range it has hashes of
+    ranges = max(4, blocks // 4)  # a block sends a row to a range it has hashes of
     hashes = by_block.applyInArrow(_hash_rows(ranges), "part int, block int, n int, hashes binary, counts binary")
     hits = hashes.groupBy("part").applyInArrow(_shared_rows, "block int, part int, n int, hashes binary, ranks binary")
     kind = docs.schema["doc_id"].dataType
