@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
+from ..session import materialized
+from . import backends, state
 
 PARSER_VERSION, CHUNKING_VERSION = "pages-v1", "recursive-v1"
 _SENTENCE_END = re.compile(r"(?<=[.!?。！？])\s+")
@@ -147,3 +149,43 @@ def classify_incoming(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     joined = incoming.join(have, "source_path", "left")
     state = F.when(F.col("_status").isNull(), "new").when(current, "current").otherwise("changed")
     return joined.withColumn("state", state).select(*incoming.columns, "state")
+
+
+def ingestion_plan(incoming: DataFrame, existing: DataFrame, force: bool = False) -> DataFrame:
+    """incoming (with owner_id and visibility) and what is to be done: new, replace, skip or refuse.
+
+    A path that is indexed for another owner and not for all is refused; otherwise it keeps the owner and visibility that it has.
+    What is current is skipped, unless forced.  old_doc_id: the document whose chunks and vectors go, if it has another id now."""
+    have = existing.select("source_path", F.col("doc_id").alias("_doc"), F.col("owner_id").alias("_owner"), F.col("visibility").alias("_seen"))
+    joined = classify_incoming(incoming, existing).join(have, "source_path", "left")
+    visible = (F.col("_seen") == "global") | (F.col("_owner") == F.col("owner_id"))
+    action = (
+        F.when(F.col("_doc").isNull(), "new")
+        .when(~visible, "refuse")
+        .when((F.col("state") == "current") & ~F.lit(force), "skip")
+        .otherwise("replace")
+    )
+    kept = joined.withColumns({"action": action, "owner_id": F.coalesce("_owner", "owner_id"), "visibility": F.coalesce("_seen", "visibility")})
+    old = F.when((F.col("action") == "replace") & (F.col("_doc") != F.col("doc_id")), F.col("_doc"))
+    return kept.withColumn("old_doc_id", old).drop("state", "_doc", "_owner", "_seen")
+
+
+def ingested(plan: DataFrame, pages: DataFrame, chunks: DataFrame, points: DataFrame, factory: Callable[[], backends.ModelBackend] = backends.StandIn, size: int = 900, overlap: int = 120) -> tuple[DataFrame, DataFrame]:
+    """Chunks and vectors after a plan: those of the documents that are new or replaced made anew, those of old ones gone, others as they were."""
+    chosen = plan.filter("action in ('new', 'replace')")
+    gone = chosen.select("doc_id").unionAll(chosen.filter("old_doc_id is not null").select(F.col("old_doc_id").alias("doc_id")))
+    fresh = materialized(chunk_pages(pages.join(chosen.select("doc_id"), "doc_id", "left_semi"), size, overlap))
+    vectors = backends.embedded(fresh.select("doc_id", "chunk_id", "text"), factory=factory).withColumn("point_id", text.point_id(F.col("chunk_id")))
+    kept = state.without_documents(chunks, gone), state.without_documents(points, gone)
+    return kept[0].unionByName(fresh.select(*chunks.columns)), kept[1].unionByName(vectors.select(*points.columns))
+
+
+def ingestion_events(plan: DataFrame, failures: DataFrame, seq: int) -> DataFrame:
+    """The log of a run (source_path, seq, event, error) for ``state.ingestion_state``: a start and an end for each path.
+
+    failures: (source_path, error) of documents that could not be read; a refused path fails, too."""
+    ends = plan.join(failures.select("source_path", "error"), "source_path", "left")
+    why = F.coalesce("error", F.when(F.col("action") == "refuse", "the path is indexed for another owner"))
+    event = F.when(why.isNotNull(), "failed").when(F.col("action") == "skip", "skipped").otherwise("completed")
+    begun = plan.select("source_path", F.lit(seq).alias("seq"), F.lit("started").alias("event"), F.lit(None).cast("string").alias("error"))
+    return begun.unionByName(ends.select("source_path", F.lit(seq + 1).alias("seq"), event.alias("event"), why.alias("error")))

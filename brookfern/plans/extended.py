@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..functions import sentences as st
-from ..operators import answering, backends, reports, retrieval, state, store, tools
+from ..operators import answering, backends, ingest, reports, retrieval, state, store, tools
 from ..sources import files
 from ..sources import fixtures as fx
 from .registry import _ANCHORS, _ASKED, _CHUNKS, _DOCS, _EVIDENCE, _GENERIC, _TURNS, _anchors, _evidence, _has, _six, query
@@ -145,6 +145,25 @@ def utc_times(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", state.utc_text(F.col("ts").cast("timestamp")).alias("at"))
 
 
+_PLAN = f"""WITH {_DOCS}, have AS (SELECT source_path, CASE WHEN doc_no % 4 = 0 THEN 'x' || doc_id ELSE doc_id END AS old, owner_id, visibility, CASE WHEN doc_no % 5 = 0 THEN 'old' ELSE checksum END AS checksum FROM docs WHERE doc_no % 7 <> 0),
+j AS (SELECT d.doc_id, d.checksum, h.* EXCLUDE (checksum), h.checksum AS had FROM docs d LEFT JOIN have h USING (source_path)),
+a AS (SELECT doc_id, old, owner_id, visibility, CASE WHEN old IS NULL THEN 'new' WHEN NOT (visibility = 'global' OR owner_id = 'user1') THEN 'refuse' WHEN had = checksum THEN 'skip' ELSE 'replace' END AS action FROM j)
+SELECT doc_id, action, coalesce(owner_id, 'user1') AS owner_id, coalesce(visibility, 'user') AS visibility, CASE WHEN action = 'replace' AND old <> doc_id THEN old END AS old_doc_id FROM a"""
+
+
+def _ingestion_plan(spark, sf_dir) -> DataFrame:
+    same = {"parser_version": F.lit("1"), "chunking_version": F.lit("1"), "embedding_model": F.lit("hash"), "chunk_size": F.lit(900), "chunk_overlap": F.lit(120)}
+    docs = fx.documents(spark, sf_dir).withColumns(same)
+    have = docs.filter("doc_no % 7 <> 0").selectExpr("source_path", "if(doc_no % 4 = 0, concat('x', doc_id), doc_id) as doc_id", "owner_id", "visibility", "if(doc_no % 5 = 0, 'old', checksum) as checksum", *same, "3 as chunk_count", "'indexed' as ingestion_status")
+    incoming = docs.select("doc_id", "source_path", "checksum", *same, F.lit("user1").alias("owner_id"), F.lit("user").alias("visibility"))
+    return ingest.ingestion_plan(incoming, have)
+
+
+@query(_PLAN)
+def ingestion_plan(spark, sf_dir):
+    return _ingestion_plan(spark, sf_dir).select("doc_id", "action", "owner_id", "visibility", "old_doc_id")
+
+
 # Predicates and joins
 
 

@@ -325,3 +325,20 @@ def test_memory_without_sessions(spark):
 def test_lists_are_whole(spark):
     assert values(spark, ["what does the [Child Chunk hold"], text.any_of(F.lower("v"), fixed.LEAK_MARKERS)) == [True]
     assert values(spark, ["a+b", "aab"], text.any_of(F.col("v"), ["a+b"])) == [True, False]
+
+
+def test_ingestion(spark):
+    from brookfern.operators import ingest
+
+    plan = spark.createDataFrame([("a", "pa", "new", None), ("b", "pb", "replace", "old"), ("c", "pc", "skip", None), ("d", "pd", "refuse", None)], "doc_id string, source_path string, action string, old_doc_id string")
+    body = "A page of text that is long enough to be kept as a chunk, and that ends here. " * 3
+    pages = spark.createDataFrame([(d, 1, "S", body) for d in "abcd"], "doc_id string, page_number int, section_title string, text string")
+    chunks = spark.createDataFrame([("old-p1-c0", "old", 0), ("b-p1-c9", "b", 9), ("c-p1-c0", "c", 0)], "chunk_id string, doc_id string, chunk_index int")
+    points = spark.createDataFrame([(1, "old", "old-p1-c0", [1.0]), (2, "c", "c-p1-c0", [1.0])], state.VECTORS)
+    after, vectors = ingest.ingested(plan, pages, chunks, points)
+    assert sorted({r.doc_id for r in after.collect()}) == ["a", "b", "c"] and after.filter("chunk_id = 'b-p1-c9'").count() == 0
+    assert sorted({r.doc_id for r in vectors.collect()}) == ["a", "b", "c"]
+    failures = spark.createDataFrame([("pb", "broken   file")], "source_path string, error string")
+    log = ingest.ingestion_events(plan, failures, 5).withColumn("at", F.col("seq"))
+    got = {r.source_path: (r.status, r.error) for r in state.ingestion_state(log).collect()}
+    assert got == {"pa": ("indexed", ""), "pb": ("failed", "broken file"), "pc": ("skipped", ""), "pd": ("failed", "the path is indexed for another owner")}
