@@ -37,13 +37,19 @@ def shared_dir(spark: SparkSession) -> str:
 def write_shared(df: DataFrame, label: str, partition_by: str | None = None) -> str:
     """Write ``df`` as Parquet under the shared folder and return the path: lineage ends there."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     return path
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table of this package that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table written to the shared folder and read again."""
     return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, label))

@@ -14,12 +14,12 @@ nodes of four bytes and less), and the code of a token is the mixture of both, e
 tokens of the text.  What is learnt grows with the corpus: every distinct string of eight bytes counts.
 
 1. ``_blocks``: tasks make blocks of documents, and of each block its distinct strings (a context and its byte)
-   with their training counts, sorted by reversed context, and its distinct words.
+   with their training counts, sorted by reversed context, and its distinct words, by 64-bit hashes.
 2. Strings are dealt out by a hash of the last three context bytes, so that a node and all its longer contexts meet.  Contexts
    that hold a 1,024th of the strings or more are dealt out by four or five bytes.  The nodes above these, at most
    1,024 of either length, and those of two bytes and less, at most 2^24 counts whatever the corpus, are
-   counted by an aggregation (``_stat_rows``) and broadcast.
-3. ``_code_rows``: each group merges its strings over all blocks and returns code lengths (to 1/2048 of a decade) to the blocks.
+   counted by an aggregation (of ``_group_rows``) and broadcast.
+3. ``_code_rows``: each group merges its strings over all blocks and returns code lengths (to 1/256 of a decade) to the blocks.
 4. ``_document_rows``: blocks add up the code lengths of their documents.
 
 Defined results: null or empty text is one end token; a row without doc_id is held out; repeated rows
@@ -30,37 +30,31 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 
 ORDER = 7
 ORDERS = (7, 5)
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 SLICE_BYTES = 1 << 20
+#: Groups of strings for each block: a group is loaded as a whole.
+GROUPS_A_BLOCK = 2
 #: Contexts of three or four bytes with this share of all strings are dealt out by one byte more.
 SPLIT_SHARE = 1 / 1024
 WINDOW = 50
 #: Steps of a code length in a decade.
-STEPS = 2048
+STEPS = 256
 _START = b"\n" * (ORDER - 1) + b" "
 _U = np.uint64
 
 
-class _Numbers(dict):
-    """Numbers words in the order of their first use."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 def _pack(a: np.ndarray) -> bytes:
     return pa.compress(np.ascontiguousarray(a).tobytes(), codec="zstd", asbytes=True)
 
@@ -82,6 +76,11 @@ def _cuts(a: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.empty(0, np.int64)
 
 
+def _sorted_set(a: np.ndarray) -> np.ndarray:
+    a = np.sort(a)
+    return a[_cuts(a)]
+
+
 def _mix(z: np.ndarray) -> np.ndarray:
     z = z * _U(0x9E3779B97F4A7C15)
     z ^= z >> _U(29)
@@ -98,6 +97,26 @@ def stream(text: str | None) -> bytes:
     return b" ".join(words) + (b"  " if words else b" ")
 
 
+def _tokens(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the blanks that close the tokens of some texts, and a 64-bit hash of each token."""
+    data = np.frombuffer(raw, np.uint8)
+    ends = np.flatnonzero(data == 32)
+    starts = np.r_[0, ends[:-1] + 1]
+    within = np.arange(len(data)) - np.repeat(starts, np.diff(np.r_[starts, len(data)]))
+    return ends, _mix(np.add.reduceat(_mix((within.astype(_U) << _U(8)) | data), starts))
+
+
+def _token_counts(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct token hashes and their counts."""
+    parts = [np.unique(_tokens(b"".join(streams[a:b]))[1], return_counts=True) for a, b in _slices(streams)]
+    return _merge(np.concatenate([np.empty(0, _U), *(h for h, _ in parts)]), np.concatenate([np.empty(0, np.int64), *(c for _, c in parts)]))
+
+
+def _parts_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Range of the hash, in ascending order."""
+    return (((hashes >> _U(32)) * _U(parts)) >> _U(32)).astype(np.int64)
+
+
 def _keys(streams: list[bytes]) -> np.ndarray:
     """Per byte to predict, text by text: its context and itself in one integer."""
     data = np.frombuffer(b"".join([p for s in streams for p in (_START, s)]), np.uint8)
@@ -124,10 +143,11 @@ def _slices(streams: list[bytes]) -> Iterator[tuple[int, int]]:
 
 def _distinct(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct strings and their counts."""
-    keys, counts = np.empty(0, _U), np.empty(0, np.int64)
-    for a, b in _slices(streams):
-        more, times = np.unique(_keys(streams[a:b]), return_counts=True)
-        keys, counts = _merge(np.concatenate([keys, more]), np.concatenate([counts, times]))
+    parts = [np.unique(_keys(streams[a:b]), return_counts=True) for a, b in _slices(streams)]
+    keys = _sorted_set(np.concatenate([np.empty(0, _U), *(k for k, _ in parts)]))
+    counts = np.zeros(len(keys), np.int64)
+    for k, c in parts:
+        counts[np.searchsorted(keys, k)] += c
     return keys, counts
 
 
@@ -167,52 +187,54 @@ def _group_of(keys: np.ndarray, split: dict[int, np.ndarray], groups: int) -> np
 
 # Step 1: documents to blocks
 
-_BLOCK_SCHEMA = "kind string, block long, part int, n long, doc_id {id}, held_out boolean, data binary, size long, counts binary"
-_BLOCK_TYPES = [("kind", pa.string()), ("block", pa.int64()), ("part", pa.int32()), ("n", pa.int64()), ("doc_id", None), ("held_out", pa.bool_()), ("data", pa.binary()), ("size", pa.int64()), ("counts", pa.binary())]
+_BLOCK_SCHEMA = "kind string, block long, part int, n long, doc_id array<{id}>, held_out array<boolean>, lengths array<int>, data binary, size long, counts binary"
+_BLOCK_TYPES = [("kind", pa.string()), ("block", pa.int64()), ("part", pa.int32()), ("n", pa.int64()), ("doc_id", None), ("held_out", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("data", pa.binary()), ("size", pa.int64()), ("counts", pa.binary())]
 
 
-def _ordered_words(words: list[bytes], parts: int) -> list[tuple[int, bytes]]:
-    return sorted((crc32(w) % parts, w) for w in words)
+def _zipped(raw: bytes) -> bytes:
+    return pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _blocks(parts: int, block_bytes: int):
     names = [n for n, _ in _BLOCK_TYPES]
 
     def flush(number: int, rows: list[tuple], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-        out = [("doc", number, None, len(s), d, held, s, None, None) for d, held, s in rows]
-        numbers, trained = _Numbers(), []
-        for _, held, s in rows:
-            found = np.fromiter(map(numbers.__getitem__, [*s.split(), b""]), np.int32)
-            if not held:
-                trained.append(found)
-        count = np.bincount(np.concatenate([np.empty(0, np.int32), *trained]), minlength=len(numbers))
-        ordered = _ordered_words(list(numbers), parts)
-        part = np.array([p for p, _ in ordered])
+        out = []
+        for a, b in _slices([s for _, _, s in rows]):  # n: training tokens
+            own = rows[a:b]
+            tokens = sum(s.count(b" ") for _, held, s in own if not held)
+            raw = b"".join([s for _, _, s in own])
+            out.append(("doc", number, None, tokens, [d for d, _, _ in own], [held for _, held, _ in own], [len(s) for _, _, s in own], _zipped(raw), len(raw), None))
+        words, every = _token_counts([s for _, _, s in rows])
+        unseen, times = _token_counts([s for _, held, s in rows if held])
+        every[np.searchsorted(words, unseen)] -= times
+        part = _parts_of(words, parts)
         cut = np.r_[_cuts(part), len(part)].tolist()
         for a, b in zip(cut[:-1], cut[1:], strict=True):
-            text = b" ".join([w for _, w in ordered[a:b]])
-            own = np.array([count[numbers[w]] for _, w in ordered[a:b]], np.int64)
-            out.append(("word", number, ordered[a][0], b - a, None, None, pa.compress(text, codec="zstd", asbytes=True), len(text), _pack(own)))
+            out.append(("word", number, int(part[a]), b - a, None, None, None, _pack_keys(words[a:b]), None, _pack_keys(every[a:b])))
+        del words, part, every
         keys, counts = _distinct([s for _, _, s in rows])
         unseen, times = _distinct([s for _, held, s in rows if held])
         counts[_find(keys, unseen)[0]] -= times
-        out.append(("string", number, None, len(keys), None, None, _pack_keys(keys), None, _pack(counts)))
+        out.append(("string", number, None, len(keys), None, None, None, _pack_keys(keys), None, _pack_keys(counts)))
         for length in (3, 4):
             context = _context(keys, length)
             first = _cuts(context)
             size = np.diff(np.r_[first, len(keys)])
             for i in np.flatnonzero(size >= SPLIT_SHARE / 4 * len(keys)).tolist():
-                out.append(("heavy", number, length, int(size[i]), None, None, None, int(context[first[i]]), None))
-        kinds = [t or id_type for _, t in _BLOCK_TYPES]
+                out.append(("heavy", number, length, int(size[i]), None, None, None, None, int(context[first[i]]), None))
+        kinds = [t or pa.list_(id_type) for _, t in _BLOCK_TYPES]
         at = 0
         while at < len(out):
             upto, size = at, 0
             while upto < len(out) and upto - at < 1000 and size < SLICE_BYTES:
-                size += len(out[upto][6] or b"")
+                size += len(out[upto][7] or b"")
                 upto += 1
             columns = zip(*out[at:upto], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
             at = upto
+        del out, keys, counts
+        common.trim()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, used = TaskContext.get().partitionId() << 24, 0
@@ -233,8 +255,8 @@ def _blocks(parts: int, block_bytes: int):
 
 # Words, for the base score
 
-_COUNT_SCHEMA = "kind string, block long, part int, n long, a binary, b binary"
-_COUNT_TYPES = {"kind": pa.string(), "block": pa.int64(), "part": pa.int32(), "n": pa.int64(), "a": pa.binary(), "b": pa.binary()}
+_COUNT_SCHEMA = "kind string, block long, part int, n long, m long, a binary, b binary"
+_COUNT_TYPES = {"kind": pa.string(), "block": pa.int64(), "part": pa.int32(), "n": pa.int64(), "m": pa.int64(), "a": pa.binary(), "b": pa.binary()}
 
 
 def _table(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.Table:
@@ -243,15 +265,10 @@ def _table(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.Table:
 
 def _word_rows(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Training counts over all blocks of each block's words; block -1: how many of the part's words were trained."""
-    numbers, rows, given = _Numbers(), [], []
-    for n, size, blob, counts in zip(*(table.column(c).to_pylist() for c in ("n", "size", "data", "counts")), strict=True):
-        words = pa.decompress(blob, size, codec="zstd", asbytes=True).split(b" ")
-        rows.append(np.fromiter(map(numbers.__getitem__, words), np.int64, n))
-        given.append(_unpack(counts, n, np.int64))
-    total = np.zeros(len(numbers), np.int64)
-    np.add.at(total, np.concatenate(rows), np.concatenate(given))
-    out = [("word", b, key[0].as_py(), len(r), _pack(total[r]), None) for b, r in zip(table.column("block").to_pylist(), rows, strict=True)]
-    out.append(("types", -1, key[0].as_py(), int((total > 0).sum()), None, None))
+    n, data, counts_of = (table.column(c).to_pylist() for c in ("n", "data", "counts"))
+    distinct, total, rows = _merged(data, counts_of, n)
+    out = [("word", b, key[0].as_py(), len(r), 0, _pack_keys(total[np.searchsorted(distinct, r)]), None) for b, r in zip(table.column("block").to_pylist(), rows, strict=True)]
+    out.append(("types", -1, key[0].as_py(), int((total > 0).sum()), 0, None, None))
     return _table(out, _COUNT_TYPES)
 
 
@@ -264,22 +281,24 @@ def _grouped(split: dict[int, np.ndarray], groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                keys, counts = _unpack_keys(r["data"], r["n"]), _unpack(r["counts"], r["n"], np.int64)
+                keys, counts = _unpack_keys(r["data"], r["n"]), _unpack_keys(r["counts"], r["n"]).view(np.int64)
                 group = _group_of(keys, split, groups)
                 order = np.argsort(group, kind="stable")
                 cut = np.r_[_cuts(group[order]), len(order)].tolist()
-                rows = [(int(group[order[a]]), r["block"], b - a, _pack_keys(keys[order[a:b]]), _pack(counts[order[a:b]])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                rows = [(int(group[order[a]]), r["block"], b - a, _pack_keys(keys[order[a:b]]), _pack_keys(counts[order[a:b]])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 yield from _table(rows, _GROUP_TYPES).to_batches()
 
     return run
 
 
-def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    n = table.column("n").to_pylist()
-    keys = np.concatenate([_unpack_keys(b, k) for b, k in zip(table.column("data").to_pylist(), n, strict=True)])
-    counts = np.concatenate([_unpack(b, k, np.int64) for b, k in zip(table.column("counts").to_pylist(), n, strict=True)])
-    distinct, where = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(where, counts.astype(np.float64), len(distinct)).astype(np.int64), where, n
+def _merged(data: list[bytes], counts_of: list[bytes], n: list[int]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct strings of a group, their counts over all blocks, and each block's strings."""
+    rows = [_unpack_keys(b, k) for b, k in zip(data, n, strict=True)]
+    distinct = _sorted_set(np.concatenate(rows))
+    counts = np.zeros(len(distinct), np.int64)
+    for keys, blob in zip(rows, counts_of, strict=True):
+        counts[np.searchsorted(distinct, keys)] += _unpack_keys(blob, len(keys)).view(np.int64)
+    return distinct, counts, rows
 
 
 Level = tuple[np.ndarray, np.ndarray]
@@ -340,28 +359,44 @@ def escapes(grid: np.ndarray) -> np.ndarray:
 
 
 _STAT_TYPES = {"level": pa.int32(), "key": pa.int64(), "times": pa.int64()}
-
-
-def _stat_rows(split: dict[int, np.ndarray]):
-    """What a group adds to the counts of pairs above it (levels 2 to 4) and to the escapes (level -1)."""
+_GROUP_SCHEMA = "kind string, level int, key long, times long, grp int, block array<long>, n array<long>, data array<binary>, counts array<binary>"
+_GROUP_ROW = {"kind": pa.string(), **_STAT_TYPES, "grp": pa.int32(), "block": pa.list_(pa.int64()), "n": pa.list_(pa.int64()), "data": pa.list_(pa.binary()), "counts": pa.list_(pa.binary())}
+
+
+def _stats(distinct: np.ndarray, counts: np.ndarray, split: dict[int, np.ndarray]) -> list[np.ndarray]:
+    """level, key, times: what a group adds to the counts of pairs above it (levels 2 to 4) and to the escapes (level -1)."""
+    levels = _levels(distinct, counts)
+    above = {4: levels[4], 3: np.unique(_shorter(_without(levels[4], split[4])[0]), return_counts=True)}
+    levels[4], levels[3] = _without(levels[4], split[4]), _without(above[3], split[3])
+    above[2] = np.unique(_shorter(levels[3][0]), return_counts=True)
+    out = []
+    for k in (2, 3, 4):
+        pair, times = above[k]
+        if k > 2:
+            own = _find(split[k], pair >> _U(8))[1]
+            pair, times = pair[own], times[own]
+        out.append((np.full(len(pair), k), pair.view(np.int64), times))
+    grid = sum(_left_out(k, level) for k, level in levels.items()).ravel()
+    used = np.flatnonzero(grid)
+    out.append((np.full(len(used), -1), used, grid[used]))
+    return [np.concatenate([o[i] for o in out]) for i in range(3)]
+
+
+def _group_rows(split: dict[int, np.ndarray]):
+    """The statistics of a group, and all it has in one row."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        distinct, counts, _, _ = _merged(table)
-        levels = _levels(distinct, counts)
-        above = {4: levels[4], 3: np.unique(_shorter(_without(levels[4], split[4])[0]), return_counts=True)}
-        levels[4], levels[3] = _without(levels[4], split[4]), _without(above[3], split[3])
-        above[2] = np.unique(_shorter(levels[3][0]), return_counts=True)
-        out = []
-        for k in (2, 3, 4):
-            pair, times = above[k]
-            if k > 2:
-                own = _find(split[k], pair >> _U(8))[1]
-                pair, times = pair[own], times[own]
-            out.append((np.full(len(pair), k), pair.view(np.int64), times))
-        grid = sum(_left_out(k, level) for k, level in levels.items()).ravel()
-        used = np.flatnonzero(grid)
-        out.append((np.full(len(used), -1), used, grid[used]))
-        return pa.table({c: pa.array(np.concatenate([o[i] for o in out]), t) for i, (c, t) in enumerate(_STAT_TYPES.items())})
+        common.trim()
+        block, n, data, counts_of = (table.column(c).to_pylist() for c in ("block", "n", "data", "counts"))
+        distinct, counts, _ = _merged(data, counts_of, n)
+        found = _stats(distinct, counts, split)
+        size = len(found[0])
+        stats = {"kind": pa.array(["stat"] * size), **{c: pa.array(v, t) for (c, t), v in zip(_STAT_TYPES.items(), found, strict=True)}}
+        whole = {"kind": ["group"], "grp": [key[0].as_py()], "block": [block], "n": [n], "data": [data], "counts": [counts_of]}
+        columns = {}
+        for c, t in _GROUP_ROW.items():
+            columns[c] = pa.concat_arrays([stats[c].cast(t) if c in stats else pa.nulls(size, t), pa.array(whole[c], t) if c in whole else pa.nulls(1, t)])
+        return pa.table(columns)
 
     return run
 
@@ -398,43 +433,84 @@ class Top:
 
 def code_lengths(keys: np.ndarray, levels: dict[int, Level], escape: np.ndarray, order: int) -> np.ndarray:
     """log10 probability of each string's byte after its context, from contexts of ``order`` bytes down."""
-    symbol = keys & _U(255)
-    score, open_ = np.zeros(len(keys)), np.ones(len(keys), bool)
+    score = np.zeros(len(keys))
+    # Only strings whose byte no longer context has seen are looked up further.
+    left = np.arange(len(keys))
     # Of the longer context, if it was seen: how many bytes it saw and what they count for in the next shorter one.
     less_n, less_d = np.zeros(len(keys)), np.zeros(len(keys))
     for k in range(order, -1, -1):
         number = 8 if k == order != ORDER else k
-        pair, count = levels[number]
-        first, node, visits, distinct, _ = _node_stats((pair, count))
-        if not len(first):
+        level = levels[number]
+        first, node, visits, distinct, _ = _node_stats(level)
+        if not len(first) or not len(left):
             continue
-        context = _context(keys, k)
+        own = keys[left]
+        context = _context(own, k)
         at, known = _find(node, context)
-        spot, there = _find(pair, (context << _U(8)) | symbol)
-        c, n, d = np.where(there, count[spot], 0), visits[at], distinct[at]
+        spot, there = _find(level[0], (context << _U(8)) | (own & _U(255)))
+        n, d = visits[at], distinct[at]
         chance = escape[_states(number, n, d)]
-        hit, miss = open_ & there, open_ & known & ~there & (d > less_d)
-        score[hit] += np.log10((1 - chance[hit]) * c[hit] / (n - less_n)[hit])
-        score[miss] += np.log10(chance[miss])
-        open_ &= ~there
+        miss = known & ~there & (d > less_d)
+        score[left[there]] += np.log10((1 - chance[there]) * level[1][spot[there]] / (n - less_n)[there])
+        score[left[miss]] += np.log10(chance[miss])
+        left, at, known = left[~there], at[~there], known[~there]
+        less_n, less_d = less_n[~there], less_d[~there]
         if k:
-            shorter, count_shorter = levels[k - 1]
-            worth = count_shorter[_find(shorter, _shorter(pair))[0]]
-            less_n = np.where(known, np.add.reduceat(worth, first)[at], less_n)
-            less_d = np.where(known, d, less_d)
-    score[open_] -= np.log10(max(1, 256 - len(levels[0][0])))
+            worth = _worth(level[0], first, distinct, _sorted_set(at[known]), levels[k - 1])
+            less_n[known], less_d[known] = worth[at[known]], distinct[at[known]]
+    score[left] -= np.log10(max(1, 256 - len(levels[0][0])))
     return score
 
 
+def _worth(pair: np.ndarray, first: np.ndarray, size: np.ndarray, nodes: np.ndarray, shorter: Level) -> np.ndarray:
+    """What the bytes of the asked nodes count for in the next shorter level."""
+    out = np.zeros(len(first))
+    if len(nodes):
+        each = size[nodes]
+        begin = np.cumsum(each) - each
+        at = np.repeat(first[nodes] - begin, each) + np.arange(int(each.sum()))
+        out[nodes] = np.add.reduceat(shorter[1][_find(shorter[0], _shorter(pair[at]))[0]], begin)
+    return out
+
+
+def _short_strings(keys: np.ndarray) -> np.ndarray:
+    """Distinct pairs of five context bytes and a byte."""
+    return _sorted_set(_pair(keys, ORDERS[1]))
+
+
+def _stepped(code: np.ndarray) -> np.ndarray:
+    return np.minimum(np.rint(-STEPS * code), 65535).astype(np.uint16)
+
+
+def _pack_codes(codes: np.ndarray) -> bytes:
+    return _pack(np.ascontiguousarray(codes).view(np.uint8).reshape(-1, 2).T)
+
+
+def _unpack_codes(blob: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(_unpack(blob, 2 * n, np.uint8).reshape(2, n).T).view(np.uint16).reshape(-1)
+
+
 def _code_rows(top):
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        distinct, counts, where, n = _merged(table)
-        levels = top.value.with_group(distinct, counts)
-        codes = [np.minimum(np.rint(-STEPS * code_lengths(distinct, levels, top.value.escape, order)), 65535).astype(np.uint16)[where] for order in ORDERS]
-        ends = np.cumsum(n).tolist()
-        blocks = table.column("block").to_pylist()
-        rows = [("code", b, key[0].as_py(), k, *(_pack(c[e - k : e]) for c in codes)) for b, e, k in zip(blocks, ends, n, strict=True)]
-        return _table(rows, _COUNT_TYPES)
+    """Code lengths of each block's strings: of seven bytes of context for each string, of five for each shorter one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = top.value
+        for batch in batches:
+            for r in range(batch.num_rows):
+                common.trim()
+                grp, block, n, data, counts_of = (batch.column(c)[r].as_py() for c in ("grp", "block", "n", "data", "counts"))
+                distinct, counts, rows = _merged(data, counts_of, n)
+                levels = own.with_group(distinct, counts)
+                long = _stepped(code_lengths(distinct, levels, own.escape, ORDERS[0]))
+                pairs = _short_strings(distinct)
+                padded = ((pairs >> _U(8)) << _U(64 - 8 * ORDERS[1])) | (pairs & _U(255))
+                short = _stepped(code_lengths(padded, levels, own.escape, ORDERS[1]))
+                del levels, counts, padded
+                out = []
+                for b, keys in zip(block, rows, strict=True):
+                    asked = _short_strings(keys)
+                    out.append(("code", b, grp, len(keys), len(asked), _pack_codes(long[np.searchsorted(distinct, keys)]), _pack_codes(short[np.searchsorted(pairs, asked)])))
+                yield from _table(out, _COUNT_TYPES).to_batches()
 
     return run
 
@@ -442,49 +518,65 @@ def _code_rows(top):
 # Step 4: scores of documents
 
 
-def mixed(code: np.ndarray) -> float:
-    """log10 probability of a text from that of each token (rows) by each order (columns)."""
+def mixed(code: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """log10 probability of each text from that of each token (rows) by each order (columns); texts: the first token of each."""
     total = np.concatenate([np.zeros((1, code.shape[1])), np.cumsum(code, axis=0)])
     at = np.arange(len(code))
-    ahead = total[at] - total[np.maximum(at - WINDOW, 0)]
-    sums = []
-    for x in (ahead + code, ahead):
-        most = x.max(1, keepdims=True)
-        sums.append(most[:, 0] + np.log10((10.0 ** (x - most)).sum(1)))
-    return float((sums[0] - sums[1]).sum())
+    begin = np.repeat(texts, np.diff(np.r_[texts, len(code)]))
+    ahead = total[at] - total[np.maximum(at - WINDOW, begin)]
+    return np.add.reduceat(_log_sum(ahead + code) - _log_sum(ahead), texts)
+
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    """log10 of the sum of the powers of ten in the two columns."""
+    return np.maximum(x[:, 0], x[:, 1]) + np.log10(1 + 10.0 ** -np.abs(x[:, 0] - x[:, 1]))
 
 
-def _document_rows(tokens: int, types: int, parts: int, split: dict[int, np.ndarray], groups: int):
+def _document_rows(tokens: int, types: int, split: dict[int, np.ndarray], groups: int, id_type: pa.DataType):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, given: pa.Table) -> pa.Table:
-        got = sorted(zip(*(given.column(c).to_pylist() for c in ("kind", "part", "n", "a", "b")), strict=True), key=lambda r: r[:2])
-        streams = docs.column("data").to_pylist()
-        keys, _ = _distinct(streams)
-        code = np.empty((len(keys), 2), np.float32)
-        order = np.argsort(_group_of(keys, split, groups), kind="stable")
-        for i in (0, 1):
-            code[order, i] = np.concatenate([np.empty(0, np.uint16), *(_unpack(r[3 + i], r[2], np.uint16) for r in got if r[0] == "code")]) / -STEPS
-        split_words = [[*s.split(), b""] for s in streams]
-        counts = np.concatenate([np.empty(0, np.int64), *(_unpack(a, n, np.int64) for kind, _, n, a, _ in got if kind == "word")])
-        number = {w: i for i, (_, w) in enumerate(_ordered_words(list(set().union(*split_words)), parts))}
+        common.trim()
+        got = sorted(zip(*(given.column(c).to_pylist() for c in ("kind", "part", "n", "m", "a", "b")), strict=True), key=lambda r: r[:2])
+        # Distinct strings of each slice, and where each of its bytes finds its own.
+        slices, words = [], np.empty(0, _U)
+        for blob, size, lengths in zip(*(docs.column(c).to_pylist() for c in ("data", "size", "lengths")), strict=True):
+            raw = pa.decompress(blob, size, codec="zstd", asbytes=True)
+            ends = np.cumsum([0, *lengths]).tolist()
+            own, where = np.unique(_keys([raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]), return_inverse=True)
+            blanks, hashes = _tokens(raw)
+            own_words, which = np.unique(hashes, return_inverse=True)
+            words = np.concatenate([words, own_words])
+            slices.append((ends, own, where.astype(np.int32), blanks.astype(np.int32), own_words, which.astype(np.int32)))
+        words = _sorted_set(words)
+        keys = _sorted_set(np.concatenate([np.empty(0, _U), *(own for _, own, *_ in slices)]))
+        code = np.empty((len(keys), 2), np.uint16)
+        order, at = np.argsort(_group_of(keys, split, groups), kind="stable"), 0
+        for kind, _, n, m, long, short in got:
+            if kind == "code":
+                own = order[at : at + n]
+                code[own, 0] = _unpack_codes(long, n)
+                code[own, 1] = _unpack_codes(short, m)[np.searchsorted(_short_strings(keys[own]), _pair(keys[own], ORDERS[1]))]
+                at += n
+        counts = np.concatenate([np.empty(0, np.int64), *(_unpack_keys(a, n).view(np.int64) for kind, _, n, _, a, _ in got if kind == "word")])
+        del order, got
         plain = np.log10((counts + 0.1) / (tokens + 0.1 * (types + 1)))
-        ids = [np.fromiter(map(number.__getitem__, ws), np.int64, len(ws)) for ws in split_words]
-        scores = []
-        for a, b in _slices(streams):
-            byte = code[_find(keys, _keys(streams[a:b]))[0]].astype(np.float64)
-            at = 0
-            for s, ws in zip(streams[a:b], ids[a:b], strict=True):
-                ends = np.flatnonzero(np.frombuffer(s, np.uint8) == 32)
-                scores.append(mixed(np.add.reduceat(byte[at : at + len(s)], np.r_[0, ends[:-1] + 1], axis=0)))
-                assert len(ends) == len(ws)
-                at += len(s)
+        sizes, known, base, scores = [], [], [], []
+        for lengths, own, where, ends, own_words, which in slices:
+            byte = code[np.searchsorted(keys, own)][where] / -float(STEPS)
+            texts = np.searchsorted(ends, lengths[:-1])
+            scores.append(mixed(np.add.reduceat(byte, np.r_[0, ends[:-1] + 1], axis=0), texts))
+            ids = np.searchsorted(words, own_words)[which]
+            sizes.append(np.diff(np.r_[texts, len(ends)]))
+            known.append(np.add.reduceat((counts[ids] > 0).astype(np.int64), texts))
+            base.append(np.add.reduceat(plain[ids], texts))
+        ids = [d for row in docs.column("doc_id").to_pylist() for d in row]
         return pa.table({
-            "doc_id": docs.column("doc_id"),
-            "held_out": docs.column("held_out"),
-            "n_tokens": pa.array([len(i) for i in ids], pa.int64()),
-            "n_known": pa.array([int((counts[i] > 0).sum()) for i in ids], pa.int64()),
-            "train_tokens": pa.array([tokens] * len(ids), pa.int64()),
-            "base_score": pa.array([float(plain[i].sum()) for i in ids], pa.float64()),
-            "score": pa.array(scores, pa.float64()),
+            "doc_id": pa.array(ids, id_type),
+            "held_out": pa.array([h for row in docs.column("held_out").to_pylist() for h in row], pa.bool_()),
+            "n_tokens": pa.array(np.concatenate(sizes), pa.int64()),
+            "n_known": pa.array(np.concatenate(known), pa.int64()),
+            "train_tokens": pa.array(np.full(len(ids), tokens), pa.int64()),
+            "base_score": pa.array(np.concatenate(base), pa.float64()),
+            "score": pa.array(np.concatenate(scores), pa.float64()),
         })
 
     return run
@@ -495,27 +587,32 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES) ->
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    groups = max(1, -(-size // block_bytes))
-    parts = max(1, groups // 4)
+    blocks, width = max(1, -(-size // block_bytes)), common.shuffle_width(spark)
+    groups, parts = GROUPS_A_BLOCK * blocks, max(1, blocks // 2)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = _BLOCK_SCHEMA.format(id=kind)
     at = common.write_shared(docs.mapInArrow(_blocks(parts, block_bytes), schema), "ppm-blocks", "kind")
     stored = spark.read.schema(schema).parquet(at)
-    words = common.cut(stored.filter("kind = 'word'").select("block", "part", "n", "data", "size", "counts").groupBy("part").applyInArrow(_word_rows, _COUNT_SCHEMA), "ppm-words")
+    words = common.cut(stored.filter("kind = 'word'").select("block", "part", "n", "data", "counts").groupBy("part").applyInArrow(_word_rows, _COUNT_SCHEMA), "ppm-words")
     types = words.filter("kind = 'types'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    spaces = F.octet_length("data") - F.octet_length(F.expr("replace(cast(data as string), ' ', '')"))
-    tokens = stored.filter("kind = 'doc' and not held_out").agg(F.coalesce(F.sum(spaces), F.lit(0))).first()[0]
+    tokens = stored.filter("kind = 'doc'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     strings = stored.filter("kind = 'string'")
     share = SPLIT_SHARE * (strings.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] or 1)
     heavy = stored.filter("kind = 'heavy'").groupBy("part", "size").agg(F.sum("n").alias("n")).filter(F.col("n") >= share).collect()  # at most 1,024 of either length
     split = {k: np.array(sorted(r["size"] for r in heavy if r["part"] == k), _U) for k in (3, 4)}
-    grouped = strings.select("block", "n", "data", "counts").mapInArrow(_grouped(split, groups), "grp int, block long, n long, data binary, counts binary").groupBy("grp")
-    stats = grouped.applyInArrow(_stat_rows(split), "level int, key long, times long").groupBy("level", "key").agg(F.sum("times").alias("times"))
+    grouped = strings.select("block", "n", "data", "counts").mapInArrow(_grouped(split, groups), "grp int, block long, n long, data binary, counts binary").repartition(max(width, groups), "grp").groupBy("grp")
+    held = common.write_shared(grouped.applyInArrow(_group_rows(split), _GROUP_SCHEMA), "ppm-groups", "kind")
+    common.removed(spark, f"{at}/kind=string")  # the groups have them now
+    grouped = spark.read.schema(_GROUP_SCHEMA).parquet(held)
+    stats = grouped.filter("kind = 'stat'").groupBy("level", "key").agg(F.sum("times").alias("times"))
     top = spark.sparkContext.broadcast(Top(stats.toArrow(), split))
-    codes = grouped.applyInArrow(_code_rows(top), _COUNT_SCHEMA)
-    given = codes.unionByName(words.filter("kind = 'word'")).groupBy("block")
-    kept = stored.filter("kind = 'doc'").select("block", "doc_id", "held_out", "data").groupBy("block")
-    return kept.cogroup(given).applyInArrow(_document_rows(tokens, types, parts, split, groups), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    codes = grouped.filter("kind = 'group'").select("grp", "block", "n", "data", "counts").mapInArrow(_code_rows(top), _COUNT_SCHEMA)
+    # As many tasks as blocks, so that none grows with the input.
+    dealt = lambda df: df.repartition(max(width, blocks), "block").groupBy("block")
+    given = dealt(codes.unionByName(words.filter("kind = 'word'")))
+    kept = dealt(stored.filter("kind = 'doc'").select("block", "doc_id", "held_out", "lengths", "data", "size"))
+    rows = _document_rows(tokens, types, split, groups, to_arrow_type(docs.schema["doc_id"].dataType))
+    return kept.cogroup(given).applyInArrow(rows, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:

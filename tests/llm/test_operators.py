@@ -413,7 +413,7 @@ def test_ppm_bytes_are_a_distribution():
     streams = [ppm.stream(t) for t in ("the cat sat on the mat", "then the car", "", "cat")]
     keys, counts = ppm._distinct(streams)
     split = {3: np.empty(0, np.uint64), 4: np.empty(0, np.uint64)}
-    stats = ppm._stat_rows(split)(None, ppm._table([(0, 0, len(keys), ppm._pack_keys(keys), ppm._pack(counts))], ppm._GROUP_TYPES))
+    stats = pa.table(dict(zip(ppm._STAT_TYPES, ppm._stats(keys, counts, split), strict=True)))
     top = ppm.Top(stats, split)
     for context in (keys[0] >> np.uint64(8), keys[-1] >> np.uint64(8), np.uint64(123456789)):
         every = (context << np.uint64(8)) | np.arange(256, dtype=np.uint64)
