@@ -140,8 +140,9 @@ def takes(docs: DataFrame, seed: int = SEED) -> DataFrame:
     sources = [(r[0], int(r[1])) for r in placed.groupBy("source").agg(F.sum("size")).collect()]
     sources.sort(key=lambda s: (s[0] is None, s[0] or ""))
     goal = targets(sources)
+    kind = lambda c: docs.schema[c].dataType.simpleString()
     if not sources:
-        return spark.createDataFrame([], "doc_id long, mix_row long, size long, source_size long, target double, taken long, pieces array<struct<start: long, length: long, times: long>>")
+        return spark.createDataFrame([], f"doc_id {kind('doc_id')}, mix_row {kind('mix_row')}, size long, source_size long, target double, taken long, pieces array<struct<start: long, length: long, times: long>>")
     names = spark.createDataFrame([(s, i, n, t) for i, ((s, n), t) in enumerate(zip(sources, goal, strict=True))], "source string, sid int, source_size long, target double")
     blocks = np.array([-(-n // BLOCK) for _, n in sources], np.int64)
     # A last block may be part full: expected slots follow its mean length.
@@ -189,13 +190,13 @@ def mixed(docs: DataFrame) -> DataFrame:
     key, number, size, times, pieces_of, words_of = (common.free(c, docs) for c in ("mix_key", "mix_number", "mix_size", "mix_taken", "mix_pieces", "mix_words"))
     row = F.xxhash64("doc_id", F.col("source").cast("string"), F.col("text").cast("string"))
     # Which of several equal rows has which number does not matter.
-    keyed = docs.withColumn(key, row)
-    keyed = keyed.withColumn(number, F.row_number().over(Window.partitionBy(key).orderBy(key)))
-    rows = sized(keyed.select("doc_id", "source", "text", key, number)).withColumn("mix_row", F.xxhash64(key, number))
-    found = takes(rows.select("doc_id", "source", "size", "mix_row")).filter("taken > 0")
-    mark = common.free("mix_mark", docs)
-    found = found.select(F.col("mix_row").alias(mark), F.col("size").alias(size), F.col("taken").alias(times), F.col("pieces").alias(pieces_of))
-    kept = keyed.withColumn(key, F.xxhash64(key, number)).join(found, F.col(key) == F.col(mark))
+    numbered = lambda df: df.withColumn(number, F.row_number().over(Window.partitionBy(key).orderBy(key)))
+    rows = numbered(sized(docs.select("doc_id", "source", "text", row.alias(key))).drop("text", "mix_row"))
+    found = takes(rows.select("doc_id", "source", "size", F.struct(F.col(key).alias("key"), F.col(number).alias("number")).alias("mix_row"))).filter("taken > 0")
+    mark, copy = common.free("mix_mark", docs), common.free("mix_copy", docs)
+    found = found.select(F.col("mix_row.key").alias(mark), F.col("mix_row.number").alias(copy), F.col("size").alias(size), F.col("taken").alias(times), F.col("pieces").alias(pieces_of))
+    # The number is compared beside the join, whose key then is the one that the texts are dealt out by already.
+    kept = numbered(docs.withColumn(key, row)).join(found.hint("merge"), (F.col(key) == F.col(mark)) & (F.col(number) - F.col(copy) == 0))
     words = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
     whole = F.expr(f"forall({pieces_of}, p -> p.times = 1) and {times} = {size}")
     # The words stand in an array of their own so that the text is split once and not for each piece.
