@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
 Only edges move; every round is a few equi-joins and aggregations, so no component is ever
-gathered in one task or on the driver.  Each round is checkpointed in the shared folder.
+gathered in one task or on the driver.  Each round is checkpointed in the shared folder.  The centre of a very
+large star is one join key; adaptive execution splits such a key over tasks (skew join), as its other side is one row.
 """
 
 from __future__ import annotations

@@ -2,7 +2,8 @@
 
 A HyperLogLog sketch of the sites of every line hash is built on the map side and merged by
 the aggregation, so a line that is everywhere costs one sketch per task.  Lines whose estimate
-is clear of the threshold are decided by it; those near the threshold get an exact
+is clear of the threshold are decided by it (with the boilerplate table broadcast while its size allows; beyond that a very
+common line is a hot join key with one row on the other side, which adaptive execution splits); those near the threshold get an exact
 count of distinct sites.  A line on ``min_sites`` sites or more is boilerplate: it stays in the
 document with the least doc_id and goes from all others.
 

@@ -497,6 +497,33 @@ def test_suffix(docs):
     assert suffix.repeats(docs([])).count() == 0
 
 
+def test_very_long_texts(docs):
+    long = " ".join(f"w{i * i % 977}" for i in range(200_000))
+    df = docs([(1, long), (2, long + " end"), (3, "short text"), (4, None)])
+    prints = df.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("p", imatch.fingerprint("text", []))
+    assert {len(r.p) for r in prints.collect()} == {imatch.SUBSETS}
+    model = language.fit(df)
+    assert {r.doc_id: r.lang_pred for r in language.identify(df, model).collect()} == {1: "en", 2: "en", 3: "en", 4: "und"}
+    scored = {r.doc_id: r for r in ppm.score(df, F.col("doc_id") == 2).collect()}
+    assert scored[1].n_tokens == 200_001 and scored[2].n_tokens == 200_002 and scored[2].n_known == 200_001 and 0 > scored[2].score > scored[2].base_score
+    taken = {r.doc_id: r for r in mixing.takes(mixing.sized(df)).collect()}
+    assert taken[1]["size"] == 200_000 and 0 < taken[1].taken <= 600_000 and taken[4].taken == 0
+
+
+def test_html_other_columns(spark):
+    page = "<article><p>Body text here.</p></article>"
+    df = spark.createDataFrame([(1, "u", page, "old", 7, "s", None)], "page_id long, url string, html string, text string, n_chars long, score string, path array<int>")
+    row = html.extract(df).first()
+    assert (row.text, row.n_chars, row.score, row.path, row.html) == ("Body text here.", 7, "s", None, page)
+
+
+def test_topk_wide_and_repeated(spark):
+    rows = [(i % 5, [float(i % 3)] * 700, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, block int")
+    got = topk.search(df.filter("block = 2"), df, 3).orderBy("rank").collect()
+    assert [r.score for r in got] == [512 * 512 * 700] * 3 and all(r.vec_id != 2 for r in got)
+
+
 def test_checkpoint_folder_is_the_session_s(spark):
     path = common.write_shared(spark.range(3), "probe")
     assert path.startswith(common.shared_dir(spark))
