@@ -179,23 +179,33 @@ def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*(f for f in df.schema.fields if f.name != name), T.StructField(name, kind)])
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``df`` with the token ids of column ``text`` as ``array<int>`` in column ``ids``."""
+#: Rows encoded at a time.
+SLICE_ROWS = 500
+
+
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``df`` with the token ids of column ``text`` as ``array<int>`` in column ``ids``.
+
+    decoded: also decode the ids again, in the same worker, into the column of this name."""
     shipped = _ship(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.trim()
         model = shipped.value
         for big in batches:
-            for at in range(0, big.num_rows, 1000):
-                batch = big.slice(at, 1000)
+            for at in range(0, big.num_rows, SLICE_ROWS):
+                batch = big.slice(at, SLICE_ROWS)
                 rows = model.encode_batch(batch.column(batch.schema.get_field_index(text)).to_pylist())
                 ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
                 values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *rows])))
-                yield _replaced(batch, ids, values)
+                out = _replaced(batch, ids, values)
+                yield out if decoded is None else _replaced(out, decoded, pa.array([model.decode(r.tolist()) for r in rows], pa.string()))
             common.trim()
 
-    return df.mapInArrow(run, _schema(df, ids, T.ArrayType(T.IntegerType())))
+    schema = _schema(df, ids, T.ArrayType(T.IntegerType()))
+    if decoded is not None:
+        schema = T.StructType([*(f for f in schema.fields if f.name != decoded), T.StructField(decoded, T.StringType())])
+    return df.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -206,8 +216,8 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
         common.trim()
         model = shipped.value
         for big in batches:
-            for at in range(0, big.num_rows, 1000):
-                batch = big.slice(at, 1000)
+            for at in range(0, big.num_rows, SLICE_ROWS):
+                batch = big.slice(at, SLICE_ROWS)
                 column = batch.column(batch.schema.get_field_index(ids))
                 texts = [model.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else "" for x in column]
                 yield _replaced(batch, text, pa.array(texts, pa.string()))
@@ -222,9 +232,8 @@ def default_vocabulary() -> str:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """The digest columns of op1, from the ids and the decoded texts."""
-    coded = encode(docs.select("doc_id", "text"), path).drop("text")
-    return decode(coded, path).select(
+    """The digest columns of op1, from the ids and the decoded texts: one worker a task holds the vocabulary."""
+    return encode(docs.select("doc_id", "text"), path, decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
