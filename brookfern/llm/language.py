@@ -111,6 +111,8 @@ def _counts(lang_type: pa.DataType):
             grid = np.concatenate([cells.get(lang, np.zeros(BUCKETS)), scripts.get(lang, np.zeros(len(SCRIPTS))), [texts[lang]]]).astype(np.int64)
             where = np.flatnonzero(grid)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(where), pa.string()), pa.array(where, pa.int32()), pa.array(grid[where], pa.int64())], ["lang", "cell", "times"])
+        cells.clear()
+        common.trim()
 
     return run
 
@@ -239,6 +241,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", with_spans: bool
                     values = [pa.array(v, t) for v, (_, _, t) in zip(found, added, strict=False)]
                     yield pa.RecordBatch.from_arrays([*(part.column(n) for n in keep), *values], [*keep, *names])
                     begin, size, texts = row + 1, 0, []
+            del column, batch
+            common.trim()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name not in names), *(f"{n} {t}" for n, t, _ in added)])
     return docs.mapInArrow(run, schema)
