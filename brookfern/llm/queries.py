@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, fim, html, imatch, jaccard, language, lines, mixing, ppm, simhash, suffix, topk
+from . import bpe, fim, html, imatch, jaccard, language, lines, mixing, phrases, ppm, simhash, suffix, topk
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -20,8 +20,9 @@ QUERIES = {
     "op10_suffix": suffix.op10_suffix,
     "op11_jaccard": jaccard.op11_jaccard,
     "op12_fim": fim.op12_fim,
+    "op13_phrases": phrases.op13_phrases,
 }
 
-ORACLES: dict[str, str] = {"op6_lines": lines.ORACLE, "op11_jaccard": jaccard.ORACLE, "op12_fim": fim.ORACLE}
+ORACLES: dict[str, str] = {"op6_lines": lines.ORACLE, "op11_jaccard": jaccard.ORACLE, "op12_fim": fim.ORACLE, "op13_phrases": phrases.ORACLE}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
