@@ -142,3 +142,60 @@ NOT_NAMES = ["The", "Article", "Tools", "Docker", "Medium", "AWS"]
 # Spellings of words for tables that a plan understands, and paths of files in a question.
 TABLE_SPELLINGS = [("data base", "database"), ("data-base", "database"), ("databse", "database"), ("datbase", "database"), ("sql lite", "sqlite"), ("sqlite3", "sqlite")]
 FILE_PATH = r"([A-Za-z0-9_.-]+\.(?:cfg|csv|ini|json|log|md|py|ps1|toml|txt|yaml|yml))"
+
+# Source windows.  Words of questions, cues of texts, ends of excerpts, patterns and notes.
+WINDOW_QUERIES = ["feature", "analy", "setup", "commands", "reason", "formula", "example", "large number", "large integer", "very large", "main message", "author do", "what does the author", "holding", "holds", "hold people back"]
+WINDOW_STOPS = ["what", "which", "are", "does", "do", "did", "how", "why", "the", "and", "for", "with", "from", "into", "about", "according", "review", "paper", "document", "article", "discuss", "describe", "say", "use", "uses", "used", "make", "makes", "key", "feature", "features", "machine", "learning"]
+WINDOW_REASON_CUES = ["why this works", "brain science", "reason", "reasons", "because", "triggers", "activate", "remember", "question"]
+WINDOW_REASON_STRONG = ["why this works", "brain science"]
+WINDOW_REASON_MARKS = ["triggers", "activate", "feel", "remember", "question"]
+WINDOW_HOLDING_CUES = ["stuck because", "fear", "failing", "looking", "wasting", "trying", "try"]
+WINDOW_HOLDING_MARKS = ["stuck because", "fear", "failing", "looking", "wasting"]
+WINDOW_HOLDING_TRIES = ["try", "trying"]
+WINDOW_MESSAGE_GROUPS = [["quit", "quitting"], ["risk", "burn"], ["paycheck"], ["hours a day", "hours"]]
+WINDOW_MESSAGE_MARKS = ["quit", "risk", "burn", "paycheck", "hours"]
+WINDOW_GENERIC_MARKS = ["because", "here's what", "what i do", "fear", "wasting", "memory", "digits", "paycheck", "quit your job", "risk everything", "burn", "hours a day"]
+WINDOW_HOLDING_TERMS = ["back", "fear", "stuck"]
+WINDOW_QUIT_TERMS = ["quit", "risk", "burn", "paycheck", "hours"]
+WINDOW_LARGE_TERMS = ["large", "numbers", "integers", "memory", "digits"]
+WINDOW_AUTHOR_TERMS = ["here", "use", "clients", "charge", "work"]
+WINDOW_FORMULA_ENDS = ["example", "challenge", "your 7-day", "tag ", "follow publication", "published in"]
+WINDOW_FORMULA_ASIDES = ["challenge", "tag ", "clap ", "follow publication", "published in"]
+WINDOW_FORMULA_PART = r"\b(?:\d+|one|two|three|four|five|six|seven|eight|nine|ten)[-\s]*part\s+formula\b"
+WINDOW_FORMULA_ITEM = r"(?<!\d)\b(\d{1,2})\.\s+(?=(?:the\s+)?[A-Z][A-Za-z0-9\"'() /-]{1,90}:)"
+WINDOW_FORMULA_TAIL = r"(?i)\b(?:bad|better|example|challenge|result|tag|follow|published in)\s*:"
+WINDOW_EXAMPLE_ENDS = ["challenge", "why this works", "tag "]
+WINDOW_FEATURE_MARKS = ["feature", "include", "capability", "support", "supports", "provides", "offers", "allows", "enables", "helps", "automatic", "interactive"]
+WINDOW_FEATURE_CUES = ["features include", "key features"]
+WINDOW_FEATURE_STARTS = ["features include", "key features", "what is", "analy"]
+WINDOW_FEATURE_ENDS = [
+    "getting started", "how to use", "how do i", "pro tip", "you can try", "when using", "best practices", "why these tools matter", "setup instructions", "complete code", "installation", "installing", "resources", "references",
+    "try it out", "start integrating", "thanks for reading", "get an email", "signing up", "final thoughts", "let's connect", "lets connect", "connect!", "embrace ",
+]
+WINDOW_COMMAND_TEXT = ["docker run", "brew install", "pip install", "npm install", "conda install", "poetry add", "uv run", "python -m", "alias ", "git clone"]
+WINDOW_SOCIAL_TEXT = ["start integrating", "thanks for reading", "get an email", "signing up", "follow me on", "subscribe to", "your thoughts and feedback", "connect!"]
+WINDOW_COMMAND_QUERIES = ["command", "setup", "install", "run", "how to use", "execute"]
+WINDOW_COMMANDS = [
+    r"\bpip\s+install\s+uv\b", r"\buv\s+venv\s+[-\w./]+", r"\bsource\s+[-\w./]+activate\b", r"\buv\s+pip\s+install\s+.+?(?=\s+brew\s+install|\s+Building\b|\s+Step\s+\d|\s+\d+[.)]\s+[A-Z]|$)",
+    r"\bbrew\s+install\s+[-\w./]+", r"\buv\s+run\s+[-\w./]+(?:\.py)?", r"\bpython\s+-m\s+[-\w.]+(?:\s+\d+)?", r"\bnpm\s+(?:install|run)\s+[-\w./]+", r"\bpoetry\s+(?:add|run)\s+[-\w./]+",
+]
+WINDOW_PLATFORM_NOTE = "- The tutorial notes a Mac M1/M2/M3/M4 setup using MLX and Apple's Metal-accelerated backend."
+WINDOW_LAUNCH_NOTE = "- The app launches with `app.launch()` and is run locally with Gradio's default server, normally `http://127.0.0.1:7860/`."
+WINDOW_NUMBER_FACTS = {
+    "integers": "Python automatically manages large integers.", "numbers": "Python automatically manages large numbers.", "types": "It does not require special data types for big numbers.", "kinds": "There is no need for separate int or long types.",
+    "normal": "Developers can use numbers normally.", "memory": "Python dynamically allocates memory.", "power": "The article gives `10**100` as an example of a very large number.",
+}
+WINDOW_INTRO_CLASSES = ["tool", "interface", "ui", "model", "library", "framework", "method", "algorithm", "system", "service", "application", "platform"]
+WINDOW_INTRO_RELATIONS = [" is ", " are ", "refers to", "means", "used for", "monitors", "analyzes", "automates", "helps", "allows", "enables"]
+ENTITY_TERM_STOPS = ["a", "an", "the", "and", "or", "of", "for", "about", "by", "in", "on", "to"]
+SUBJECT_QUERIES = [
+    r"(?i)^\s*what\s+does\s+(.+?)\s+(?:help|support|provide|allow|enable|detect|analy[sz]e|monitor|update|show)\b",
+    r"(?i)^\s*how\s+does\s+(.+?)\s+(?:help|work|support|provide|allow|enable|detect|analy[sz]e|monitor|update|show)\b",
+]
+WINDOW_FEATURE_REWRITES = [
+    (r"^[^A-Za-z0-9]*(?:[-\\\w./:=<>]+\s+){2,}(?=What is|[A-Z][A-Za-z0-9_-]+:)", ""),
+    (r"(?i)^what\s+is\s+[^?]{1,100}\?\s*", ""),
+    (r"(?i)\b(?:some\s+(?:of\s+)?the\s+)?key\s+features(?:\s+of\s+[^:]{1,80})?\s+include:\s*", "Key features include: "),
+    (r"(?i)(key\s+features\s+include:\s*){2,}", "Key features include: "),
+    (r"\b(?:Follow|Published in)[^.!?]{0,120}", ""),
+]

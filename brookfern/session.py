@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -41,3 +42,12 @@ def materialized(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="brookfern-"))
     return df.checkpoint()
+
+
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are worked out once a row.
+
+    Later expressions read a column many times; merged into one projection or a pushed filter, each reading would be
+    worked out anew.  A generator of one row keeps them apart, inside the same stage."""
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))

@@ -72,3 +72,29 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tools(spark: SparkSession) -> DataFrame:
     rows = [("list_documents", "local", False, None, False, False), ("mcp.files.read_file", "mcp", False, "docs", False, False), ("delete_rows", "local", True, "data", True, False), ("get_weather", "web", False, None, False, False), ("write_note", "local", True, "data", True, False)]
     return spark.createDataFrame(rows, "tool_name string, source string, requires_approval boolean, root string, write_enabled boolean, allow_delete boolean")
+
+
+#: Words of the fixture texts that stand for cues, so that questions of every kind find some.
+CUED_WORDS = {
+    "ther": "because", "thhe": "remember", "thwh": "why this works", "thly": "reason", "thed": "fear of failing", "thnd": "looking", "thnt": "trying", "erre": "quit your job", "thin": "paycheck", "erin": "risk",
+    "erat": "hours a day", "thou": "formula", "thha": "example", "thes": "before:", "eror": "after:", "thtion": "challenge", "onon": "features include", "ered": "what is", "thsh": "provides", "eran": "getting started",
+    "ernt": "large integers", "thble": "dynamically allocates memory", "erha": "int or long", "ernd": "use numbers normally", "eres": "pip install uv", "attion": "uv run app.py", "erer": "10**100", "onin": "1. First Step: open the door.",
+    "ersh": "2. Second Part: walk in.", "eron": "python -m http.server 8000", "onwh": "three part formula", "ering": "automatic", "erst": "brain science", "onth": "wasting", "erble": "stuck because", "that": "Erly",
+}
+WINDOW_QUESTIONS = [
+    "How do I setup and run the commands?", "What reasons show that this works?", "What is holding people back?", "What is the three part formula?", "How are very large integer values handled?",
+    "Which example does the author give?", "What is the main message about quitting?", "Which features does Erly have?", "What does the author do with the rest of it?",
+]
+
+
+def cued_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of eight lines of every document, with cues in them, as the items of a question of each kind of window."""
+    body = F.concat(F.lit(" "), F.regexp_replace("text", r"\n", " \n "), F.lit(" "))
+    for word, cue in CUED_WORDS.items():
+        body = F.replace(body, F.lit(f" {word} "), F.lit(f" {cue} "))
+    lines = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.split(body, "\n").alias("lines"))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / 8).cast("int")), lambda i: F.array_join(F.slice("lines", i * 8 + 1, F.lit(8)), " "))
+    pages = lines.select("doc_id", F.posexplode(parts).alias("page", "text"))
+    asked = F.posexplode(F.array(*map(F.lit, WINDOW_QUESTIONS))).alias("place", "query")
+    rows = pages.select("doc_id", (F.col("page") + 1).alias("rank"), "text", asked)
+    return rows.select((F.col("doc_id") * 10 + F.col("place")).alias("query_id"), "query", "rank", F.concat(F.lit("doc "), "doc_id").alias("title"), F.col("rank").alias("page_number"), F.lit(0).alias("chunk_index"), "text")
