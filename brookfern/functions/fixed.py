@@ -199,3 +199,5 @@ WINDOW_FEATURE_REWRITES = [
     (r"(?i)(key\s+features\s+include:\s*){2,}", "Key features include: "),
     (r"\b(?:Follow|Published in)[^.!?]{0,120}", ""),
 ]
+# Signs of texts that were read in the wrong encoding.
+MOJIBAKE_MARKS = ["\u00e2", "\u00c2", "\u00c3", "\u0080", "\u0098", "\u0099", "\u009c", "\u009d"]

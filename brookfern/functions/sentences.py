@@ -204,61 +204,10 @@ ANSWER_PATTERNS = [
     (r"(?i)(?:^|\n)-?\s*Some (?:of )?the key features(?: of [^:]+)? include:\s*", "\n"),
     (r"(?is)\s+Citations:\s+\[\d+\].*$", ""),
 ]
-# A run of four words or more that stands again at once, and empty list items and blanks before signs.
-REPEATED_RUN = r"(?i)\b((?:[A-Za-z0-9][A-Za-z0-9'’.-]*\s+){3,}[A-Za-z0-9][A-Za-z0-9'’.-]*)(?:\s+\1\b)+"
+# Empty list items and blanks before signs.
 AFTER_CITATIONS = [(r"(?:^|\s)-\s*(?:\[\d+\]\s*)+(?=$|\s+-)", " "), (r"\s+([,])", "$1"), (r"\s+\.(?=(?:\s|$|\[\d+\]))", ".")]
 
 
-def cited(answer: Column, most: Column | None = None) -> Column:
-    """[1, 2] becomes [1] [2]; numbers beyond ``most`` go."""
-    pieces = F.split(answer, r"(?=\[\d+(?:\s*,\s*\d+)*\])")
-
-    def one(piece: Column) -> Column:
-        group = F.regexp_extract(piece, r"^\[(\d+(?:\s*,\s*\d+)*)\]", 1)
-        numbers = F.array_distinct(F.transform(F.regexp_extract_all(group, F.lit(r"\d+"), F.lit(0)), lambda n: n.cast("long")))
-        valid = F.filter(numbers, lambda n: n >= 1) if most is None else F.filter(numbers, lambda n: (n >= 1) & (n <= most))
-        shown = F.array_join(F.transform(valid, lambda n: F.concat(F.lit("["), n.cast("string"), F.lit("]"))), " ")
-        return F.when(group == "", piece).otherwise(F.concat(shown, F.regexp_replace(piece, r"^\[\d+(?:\s*,\s*\d+)*\]", "")))
-
-    return F.array_join(F.transform(pieces, one), "")
-
-
-def unrepeated(answer: Column) -> Column:
-    """Runs of words said twice in a row once, and sentences that say what the one before says left out."""
-    for _ in range(3):
-        answer = F.regexp_replace(answer, REPEATED_RUN, "$1")
-    sentences = F.split(answer, r"(?<=[.!?])\s+")
-    key = lambda s: F.btrim(F.regexp_replace(F.lower(F.regexp_replace(s, r"\[\d+\]", "")), r"[^\p{L}\p{N}_]+", " "))
-    keyed = F.transform(sentences, key)
-    kept = F.filter(sentences, lambda s, i: (key(s) == "") | (i == 0) | (key(s) != F.get(keyed, i - 1)))
-    return F.array_join(kept, " ")
-
-
-def laid_out(answer: Column) -> Column:
-    """One line, or a list of bullets, after a heading if there is one."""
-    plain = F.regexp_replace(F.regexp_replace(answer, r":\s*•\s*", ": "), r"\s*•\s*", "; ")
-    flat = text.squeeze(plain)
-    headed = flat.rlike(r"^.+:\s+-\s+.+$")
-    prefix = F.btrim(F.regexp_extract(flat, r"^(.+):\s+-\s+(.+)$", 1))
-    body = F.when(headed, F.regexp_extract(flat, r"^(.+):\s+-\s+(.+)$", 2)).otherwise(F.substring(flat, 3, 1 << 30))
-    parts = F.filter(F.transform(F.split(body, r"\s+-\s+(?=[A-Z0-9`'\"(])"), lambda p: F.btrim(p, F.lit(" -"))), lambda p: p != "")
-    bullets = F.array_join(F.transform(parts, lambda p: F.concat(F.lit("- "), p)), "\n")
-    with_head = F.when(F.size(parts) == 1, F.concat(prefix, F.lit(": "), F.get(parts, F.lit(0)))).otherwise(F.concat(prefix, F.lit(":\n"), bullets))
-    return F.when(headed & (F.size(parts) > 0), with_head).when(flat.startswith("- ") & (F.size(parts) > 0), bullets).otherwise(flat)
-
-
-def clean_answer(answer: Column, most: Column | None = None) -> Column:
-    """An answer without leaked context, filler and repeats, with valid citations and one layout."""
-    out = without_headers(repaired(answer))
-    for pattern, replacement in ANSWER_PATTERNS:
-        out = F.regexp_replace(out, pattern, replacement)
-    out = F.regexp_replace(rejoined(out), r"(?i)\bAbstract\b\s*", "")
-    out = cited(out, most)
-    for pattern, replacement in AFTER_CITATIONS:
-        out = F.regexp_replace(out, pattern, replacement)
-    return F.btrim(laid_out(unrepeated(out)))
-
-
 def excerpt(body: Column, units: Column, radius: int = 2200) -> Column:
     """The text around the first of the units: a third of ``radius`` before it and ``radius`` after, out to whole sentences; empty without one."""
     low = F.lower(body)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, text
 from ..functions import sentences as st
 from ..session import materialized
-from . import answer, evaluate
+from . import answer, cleaning, evaluate
 
 # Phrases of questions that ask for lists, and stop words of the terms of an answer's query.
 LIST_QUESTIONS = ["what are", "what types", "what kinds", "what limitations", "what capabilities", "what approaches", "what steps", "what first steps", "what three", "what roles", "main pipeline", "pipeline", "formula", "setup", "commands", "which", "mentioned", "reasons", "list"]
@@ -303,7 +303,7 @@ def rejection(query: Column, candidate: Column, results: Column) -> Column:
 def first_accepted(found: DataFrame) -> DataFrame:
     """The first candidate of each query without a reason against it.  found: candidates with results."""
     # Kept, a few rows a query: each of many reasons reads the cleaned answer.
-    cleaned = materialized(found.withColumn("candidate", st.clean_answer(F.col("candidate"), F.col("results"))))
+    cleaned = materialized(cleaning.cleaned(found, "candidate", F.col("results")))
     judged = cleaned.withColumn("reason", rejection(F.col("query"), F.col("candidate"), F.col("results"))).filter("reason = ''")
     order = Window.partitionBy("query_id").orderBy("place")
     return judged.withColumn("n", F.row_number().over(order)).filter("n = 1").select("query_id", "source", F.col("candidate").alias("answer"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..functions import sentences as st
-from ..operators import answering, backends, ingest, reports, retrieval, state, store, tools
+from ..operators import answering, backends, cleaning, ingest, reports, retrieval, state, store, tools
 from ..sources import files
 from ..sources import fixtures as fx
 from .registry import _ANCHORS, _ASKED, _CHUNKS, _DOCS, _EVIDENCE, _GENERIC, _TURNS, _anchors, _evidence, _has, _six, query
@@ -320,7 +320,15 @@ def sentence_predicates(spark, sf_dir):
 
 @query()
 def cleaned_answers(spark, sf_dir):
-    return fx.turns(spark, sf_dir).select("session_id", "turn_id", st.clean_answer(F.concat("content", F.lit(" [1, 2] [9]")), F.lit(3)).alias("answer"))
+    return cleaning.cleaned(fx.turns(spark, sf_dir).select("session_id", "turn_id", F.concat("content", F.lit(" [1, 2] [9]")).alias("answer")), "answer", F.lit(3))
+
+
+@query()
+def unrepeated_documents(spark, sf_dir):
+    """Whole texts, doubled word runs added, without runs that stand again at once."""
+    twice = F.concat_ws(" ", "text", F.substring("text", 1, 400), F.substring("text", 1, 400), F.lit("end"))
+    rows = fx.table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", text.squeeze(twice).alias("body"))
+    return rows.select("doc_id", F.length("body").alias("n_before"), cleaning.unrepeated_runs(F.col("body")).alias("body")).select("doc_id", "n_before", F.length("body").alias("n_after"), F.md5(F.col("body").cast("binary")).alias("mark"))
 
 
 # Retrieval

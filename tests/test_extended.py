@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from brookfern.functions import fixed, text
 from brookfern.functions import sentences as st
-from brookfern.operators import answering, backends, curation, reports, retrieval, state, tools
+from brookfern.operators import answering, backends, cleaning, curation, reports, retrieval, state, tools
 from brookfern.sources import files
 
 
@@ -53,7 +53,8 @@ def test_answer_cleaning(spark):
         "It signif- icantly helps , see [3] .": "It significantly helps, see [3].",
         "Itâ€™s fine": "It's fine",
     }
-    assert values(spark, list(cases), st.clean_answer(F.col("v"), F.lit(3))) == list(cases.values())
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, answer string")
+    assert [r.answer for r in cleaning.cleaned(df, "answer", F.lit(3)).orderBy("i").collect()] == list(cases.values())
 
 
 def test_sentence_predicates(spark):
