@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, sentences, text
+from . import postings
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column], limit: int | None = None, name: str = "rank") -> DataFrame:
@@ -27,32 +28,11 @@ def query_terms(queries: DataFrame, terms: Column | None = None) -> DataFrame:
     return queries.select("query_id", F.explode(words).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
-def _postings(items: DataFrame, key: str, body: Column, *more: str) -> DataFrame:
-    """(key, *more, length, term, tf): texts are split once; lengths travel with the terms."""
-    words = items.select(key, *more, text.tokens(body).alias("words"))
-    return words.select(key, *more, F.size("words").alias("length"), F.explode("words").alias("term")).groupBy(key, *more, "length", "term").agg(F.count("*").alias("tf"))
-
-
-def _weighed(hit: DataFrame, keys: list[str], mean: Column) -> DataFrame:
-    norm = F.col("tf") + fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.col("length") / mean)
-    part = F.col("times") * F.col("idf") * F.col("tf") * (fixed.BM25_K1 + 1) / norm
-    return hit.groupBy(*keys).agg(F.sum(part).alias("score"))
-
-
-def bm25(items: DataFrame, key: str, body: Column, terms: DataFrame) -> DataFrame:
+def bm25(items: DataFrame, key: str, body: Column, terms: DataFrame, index: postings.Index | None = None) -> DataFrame:
     """(query_id, key, score) of every item that shares a term with the query.
 
-    items: one row per ``key``; terms: (query_id, term, times).  Only postings of asked terms leave the
-    scan with their counts; statistics of the whole vocabulary are one row.
-    """
-    postings = _postings(items, key, body)
-    n = items.agg(F.count("*").alias("n")).select("n").scalar()
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("times"))
-    idf = frequency.select("term", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"), "times")
-    whole = idf.agg((F.avg("idf") * fixed.BM25_EPSILON).alias("floor"), F.sum("times").alias("tokens"))
-    floor, tokens = whole.select("floor").scalar(), whole.select("tokens").scalar()
-    idf = idf.select("term", F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")).alias("idf"))
-    return _weighed(terms.join(idf, "term").join(postings, "term"), ["query_id", key], tokens / n)
+    items: one row per ``key``; terms: (query_id, term, times).  Items are split once into an index, unless one is given."""
+    return postings.scores(index or postings.build(items, key, body), key, terms)
 
 
 def numbered_scopes(scope: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -66,26 +46,35 @@ def numbered_scopes(scope: DataFrame) -> tuple[DataFrame, DataFrame]:
     return asked, scope.distinct().join(first, "query_id").select("scope_id", "doc_id")
 
 
-def bm25_scoped(chunks: DataFrame, terms: DataFrame, asked: DataFrame, members: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score) with the statistics of each query's own scope, made once for each scope."""
-    inside = chunks.join(members, "doc_id")
-    postings = _postings(inside, "chunk_id", F.col("text"), "scope_id")
+def _weighed(hit: DataFrame, keys: list[str], mean: Column) -> DataFrame:
+    norm = F.col("tf") + fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.col("length") / mean)
+    part = F.col("times") * F.col("idf") * F.col("tf") * (fixed.BM25_K1 + 1) / norm
+    return hit.groupBy(*keys).agg(F.sum(part).alias("score"))
+
+
+def bm25_scoped(chunks: DataFrame, terms: DataFrame, asked: DataFrame, members: DataFrame, index: postings.Index | None = None) -> DataFrame:
+    """(query_id, chunk_id, score) with the statistics of each query's own scope, made once for each scope.
+
+    Term counts are made inside the rows of chunks, or read from an index of them that carries doc_id."""
+    counts = postings.counted(chunks, F.col("text"), "chunk_id", "doc_id") if index is None else index.forward
+    inside = counts.join(members, "doc_id")
+    found = inside.select("chunk_id", "scope_id", "length", F.explode("counts").alias("c")).select("chunk_id", "scope_id", "length", "c.term", "c.tf")
     size = inside.groupBy("scope_id").agg(F.count("*").alias("n"))
-    frequency = postings.groupBy("scope_id", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("times"))
+    frequency = found.groupBy("scope_id", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("times"))
     idf = frequency.join(size, "scope_id").withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floors = idf.groupBy("scope_id").agg((F.avg("idf") * fixed.BM25_EPSILON).alias("floor"), (F.sum("times") / F.first("n")).alias("mean_length"))
     wanted = terms.join(asked, "query_id")
     idf = idf.select("scope_id", "term", "idf").join(floors, "scope_id").select("scope_id", "term", "mean_length", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
-    hit = wanted.join(idf, ["scope_id", "term"]).join(postings, ["scope_id", "term"])
+    hit = wanted.join(idf, ["scope_id", "term"]).join(found, ["scope_id", "term"])
     return _weighed(hit, ["query_id", "chunk_id"], F.col("mean_length"))
 
 
-def sparse_scores(chunks: DataFrame, queries: DataFrame, scope: DataFrame) -> DataFrame:
+def sparse_scores(chunks: DataFrame, queries: DataFrame, scope: DataFrame, index: postings.Index | None = None) -> DataFrame:
     """BM25 within each query's scope plus substring boosts; every chunk of the scope keeps a row, without its texts.
 
     scope: (query_id, doc_id).  A chunk is lower-cased once, not once for each query."""
     asked, members = numbered_scopes(scope)
-    lexical = bm25_scoped(chunks, query_terms(queries), asked, members)
+    lexical = bm25_scoped(chunks, query_terms(queries), asked, members, index)
     section = F.lower(F.coalesce("section_title", F.lit("")))
     whole = F.lower(F.concat_ws(" ", F.coalesce("section_title", F.lit("")), F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))))
     lowered = chunks.join(members, "doc_id").select("scope_id", "chunk_id", "title", "page_number", "chunk_index", section.alias("low_section"), whole.alias("low_whole"))
@@ -98,10 +87,10 @@ def sparse_scores(chunks: DataFrame, queries: DataFrame, scope: DataFrame) -> Da
     return rows.join(lexical, ["query_id", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)) + F.col("boost")).drop("boost")
 
 
-def sparse_topk(chunks: DataFrame, queries: DataFrame, scope: DataFrame, limit: int) -> DataFrame:
+def sparse_topk(chunks: DataFrame, queries: DataFrame, scope: DataFrame, limit: int, index: postings.Index | None = None) -> DataFrame:
     """The best chunks of each query, with the columns of ``chunks``."""
     order = [F.desc(F.round("score", 9)), F.col("title"), F.col("page_number"), F.col("chunk_index"), F.col("chunk_id")]
-    return ranked(sparse_scores(chunks, queries, scope), ["query_id"], order, limit).select("query_id", "chunk_id", "score", "rank").join(chunks, "chunk_id")
+    return ranked(sparse_scores(chunks, queries, scope, index), ["query_id"], order, limit).select("query_id", "chunk_id", "score", "rank").join(chunks, "chunk_id")
 
 
 def unit(vector: Column) -> Column:
@@ -239,7 +228,13 @@ def _matcher(patterns: dict[str, list[int]]):
     return lambda body: {i for _, numbers in automaton.iter(body) for i in numbers}
 
 
-def route_documents(docs: DataFrame, queries: DataFrame, top_n: int = 3) -> DataFrame:
+def routing_body() -> Column:
+    """What BM25 reads of a document that is routed to."""
+    base = F.regexp_extract("source_path", r"([^/]*)$", 1)
+    return F.concat_ws(" ", "title", base, F.coalesce("section_titles", F.lit("")), "content")
+
+
+def route_documents(docs: DataFrame, queries: DataFrame, top_n: int = 3, index: postings.Index | None = None) -> DataFrame:
     """Top documents of each query: BM25 plus title, section, path, content and coverage boosts and those of ``pattern_points``.
 
     docs: doc_id, title, source_path, section_titles, content (one row a document).  Documents that share nothing
@@ -247,9 +242,7 @@ def route_documents(docs: DataFrame, queries: DataFrame, top_n: int = 3) -> Data
     own = queries.select("query_id", "query", text.content_tokens(F.col("query")).alias("content"))
     asked = own.select("query_id", F.when(F.size("content") > 0, F.col("content")).otherwise(text.tokens(F.col("query"))).alias("words"))
     terms = asked.select("query_id", F.explode("words").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    base = F.regexp_extract("source_path", r"([^/]*)$", 1)
-    body = F.concat_ws(" ", "title", base, F.coalesce("section_titles", F.lit("")), "content")
-    lexical = bm25(docs, "doc_id", body, terms)
+    lexical = bm25(docs, "doc_id", routing_body(), terms, index)
     # Where each asked term stands in a document: all fields of a document are split in one pass.
     places = {"in_title": "title", "in_sections": "section_titles", "in_path": "source_path", "in_content": "content"}
     tagged = F.concat(*(_tagged(text.tokens(F.coalesce(F.col(c), F.lit(""))), "term", i, "field") for i, c in enumerate(places.values())))

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from ..operators import analytics, answer, evaluate, ingest, retrieval, store
+from ..operators import analytics, answer, evaluate, ingest, postings, retrieval, store
 from ..sources import fixtures as fx
+from ..session import materialized
 from ..streaming import events as streaming
 from . import lifecycle
 
@@ -86,11 +87,15 @@ def term_df(spark, sf_dir):
 @query(f"WITH {_DOCS}, {_ASKED}, {_TERMS}, {_bm25_sql('docs', 'doc_id', 'text')} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM lexical) WHERE rank <= 5")
 def bm25_topk(spark, sf_dir):
     asked = fx.questions(spark, sf_dir)
-    found = retrieval.bm25(fx.documents(spark, sf_dir), "doc_id", F.col("text"), retrieval.query_terms(asked))
-    top = retrieval.ranked(found, ["query_id"], [F.desc(F.round("score", 9)), F.col("doc_id")], 5)
+    index = postings.stored(fx.documents(spark, sf_dir), "doc_id", F.col("text"), "documents")
+    top = postings.topk(index, "doc_id", retrieval.query_terms(asked), 5)
     return _six(top, "score").withColumn("rank", F.col("rank").cast("long"))
 
 
+def _chunk_index(chunks: DataFrame) -> postings.Index:
+    return postings.stored(chunks, "chunk_id", F.col("text"), "chunks", "doc_id")
+
+
 _SCOPE = "scope AS (SELECT query_id, chunk_id FROM asked JOIN chunks ON source = 'src' || (query_id % 20)::VARCHAR)"
 
 
@@ -103,7 +108,7 @@ def _scope(asked: DataFrame, docs: DataFrame) -> DataFrame:
 @query(f"WITH {_CHUNKS}, {_ASKED}, {_TERMS}, {_SCOPE}, {_bm25_sql('chunks', 'chunk_id', 'text', 'scope')} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM lexical) WHERE rank <= 5")
 def bm25_scoped_topk(spark, sf_dir):
     asked, chunks = fx.questions(spark, sf_dir), fx.chunks(spark, sf_dir)
-    found = retrieval.bm25_scoped(chunks, retrieval.query_terms(asked), *retrieval.numbered_scopes(_scope(asked, fx.documents(spark, sf_dir))))
+    found = retrieval.bm25_scoped(chunks, retrieval.query_terms(asked), *retrieval.numbered_scopes(_scope(asked, fx.documents(spark, sf_dir))), _chunk_index(chunks))
     top = retrieval.ranked(found, ["query_id"], [F.desc(F.round("score", 9)), F.col("chunk_id")], 5)
     return _six(top, "score").withColumn("rank", F.col("rank").cast("long"))
 
@@ -121,7 +126,7 @@ sparse AS (SELECT s.query_id, s.chunk_id, s.score, row_number() OVER (PARTITION
 @query(_SPARSE + " SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM sparse WHERE rank <= 8")
 def sparse_boosted_topk(spark, sf_dir):
     asked, chunks = fx.questions(spark, sf_dir), fx.chunks(spark, sf_dir)
-    top = retrieval.sparse_topk(chunks, asked, _scope(asked, fx.documents(spark, sf_dir)), 8)
+    top = retrieval.sparse_topk(chunks, asked, _scope(asked, fx.documents(spark, sf_dir)), 8, _chunk_index(chunks))
     return _six(top.select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank")), "score")
 
 
@@ -163,7 +168,7 @@ SELECT query_id, chunk_id, dense_rank, sparse_rank, round(score, 6) AS score, ra
 def rrf_fuse(spark, sf_dir):
     asked, chunks = fx.questions(spark, sf_dir), fx.chunks(spark, sf_dir)
     scope = _scope(asked, fx.documents(spark, sf_dir))
-    fused = retrieval.rrf(_dense_stand_in(scope, chunks), retrieval.sparse_topk(chunks, asked, scope, 25), 8)
+    fused = retrieval.rrf(_dense_stand_in(scope, chunks), retrieval.sparse_topk(chunks, asked, scope, 25, _chunk_index(chunks)), 8)
     return _six(fused.select("query_id", "chunk_id", *(F.col(c).cast("long").alias(c) for c in ("dense_rank", "sparse_rank")), "score", F.col("rank").cast("long").alias("rank")), "score")
 
 
@@ -200,12 +205,13 @@ _ANCHORS = f"{_HITS}, anchors AS (SELECT query_id, doc_id, chunk_index, chunk_id
 
 def _hits(asked: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
     """The best chunks of each question by BM25, with the columns of chunks."""
-    scores = retrieval.bm25(chunks, "chunk_id", F.col("text"), retrieval.query_terms(asked))
-    return retrieval.ranked(scores, ["query_id"], [F.desc(F.round("score", 9)), F.col("chunk_id")], limit).drop("score").join(chunks, "chunk_id")
+    best = materialized(postings.topk(_chunk_index(chunks), "chunk_id", retrieval.query_terms(asked), limit))  # few rows a question
+    return best.drop("score").join(chunks, "chunk_id")
 
 
 def _anchors(asked: DataFrame, chunks: DataFrame) -> DataFrame:
-    return _hits(asked, chunks, 3).select("query_id", "doc_id", "chunk_index", "chunk_id", "section_title", "rank")
+    """Three chunks a question, kept: many steps read them."""
+    return materialized(_hits(asked, chunks, 3).select("query_id", "doc_id", "chunk_index", "chunk_id", "section_title", "rank"))
 
 
 @query(f"WITH {_CHUNKS}, {_ASKED}, {_ANCHORS} SELECT a.query_id, a.chunk_index AS anchor_index, c.chunk_id FROM anchors a JOIN chunks c ON c.doc_id = a.doc_id AND c.chunk_index BETWEEN greatest(0, a.chunk_index - 2) AND a.chunk_index + 2")
@@ -273,8 +279,13 @@ def routing_text_budget(spark, sf_dir):
     return kept.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("characters"), F.max(F.md5(F.col("text").cast("binary"))).alias("mark"))
 
 
+def _routing_index(docs: DataFrame) -> postings.Index:
+    return postings.stored(docs, "doc_id", retrieval.routing_body(), "routing")
+
+
 def _routed(spark, sf_dir, top_n: int = 3) -> DataFrame:
-    return retrieval.route_documents(fx.routing_documents(spark, sf_dir), fx.questions(spark, sf_dir), top_n)
+    docs = fx.routing_documents(spark, sf_dir)
+    return retrieval.route_documents(docs, fx.questions(spark, sf_dir), top_n, _routing_index(docs))
 
 
 _ROUTE_STOPS = ", ".join(f"'{w}'" for w in fixed.ROUTING_STOPS)
@@ -747,7 +758,8 @@ def extractive_answers(spark, sf_dir):
 
 @query()
 def full_pipeline(spark, sf_dir):
-    return lifecycle.ask(fx.questions(spark, sf_dir), fx.routing_documents(spark, sf_dir), fx.chunks(spark, sf_dir))
+    docs, chunks = fx.routing_documents(spark, sf_dir), fx.chunks(spark, sf_dir)
+    return lifecycle.ask(fx.questions(spark, sf_dir), docs, chunks, doc_index=_routing_index(docs), chunk_index=_chunk_index(chunks))
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS events, sum(value::DECIMAL(18, 2))::DOUBLE AS total FROM events GROUP BY ALL")

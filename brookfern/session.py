@@ -32,15 +32,20 @@ def share_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(filter(None, (home, env.get("PYTHONPATH", ""))))
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder of ``spark.checkpoint.dir``; a temporary one only where it is unset in local mode (tests)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset in local mode (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not found and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="brookfern-"))
+    return sc.getCheckpointDir()
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
