@@ -1,10 +1,10 @@
 """A stored inverted index for BM25: texts are split once, and any batch of queries reads what was written.
 
-Four tables below one folder: ``forward`` (a row an item: its length and term counts), ``postings`` (a row a term and
-block of items: the items, what the term is worth in each, and the most it is worth in any), ``terms`` (document
-frequency, inverse document frequency) and ``stats`` (one row).  postings and terms are partitioned by a hash of the term,
-so a batch reads only the folders of its terms.  Items of similar length share a block, which keeps block maxima close to
-what is in the block.
+Five tables below one folder: ``forward`` (a row an item: its length and term counts), ``postings`` (a row a term and item,
+with the item's block and what the term is worth in it, sorted by term and block, so that files pack runs of them and skip
+by their bounds), ``maxima`` (the most a term is worth in a block), ``terms`` (document frequency, inverse document
+frequency) and ``stats`` (one row).  Tables of terms are partitioned by a hash of the term, so a batch reads only the
+folders of its terms.  Items of similar length share a block, which keeps block maxima close to what is in the block.
 """
 
 from __future__ import annotations
@@ -57,7 +57,10 @@ def build(items: DataFrame, key: str, body: Column, path: str | None = None, *ke
     path = path or f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}"
     index = Index(spark, path)
     write = lambda df, name, *by: df.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(f"{path}/{name}")
-    write(counted(items, body, key, *keep), "forward")
+    cores = spark.sparkContext.defaultParallelism
+    # A file of one row group is one task: fewer files than cores are dealt out before their texts are split.
+    spread = items.repartition(cores) if len(items.inputFiles()) < cores else items
+    write(counted(spread, body, key, *keep), "forward")
     sizes = index.forward.select(F.col(key).alias("item"), "length", F.floor(F.log2(F.col("length") + 1) * 2).cast("int").alias("kind"))
     # Blocks of one length class each; a row a class, some dozens whatever the corpus.
     classes = sizes.groupBy("kind").agg(F.ceil(F.count("*") / BLOCK_ITEMS).cast("int").alias("tiles"))
@@ -65,12 +68,13 @@ def build(items: DataFrame, key: str, body: Column, path: str | None = None, *ke
     rows = index.forward.select(F.col(key).alias("item"), "length", F.floor(F.log2(F.col("length") + 1) * 2).cast("int").alias("kind"), F.explode("counts").alias("c"))
     block = F.col("kind") * (1 << 24) + F.pmod(F.xxhash64("item"), F.col("tiles")).cast("int")
     norm = F.col("c.tf") + fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.col("length") / mean)
-    worth = rows.join(F.broadcast(classes), "kind").select("item", block.alias("block"), "c.term", "c.tf", (F.col("c.tf") * (fixed.BM25_K1 + 1) / norm).alias("worth"))
-    lists = worth.groupBy("term", "block").agg(F.collect_list(F.struct("item", "worth")).alias("found"), F.sum("tf").alias("times"))
-    shown = lists.select("term", "block", F.size("found").alias("items"), "times", F.array_max(F.transform("found", lambda x: x["worth"])).alias("most"), "found", _bucket().alias("bucket"))
-    write(shown.repartition(F.col("bucket"), F.pmod(F.xxhash64("term", F.lit(1)), F.lit(8))).sortWithinPartitions("bucket", "term", "block"), "postings", "bucket")
+    worth = rows.join(F.broadcast(classes), "kind").select("item", block.alias("block"), "c.term", "c.tf", (F.col("c.tf") * (fixed.BM25_K1 + 1) / norm).alias("worth")).withColumn("bucket", _bucket())
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+    dealt = worth.repartition("bucket", F.pmod(F.xxhash64("term", F.lit(1)), F.lit(parts)))
+    write(dealt.sortWithinPartitions("bucket", "term", "block"), "postings", "bucket")
+    write(index.table("postings").groupBy("bucket", "term", "block").agg(F.max("worth").alias("most"), F.count("*").alias("items"), F.sum("tf").alias("times")), "maxima", "bucket")
     n = sizes.agg(F.count("*").alias("n")).select("n").scalar()
-    frequency = index.table("postings").groupBy("bucket", "term").agg(F.sum("items").alias("df"), F.sum("times").alias("times"))
+    frequency = index.table("maxima").groupBy("bucket", "term").agg(F.sum("items").alias("df"), F.sum("times").alias("times"))
     write(frequency.withColumn("raw_idf", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "terms", "bucket")
     write(index.table("terms").agg(F.coalesce(F.avg("raw_idf") * fixed.BM25_EPSILON, F.lit(0.0)).alias("floor"), F.sum("times").alias("tokens"), n.alias("n")), "stats")
     return index
@@ -84,13 +88,12 @@ def weights(index: Index, terms: DataFrame) -> DataFrame:
 
 
 def _summed(hits: DataFrame, key: str) -> DataFrame:
-    each = hits.select("query_id", "weight", F.explode("found").alias("x")).select("query_id", F.col("x.item").alias(key), (F.col("weight") * F.col("x.worth")).alias("part"))
-    return each.groupBy("query_id", key).agg(F.sum("part").alias("score"))
+    return hits.groupBy("query_id", F.col("item").alias(key)).agg(F.sum(F.col("weight") * F.col("worth")).alias("score"))
 
 
 def scores(index: Index, key: str, terms: DataFrame) -> DataFrame:
     """(query_id, key, score) of every item that shares a term with the query."""
-    return _summed(weights(index, terms).join(index.table("postings").select("bucket", "term", "found"), ["bucket", "term"]), key)
+    return _summed(weights(index, terms).join(index.table("postings").select("bucket", "term", "item", "worth"), ["bucket", "term"]), key)
 
 
 def _order(key: str) -> list[Column]:
@@ -104,14 +107,14 @@ def topk(index: Index, key: str, terms: DataFrame, limit: int) -> DataFrame:
     far, and only blocks that can reach it are read as a whole: no item that belongs to the result is left out."""
     weighed = materialized(weights(index, terms))
     postings = index.table("postings")
-    each = weighed.join(postings.select("bucket", "term", "block", "most"), ["bucket", "term"])
+    each = weighed.join(index.table("maxima").select("bucket", "term", "block", "most"), ["bucket", "term"])
     bounds = materialized(each.groupBy("query_id", "block").agg(F.sum(F.greatest("weight", F.lit(0.0)) * F.col("most")).alias("bound")))
     by = Window.partitionBy("query_id")
     first = bounds.withColumn("n", F.row_number().over(by.orderBy(F.desc("bound"), "block"))).filter(F.col("n") <= FIRST_BLOCKS)
 
     def read(blocks: DataFrame) -> DataFrame:
         asked = weighed.join(blocks.select("query_id", "block"), "query_id")
-        found = _summed(asked.join(postings.select("bucket", "term", "block", "found"), ["bucket", "term", "block"]), key)
+        found = _summed(asked.join(postings.select("bucket", "term", "block", "item", "worth"), ["bucket", "term", "block"]), key)
         return found.withColumn("rank", F.row_number().over(by.orderBy(*_order(key)))).filter(F.col("rank") <= limit)
 
     reached = read(first).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).filter(F.col("n") >= limit)
