@@ -201,3 +201,15 @@ WINDOW_FEATURE_REWRITES = [
 ]
 # Signs of texts that were read in the wrong encoding.
 MOJIBAKE_MARKS = ["\u00e2", "\u00c2", "\u00c3", "\u0080", "\u0098", "\u0099", "\u009c", "\u009d"]
+
+# Steps and pipelines.
+STEP_ENDS = ["why this works", "brain science", "tag your", "follow for", "comment your", "drop your"]
+STEP_QUERY_WORDS = ["step", "steps", "day", "practice"]
+STEP_MARKS = ["day", "hook", "practice", "mirror", "friend", "feedback", "real life"]
+DAY_STEPS = r"(?i)(?:^|\s)(?:\d+[.)]\s*)?((?:Day|Days)\s+\d+(?:\s*[-–—]\s*\d+)?\s*:\s*.*?)(?=\s+\d+[.)]\s*(?:Day|Days)\s+\d+|\s+Why\s+This\s+Works|\s+Brain\s+Science|$)"
+NUMBERED_STEPS = r"(?i)(?:^|\s)\d+[.)]\s*(.*?)(?=\s+\d+[.)]\s+|\s+Why\s+This\s+Works|\s+Brain\s+Science|$)"
+PIPELINE_QUERIES = ["pipeline", "workflow", "processing app", "app flow"]
+PIPELINE_MARKERS = ["load", "input", "file", "url", "image", "pdf", "model", "process", "generate", "output", "document", "export", "download", "preview", "interface", "ui"]
+PIPELINE_COMMENTS = ["load", "input", "process", "generate", "create", "export", "download", "preview"]
+CONTENT_STOPS = ["what", "which", "does", "this", "that", "from", "with", "about", "paper", "document", "article", "answer", "context", "section", "page"]
+ORDINALS = ["first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth"]
