@@ -213,3 +213,15 @@ PIPELINE_MARKERS = ["load", "input", "file", "url", "image", "pdf", "model", "pr
 PIPELINE_COMMENTS = ["load", "input", "process", "generate", "create", "export", "download", "preview"]
 CONTENT_STOPS = ["what", "which", "does", "this", "that", "from", "with", "about", "paper", "document", "article", "answer", "context", "section", "page"]
 ORDINALS = ["first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth"]
+
+# The order in which answers replace and stand in for each other, greetings, and what is said where nothing answers.
+REPLACED_ALWAYS = ["best_practices", "recommended_items", "capability", "limitation", "definition", "used_for", "config_file", "meaning", "pipeline", "challenge", "command"]
+STANDS_IN = ["capability", "why", "definition", "used_for", "config_file", "meaning", "pipeline", "challenge", "command", "example", "source_window", "recommended_items", "list", "mechanism", "focused_entity", "best_practices", "limitation"]
+REPAIRED_BY = ["source_window", "limitation", "definition", "used_for", "config_file", "meaning", "recommended_items", "pipeline", "command", "example", "why", "list", "mechanism", "focused_entity"]
+NO_LIST_AFTER = ["best_practices", "recommended_items", "limitation", "used_for", "config_file", "meaning", "challenge", "command"]
+PREFERRED_WINDOWS = ["feature", "analy", "setup", "commands", "reason", "formula", "example", "large number", "large integer", "very large", "main message", "author do", "what does the author", "holding", "holds"]
+FOCUSED_QUERIES = ["used for", "key strength", "key strengths", "how do", "how does", "what is"]
+SPECIFIC_STOPS = ["figure", "source", "section", "title", "page"]
+GREETINGS = {w: f"{said}! How can I help you today?" for w, said in (("hi", "Hello"), ("hello", "Hello"), ("hey", "Hey"), ("namaste", "Namaste"), ("namaskar", "Namaskar"), ("good morning", "Good morning"), ("good afternoon", "Good afternoon"), ("good evening", "Good evening"))}
+DIRECT_FALLBACK = "I'm here and ready to help. Could you rephrase your question?"
+TOOL_FALLBACK = "The tool output does not directly answer this."

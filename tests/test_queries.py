@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from brookfern.plans import extended, more, processes, registry, windows  # noqa: F401
+from brookfern.plans import extended, more, policy, processes, registry, windows  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
