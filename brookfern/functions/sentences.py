@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settled
 from . import fixed, text
 
 _BOUND, _END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
@@ -97,15 +98,18 @@ _LISTED = r"(?:^|\s)(?:[-*]|\d+[.)])\s+([^.!?]{12,220}[.!?])"
 _COMMANDS = r"(?i)\b(?:python\s+-m\s+[-\w.]+(?:\s+\d+)?|docker\s+run\b[^.!?]{0,160}|pip\s+install\s+[-\w.]+|uv\s+run\b[^.!?]{0,120}|npm\s+install\s+[-\w.]+|brew\s+install\s+[-\w.]+)"
 
 
-def fact_sentences(body: Column) -> Column:
-    """List items, commands and sentences, each once: those of more than 40 characters, items of three words, and short ones with a marker."""
+def with_fact_sentences(df: DataFrame, body: Column, name: str = "sentences") -> DataFrame:
+    """``df`` with list items, commands and sentences, each once: those of more than 40 characters, items of three words, and
+    short ones with a marker.  Each list is worked out once a row."""
     flat = text.squeeze(body)
-    listed = F.transform(F.regexp_extract_all(flat, F.lit(_LISTED), F.lit(1)), F.trim)
-    commands = F.transform(F.regexp_extract_all(flat, F.lit(_COMMANDS), F.lit(0)), F.trim)
-    parts = F.concat(listed, commands, split(body))
-    kept = F.filter(parts, lambda s: (F.length(s) > 40) | (F.array_contains(listed, s) & (F.size(F.split(s, " ")) >= 3)) | text.any_of(F.lower(s), fixed.SHORT_SIGNAL))
-    keyed = F.transform(kept, F.lower)
-    return F.filter(kept, lambda s, i: F.array_position(keyed, F.lower(s)) == i + 1)
+    held = settled(df, flat_=flat)
+    listed = F.transform(F.regexp_extract_all("flat_", F.lit(_LISTED), F.lit(1)), F.trim)
+    held = settled(held, listed_=listed, commands_=F.transform(F.regexp_extract_all("flat_", F.lit(_COMMANDS), F.lit(0)), F.trim), parts_=F.transform(F.split("flat_", r"(?<=[.!?])\s+"), F.trim))
+    parts = F.concat("listed_", "commands_", F.filter("parts_", lambda s: F.length(s) > 0))
+    held = settled(held, kept_=F.filter(parts, lambda s: (F.length(s) > 40) | (F.array_contains("listed_", s) & (F.size(F.split(s, " ")) >= 3)) | text.any_of(F.lower(s), fixed.SHORT_SIGNAL)))
+    held = settled(held, keyed_=F.transform("kept_", F.lower))
+    held = settled(held, **{name: F.filter("kept_", lambda s, i: F.array_position("keyed_", F.lower(s)) == i + 1)})
+    return held.drop("flat_", "listed_", "commands_", "parts_", "kept_", "keyed_")
 
 
 def definition_sentences(body: Column) -> Column:

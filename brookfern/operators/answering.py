@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..functions import sentences as st
-from ..session import materialized
+from ..session import materialized, settled
 from . import answer, cleaning, evaluate
 
 # Phrases of questions that ask for lists, and stop words of the terms of an answer's query.
@@ -84,20 +84,23 @@ def fact_list(items: DataFrame, limit: int = 28) -> DataFrame:
     Sentences score by relevance, focus phrases, intents, examples and, in relevant items, structure; those with strong
     signs among the first of the leading items have a score of their own.  Code stays only if it is asked for."""
     asked = _asked(items)
-    rows = items.join(asked.drop("query"), "query_id").withColumn("body", st.evidence_clean(F.coalesce("text", F.lit(""))))
+    rows = settled(items.join(materialized(asked).drop("query"), "query_id"), body=st.evidence_clean(F.coalesce("text", F.lit(""))))
     context = F.concat_ws(" ", F.coalesce("section_title", F.lit("")), F.coalesce("title", F.lit("")), "body")
     low_context = F.lower(context)
     hits = lambda low, units, worth: F.size(F.filter(units, lambda t: low.contains(t))) * worth
-    rows = rows.withColumn("context_score", relevance(context, F.col("terms"), F.array().cast("array<string>")) + phrase_score(context, F.col("phrases")) + hits(low_context, F.col("intents"), 1))
-    each = rows.select("query_id", "query", "rank", "terms", "phrases", "intents", "broad", "context_score", F.posexplode(st.fact_sentences(F.col("body"))).alias("at", "sentence"))
+    rows = settled(rows, context=context)
+    context, low_context = F.col("context"), F.lower("context")
+    rows = settled(rows, context_score=relevance(context, F.col("terms"), F.array().cast("array<string>")) + phrase_score(context, F.col("phrases")) + hits(low_context, F.col("intents"), 1))
+    split = st.with_fact_sentences(rows, F.col("body"))
+    each = split.select("query_id", "query", "rank", "terms", "phrases", "intents", "broad", "context_score", F.posexplode("sentences").alias("at", "sentence"))
     s = F.col("sentence")
     low = F.lower(s)
-    each = each.filter(~st.is_code(s) | st.keeps_code(F.col("query"), s))
+    each = settled(each, code=st.is_code(s) & ~st.keeps_code(F.col("query"), s)).filter(~F.col("code")).drop("code")
     own = relevance(s, F.col("terms"), F.array().cast("array<string>")) + phrase_score(s, F.col("phrases")) + hits(low, F.col("intents"), 2)
     own = own + F.when(st.is_example(s, F.concat("terms", "intents")), 5).otherwise(0) + F.when((F.col("context_score") > 0) & st.is_structured(s), F.least(F.lit(6), "context_score")).otherwise(0)
     focused = (F.size("phrases") == 0) | F.exists("phrases", lambda p: low.contains(p))
     signal = F.when(st.is_high_signal(s) & focused, F.when((F.col("rank") <= 4) & (F.col("at") < 5), 7).when(F.col("at") < 2, 6).otherwise(0)).otherwise(0)
-    scored = each.withColumn("score", F.greatest(own, signal)).filter("score > 0")
+    scored = settled(settled(each, own=own, signal=signal), score=F.greatest("own", "signal")).filter("score > 0")
     inner = Window.partitionBy("query_id", "rank").orderBy(F.desc("score"), "at")
     best = scored.withColumn("n", F.row_number().over(inner)).filter(F.col("n") <= F.when(F.col("broad"), 8).otherwise(5))
     titled = section_facts(items).join(asked.select("query_id", "query"), "query_id").withColumns({"part": F.lit(0), "n": F.lit(0), "score": F.lit(0)})

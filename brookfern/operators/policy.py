@@ -186,7 +186,9 @@ def answered(items: DataFrame, factory: Callable[[], backends.ModelBackend] = ba
         best = answering.first_accepted(found.withColumn("place", place))
         return best.select("query_id", "answer", F.lit("extractive_fast_path").alias("source"), F.concat(F.lit("accepted_"), "source").alias("reason"))
 
-    replies = materialized(_asked_of_model(answering.prompts(facts), factory))
+    bare = F.concat(F.lit("Answer from the context only, and cite it as [n].\n\nQuestion:\n"), "query")
+    worded = asked.join(answering.prompts(facts).select("query_id", "prompt"), "query_id", "left").withColumn("prompt", F.coalesce("prompt", bare))
+    replies = materialized(_asked_of_model(worded, factory))
     none = F.lit(None).cast("string")
 
     def generic_for(open_: DataFrame, reason: Column) -> DataFrame:

@@ -201,12 +201,16 @@ def gold_predictions(spark, sf_dir):
 _HEADINGS = r"^\d+(\.\d+)*\.?\s+[A-Z]"
 
 
-@query(f"""WITH {_TURNS}, l AS (SELECT session_id, turn_id, unnest(string_split(content, chr(10))) AS line FROM turns), f AS (SELECT *, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS flat FROM l), w AS (SELECT *, string_split(flat, ' ') AS words FROM f),
+@query(rf"""WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(ls) AS line FROM a UNION ALL SELECT doc_id, array_to_string(list_transform(string_split(regexp_replace(ls[1], '[^A-Za-z ]', '', 'g'), ' ')[1:6], lambda w: upper(w[1]) || lower(w[2:])), ' ') FROM a), f AS (SELECT *, trim(regexp_replace(line, '\s+', ' ', 'g')) AS flat FROM l), w AS (SELECT *, string_split(flat, ' ') AS words FROM f),
 b AS (SELECT *, flat <> '' AND (regexp_matches(flat, '(?i){"|".join(f"(?:{p})" for p in fixed.BOILERPLATE)}') OR (contains(flat, ' | by ') AND length(flat) > 90)) AS boiler FROM w)
-SELECT session_id, turn_id, flat AS heading FROM b WHERE flat <> '' AND length(flat) <= 120 AND NOT boiler AND (regexp_matches(flat, '{_HEADINGS}') OR (len(words) <= 12 AND NOT flat LIKE '%.' AND len(list_filter(words, lambda x: regexp_matches(x, '^[A-Z0-9]'))) >= greatest(1.0, len(words) / 2.0)))""")
+SELECT doc_id, flat AS heading FROM b WHERE flat <> '' AND length(flat) <= 120 AND NOT boiler AND (regexp_matches(flat, '{_HEADINGS}') OR (len(words) <= 12 AND NOT flat LIKE '%.' AND len(list_filter(words, lambda x: regexp_matches(x, '^[A-Z0-9]'))) >= greatest(1.0, len(words) / 2.0)))""")
 def heading_lines(spark, sf_dir):
-    lines = fx.turns(spark, sf_dir).select("session_id", "turn_id", F.explode(F.split("content", "\n")).alias("line"))
-    return lines.filter(text.is_heading(F.col("line"))).select("session_id", "turn_id", text.squeeze(F.col("line")).alias("heading"))
+    """Headings among the lines of documents and the first words of each, written as a title."""
+    own = fx.table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.split("text", "\n").alias("ls"))
+    made = F.array_join(F.transform(F.slice(F.split(F.regexp_replace(F.col("ls")[0], "[^A-Za-z ]", ""), " "), 1, 6), F.initcap), " ")
+    lines = own.select("doc_id", F.explode("ls").alias("line")).unionAll(own.select("doc_id", made))
+    return lines.filter(text.is_heading(F.col("line"))).select("doc_id", text.squeeze(F.col("line")).alias("heading"))
 
 
 @query(f"WITH {_TURNS} SELECT session_id, turn_id, {_has('lower(content)', fixed.LEAK_MARKERS)} AS verifier_leak, {_has('lower(content)', fixed.ANSWER_LEAK_MARKERS)} AS answer_leak FROM turns")
@@ -411,7 +415,10 @@ def answer_candidates(spark, sf_dir):
 
 @query()
 def accepted_answers(spark, sf_dir):
-    return answering.first_accepted(_candidates(spark, sf_dir))
+    """Questions of every kind on every document, whose pages hold cues of them."""
+    items = fx.cued_items(spark, sf_dir).withColumn("section_title", F.lit(""))
+    most = items.groupBy("query_id").agg(F.max("rank").alias("results"))
+    return answering.first_accepted(answering.candidates(answering.fact_list(items)).join(most, "query_id"))
 
 
 @query()
@@ -440,11 +447,10 @@ def file_discovery(spark, sf_dir):
 
 @query()
 def page_sections(spark, sf_dir):
-    """Documents as pages of eight lines, with their section titles filled forward; those with too little text are left out, as they would be refused."""
-    docs = fx.documents(spark, sf_dir).filter(F.length(F.regexp_replace("text", r"\s+", "")) >= 2000)
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("page_number", F.floor(F.col("at") / 8).cast("int") + 1)
+    """All documents as pages of eight lines, with their section titles filled forward; those without a page that can be searched with the reason for it."""
+    lines = fx.documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("page_number", F.floor(F.col("at") / 8).cast("int") + 1)
     pages = lines.groupBy("doc_id", "page_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda s: s["line"]), "\n").alias("text"))
-    return files.with_sections(pages).select("doc_id", "page_number", "section_title")
+    return files.with_sections(pages, refuse=False).select("doc_id", "page_number", "section_title", "refused")
 
 
 @query("SELECT 'documents' AS table_name, count(*) AS row_count FROM documents UNION ALL SELECT 'events', count(*) FROM events")

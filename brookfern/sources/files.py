@@ -21,7 +21,7 @@ from ..functions import text
 MOST_ENTRIES, MOST_BYTES, LEAST_BYTES = 500, 50_000, 1_000
 LEAST_LETTERS = 25
 HEADING_LINES = 16
-TEXT_SUFFIXES = [".txt", ".md", ".csv", ".json", ".yaml", ".yml", ".toml", ".py", ".log", ".ini", ".cfg", ".html", ".xml", ".sql"]
+TEXT_SUFFIXES = [".cfg", ".csv", ".env.example", ".ini", ".json", ".log", ".md", ".py", ".ps1", ".toml", ".txt", ".yaml", ".yml"]
 
 PAGES = "doc_id string, source_path string, title string, page_count int, checksum string, page_number int, text string"
 
@@ -88,10 +88,11 @@ def _attempt(ocr: Callable[[bytes, int], str], content: bytes, page: int) -> str
         return ""
 
 
-def with_sections(pages: DataFrame) -> DataFrame:
+def with_sections(pages: DataFrame, refuse: bool = True) -> DataFrame:
     """Pages with section_title: the first heading among a page's first lines, else that of the page before.
 
-    A document without a page that can be searched is refused."""
+    A document without a page that can be searched is refused: an error, or without ``refuse`` pages without a title
+    and with the reason in column refused, which is null for others."""
     lines = F.filter(F.transform(F.split("text", r"\r\n|\r|\n"), F.trim), lambda x: x != "")
     ends = F.transform(lines, text.is_terminal)
     before_end = F.when(F.array_position(ends, True) > 0, F.slice(lines, 1, F.greatest(F.array_position(ends, True).cast("int") - 1, F.lit(0)))).otherwise(lines)
@@ -100,8 +101,12 @@ def with_sections(pages: DataFrame) -> DataFrame:
     own = Window.partitionBy("doc_id")
     letters = F.length(F.regexp_replace("text", r"\s+", ""))
     filled = pages.withColumns({"heading": heading, "most": F.max(letters).over(own)})
-    checked = F.when(F.col("most") >= LEAST_LETTERS, F.last("heading", ignorenulls=True).over(own.orderBy("page_number"))).otherwise(F.raise_error(F.concat(F.lit("no text that can be searched in "), F.col("doc_id"))))
-    return filled.withColumn("section_title", checked).drop("heading", "most")
+    why = F.concat(F.lit("no text that can be searched in "), F.col("doc_id"))
+    title = F.last("heading", ignorenulls=True).over(own.orderBy("page_number"))
+    good = F.coalesce(F.col("most") >= LEAST_LETTERS, F.lit(False))
+    if refuse:
+        return filled.withColumn("section_title", F.when(good, title).otherwise(F.raise_error(why))).drop("heading", "most")
+    return filled.withColumn("section_title", F.when(good, title)).withColumn("refused", F.when(~good, why)).drop("heading", "most")
 
 
 def listed(spark: SparkSession, root: str, path: str = "", limit: int = 100) -> DataFrame:
@@ -149,24 +154,89 @@ def _inside(root: str, path: str) -> str:
     return "/".join([root.rstrip("/"), *parts])
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """A JSON array, or lines of JSON, by a declared schema; no file is an empty table."""
+_POINTER = "_current"
+
+
+def _put(spark: SparkSession, path: str, body: str) -> None:
+    """Write a small file under another name and move it over ``path`` in one step."""
+    fresh = f"{path}.{uuid.uuid4().hex}"
+    fs, where = _fs(spark, fresh)
+    out = fs.create(where, True)
+    out.write(bytearray(body.encode()))
+    out.close()
+    jvm = spark._jvm
+    over = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    over[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    files.rename(where, jvm.org.apache.hadoop.fs.Path(path), over)
+
+
+def _get(spark: SparkSession, path: str) -> str:
+    fs, where = _fs(spark, path)
+    if not fs.exists(where):
+        return ""
+    stream = fs.open(where)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the versions of a published table, oldest first; those that were begun and not finished are none."""
+    fs, where = _fs(spark, path)
+    if not fs.exists(where):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory()]
+    return sorted(n for n in names if n.startswith("v") and exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The version that readers of a published table see now."""
+    return _get(spark, f"{path.rstrip('/')}/{_POINTER}") or None
+
+
+def publish(df: DataFrame, path: str, kind: str = "json") -> str:
+    """Write ``df`` as a new version of the table at ``path`` and return the version's name.
+
+    The version is whole before the pointer to it is swapped, in one step and last; the versions before it stay. A reader
+    sees the old table or the new one, and a writer that fails leaves the old one."""
+    spark, path = df.sparkSession, path.rstrip("/")
+    numbers = [int(v[1:9]) for v in versions(spark, path)]
+    name = f"v{max(numbers, default=0) + 1:08d}-{uuid.uuid4().hex[:8]}"
+    df.write.format(kind).save(f"{path}/{name}")
+    _put(spark, f"{path}/{_POINTER}", name)
+    return name
+
+
+def restore_version(spark: SparkSession, path: str, version: str) -> None:
+    """Point readers of a published table at one of its versions."""
+    if version not in versions(spark, path):
+        raise ValueError(f"{path} has no version {version}")
+    _put(spark, f"{path.rstrip('/')}/{_POINTER}", version)
+
+
+def logged(spark: SparkSession, path: str, entry: dict) -> None:
+    """Add a line to a log of jobs: a file of its own, named by time, so writers do not meet and no line is half there."""
+    import json
+    import time
+
+    _put(spark, f"{path.rstrip('/')}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}.jsonl", json.dumps(entry, sort_keys=True) + "\n")
+
+
+def read_json(spark: SparkSession, path: str, schema: T.StructType | str, version: str | None = None) -> DataFrame:
+    """A JSON array, lines of JSON, or a published table (its current version, or the one given), by a declared schema; no file is an empty table."""
+    version = version or current(spark, path)
+    if version is not None:
+        return spark.read.schema(schema).json(f"{path.rstrip('/')}/{version}")
     if not exists(spark, path):
         return spark.createDataFrame([], schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema))
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """Replace the table at ``path`` by ``df``: it is written beside it and renamed, so readers see the old or the new one."""
-    spark = df.sparkSession
-    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    df.write.json(fresh)
-    fs, where = _fs(spark, path)
-    new = spark._jvm.org.apache.hadoop.fs.Path(fresh)
-    if fs.exists(where):
-        fs.delete(where, True)
-    if not fs.rename(new, where):
-        raise OSError(f"{fresh} could not be renamed to {path}")
+    """Replace the table at ``path`` by ``df``, for readers of ``read_json``: see ``publish``."""
+    publish(df, path)
 
 
 def backed_up(spark: SparkSession, tables: dict[str, DataFrame], folder: str, created_at: str) -> str:

@@ -69,7 +69,7 @@ def test_sentence_predicates(spark):
 
 def test_fact_sentences(spark):
     row = "- a listed item of words. Run pip install brookfern now. Short one. This is a sentence that has more than forty characters in it. no code here"
-    got = values(spark, [row], st.fact_sentences(F.col("v")))[0]
+    got = st.with_fact_sentences(spark.createDataFrame([(row,)], "v string"), F.col("v")).first().sentences
     assert got[0] == "a listed item of words." and "Short one." not in got and got[-1] == "no code here"
     assert len(got) == len({x.lower() for x in got})
 

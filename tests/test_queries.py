@@ -28,9 +28,9 @@ def test_equals_oracle(spark, sf, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES) - {"full_pipeline", "answer_similarity"}))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_runs(spark, sf, name):
-    assert registry.QUERIES[name](spark, sf).count() >= (name != "accepted_answers")
+    assert registry.QUERIES[name](spark, sf).count() > 0
 
 
 def test_entry():
