@@ -6,6 +6,7 @@ evidence line.  A real one is any object with the same three methods, made in ea
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -14,8 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
+from ..sources import files
 from . import tools
 
 
@@ -74,6 +77,23 @@ def embedded(df: DataFrame, column: str = "text", name: str = "embedding", facto
     return _in_batches(df, [column], name, "array<float>", pa.list_(pa.float32()), factory, lambda b, texts: list(b.embed(texts)))
 
 
+def embedded_once(df: DataFrame, store: str, column: str = "text", name: str = "embedding", factory: Callable[[], ModelBackend] = StandIn) -> DataFrame:
+    """``embedded``, by way of a table at ``store`` of what was embedded before, keyed by the hash of the text.
+
+    Equal texts go to the backend once, and not at all if the store has them; new vectors are added to it.  Two runs at
+    once may add the same key: one of them is read."""
+    spark = df.sparkSession
+    key, schema = "key_", "key_ string, vector_ array<float>"
+    keyed = df.withColumn(key, F.sha2(F.coalesce(F.col(column), F.lit("")), 256))
+    known = files.exists(spark, store)
+    wanted = keyed.groupBy(key).agg(F.first(F.coalesce(F.col(column), F.lit(""))).alias("text_"))
+    if known:
+        wanted = wanted.join(spark.read.schema(schema).parquet(store).select(key), key, "left_anti")
+    embedded(wanted, "text_", "vector_", factory).select(key, "vector_").write.mode("append").parquet(store)
+    once = spark.read.schema(schema).parquet(store).groupBy(key).agg(F.first("vector_").alias(name))
+    return keyed.drop(name).join(once, key).drop(key)
+
+
 def generated(df: DataFrame, prompt: str = "prompt", name: str = "answer", factory: Callable[[], ModelBackend] = StandIn) -> DataFrame:
     """``df`` with the answer to each prompt; an empty answer stands for a failure of the model."""
 
@@ -111,8 +131,19 @@ def rerank_by_overlap(hits: DataFrame, limit: int) -> DataFrame:
     return hits.withColumn("reranker_score", score).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit)
 
 
+@F.udtf(returnType=T.StructType([T.StructField("at", T.IntegerType()), T.StructField("sentence", T.StringType())]), useArrow=True)
+class Sentences:
+    """Sentences of a text with their places, for ``LATERAL``: white space collapsed, split after . ! and ?; none of a null or blank text."""
+
+    def eval(self, body: str):  # noqa: ANN201
+        flat = re.sub(r"[ \t\n\x0b\f\r]+", " ", body or "").strip(" ")
+        for at, sentence in enumerate(re.split(r"(?<=[.!?]) ", flat) if flat else []):
+            yield at, sentence
+
+
 def register(spark: SparkSession) -> None:
-    """The library's functions under names for SQL: brookfern_tokens, brookfern_redact and brookfern_weather."""
+    """The library's functions under names for SQL: brookfern_tokens, brookfern_redact, brookfern_weather and the table function brookfern_sentences."""
+    spark.udtf.register("brookfern_sentences", Sentences)
     schema = "array<string>"
     spark.udf.register("brookfern_tokens", F.pandas_udf(lambda s: s.fillna("").str.lower().str.findall(r"\w+"), schema))
     spark.udf.register("brookfern_weather", F.pandas_udf(lambda s: s.map(lambda c: tools.WEATHER.get(c, f"Weather code {c}")), "string"))

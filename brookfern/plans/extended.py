@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..functions import sentences as st
+from ..session import shared_folder
 from ..operators import answering, backends, cleaning, ingest, reports, retrieval, state, store, tools
 from ..sources import files
 from ..sources import fixtures as fx
@@ -353,7 +356,19 @@ def rerank_backend(spark, sf_dir):
 
 @query()
 def embed_chunks(spark, sf_dir):
-    return backends.embedded(fx.chunks(spark, sf_dir).select("chunk_id", "text")).select("chunk_id", "embedding")
+    """Chunks with their vectors: each distinct text is embedded once and stored."""
+    store_path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    return backends.embedded_once(fx.chunks(spark, sf_dir).select("chunk_id", "text"), store_path).select("chunk_id", "embedding")
+
+
+@query(r"""WITH flat AS (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g'), ' ') AS t FROM documents WHERE text IS NOT NULL),
+parts AS (SELECT doc_id, string_split(regexp_replace(t, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)) AS p FROM flat WHERE t <> '')
+SELECT doc_id, unnest(range(0, len(p)))::INTEGER AS at_, unnest(p) AS sentence FROM parts""")
+def sentence_table(spark, sf_dir):
+    """Sentences of whole documents by a table function in SQL."""
+    backends.register(spark)
+    fx.documents(spark, sf_dir).select("doc_no", "text").createOrReplaceTempView("brookfern_documents")
+    return spark.sql("SELECT d.doc_no AS doc_id, s.at AS at_, s.sentence FROM brookfern_documents d, LATERAL brookfern_sentences(d.text) s")
 
 
 _SECTION_STOPS = ", ".join(f"'{w}'" for w in fixed.SECTION_STOPS)
