@@ -225,3 +225,14 @@ SPECIFIC_STOPS = ["figure", "source", "section", "title", "page"]
 GREETINGS = {w: f"{said}! How can I help you today?" for w, said in (("hi", "Hello"), ("hello", "Hello"), ("hey", "Hey"), ("namaste", "Namaste"), ("namaskar", "Namaskar"), ("good morning", "Good morning"), ("good afternoon", "Good afternoon"), ("good evening", "Good evening"))}
 DIRECT_FALLBACK = "I'm here and ready to help. Could you rephrase your question?"
 TOOL_FALLBACK = "The tool output does not directly answer this."
+
+# Definitions.
+DEFINED_BY = [" is ", " are ", "refers to", "means", "called", "known as"]
+DEFINED_CLASSES = ["tool", "interface", "model", "library", "system", "helps", "allows"]
+DEFINED_DETAILS = ["instead of", "interface", "features include", "view", "monitor", "helps", "allows", "trained", "generate", "creates", "created", "can ", "capable", "designed", "developed", "released", "supports", "used for"]
+DEFINED_SCORES = {
+    4: [" is ", " are ", "refers to", "means", "model", "tool", "library", "system", "framework", "algorithm", "method", "platform", "service"],
+    2: ["interface", "helps", "allows", "released by", "released in", "developed by", "created by", "built by"],
+    -8: ["compared to", "distinguished by", "previous video", "previous model"],
+}
+DEFINED_ENDS = r"\bGetting Started\b|\bHow to use\b"

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, text
 from ..functions import sentences as st
 from ..session import materialized, settled
-from . import answer, answering, backends, cleaning, runs, windows
+from . import answer, answering, backends, cleaning, relations, runs, windows
 
 Stage = Callable[[DataFrame], DataFrame]
 
@@ -45,7 +45,7 @@ def candidates(items: DataFrame, facts: DataFrame) -> DataFrame:
     most = items.groupBy("query_id").agg(F.max("rank").alias("results"))
     plain = answering.candidates(facts).select("query_id", F.col("source").alias("kind"), F.col("candidate").alias("answer"), F.lit(1).alias("later"))
     best = windows.answers(items).select("query_id", F.lit("source_window").alias("kind"), "answer", F.lit(0).alias("later"))
-    own = [runs.pipeline_answers(items).withColumn("kind", F.lit("pipeline")), runs.challenge_answers(items).withColumn("kind", F.lit("challenge"))]
+    own = [runs.pipeline_answers(items).withColumn("kind", F.lit("pipeline")), runs.challenge_answers(items).withColumn("kind", F.lit("challenge")), relations.definition_answers(items).withColumn("kind", F.lit("definition"))]
     every = plain.unionByName(best)
     for df in own:  # those that read the source stand before those of facts
         every = every.unionByName(df.select("query_id", "kind", "answer", F.lit(0).alias("later")))

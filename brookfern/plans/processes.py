@@ -1,11 +1,11 @@
-"""Queries of ordered runs, steps and pipelines."""
+"""Queries of ordered runs, steps, pipelines, relations and definitions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import runs
+from ..operators import relations, runs
 from ..sources import fixtures as fx
 from .registry import query
 
@@ -66,3 +66,35 @@ def series_answers(spark, sf_dir):
     """The longest run of every document as an answer that keeps its order."""
     items = _listed(spark, sf_dir).select(F.col("doc_id").alias("query_id"), F.lit(1).alias("rank"), F.lit(1).alias("page_number"), F.lit(0).alias("chunk_index"), "body")
     return runs.series(items)
+
+
+_TRIPLES = r"""pages AS (SELECT doc_id, trim(regexp_replace(replace(replace(' ' || replace(text, chr(10), ' ' || chr(10) || ' ') || ' ', ' that ', ' Erly '), ' of ', ' known as '), '\s+', ' ', 'g')) AS body FROM documents WHERE text IS NOT NULL),
+clauses AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(body, '[,;:.!?]'), lambda c: trim(c)), lambda c: c <> '') AS cs FROM pages),
+each AS (SELECT doc_id, unnest(range(0, len(cs))) AS place, unnest(cs) AS clause FROM clauses),
+said AS (SELECT *, regexp_extract(clause, '(?i)(?:^|[^A-Za-z0-9])Erly((?: .*?)??) (is|are|refers to|means|called|known as) (.+)$', 1) AS gap, lower(regexp_extract(clause, '(?i)(?:^|[^A-Za-z0-9])Erly((?: .*?)??) (is|are|refers to|means|called|known as) (.+)$', 2)) AS relation,
+  regexp_extract(clause, '(?i)(?:^|[^A-Za-z0-9])Erly((?: .*?)??) (is|are|refers to|means|called|known as) (.+)$', 3) AS object FROM each),
+found AS (SELECT doc_id, place::INTEGER AS place, relation, object, length(gap)::INTEGER AS distance FROM said WHERE relation <> '')"""
+
+
+def _triples(spark, sf_dir) -> DataFrame:
+    """What whole documents say of one entity, whose name stands for a common word."""
+    body = F.concat(F.lit(" "), F.regexp_replace("text", r"\n", " \n "), F.lit(" "))
+    named = F.replace(F.replace(body, F.lit(" that "), F.lit(" Erly ")), F.lit(" of "), F.lit(" known as "))
+    rows = fx.table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", named.alias("body"), F.lit("Erly").alias("entity"))
+    return relations.triples(rows, "body", "entity", "doc_id")
+
+
+@query(f"WITH {_TRIPLES} SELECT * FROM found")
+def relation_triples(spark, sf_dir):
+    return _triples(spark, sf_dir).select("doc_id", "place", "relation", "object", "distance")
+
+
+@query(f"WITH {_TRIPLES} SELECT doc_id, place, relation, object FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, place) AS n FROM found) WHERE n = 1")
+def nearest_relations(spark, sf_dir):
+    return relations.nearest(_triples(spark, sf_dir), "doc_id").select("doc_id", "place", "relation", "object")
+
+
+@query(None)
+def definitions(spark, sf_dir):
+    """A definition of one entity from every document."""
+    return relations.definition_answers(fx.cued_items(spark, sf_dir).filter("query_id % 10 = 0").withColumn("query", F.lit("What is Erly?")))
