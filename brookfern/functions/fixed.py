@@ -236,3 +236,7 @@ DEFINED_SCORES = {
     -8: ["compared to", "distinguished by", "previous video", "previous model"],
 }
 DEFINED_ENDS = r"\bGetting Started\b|\bHow to use\b"
+
+# Questions whose answers may not turn to another topic, and headings that are no topic.
+TOPIC_QUERIES = ["feature", "capability", "capabilities", "strength", "advantage", "benefit", "role", "component"]
+TOPIC_GENERIC = ["key", "main", "feature", "features", "benefit", "benefits", "strength", "strengths", "limitation", "limitations", "overview", "introduction", "conclusion", "summary", "getting", "started", "when", "use", "normal", "data", "some", "outliers", "anomalies", "monitoring", "detecting", "updating", "installation", "usage", "setup", "configuration"]

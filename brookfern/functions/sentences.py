@@ -163,6 +163,50 @@ def names_entity(body: Column, entity: Column) -> Column:
     return (F.size(terms) > 0) & (whole | F.forall(terms, lambda t: padded.contains(F.concat(F.lit(" "), t, F.lit(" ")))))
 
 
+def subject(query: Column) -> Column:
+    """What a question is about, as it is written there: its subject, its longest name, or its last capitalised word."""
+    none = F.lit("")
+    asked = none
+    for pattern in reversed(fixed.SUBJECT_QUERIES):
+        found = F.btrim(text.squeeze(F.regexp_extract(query, pattern, 1)), F.lit(" '\"“”‘’"))
+        asked = F.when(F.exists(entity_terms(found), lambda t: ~t.isin(fixed.ENTITY_GENERIC)), found).otherwise(asked)
+    phrases = F.array_sort(F.transform(text.focus_phrases(query), lambda p: F.struct((-F.length(p)).alias("minus"), p.alias("p"))))
+    words = F.filter(names(query, 4), lambda w: ~F.lower(w).isin(fixed.ENTITY_GENERIC))
+    return F.when(asked != "", asked).otherwise(F.coalesce(F.get(phrases, F.lit(0))["p"], F.get(words, F.size(words) - 1), none))
+
+
+def entity_terms(entity: Column) -> Column:
+    return text.without(F.regexp_extract_all(F.lower(entity), F.lit(r"[a-z0-9](?:[a-z0-9_-]*[a-z0-9_])?"), F.lit(0)), fixed.ENTITY_TERM_STOPS)
+
+
+def competing(query: Column, body: Column) -> Column:
+    """A text brings up a named topic other than the one that a question about features, strengths, roles or parts asks for.
+
+    Names that hold the asked one, or its initials, or are held by it, do not compete; neither do generic headings.  A
+    name of several words competes if it opens the text, heads a part of it or is the subject of a clause; a word
+    if it is written like the name of a tool or heads a part."""
+    asked = F.array_distinct(F.concat(text.focus_phrases(query), F.filter(F.array(F.lower(subject(query))), lambda s: s != "")))
+    own = F.filter(F.concat(F.transform(asked, text.compact), acronyms(asked)), lambda c: c != "")
+    plain = lambda c: ~F.exists(own, lambda o: c.contains(o) | o.contains(c))
+    escaped = lambda n: F.regexp_replace(n, r"([\\\[\](){}.*+?^$|])", r"\\$1")
+    runs = F.regexp_extract_all(body, F.lit(r"\b[A-Z][A-Za-z0-9_-]{2,}\b(?:\s+\(?[A-Z][A-Za-z0-9_-]{1,}\)?\b){1,5}"), F.lit(0))
+    words = F.regexp_extract_all(body, F.lit(r"\b[A-Z][A-Za-z0-9_-]{2,}\b"), F.lit(0))
+
+    def heads(n: Column) -> Column:
+        return F.regexp_like(body, F.concat(F.lit(r"(?:^|[.;]\s*)"), escaped(n), F.lit(r"\s*[:\-–—]")))
+
+    def introduced(n: Column) -> Column:
+        verbs = r"\b(?:\s+\([A-Z0-9]+\))?\s+(?:is|are|can|helps|allows|provides|offers|includes|include|monitors|detects|updates|discovers|uses|utilizes)\b"
+        return F.instr(body, n).between(1, 13) | heads(n) | F.regexp_like(body, F.concat(F.lit(r"\b"), escaped(n), F.lit(verbs)))
+
+    generic = F.split(F.lit(",".join(fixed.TOPIC_GENERIC)), ",")
+    topic = lambda n: F.size(F.array_except(F.regexp_extract_all(F.lower(n), F.lit(r"[a-z][a-z0-9_-]*"), F.lit(0)), generic)) > 0
+    several = F.exists(runs, lambda n: topic(n) & plain(text.compact(n)) & introduced(n))
+    tool = lambda w: F.substring(w, 2, 1000).rlike("[A-Z]") & w.rlike("[a-z]")
+    single = F.exists(words, lambda w: ~F.array_contains(generic, F.lower(w)) & plain(text.compact(w)) & (tool(w) | F.regexp_like(body, F.concat(F.lit(r"\b"), escaped(w), F.lit(r"\b\s*[:\-–—]")))))
+    return text.any_of(F.lower(query), fixed.TOPIC_QUERIES) & (F.size(own) > 0) & (several | single)
+
+
 # Cleaning
 
 

@@ -183,12 +183,12 @@ def candidates(facts: DataFrame, kinds: list[Kind] = KINDS) -> DataFrame:
     table = spark.createDataFrame(rows, "source string, place int, markers array<string>, lead string, most int, words int, bullets boolean")
     asked = facts.select("query_id", "query").distinct().withColumn("source", F.explode(wanted_kinds(F.col("query")))).drop("query")
     low = F.lower("sentence")
-    usable = facts.filter(~st.is_low_value(F.col("sentence")))
+    usable = settled(facts, low_value=st.is_low_value(F.col("sentence")), other_topic=st.competing(F.col("query"), F.col("sentence"))).filter("not low_value").drop("low_value")
     met = usable.join(asked, "query_id").join(table, "source").withColumn("hits", F.size(F.filter("markers", lambda m: low.contains(m)))).withColumn("worth", F.col("hits") * 3 + F.col("score"))
     category = F.lit(None).cast("int")
     for i, (_, words) in reversed(list(enumerate(fixed.LIMITATION_CATEGORIES))):
         category = F.when(text.any_of(low, words), i).otherwise(category)
-    met = met.withColumn("category", F.when(F.col("source") == "limitation", category)).filter("hits > 0 or category is not null or source in ('list', 'focused_entity', 'definition')")
+    met = met.withColumn("category", F.when(F.col("source") == "limitation", category)).filter("(hits > 0 or category is not null or source in ('list', 'focused_entity', 'definition')) and not (source = 'list' and other_topic)")
     by = lambda *keys: Window.partitionBy("query_id", "source", *keys).orderBy(F.desc("worth"), "fact_no")
     first = (F.col("category").isNotNull()) & (F.row_number().over(by("category")) == 1)
     order = Window.partitionBy("query_id", "source").orderBy("later", F.desc("worth"), "fact_no")
@@ -289,6 +289,7 @@ def rejection(query: Column, candidate: Column, results: Column) -> Column:
         ("unfocused_candidate", is_unfocused(query, candidate)),
         ("intent_shape_missing", misses_shape(query, candidate)),
         ("focus_phrase_missing", (F.size(phrases) > 0) & ~F.exists(phrases, lambda p: c.contains(p))),
+        ("competing_named_topic", st.competing(query, candidate)),
         ("missing_citation", F.size(numbers) == 0),
         ("invalid_citation", F.exists(numbers, lambda x: (x < 1) | (x > results))),
         ("command_coverage_missing", command & ~covers["command"]),
