@@ -91,7 +91,7 @@ def is_low_value(sentence: Column) -> Column:
 
 def split(body: Column, longer_than: int = 0) -> Column:
     """Sentences, with white space collapsed; only those of more characters than ``longer_than``."""
-    return F.filter(F.transform(F.split(text.squeeze(body), r"(?<=[.!?])\s+"), F.trim), lambda s: F.length(s) > longer_than)
+    return F.filter(F.transform(F.split(text.squeeze(body), r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda s: F.length(s) > longer_than)
 
 
 _LISTED = r"(?:^|\s)(?:[-*]|\d+[.)])\s+([^.!?]{12,220}[.!?])"
@@ -103,8 +103,8 @@ def with_fact_sentences(df: DataFrame, body: Column, name: str = "sentences") ->
     short ones with a marker.  Each list is worked out once a row."""
     flat = text.squeeze(body)
     held = settled(df, flat_=flat)
-    listed = F.transform(F.regexp_extract_all("flat_", F.lit(_LISTED), F.lit(1)), F.trim)
-    held = settled(held, listed_=listed, commands_=F.transform(F.regexp_extract_all("flat_", F.lit(_COMMANDS), F.lit(0)), F.trim), parts_=F.transform(F.split("flat_", r"(?<=[.!?])\s+"), F.trim))
+    listed = F.transform(F.regexp_extract_all("flat_", F.lit(_LISTED), F.lit(1)), lambda x: F.trim(x))
+    held = settled(held, listed_=listed, commands_=F.transform(F.regexp_extract_all("flat_", F.lit(_COMMANDS), F.lit(0)), lambda x: F.trim(x)), parts_=F.transform(F.split("flat_", r"(?<=[.!?])\s+"), lambda x: F.trim(x)))
     parts = F.concat("listed_", "commands_", F.filter("parts_", lambda s: F.length(s) > 0))
     held = settled(held, kept_=F.filter(parts, lambda s: (F.length(s) > 40) | (F.array_contains("listed_", s) & (F.size(F.split(s, " ")) >= 3)) | text.any_of(F.lower(s), fixed.SHORT_SIGNAL)))
     held = settled(held, keyed_=F.transform("kept_", F.lower))
@@ -114,7 +114,7 @@ def with_fact_sentences(df: DataFrame, body: Column, name: str = "sentences") ->
 
 def definition_sentences(body: Column) -> Column:
     """Sentences that may define: split at ends and semicolons, eight words at least."""
-    return F.filter(F.transform(F.split(text.squeeze(body), r"(?<=[.!?;])\s+"), F.trim), lambda s: F.size(F.split(s, " ")) >= 8)
+    return F.filter(F.transform(F.split(text.squeeze(body), r"(?<=[.!?;])\s+"), lambda x: F.trim(x)), lambda s: F.size(F.split(s, " ")) >= 8)
 
 
 def is_multi_source(query: Column) -> Column:

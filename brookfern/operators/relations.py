@@ -19,7 +19,7 @@ def triples(rows: DataFrame, body: str, entity: str, *keys: str) -> DataFrame:
 
     A clause ends at , ; : . ! or ?.  distance: the letters between entity and relation; object: the rest of the clause.
     Null and empty texts and entities have none."""
-    clauses = F.filter(F.transform(F.split(text.squeeze(F.col(body)), r"[,;:.!?]"), F.trim), lambda c: c != "")
+    clauses = F.filter(F.transform(F.split(text.squeeze(F.col(body)), r"[,;:.!?]"), lambda x: F.trim(x)), lambda c: c != "")
     each = rows.filter(f"coalesce(`{entity}`, '') <> ''").select(*keys, F.col(entity).alias("subject"), F.posexplode(clauses).alias("place", "clause"))
     quoted = F.regexp_replace("subject", r"([\\\[\](){}.*+?^$|])", r"\\$1")
     pattern = F.concat(F.lit("(?i)(?:^|[^A-Za-z0-9])"), quoted, F.lit(rf"((?: .*?)??) ({'|'.join(RELATIONS)}) (.+)$"))
@@ -48,7 +48,7 @@ def definition_answers(items: DataFrame) -> DataFrame:
     near = rows.withColumn("at", F.explode(spots))
     start, stop = windows.around(F.col("body"), F.col("at"), 120, 760)
     near = settled(near, start=start, stop=stop)
-    parts = F.filter(F.transform(F.split(text.squeeze(F.substring("body", F.col("start") + 1, F.col("stop") - F.col("start"))), r"(?<=[.!?])\s+"), F.trim), lambda s: F.length(s) > 40)
+    parts = F.filter(F.transform(F.split(text.squeeze(F.substring("body", F.col("start") + 1, F.col("stop") - F.col("start"))), r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda s: F.length(s) > 40)
     heads = F.transform(parts, lambda s: F.trim(F.split(s, fixed.DEFINED_ENDS, 2)[0]))
     near = settled(near, parts=heads).drop("body", "low", "text").select("*", F.posexplode("parts").alias("place", "sentence")).drop("parts")
     s, low, entity = F.col("sentence"), F.lower("sentence"), F.col("entity")

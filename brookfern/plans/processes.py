@@ -68,7 +68,7 @@ def series_answers(spark, sf_dir):
     return runs.series(items)
 
 
-_TRIPLES = r"""pages AS (SELECT doc_id, trim(regexp_replace(replace(replace(' ' || replace(text, chr(10), ' ' || chr(10) || ' ') || ' ', ' that ', ' Erly '), ' of ', ' known as '), '\s+', ' ', 'g')) AS body FROM documents WHERE text IS NOT NULL),
+_TRIPLES = r"""pages AS (SELECT doc_id, trim(regexp_replace(replace(replace(' ' || replace(text, chr(10), ' ' || chr(10) || ' ') || ' ', ' that ', ' Erly '), ' of ', ' known as '), '[ \t\n\x0b\f\r]+', ' ', 'g')) AS body FROM documents WHERE text IS NOT NULL),
 clauses AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(body, '[,;:.!?]'), lambda c: trim(c)), lambda c: c <> '') AS cs FROM pages),
 each AS (SELECT doc_id, unnest(range(0, len(cs))) AS place, unnest(cs) AS clause FROM clauses),
 said AS (SELECT *, regexp_extract(clause, '(?i)(?:^|[^A-Za-z0-9])Erly((?: .*?)??) (is|are|refers to|means|called|known as) (.+)$', 1) AS gap, lower(regexp_extract(clause, '(?i)(?:^|[^A-Za-z0-9])Erly((?: .*?)??) (is|are|refers to|means|called|known as) (.+)$', 2)) AS relation,

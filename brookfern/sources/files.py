@@ -93,7 +93,7 @@ def with_sections(pages: DataFrame, refuse: bool = True) -> DataFrame:
 
     A document without a page that can be searched is refused: an error, or without ``refuse`` pages without a title
     and with the reason in column refused, which is null for others."""
-    lines = F.filter(F.transform(F.split("text", r"\r\n|\r|\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
     ends = F.transform(lines, text.is_terminal)
     before_end = F.when(F.array_position(ends, True) > 0, F.slice(lines, 1, F.greatest(F.array_position(ends, True).cast("int") - 1, F.lit(0)))).otherwise(lines)
     clean = F.slice(F.filter(before_end, lambda x: ~text.is_boilerplate(x)), 1, HEADING_LINES)

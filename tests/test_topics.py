@@ -23,3 +23,9 @@ def test_competing_topics(spark):
     df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, q string, b string")
     got = [r.x for r in df.select("i", st.competing(F.col("q"), F.col("b")).alias("x")).orderBy("i").collect()]
     assert got == [x for *_, x in cases]
+
+
+def test_sentences_keep_their_numbers(spark):
+    body = "0 apples fell. 1 apple stays 1. 2 pears 2"
+    row = spark.createDataFrame([(body,)], "b string").select(st.split(F.col("b")).alias("x")).first()
+    assert row.x == ["0 apples fell.", "1 apple stays 1.", "2 pears 2"]
