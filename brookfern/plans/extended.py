@@ -430,8 +430,8 @@ def answer_candidates(spark, sf_dir):
 
 @query()
 def accepted_answers(spark, sf_dir):
-    """Questions of every kind on every document, whose pages hold cues of them."""
-    items = fx.cued_items(spark, sf_dir).withColumn("section_title", F.lit(""))
+    """A question on every document, of all kinds in turn, whose pages hold cues of them."""
+    items = fx.cued_items(spark, sf_dir, every=False).withColumn("section_title", F.lit(""))
     most = items.groupBy("query_id").agg(F.max("rank").alias("results"))
     return answering.first_accepted(answering.candidates(answering.fact_list(items)).join(most, "query_id"))
 

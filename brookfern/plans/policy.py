@@ -12,12 +12,12 @@ from .registry import query
 
 
 def _items(spark, sf_dir) -> DataFrame:
-    return fx.cued_items(spark, sf_dir).withColumns({"section_title": F.lit(""), "hybrid_score": 1.0 / (F.col("rank") + 60)})
+    return fx.cued_items(spark, sf_dir, every=False).withColumns({"section_title": F.lit(""), "hybrid_score": 1.0 / (F.col("rank") + 60)})
 
 
 @query(None)
 def policy_answers(spark, sf_dir):
-    """The whole policy over questions of every kind on every document, with the stage that answered and why others did not."""
+    """The whole policy over a question on every document, of all kinds in turn, with the stage that answered and why others did not."""
     found = policy.answered(_items(spark, sf_dir))
     return found.select("query_id", "answer", "source", F.to_json("trace").alias("trace"))
 

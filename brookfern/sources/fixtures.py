@@ -87,14 +87,16 @@ WINDOW_QUESTIONS = [
 ]
 
 
-def cued_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of eight lines of every document, with cues in them, as the items of a question of each kind of window."""
+def cued_items(spark: SparkSession, sf_dir: str, every: bool = True) -> DataFrame:
+    """Pages of eight lines of every document, with cues in them, as the items of a question of each kind of window, or of one
+    kind a document, in turn."""
     body = F.concat(F.lit(" "), F.regexp_replace("text", r"\n", " \n "), F.lit(" "))
     for word, cue in CUED_WORDS.items():
         body = F.replace(body, F.lit(f" {word} "), F.lit(f" {cue} "))
     lines = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.split(body, "\n").alias("lines"))
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / 8).cast("int")), lambda i: F.array_join(F.slice("lines", i * 8 + 1, F.lit(8)), " "))
     pages = lines.select("doc_id", F.posexplode(parts).alias("page", "text"))
-    asked = F.posexplode(F.array(*map(F.lit, WINDOW_QUESTIONS))).alias("place", "query")
-    rows = pages.select("doc_id", (F.col("page") + 1).alias("rank"), "text", asked)
+    listed = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(q).alias("query")) for i, q in enumerate(WINDOW_QUESTIONS)))
+    turn = F.slice(listed, F.pmod("doc_id", F.lit(len(WINDOW_QUESTIONS))).cast("int") + 1, F.lit(1))
+    rows = pages.select("doc_id", (F.col("page") + 1).alias("rank"), "text", F.inline(listed if every else turn))
     return rows.select((F.col("doc_id") * 10 + F.col("place")).alias("query_id"), "query", "rank", F.concat(F.lit("doc "), "doc_id").alias("title"), F.col("rank").alias("page_number"), F.lit(0).alias("chunk_index"), "text")
