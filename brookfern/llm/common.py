@@ -55,6 +55,14 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, label))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` as a side of joins that are dealt out by key, never broadcast before they run.
+
+    Sizes are estimated from compressed files, and an explode counts as one row: a table of few megabytes by that estimate may
+    be a gigabyte in the driver."""
+    return df.hint("merge")
+
+
 def trim() -> None:
     """Give memory that is free in this Python worker back: workers live on beside other stages."""
     pa.default_memory_pool().release_unused()

@@ -243,9 +243,9 @@ def _ends(df: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
 def _verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     """The pairs (u, v) that are similar, by their whole sets."""
     asked = pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))).distinct()
-    sets = common.cut(prints.filter("n is not null").select("node", "n", "shared").join(asked, "node", "left_semi").dropDuplicates(["node"]), "near-sets")
+    sets = common.cut(prints.filter("n is not null").select("node", "n", "shared").join(common.dealt(asked), "node", "left_semi").dropDuplicates(["node"]), "near-sets")
     u, v = (sets.select(F.col("node").alias(x), F.col("n").alias(size), F.col("shared").alias(h)) for x, size, h in (("u", "a", "hu"), ("v", "b", "hv")))
-    return common.cut(pairs.join(v, "v").join(u, "u").filter("9 * size(array_intersect(hu, hv)) >= 4 * (a + b)").select("u", "v"), "near-links")
+    return common.cut(pairs.join(common.dealt(v), "v").join(common.dealt(u), "u").filter("9 * size(array_intersect(hu, hv)) >= 4 * (a + b)").select("u", "v"), "near-links")
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -253,26 +253,26 @@ def links(prints: DataFrame) -> DataFrame:
     nodes = common.cut(prints.filter("n is not null").select("node", "n", "fp", *_BITS, "keys").dropDuplicates(["node"]), "near-nodes")
     keyed = nodes.select("node", "n", *_BITS, F.explode("keys").alias("key"))
     often = keyed.groupBy("key").agg(F.count("*").alias("k"), F.min_by(F.struct("node", "n", *_BITS), F.xxhash64("node", "key")).alias("centre")).filter("k > 1")
-    met = common.cut(keyed.join(often.select("key", "k"), "key"), "near-keys")
+    met = common.cut(keyed.join(common.dealt(often.select("key", "k")), "key"), "near-keys")
     u, v = _ends(met.filter(F.col("k") <= HOT), "key")
-    paired = u.join(v, "key").filter(f"u < v and {_POSSIBLE}").select("u", "v")
+    paired = u.join(common.dealt(v), "key").filter(f"u < v and {_POSSIBLE}").select("u", "v")
     hot = met.filter(F.col("k") > HOT)
     centres = often.filter(F.col("k") > HOT).select("key", F.col("centre.node").alias("u"), F.col("centre.n").alias("a"), *(F.col(f"centre.{b}").alias(f"u{b}") for b in _BITS))
-    fans = _ends(hot, "key")[1].join(centres, "key").filter(f"u <> v and {_POSSIBLE}").select("u", "v")
+    fans = _ends(hot, "key")[1].join(common.dealt(centres), "key").filter(f"u <> v and {_POSSIBLE}").select("u", "v")
     prints_of = nodes.groupBy("fp").agg(F.min("node").alias("u"))
-    same = nodes.select("fp", F.col("node").alias("v")).join(prints_of, "fp").filter("u <> v").select("u", "v")
+    same = nodes.select("fp", F.col("node").alias("v")).join(common.dealt(prints_of), "fp").filter("u <> v").select("u", "v")
     near = simhash.links(prints_of.select("fp")).select(F.col("u").alias("fu"), F.col("v").alias("fv"))
-    near = near.join(prints_of.select(F.col("fp").alias("fu"), "u"), "fu").join(prints_of.select(F.col("fp").alias("fv"), F.col("u").alias("v")), "fv").select("u", "v")
+    near = near.join(common.dealt(prints_of.select(F.col("fp").alias("fu"), "u")), "fu").join(common.dealt(prints_of.select(F.col("fp").alias("fv"), F.col("u").alias("v"))), "fv").select("u", "v")
     every = paired.unionAll(fans).unionAll(same).unionAll(near)
     pairs = common.cut(every.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near-pairs")
     first = _verified(pairs, prints)
     roots = components(first)
-    rooted = hot.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = hot.join(common.dealt(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = rooted.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), (F.min("root") < F.max("root")).alias("several")).filter("several").drop("several")
-    numbered = rooted.join(split, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    numbered = rooted.join(common.dealt(split), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     tiled = numbered.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"low": F.least("own", "tile"), "high": F.greatest("own", "tile")}).drop("tile").withColumnRenamed("own", "tile")
     u, v = _ends(tiled.select("key", "low", "high", "node", "n", *_BITS, "root", "tile"), "key", "low", "high")
-    left = u.join(v, ["key", "low", "high"]).filter(f"u < v and rootu <> rootv and (tileu <> tilev or low = high) and {_POSSIBLE}").select("u", "v")
+    left = u.join(common.dealt(v), ["key", "low", "high"]).filter(f"u < v and rootu <> rootv and (tileu <> tilev or low = high) and {_POSSIBLE}").select("u", "v")
     rest = common.cut(left.distinct(), "near-rest")
     return first.unionAll(_verified(rest, prints))
 
@@ -282,10 +282,10 @@ def classes(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     prints = common.cut(_prints(docs.filter("doc_id is not null"), block_bytes), "near-prints")
     nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least_doc"))
     roots = components(links(prints))
-    rooted = nodes.join(roots, "node", "left").select("node", "least_doc", F.coalesce("root", "node").alias("root"))
+    rooted = nodes.join(common.dealt(roots), "node", "left").select("node", "least_doc", F.coalesce("root", "node").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least_doc").alias("component_id"))
-    named = common.cut(rooted.join(names, "root").select("node", "root", "component_id"), "near-names")
-    return prints.select("doc_id", "text_key", "node").join(named, "node").select("doc_id", "text_key", "component_id", "root")
+    named = common.cut(rooted.join(common.dealt(names), "root").select("node", "root", "component_id"), "near-names")
+    return prints.select("doc_id", "text_key", "node").join(common.dealt(named), "node").select("doc_id", "text_key", "component_id", "root")
 
 
 def deduplicated(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:

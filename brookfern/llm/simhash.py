@@ -87,10 +87,10 @@ def links(prints: DataFrame) -> DataFrame:
     # A wildcarded variant pairs fingerprints that do differ in its bit; those that do not meet under the exact one.
     counts = variants.groupBy("slot", "key").agg(F.count("*").alias("n"), F.sum("side").alias("ones"))
     useful = counts.filter("n > 1 and (slot % 33 = 32 or (ones > 0 and ones < n))").select("slot", "key", "n")
-    met = common.cut(variants.join(useful, ["slot", "key"]), "simhash-variants")
+    met = common.cut(variants.join(common.dealt(useful), ["slot", "key"]), "simhash-variants")
     cool = met.filter(F.col("n") <= HOT)
     a, b = (cool.select("slot", "key", F.col("fp").alias(f), F.col("side").alias(s)) for f, s in (("u", "su"), ("v", "sv")))
-    paired = a.join(b, ["slot", "key"]).filter("if(slot % 33 = 32, u < v, su < sv) and bit_count(u ^ v) <= 2").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    paired = a.join(common.dealt(b), ["slot", "key"]).filter("if(slot % 33 = 32, u < v, su < sv) and bit_count(u ^ v) <= 2").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     hot = met.filter(F.col("n") > HOT).select("fp", "slot", "key", "other", F.explode(F.expr("sequence(0, 32)")).alias("flip"))
     split = hot.select(
         "fp",
@@ -100,7 +100,7 @@ def links(prints: DataFrame) -> DataFrame:
         F.expr("if(flip = 32, other, if(slot % 33 = 32, other ^ shiftleft(1L, flip), other & ~shiftleft(1L, flip)))").alias("rest"),
     )
     least = split.groupBy("slot", "key", "wild", "rest").agg(F.min("fp").alias("u"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    starred = split.join(least, ["slot", "key", "wild", "rest"]).filter("u <> fp").select("u", F.col("fp").alias("v"))
+    starred = split.join(common.dealt(least), ["slot", "key", "wild", "rest"]).filter("u <> fp").select("u", F.col("fp").alias("v"))
     return paired.unionAll(starred).distinct()
 
 
@@ -109,10 +109,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     prints = common.cut(fingerprints(docs, doc_id, text), "simhash-prints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_doc"))
     roots = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").select("fp", "least_doc", F.coalesce("root", "fp").alias("root"))
+    rooted = nodes.join(common.dealt(roots), "fp", "left").select("fp", "least_doc", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least_doc").alias("component_id"))
-    named = common.cut(rooted.join(names, "root").select("fp", "component_id"), "simhash-names")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = common.cut(rooted.join(common.dealt(names), "root").select("fp", "component_id"), "simhash-names")
+    return prints.join(common.dealt(named), "fp").select("doc_id", "fp", "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
