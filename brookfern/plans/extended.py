@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..functions import sentences as st
-from ..session import shared_folder
+from ..session import materialized, shared_folder
 from ..operators import answering, backends, cleaning, ingest, reports, retrieval, state, store, tools
 from ..sources import files
 from ..sources import fixtures as fx
@@ -431,7 +431,7 @@ def answer_candidates(spark, sf_dir):
 @query()
 def accepted_answers(spark, sf_dir):
     """A question on every document, of all kinds in turn, whose pages hold cues of them."""
-    items = fx.cued_items(spark, sf_dir, every=False).withColumn("section_title", F.lit(""))
+    items = materialized(fx.cued_items(spark, sf_dir, every=False)).withColumn("section_title", F.lit(""))
     most = items.groupBy("query_id").agg(F.max("rank").alias("results"))
     return answering.first_accepted(answering.candidates(answering.fact_list(items)).join(most, "query_id"))
 
