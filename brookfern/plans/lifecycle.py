@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import answer, evaluate, postings, retrieval
+from ..operators import answer, answering, evaluate, postings, retrieval
 from ..session import written
 
 
@@ -15,7 +15,7 @@ def ask(queries: DataFrame, docs: DataFrame, chunks: DataFrame, top_k: int = 8,
     docs: doc_id, title, source_path, section_titles, content; chunks: as in operators.retrieval; doc_index, chunk_index:
     stored indexes of them, made here if there are none.
     Queries whose answer does not verify get a second pass over all routed documents
-    with a larger evidence limit; the second answer counts only if it verifies.
+    with a larger evidence limit; a hit brings the chunks beside it; the second answer counts only if it verifies.
     """
     # One row a query; kept, or its rules would be pushed into every step that filters on them.  What is kept here is a few rows a
     # query, and a table whose size is known: chunks are not dealt out to meet it.
@@ -31,10 +31,9 @@ def ask(queries: DataFrame, docs: DataFrame, chunks: DataFrame, top_k: int = 8,
 
 def _attempt(asked: DataFrame, scope_docs: DataFrame, chunks: DataFrame, top_k: int, index: postings.Index | None) -> DataFrame:
     hits = written(retrieval.sparse_topk(chunks, asked, scope_docs.select("query_id", "doc_id"), top_k, index))
-    near = retrieval.neighbours(hits.select("query_id", "doc_id", "chunk_index"), chunks, 1).select("query_id", "chunk_id", "doc_id", "title", "section_title", "text", "chunk_index")
-    own = hits.select("query_id", "chunk_id", "doc_id", "title", "section_title", "text", "chunk_index", F.col("rank").alias("at"))
-    items = retrieval.ordered_union([own, near.withColumn("at", F.col("chunk_index"))], ["query_id", "chunk_id"], "at")
-    ranked = written(retrieval.ranked(items, ["query_id"], [F.col("segment"), F.col("at"), F.col("chunk_id")], top_k).join(asked, "query_id"))
-    answers = answer.extractive(answer.facts(ranked))
+    # A hit's neighbours stand with it: after all hits, and within their number, none would ever be read.
+    near = retrieval.surrounded(hits.select("query_id", "doc_id", "chunk_index", "rank"), chunks, 1)
+    ranked = written(near.select("query_id", "chunk_id", "doc_id", "title", "section_title", "text", "chunk_index", F.col("place").alias("rank")).join(asked, "query_id"))
+    answers = answer.extractive(answering.fact_list(ranked))
     counted = answers.join(ranked.groupBy("query_id").agg(F.count("*").alias("retrieved_count")), "query_id")
     return evaluate.verifier_flags(counted).select("query_id", "query", "answer", "status", "facts")
