@@ -334,7 +334,7 @@ def cleaned_answers(spark, sf_dir):
 def unrepeated_documents(spark, sf_dir):
     """Whole texts, doubled word runs added, without runs that stand again at once."""
     twice = F.concat_ws(" ", "text", F.substring("text", 1, 400), F.substring("text", 1, 400), F.lit("end"))
-    rows = fx.table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", text.squeeze(twice).alias("body"))
+    rows = fx.dealt_documents(spark, sf_dir).select("doc_id", text.squeeze(twice).alias("body"))
     return rows.select("doc_id", F.length("body").alias("n_before"), cleaning.unrepeated_runs(F.col("body")).alias("body")).select("doc_id", "n_before", F.length("body").alias("n_after"), F.md5(F.col("body").cast("binary")).alias("mark"))
 
 
